@@ -1,0 +1,34 @@
+"""Connected components of a graph by contraction: every round each node joins its smallest neighbour."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinelink.llm.tables import checkpointed
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of every node of the edges; root is one of the component's nodes.
+
+    Each round shrinks every component of two nodes or more to at most half its nodes; only edges
+    between what is left go on. Null ends and loops count for nothing.
+    """
+    left = checkpointed(_plain(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))))
+    roots = None
+    while True:
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = checkpointed(ends.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("parent")))
+        if roots is None:
+            roots = parents.withColumnRenamed("parent", "root")
+        else:
+            moved = parents.withColumnsRenamed({"node": "root", "parent": "_p"})
+            roots = checkpointed(roots.join(moved, "root", "left").select("node", F.coalesce("_p", "root").alias("root")))
+        if left.isEmpty():
+            return roots
+        pa, pb = parents.withColumnsRenamed({"node": "a", "parent": "pa"}), parents.withColumnsRenamed({"node": "b", "parent": "pb"})
+        left = checkpointed(_plain(left.join(pa, "a").join(pb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    return edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -39,5 +39,34 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+_OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM twice)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY p)) AS kept_sha256 FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_OP4 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE role END AS name,
+  replace(replace(text, '\', '\\'), '</turn>', '<\/turn>') AS half FROM c),
+f AS (SELECT *, length(half) + coalesce(list_sum(list_transform(regexp_extract_all(half, '#{3,}'), lambda x: length(x))), 0) AS escaped,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+  lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM e),
+g AS (SELECT *, CASE WHEN role = 'user' THEN before IN ('', 'system', 'assistant') WHEN role = 'assistant' THEN before = 'user' ELSE role = 'system' AND k = 1 END AS ok FROM f)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(name) + 2 + escaped + 8)::BIGINT AS formatted_chars,
+  bool_and(ok) AND arg_max(role, k) = 'assistant' AS valid, (min(k - 1) FILTER (NOT ok))::BIGINT AS first_bad_turn
+FROM g GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_lines": _OP1, "op2_decontaminate": _OP2}
+    return {"op1_quality_lines": _OP1, "op2_decontaminate": _OP2, "op4_chat_format": _OP4, "op6_phrase_dedup": _OP6}

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinelink.llm import chat_format, decontaminate, packing, quality_lines, token_counts
+from kinelink.llm import chat_format, decontaminate, hmm_lm, line_chunks, packing, phrase_dedup, pii, quality_lines, simhash, token_counts
 from kinelink.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,5 +38,27 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.report(table(spark, sf_dir, "documents"))
+
+
+def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_token_counts, op4_chat_format, op5_pack)}
+    return {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_token_counts, op4_chat_format, op5_pack, op6_phrase_dedup, op7_pii, op8_simhash, op9_line_chunks, op10_hmm_lm)}
