@@ -115,13 +115,12 @@ def second_best(scores: np.ndarray, best: np.ndarray) -> float:
     n = len(scores)
     if n < 2 or scores.shape != (n, n):
         return float("nan")
-    found = []
+    found, low = [], scores.min() - (n + 1) * (np.ptp(scores) + 1)  # so low that any other edge is better
     for r, c in enumerate(best):
         blocked = scores.copy()
-        blocked[r, c] = -1e12
-        other = hungarian(blocked)
-        found.append(blocked[np.arange(n), other].sum())
-    return max(x for x in found) if max(found) > -1e11 else float("nan")
+        blocked[r, c] = low
+        found.append(scores[np.arange(n), hungarian(blocked)].sum())
+    return max(found)
 
 
 def matrices(scores: DataFrame, group: list[str], row: str = "row", col: str = "col", score: str = "score") -> DataFrame:
