@@ -111,33 +111,52 @@ def extreme_coordinates(df: DataFrame, record: str, order: list[str], joints: st
     return counts, first.orderBy(F.desc(F.abs("value")), record, *order, "joint", "dim")
 
 
+def flagged(df: DataFrame, key: Column, rules: dict[str, Column]) -> DataFrame:
+    """Violations of row rules in one pass: each row's broken rules are listed and exploded."""
+    broken = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(rule)) for rule, bad in rules.items())), lambda r: r.isNotNull())
+    return df.select(F.explode(broken).alias("rule"), F.coalesce(key.cast("string"), F.lit("?")).alias("key"), F.lit("").alias("detail"))
+
+
 def validate_run_records(records: DataFrame, expected: DataFrame) -> DataFrame:
-    """Checks run records against the expected cells (job_id, condition, dataset, source, seed, test_session, train_job_id)."""
+    """Checks run records against the expected cells (job_id, condition, dataset, source, seed, test_session, train_job_id).
+
+    One full outer join by job finds what is missing, extra or different and checks every record's fields; two small
+    aggregates find duplicates and mixtures.
+    """
     cells = ["condition", "dataset", "source", "seed", "test_session", "train_job_id"]
-    both = records.alias("r").join(expected.alias("e"), F.col("r.job_id") == F.col("e.job_id"))
     needed = ["config_hash", "resolved_config", "data_manifest_hash", "checkpoint", "checkpoint_sha256", "raw_results", "raw_results_sha256", "git_commit", "protocol_hash"]
-    m = F.col("frame_acc")
+    r = records.withColumn("_r", F.lit(True))
+    e = expected.select("job_id", F.struct(*cells).alias("_e"))
+    both = r.join(e, "job_id", "full_outer")
+    have, known, m, g = F.coalesce("_r", F.lit(False)), F.col("_e").isNotNull(), F.col("frame_acc"), F.col("candidate_groups")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     counts_bad = (m["total"] <= 0) | (m["correct"] < 0) | (m["correct"] > m["total"])
-    mixed = lambda c: records.agg(F.count_distinct(c).alias("n")).filter("n > 1")
-    manifests = records.groupBy("dataset", "test_session").agg(F.count_distinct("data_manifest_hash").alias("n")).filter("n > 1")
+    source = F.col("condition") == "source"
+    rules = {
+        "no_job_id": have & blank("job_id"),
+        "missing": ~have,
+        "extra": have & ~known,
+        "not_completed": F.coalesce(F.col("status"), F.lit("")) != "completed",
+        **{f"{c}_mismatch": known & ~F.col(c).eqNullSafe(F.col(f"_e.{c}")) for c in cells},
+        **{f"no_{c}": blank(c) for c in needed},
+        "dirty": F.coalesce("git_dirty", F.lit(True)),
+        **{f"bad_{c}": ~F.coalesce(F.lower(F.col(c)).rlike("^[0-9a-f]{64}$"), F.lit(False)) for c in ("checkpoint_sha256", "raw_results_sha256")},
+        "config_hash_mismatch": F.sha2(F.col("resolved_config").cast("binary"), 256) != F.col("config_hash"),
+        "counts": m.isNull() | counts_bad,
+        "value": ~counts_bad & (F.abs(m["value"] - F.try_divide(m["correct"], m["total"])) > 1e-12),
+        "source_singletons": source & (F.coalesce(g["singleton_rate"], F.lit(-1.0)) != 0),
+        "source_group_size": source & (F.coalesce(g["candidate_group_size_min"], F.lit(0)) < 2),
+    }
+    # a cell without a record only misses one
+    rules = {k: bad if k in ("missing", "no_job_id", "extra") else have & bad for k, bad in rules.items()}
+    jobs = records.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = records.agg(F.count_distinct("protocol_hash").alias("p"), F.count_distinct("git_commit").alias("c"))
+    manifests = records.groupBy("dataset", "test_session").agg(F.count_distinct("data_manifest_hash").alias("n"))
     return together([
-        violation(records.filter(F.coalesce(F.trim("job_id"), F.lit("")) == ""), "no_job_id", F.lit("?")),
-        violation(records.groupBy("job_id").count().filter("count > 1"), "duplicate", "job_id"),
-        violation(expected.join(records.select("job_id"), "job_id", "left_anti"), "missing", "job_id"),
-        violation(records.join(expected.select("job_id"), "job_id", "left_anti"), "extra", "job_id"),
-        violation(records.filter("status <> 'completed' or status is null"), "not_completed", "job_id"),
-        *(violation(both.filter(~F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}"))), f"{c}_mismatch", F.col("r.job_id")) for c in cells),
-        *(violation(records.filter(F.coalesce(F.trim(c), F.lit("")) == ""), f"no_{c}", "job_id") for c in needed),
-        violation(records.filter("coalesce(git_dirty, true)"), "dirty", "job_id"),
-        *(violation(records.filter(~F.coalesce(F.lower(F.col(c)).rlike("^[0-9a-f]{64}$"), F.lit(False))), f"bad_{c}", "job_id") for c in ("checkpoint_sha256", "raw_results_sha256")),
-        violation(records.filter(F.sha2(F.col("resolved_config").cast("binary"), 256) != F.col("config_hash")), "config_hash_mismatch", "job_id"),
-        violation(records.filter(counts_bad), "counts", "job_id"),
-        violation(records.filter(~counts_bad & (F.abs(m["value"] - F.try_divide(m["correct"], m["total"])) > 1e-12)), "value", "job_id"),
-        violation(records.filter("condition = 'source' and coalesce(candidate_groups.singleton_rate, -1) <> 0"), "source_singletons", "job_id"),
-        violation(records.filter("condition = 'source' and coalesce(candidate_groups.candidate_group_size_min, 0) < 2"), "source_group_size", "job_id"),
-        violation(mixed("protocol_hash"), "mixed_protocol", F.lit("*")),
-        violation(mixed("git_commit"), "mixed_commit", F.lit("*")),
-        violation(manifests, "mixed_manifest", F.concat_ws(":", "dataset", "test_session")),
+        flagged(both, F.col("job_id"), rules),
+        violation(jobs.filter("n > 1"), "duplicate", "job_id"),
+        flagged(whole, F.lit("*"), {"mixed_protocol": F.col("p") > 1, "mixed_commit": F.col("c") > 1}),
+        violation(manifests.filter("n > 1"), "mixed_manifest", F.concat_ws(":", "dataset", "test_session")),
     ])
 
 

@@ -28,7 +28,7 @@ KEYPOINTS = 51
 def _lines(spark: SparkSession, path) -> DataFrame:
     """(path, n, line): non-blank lines, trimmed, numbered from 0."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    kept = F.filter(F.transform(F.split("value", "\r\n|\n|\r"), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.split("value", "\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     return whole.select("path", F.posexplode(kept).alias("n", "line"))
 
 
@@ -264,7 +264,7 @@ def read_run_records(spark: SparkSession, path, schema: str, completed_only: boo
 
 
 def inventory_files(spark: SparkSession, roots: dict[str, str], sample: str = "all", k: int = 3) -> DataFrame:
-    """(source, path, length, modified, sha256, status): a root without files is one row 'missing'.
+    """(source, path, length, modified, sha256, status): a root without files is one row 'missing'; empty files are not listed.
 
     sample: all, first (k by name), ends (first, middle, last) or even (k evenly spaced).
     """
@@ -396,5 +396,5 @@ def concat_split_series(parts: DataFrame, keys: list[str], target: int | None =
     size = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.size("values")).alias("_w"))
     shift = F.greatest(F.lit(target) - F.col("_n"), F.lit(0)) if mode == "test" else F.lit(0)
     moved = placed.join(size, keys).withColumn("frame_idx", (F.col("frame_idx") + shift).cast("long")).select(*keys, "frame_idx", "values")
-    grid = size.select(*keys, "_w", F.explode(F.sequence(F.lit(0), F.lit(target - 1))).cast("long").alias("frame_idx"))
+    grid = size.select(*keys, "_w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(target - 1).cast("long"))).alias("frame_idx"))
     return grid.join(moved, [*keys, "frame_idx"], "left").select(*keys, "frame_idx", F.coalesce("values", F.array_repeat(F.lit(0.0), F.col("_w"))).alias("values"))
