@@ -57,14 +57,27 @@ def flat(a: Column) -> Column:
 
 
 def coco17_to_h36m17(joints: Column | str) -> Column:
-    """Two-dimensional layout change: midpoints for trunk joints, depth 0, head beyond the nose."""
+    """Two-dimensional layout change: midpoints for trunk joints, depth 0, the nose stands at the neck, the head beyond it."""
     j = lambda name: flat(joint(joints, L.COCO17.index(name)))
     pelvis, thorax = middle(j("left_hip"), j("right_hip")), middle(j("left_shoulder"), j("right_shoulder"))
-    nose, neck = j("nose"), middle(thorax, j("nose"))
-    made = {"pelvis": pelvis, "thorax": thorax, "spine": middle(pelvis, thorax), "neck": neck, "head": add(nose, minus(nose, neck), 0.5)}
+    nose = j("nose")
+    made = {"pelvis": pelvis, "thorax": thorax, "spine": middle(pelvis, thorax), "neck": nose, "head": add(nose, minus(nose, middle(thorax, nose)), 0.5)}
     return F.array(*(made[n] if n in made else j(n) for n in L.H36M17))
 
 
+def smplx25_to_h36m17(joints: Column | str) -> Column:
+    """From the first 25 body points: spine and thorax are midpoints, the nose stands at the neck, the head beyond it."""
+    j = lambda i: joint(joints, i)
+    thorax, nose = middle(j(8), j(9)), j(24)
+    made = {"thorax": thorax, "spine": middle(j(0), thorax), "neck": nose, "head": add(nose, minus(nose, j(7)), 0.5)}
+    return F.array(*(made[n] if n in made else j(L.SMPLX25[n]) for n in L.H36M17))
+
+
+def capture21_to_h36m17(joints: Column | str, names: Sequence[str]) -> Column:
+    """Joints of a motion-capture skeleton picked by name; a missing name fails."""
+    return pick_by_name(joints, names, [(n,) for n in L.CAPTURE21])
+
+
 def pick_by_name(joints: Column | str, names: Sequence[str], wanted: Sequence[Sequence[str]]) -> Column:
     """Joints in the wanted order, each by the first of its names that the layout has; a missing one fails."""
     return F.array(*(joint(joints, L.required(names, *w)) for w in wanted))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelink.functions import layouts as L
+from kinelink.functions import randoms as R
 from kinelink.functions import vectors as V
 from kinelink.operators.grouped import per_series
 from kinelink.operators.series import derivatives
@@ -208,6 +209,18 @@ def motion_complexity(df: DataFrame, keys: list[str], order: str, joints: str, w
     return per_series(flat, keys, [order], figures, ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{n} double" for n in MOTION)]))
 
 
+def augment_window(df: DataFrame, keys: list[str], order: str, imu: str, joints: str, seed: int, imu_noise: float = 0.0, channel_dropout: float = 0.0, joint_noise: float = 0.0, joint_dropout: float = 0.0) -> DataFrame:
+    """Noise on every number, and channels and joints that are 0 over a whole window: one draw per window and channel or joint.
+
+    imu is an array of channels, joints an array of structs, keys name the window.
+    """
+    noise = lambda std, *more: std * R.normal(seed, *keys, order, *more)
+    kept = lambda share, kind, i: (R.uniform(seed, *keys, F.lit(kind), i) > share).cast("double")
+    channels = F.transform(imu, lambda v, i: (v + noise(imu_noise, i)) * kept(channel_dropout, "channel", i))
+    moved = lambda p, i: F.struct(*(((p[a] + noise(joint_noise, i, F.lit(a))) * kept(joint_dropout, "joint", i)).alias(a) for a in "xyz"))
+    return df.withColumn(imu, channels).withColumn(joints, F.transform(joints, moved))
+
+
 def scalar_feature(df: DataFrame, keys: list[str], ts: str, coords: list[str], valid: Column, feature: str) -> DataFrame:
     """Adds feature: one number per frame from a trajectory ('speed', 'energy', or the size of a vector one); 0 where not valid."""
     out = derivatives(df, keys, ts, coords, valid)

@@ -30,11 +30,11 @@ def root_torso_normalize(spark, sf):
 
 
 @query(f"""WITH {S.RECORDINGS} SELECT seq, frame_idx, round(({_axis(11, 0)} + {_axis(12, 0)}) / 2, 6) + 0.0 AS pelvis_x, round(({_axis(5, 1)} + {_axis(6, 1)}) / 2, 6) + 0.0 AS thorax_y,
-round({_axis(0, 0)} + 0.5 * ({_axis(0, 0)} - (({_axis(5, 0)} + {_axis(6, 0)}) / 2 + {_axis(0, 0)}) / 2), 6) + 0.0 AS head_x, 0.0::DOUBLE AS head_z FROM r""")
+round({_axis(0, 0)} + 0.5 * ({_axis(0, 0)} - (({_axis(5, 0)} + {_axis(6, 0)}) / 2 + {_axis(0, 0)}) / 2), 6) + 0.0 AS head_x, 0.0::DOUBLE AS head_z, round({_axis(0, 1)}, 6) + 0.0 AS neck_y FROM r""")
 def coco17_to_h36m17(spark, sf):
     j = S.skeletons(spark, sf).withColumn("h", P.coco17_to_h36m17("joints"))
     at = lambda n: P.joint("h", L.H36M17.index(n))
-    return S.rounded(j.select("seq", "frame_idx", at("pelvis")["x"].alias("pelvis_x"), at("thorax")["y"].alias("thorax_y"), at("head")["x"].alias("head_x"), at("head")["z"].alias("head_z")))
+    return S.rounded(j.select("seq", "frame_idx", at("pelvis")["x"].alias("pelvis_x"), at("thorax")["y"].alias("thorax_y"), at("head")["x"].alias("head_x"), at("head")["z"].alias("head_z"), at("neck")["y"].alias("neck_y")))
 
 
 @query(f"""WITH {S.RECORDINGS}, n AS (SELECT *, sqrt(({_axis(8, 0)} - {_axis(0, 0)}) ** 2 + ({_axis(8, 1)} - {_axis(0, 1)}) ** 2) AS s FROM r)

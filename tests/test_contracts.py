@@ -190,6 +190,26 @@ def test_channel_views(spark):
     assert big.select(channels.unpack_48d("v", "L_LowLeg").alias("x")).first().x == [1, 2, 3, 1, 0, 0, 0]
 
 
+def test_joint_layouts(spark):
+    df = spark.createDataFrame([([(float(i), 2.0 * i, 1.0) for i in range(25)],)], "j array<struct<x:double,y:double,z:double>>")
+    r = df.select(pose.coco17_to_h36m17("j").alias("c"), pose.smplx25_to_h36m17("j").alias("s"), pose.capture21_to_h36m17("j", [f"x{i}" for i in range(8)] + list(layouts.CAPTURE21)).alias("t")).first()
+    at = layouts.H36M17.index
+    assert r.c[at("pelvis")].x == 11.5 and r.c[at("neck")].x == 0 and r.c[at("head")].x == pytest.approx(-0.5 * 5.5 / 2) and r.c[at("head")].z == 0
+    assert r.s[at("thorax")].x == 8.5 and r.s[at("neck")].x == 24 and r.s[at("head")].x == 24 + 0.5 * 17 and r.s[at("left_wrist")].x == 12
+    assert [p.x for p in r.t] == list(range(8, 25))
+    with pytest.raises(ValueError):
+        pose.capture21_to_h36m17("j", ["Hips"])
+
+
+def test_augmented_windows(spark):
+    df = spark.createDataFrame([(w, t, [1.0] * 6, [(1.0, 1.0, 1.0)] * 17) for w in range(4) for t in range(5)], "w int, t int, imu array<double>, joints array<struct<x:double,y:double,z:double>>")
+    same = features.augment_window(df, ["w"], "t", "imu", "joints", 1)
+    assert all(r.imu == [1.0] * 6 and r.joints[3].x == 1 for r in same.collect())
+    out = features.augment_window(df, ["w"], "t", "imu", "joints", 1, 0.1, 0.5, 0.1, 0.5).collect()
+    masks = {(r.w, tuple(v == 0 for v in r.imu), tuple(j.x == 0 for j in r.joints)) for r in out}
+    assert len(masks) == 4 and any(any(m) for _, m, _ in masks) and len({r.imu[0] for r in out}) > 2
+
+
 # variants
 
 
