@@ -4,7 +4,8 @@ Fingerprints that differ in at most three bits agree on three of six blocks of b
 fingerprint goes into twenty buckets, one for each choice of three blocks; every bucket's
 members are compared by Hamming distance and give a spanning forest of their links, never all pairs.
 Members of buckets above `bucket_limit` meet again by nine of twelve blocks, where a bucket has at most
-2**18 different fingerprints whatever the input. Equal fingerprints are one node.
+2**18 different fingerprints whatever the input. Equal fingerprints are one node; rows of a
+fingerprint, and fingerprints of a component, that make up a large share of all are not dealt by it.
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null id gets a
 fingerprint and component but never names one. Rows that repeat get equal answers. Other columns
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kinelink.llm import words as W
 from kinelink.llm.components import connected_components
-from kinelink.llm.tables import checkpointed
+from kinelink.llm.tables import checkpointed, heavy_join
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -119,11 +120,12 @@ def links(prints: DataFrame, bucket_limit: int = 4096) -> DataFrame:
 def near_duplicates(docs: DataFrame, bucket_limit: int = 4096) -> DataFrame:
     """doc_id, fp and component_id (the smallest id reachable) of every row."""
     prints = checkpointed(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     roots = connected_components(links(classes.select("fp"), bucket_limit))
-    grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    named = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(grouped.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    grouped = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "copies"))
+    named = checkpointed(grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    answers = checkpointed(heavy_join(grouped.select("fp", "root", "copies"), named, "root", "members").select("fp", "component_id", "copies"))
+    return heavy_join(prints, answers, "fp", "copies").select("doc_id", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:

@@ -42,6 +42,22 @@ def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(block_count(docs, block_bytes))).cast("int"))
 
 
+#: A key is heavy if more than one in so many rows has it, so there are fewer heavy keys than this.
+HEAVY_SHARE = 1000
+
+
+def heavy_join(rows: DataFrame, answers: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with their key's one row of answers, whose column `count` says how many rows have the key.
+
+    The answers of heavy keys, fewer than HEAVY_SHARE whatever the input, are broadcast, so their rows stay where
+    they are; all other rows meet by shuffle. Both tables are read twice and should be checkpointed.
+    """
+    total = rows.count()
+    heavy = F.col(count) * HEAVY_SHARE > total
+    busy, calm = F.broadcast(answers.filter(heavy).drop(count)), answers.filter(~heavy).drop(count)
+    return rows.join(busy, key).unionByName(rows.join(busy.select(key), key, "left_anti").join(calm, key))
+
+
 def strings(column: pa.Array) -> pa.Array:
     """A string column without nulls: null counts as empty."""
     return column.fill_null("") if column.null_count else column
