@@ -143,7 +143,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary_file: str, capacity: int, end_i
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, shard_rows: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, shard_rows: int = 10_000) -> DataFrame:
     """pieces (doc_id, piece, length and more) with sequence_id and offset."""
     spark = pieces.sparkSession
     kept = checkpointed(pieces)
