@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kinelink.llm import words as W
-from kinelink.llm.tables import checkpointed, row_key
+from kinelink.llm.tables import checkpointed, heavy_join, row_key
 
 DIVISOR = 4
 MOST_LINES = 32
@@ -102,11 +102,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     source = keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), "text")
     places = checkpointed(source.mapInArrow(_digests, "doc_id long, key long, place int, digest binary").distinct())
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "place")
-    several = places.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("digest", "first")
-    shared = checkpointed(places.join(several, "digest").withColumn("keeps", place.eqNullSafe(F.col("first"))).drop("first"))
+    several = checkpointed(places.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    shared = checkpointed(heavy_join(places, several, "digest", "n").withColumn("keeps", place.eqNullSafe(F.col("first"))).drop("first"))
     raw = _with_places(keyed.select("_id", "_key", "text"), shared, "inner").mapInArrow(_bytes, "digest binary, raw binary")
-    sure = raw.groupBy("digest", "raw").agg(F.lit(1)).groupBy("digest").agg(F.count(F.lit(1)).alias("forms")).filter("forms = 1").select("digest")
-    return shared.filter("not keeps").join(sure, "digest", "left_semi").select("doc_id", "key", "place")
+    sure = raw.groupBy("digest", "raw").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("forms"), F.max("n").alias("n")).filter("forms = 1").select("digest", "n")
+    return heavy_join(shared.filter("not keeps"), checkpointed(sure), "digest", "n").select("doc_id", "key", "place")
 
 
 _COUNTS = ("_lines", "_chunks", "_gone_chunks", "_gone_lines")
