@@ -176,3 +176,13 @@ _Q = f"""{S.SENSORS}, n AS (SELECT *, sqrt(quat_w ** 2 + quat_x ** 2 + quat_y **
 o AS (SELECT *, sum(coalesce(p < 0, false)::INT) OVER (PARTITION BY sequence_id ORDER BY frame_idx) % 2 = 1 AS odd FROM d) SELECT sequence_id, frame_idx, round(CASE WHEN odd THEN -w ELSE w END, 6) + 0.0 AS quat_w FROM o""")
 def variant_quat_repair(spark, sf):
     return S.rounded(variants.quat_repair(_imu(spark, sf), _SPEC).select("sequence_id", "frame_idx", "quat_w"))
+
+
+_FINITE = lambda group, axes: " AND ".join(f"isfinite({group}_{a})" for a in axes)
+
+
+@query(f"""WITH {S.SENSORS}, ok AS (SELECT seq, coalesce({_FINITE("acc", "xyz")}, false) AS a, coalesce({_FINITE("gyro", "xyz")}, false) AS g, coalesce({_FINITE("quat", "wxyz")} AND sqrt(quat_w * quat_w + quat_x * quat_x + quat_y * quat_y + quat_z * quat_z) > 1e-8, false) AS q FROM im),
+v AS (SELECT * FROM (VALUES ('I0_acc', 3, true, false, false), ('I1_acc_magnitude', 2, true, false, false), ('I2_acc_changes', 4, true, false, false), ('I3_gyro', 3, false, true, false), ('I4_delta_quaternion', 5, false, false, true), ('I5_acc_gyro', 6, true, true, false), ('I6_acc_quat', 7, true, false, true), ('I7_acc_gyro_quat', 10, true, true, true)) t(view_id, n_channels, na, ng, nq))
+SELECT seq, view_id, count(*) AS n_frames, n_channels::BIGINT AS n_channels, sum(((NOT na OR a) AND (NOT ng OR g) AND (NOT nq OR q))::INT)::BIGINT AS n_valid, 'wrist' AS sensor_location, 'measured' AS provenance FROM ok, v GROUP BY seq, view_id, n_channels""")
+def feature_manifest(spark, sf):
+    return S.rounded(features.feature_manifest(S.sensors(spark, sf), ["seq"], "wrist", "measured").drop("channels"))

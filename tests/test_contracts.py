@@ -490,3 +490,19 @@ def test_attitude_stream_equals_batch(spark, tmp_path):
     assert len(out) >= 60
     for a, b in zip(out, batch):
         assert abs(sum(a[q] * b[q] for q in layouts.QUAT)) == pytest.approx(1, abs=1e-9)
+
+
+def test_feature_manifest_reads_channels_only(spark):
+    channels = [f"acc_{a}" for a in "xyz"] + [f"quat_{a}" for a in "wxyz"]
+    rows = [("s", i, 1.0, 0.0, 0.0, *((0.0,) * 4 if i == 2 else (1.0, 0.0, 0.0, 0.0)), True) for i in range(6)]
+    rows.append(("t", 0, None, float("nan"), 0.0, 1.0, 0.0, 0.0, 0.0, False))
+    df = spark.createDataFrame(rows, ["seq", "frame", *channels, "correct"])
+    out = features.feature_manifest(df, ["seq"], "L_LowArm", "measured")
+    assert "correct" not in out.columns
+    got = {(r.seq, r.view_id): (r.n_frames, r.n_channels, r.n_valid, r.sensor_location) for r in out.collect()}
+    assert got["s", "I6_acc_quat"] == (6, 7, 5, "L_LowArm") and got["s", "I0_acc"] == (6, 3, 6, "L_LowArm")
+    assert got["t", "I0_acc"][2] == 0 and got["t", "I4_delta_quaternion"][2] == 1
+    assert {v for _, v in got} == {"I0_acc", "I1_acc_magnitude", "I2_acc_changes", "I4_delta_quaternion", "I6_acc_quat"}
+    for bad in (lambda: features.feature_manifest(df.drop("acc_x"), ["seq"], "a", "b"), lambda: features.feature_manifest(df, ["seq"], " ", "b")):
+        with pytest.raises(ValueError):
+            bad()
