@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kinelink.llm import words as W
-from kinelink.llm.tables import checkpointed, heavy_join, row_key
+from kinelink.llm.tables import checkpointed, heavy_join, row_key, row_slices
 
 DIVISOR = 4
 MOST_LINES = 32
@@ -62,7 +62,7 @@ def _several(first: int, end: int, raw: bytes) -> bool:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in row_slices(batches):
         rows, place, digest = [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             for first, end, raw in chunks(text):
@@ -76,7 +76,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks at the given places."""
-    for batch in batches:
+    for batch in row_slices(batches):
         digest, raws = [], []
         for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist()):
             wanted = set(places or ())
@@ -116,7 +116,7 @@ def remove_chunks(docs: DataFrame, counts: bool = False) -> DataFrame:
     """docs with repeated chunks removed from their texts; n_chars, if there, follows."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches):
             at = batch.schema.get_field_index("text")
             texts, seen = batch.column(at).to_pylist(), []
             for i, places in enumerate(batch.column("_places").to_pylist()):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelink.llm import words as W
-from kinelink.llm.tables import checkpointed, row_key
+from kinelink.llm.tables import checkpointed, row_key, row_slices
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -131,9 +131,8 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = 20, share: floa
 
 
 def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at = None
-    for batch in batches:
-        at = batch.schema.get_field_index("text") if at is None else at
+    for batch in row_slices(batches):
+        at = batch.schema.get_field_index("text")
         gone = batch.column("removed_lines").to_pylist()
         texts = batch.column(at).to_pylist()
         for i, lines in enumerate(gone):

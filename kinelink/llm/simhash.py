@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kinelink.llm import words as W
 from kinelink.llm.components import connected_components
-from kinelink.llm.tables import checkpointed, heavy_join
+from kinelink.llm.tables import checkpointed, heavy_join, row_slices
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches):
             found = np.fromiter((fingerprint(t, k) for t in batch.column("text").to_pylist()), W.U64, len(batch))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": found.view(np.int64)})
 

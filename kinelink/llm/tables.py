@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,21 @@ def heavy_join(rows: DataFrame, answers: DataFrame, key: str, count: str) -> Dat
     return rows.join(busy, key).unionByName(rows.join(busy.select(key), key, "left_anti").join(calm, key))
 
 
+SLICE_BYTES = 4 << 20
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of about `size` bytes of the column, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first, n = 0, len(batch)
+        while first < n:
+            before = int(ends[first - 1]) if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(first, end - first)
+            first = end
+
+
 def strings(column: pa.Array) -> pa.Array:
     """A string column without nulls: null counts as empty."""
     return column.fill_null("") if column.null_count else column

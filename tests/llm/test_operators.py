@@ -462,3 +462,17 @@ def test_pretokens_of_every_code_point(tokenizer):
     got = token_counts.count_tokens(pa.array(texts), token_counts._store(queries.VOCABULARY))
     assert got.tolist() == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert pretokens.SPECIAL_ID == tokenizer.token_to_id(pretokens.SPECIAL)
+
+
+def test_row_slices_keep_every_row_whole():
+    import pyarrow as pa
+
+    from kinelink.llm.tables import row_slices
+
+    texts = ["a" * 9, None, "", "é" * 30, "b", "c" * 10, None]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts), "n": list(range(7))}), pa.RecordBatch.from_pydict({"text": pa.array([], pa.string()), "n": pa.array([], pa.int64())})]
+    for size in (1, 10, 70, 1000):
+        parts = list(row_slices(iter(batches), size=size))
+        assert [x for p in parts for x in p.column("text").to_pylist()] == texts
+        assert all(len(p) == 1 or sum(len((x or "").encode()) for x in p.column("text").to_pylist()) <= size for p in parts)
+    assert len(list(row_slices(iter(batches[:1]), size=1000))) == 1
