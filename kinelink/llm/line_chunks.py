@@ -5,6 +5,11 @@ content and shift with it. Chunks of two lines or more that stand at several pla
 everywhere but at the first (smallest id, then place), after their bytes have been compared: chunks are
 matched by digest, and a digest counts only if all its chunks are equal byte for byte.
 
+With `words`, runs of lines of so many words or more that stand at several places go too, wherever chunks end: from every line
+runs the shortest window of lines with so many words, and to every line one runs back, so these windows cover
+every such run whole, one long line as well as many short ones. Windows are matched by 128-bit hash, bytes are not
+compared. A place that overlaps the first in the same text is no second place.
+
 Nulls: a null text has no lines. Rows that repeat (same id and text) are one document: what one keeps the
 other keeps. Null ids come last. A chunk of blank lines stays. Other columns pass through untouched.
 """
@@ -26,6 +31,8 @@ from kinelink.llm.tables import checkpointed, heavy_join, row_key, row_slices
 
 DIVISOR = 4
 MOST_LINES = 32
+#: The pipeline removes repeated runs of lines of so many words.
+PASSAGE_WORDS = 50
 
 
 def chunk_bounds(lines: list[bytes], divisor: int = DIVISOR, most: int = MOST_LINES) -> list[int]:
@@ -61,17 +68,34 @@ def _several(first: int, end: int, raw: bytes) -> bool:
     return end - first > 1 and bool(raw.strip(W.SPACES))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in row_slices(batches):
-        rows, place, digest = [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            for first, end, raw in chunks(text):
-                if _several(first, end, raw):
-                    rows.append(i)
-                    place.append(first)
-                    digest.append(hashlib.sha256(raw).digest())
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(take), "key": batch.column("key").take(take), "place": pa.array(place, pa.int32()), "digest": pa.array(digest, pa.binary())})
+def passages(text: str | None, words: int = PASSAGE_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, end line, bytes) of the shortest run of lines with `words` words from each line on, and back from each."""
+    if text is None:
+        return
+    lines = text.encode().split(b"\n")
+    total = np.concatenate([[0], np.cumsum([len(line.split()) for line in lines])])
+    ends = np.searchsorted(total, total[:-1] + words)
+    firsts = np.searchsorted(total, total[1:] - words, "right") - 1
+    found = {(i, e) for i, e in enumerate(ends.tolist()) if e <= len(lines)} | {(f, i + 1) for i, f in enumerate(firsts.tolist()) if f >= 0}
+    for first, end in sorted(found):
+        yield first, end, b"\n".join(lines[first:end])
+
+
+def _digests(words: int | None):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            rows, place, ends, digest = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                spans = [(first, end, hashlib.sha256(raw).digest()) for first, end, raw in chunks(text) if _several(first, end, raw)]
+                if words:
+                    spans += [(first, end, xxhash.xxh3_128_digest(raw)) for first, end, raw in passages(text, words)]
+                rows += [i] * len(spans)
+                for values, part in zip((place, ends, digest), zip(*spans)):
+                    values += part
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(take), "key": batch.column("key").take(take), "place": pa.array(place, pa.int32()), "end": pa.array(ends, pa.int32()), "digest": pa.array(digest, pa.binary())})
+
+    return make
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +103,7 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in row_slices(batches):
         digest, raws = [], []
         for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist()):
-            wanted = set(places or ())
+            wanted = {p["place"] for p in places or ()}
             for first, _, raw in chunks(text) if wanted else ():
                 if first in wanted:
                     digest.append(hashlib.sha256(raw).digest())
@@ -92,45 +116,59 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _with_places(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    listed = places.groupBy("doc_id", "key").agg(F.collect_list("place").alias("_places"))
+    listed = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "end")).alias("_places"))
     return keyed.alias("d").join(listed.alias("p"), (F.col("d._key") == F.col("p.key")) & F.col("d._id").eqNullSafe(F.col("p.doc_id")), how).select("d.*", "_places")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, place): first lines of the chunks to remove, bytes compared."""
+def repeated_chunks(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """(doc_id, key, place, end): lines of the chunks to remove, bytes compared, and with `words` of the passages."""
     keyed = _keyed(docs)
     source = keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), "text")
-    places = checkpointed(source.mapInArrow(_digests, "doc_id long, key long, place int, digest binary").distinct())
+    places = checkpointed(source.mapInArrow(_digests(words), "doc_id long, key long, place int, end int, digest binary").distinct())
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "place")
     several = checkpointed(places.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"))
-    shared = checkpointed(heavy_join(places, several, "digest", "n").withColumn("keeps", place.eqNullSafe(F.col("first"))).drop("first"))
-    raw = _with_places(keyed.select("_id", "_key", "text"), shared, "inner").mapInArrow(_bytes, "digest binary, raw binary")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    keeps = own & (F.col("place") < F.col("first.place") + F.col("end") - F.col("place"))
+    shared = checkpointed(heavy_join(places, several, "digest", "n").withColumn("keeps", keeps).drop("first"))
+    is_chunk = F.octet_length("digest") == 32
+    raw = _with_places(keyed.select("_id", "_key", "text"), shared.filter(is_chunk), "inner").mapInArrow(_bytes, "digest binary, raw binary")
     sure = raw.groupBy("digest", "raw").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("forms"), F.max("n").alias("n")).filter("forms = 1").select("digest", "n")
-    return heavy_join(shared.filter("not keeps"), checkpointed(sure), "digest", "n").select("doc_id", "key", "place")
+    gone = heavy_join(shared.filter(is_chunk & ~F.col("keeps")), checkpointed(sure), "digest", "n").select("doc_id", "key", "place", "end")
+    return gone.unionByName(shared.filter(~is_chunk & ~F.col("keeps")).select("doc_id", "key", "place", "end")) if words else gone
 
 
 _COUNTS = ("_lines", "_chunks", "_gone_chunks", "_gone_lines")
 
 
-def remove_chunks(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """docs with repeated chunks removed from their texts; n_chars, if there, follows."""
+def remove_chunks(docs: DataFrame, counts: bool = False, words: int | None = None) -> DataFrame:
+    """docs with repeated chunks, and with `words` repeated passages, removed from their texts; n_chars, if there, follows.
+
+    The counts are of chunks and go without `words`.
+    """
+    if counts and words:
+        raise ValueError("counts are of chunks only")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
             at = batch.schema.get_field_index("text")
             texts, seen = batch.column(at).to_pylist(), []
             for i, places in enumerate(batch.column("_places").to_pylist()):
-                gone, own = set(places or ()), chunks(texts[i]) if places or counts else []
-                if gone:
-                    texts[i] = b"\n".join(raw for first, _, raw in own if first not in gone).decode()
+                if places:
+                    lines = texts[i].encode().split(b"\n")
+                    left = np.ones(len(lines), bool)
+                    for p in places:
+                        left[p["place"] : p["end"]] = False
                 if counts:
+                    gone, own = {p["place"] for p in places or ()}, chunks(texts[i])
                     seen.append((own[-1][1] if own else 0, len(own), len(gone), sum(e - f for f, e, _ in own if f in gone)))
+                if places:
+                    texts[i] = b"\n".join(lines[k] for k in np.flatnonzero(left)).decode()
             out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             for k, name in enumerate(_COUNTS if counts else ()):
                 out = out.append_column(name, pa.array([x[k] for x in seen], pa.int64()))
             yield out
 
-    marked = _with_places(_keyed(docs), repeated_chunks(docs), "left")
+    marked = _with_places(_keyed(docs), repeated_chunks(docs, words), "left")
     schema = StructType([*marked.schema.fields, *(StructField(name, LongType()) for name in (_COUNTS if counts else ()))])
     out = marked.mapInArrow(clean, schema).drop("_places", "_id", "_key")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

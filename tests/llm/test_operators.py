@@ -388,6 +388,23 @@ def test_chunks_shift(spark):
     assert out[1].text == "\n".join(lines) and len(out[2].text) < 0.5 * len(out[1].text) and out[3].text is None and out[None].n_chars == len(out[None].text)
 
 
+def test_repeated_passages_of_lines_go_whole(spark):
+    """Passages of 50 words in 1 to 6 lines, planted among own lines; short runs and first places stay."""
+    rows, want = [], {}
+    for n in range(1, 7):
+        passage = [" ".join(f"p{n}x{j}" for j in range(50) if j % n == i) for i in range(n)]
+        for d in (10 * n, 10 * n + 1, 10 * n + 2):
+            before, after = [f"before {d} {i}" for i in range(d % 10)], [f"after {d}"]
+            rows.append((d, "\n".join([*before, *passage, *after])))
+            want[d] = "\n".join([*before, *(passage if d % 10 == 0 else []), *after])
+    short, tail = " ".join(f"s{j}" for j in range(49)), " ".join(f"t{j}" for j in range(60))
+    rows += [(90, f"{short}\nown 90"), (91, f"{short}\nown 91"), (92, f"{tail}\nx\ny\nz 92"), (93, f"{tail}\nx\ny\nz 93"), (94, "\n".join(["ten words of one line that comes again and again"] * 23)), (None, f"{tail}\nlast")]
+    want |= {90: rows[-6][1], 91: rows[-5][1], 92: rows[-4][1], 93: "z 93", 94: "\n".join(["ten words of one line that comes again and again"] * 5), None: "last"}
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    got = line_chunks.remove_chunks(df, words=50).collect()
+    assert len(got) == len(df.collect()) and {r.doc_id: r.text for r in got} == want
+
+
 def test_chunks_awkward(awkward, empty):
     assert line_chunks.report(awkward).count() == awkward.count() and line_chunks.report(empty).count() == 0
     assert line_chunks.remove_chunks(awkward).columns == awkward.columns
