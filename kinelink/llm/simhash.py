@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kinelink.llm import words as W
 from kinelink.llm.components import connected_components
-from kinelink.llm.tables import checkpointed, heavy_join, row_slices
+from kinelink.llm.tables import checkpointed, heavy_join, row_key, row_slices
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -50,14 +50,14 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+    """doc_id, key (of the text) and fp, the fingerprint as a signed long, of every row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
             found = np.fromiter((fingerprint(t, k) for t in batch.column("text").to_pylist()), W.U64, len(batch))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": found.view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": found.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text").mapInArrow(make, "doc_id long, key long, fp long")
 
 
 def block_masks(blocks: int, differ: int = MOST_BITS) -> list[int]:
@@ -117,22 +117,32 @@ def links(prints: DataFrame, bucket_limit: int = 4096) -> DataFrame:
     return _links(bucketed.filter((F.col("n") > 1) & (F.col("n") <= bucket_limit))).unionByName(_links(_buckets(crowded, 12).filter("n > 1")))
 
 
+def _grouped(prints: DataFrame, bucket_limit: int) -> DataFrame:
+    """fp, root (one fingerprint of its component), first_id and copies of every distinct fingerprint."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    roots = connected_components(links(classes.select("fp"), bucket_limit))
+    return checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "copies"))
+
+
 def near_duplicates(docs: DataFrame, bucket_limit: int = 4096) -> DataFrame:
     """doc_id, fp and component_id (the smallest id reachable) of every row."""
     prints = checkpointed(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    roots = connected_components(links(classes.select("fp"), bucket_limit))
-    grouped = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "copies"))
+    grouped = _grouped(prints, bucket_limit)
     named = checkpointed(grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
     answers = checkpointed(heavy_join(grouped.select("fp", "root", "copies"), named, "root", "members").select("fp", "component_id", "copies"))
     return heavy_join(prints, answers, "fp", "copies").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group: the smallest id stays, once."""
-    found = checkpointed(near_duplicates(docs))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
-    out = docs.alias("d").join(kept.alias("k"), same, "left_semi")
-    distinct_ids = found.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return out if distinct_ids else out.dropDuplicates(["doc_id"])
+def one_of_each_group(docs: DataFrame, bucket_limit: int = 4096) -> DataFrame:
+    """docs with one row of each near-duplicate group: the smallest id (null ids last), then the smallest text key, stays, once.
+
+    Rows that share an id but not a group are told apart by their text; of rows with equal id and text any one stays.
+    """
+    prints = checkpointed(fingerprints(docs))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    kept = first.join(_grouped(prints, bucket_limit), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", row_key("text"))
+    same = (F.col("d._key") == F.col("k.key")) & F.col("d._id").eqNullSafe(F.col("k.doc_id"))
+    out = keyed.alias("d").join(checkpointed(kept).alias("k"), same, "left_semi")
+    distinct_rows = prints.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
+    return (out if distinct_rows else out.dropDuplicates(["_id", "_key"])).drop("_id", "_key")

@@ -356,6 +356,16 @@ def test_near_duplicates_awkward(awkward, empty):
     assert kept.columns == awkward.columns and Counter(r.doc_id for r in kept.collect())[5] == 1
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    """Null ids and equal ids with different texts lose nothing; copies leave the smallest id, null last."""
+    own = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, own("a")), (None, own("b")), (None, own("b")), (7, own("c")), (7, own("d")), (3, own("d")), (7, own("e")), (None, own("f")), (9, own("f")), (9, own("f")), (8, own("g")), (8, own("g"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter([(None, own("a")), (None, own("b")), (7, own("c")), (3, own("d")), (7, own("e")), (9, own("f")), (8, own("g"))])
+    for n in (1, 7):
+        assert Counter(tuple(r) for r in simhash.one_of_each_group(df.repartition(n)).collect()) == want
+
+
 # 9
 
 
