@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelink.llm import similar
 from kinelink.llm import words as W
 from kinelink.llm.components import connected_components
 from kinelink.llm.tables import checkpointed, heavy_join, row_key, row_slices
@@ -133,14 +134,19 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = 4096) -> DataFrame:
     return heavy_join(prints, answers, "fp", "copies").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, bucket_limit: int = 4096) -> DataFrame:
+def one_of_each_group(docs: DataFrame, bucket_limit: int = 4096, similarity: float | None = None) -> DataFrame:
     """docs with one row of each near-duplicate group: the smallest id (null ids last), then the smallest text key, stays, once.
 
+    With `similarity`, texts of that Jaccard similarity of five-word shingles are linked too (see `similar`).
     Rows that share an id but not a group are told apart by their text; of rows with equal id and text any one stays.
     """
     prints = checkpointed(fingerprints(docs))
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
-    kept = first.join(_grouped(prints, bucket_limit), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    grouped = _grouped(prints, bucket_limit)
+    if similarity is not None:
+        wider = similar.similar_roots(docs, prints, grouped, similarity).select(F.col("node").alias("root"), F.col("root").alias("_wider"))
+        grouped = grouped.join(wider, "root", "left").select("fp", F.coalesce("_wider", "root").alias("root"))
+    kept = first.join(grouped, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
     keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", row_key("text"))
     same = (F.col("d._key") == F.col("k.key")) & F.col("d._id").eqNullSafe(F.col("k.doc_id"))
     out = keyed.alias("d").join(checkpointed(kept).alias("k"), same, "left_semi")

@@ -366,6 +366,30 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
         assert Counter(tuple(r) for r in simhash.one_of_each_group(df.repartition(n)).collect()) == want
 
 
+def test_similar_texts_leave_one(spark):
+    """Pairs at five-word Jaccard 0.8 or more beyond three bits are linked; those below stay, chains and many copies give one."""
+    rng, rows, want, beyond = np.random.default_rng(3), [], set(), 0
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    jaccard = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in rng.integers(0, 500, 150)]
+        alike, unlike = list(base), list(base)
+        for i in (20, 70, 120)[: 1 + g % 3]:
+            alike[i] = f"new{g}x{i}"
+        for i in range(5, 150, 20):
+            unlike[i] = f"far{g}x{i}"
+        assert jaccard(base, alike) >= 0.8 > jaccard(base, unlike) and jaccard(alike, unlike) < 0.8
+        rows += [(10 * g, base), (10 * g + 1, alike), (10 * g + 2, unlike)]
+        prints = [brute_print(" ".join(w)) for w in (base, alike, unlike)]
+        beyond += (prints[0] ^ prints[1]).bit_count() > 3
+        want |= {10 * g} | ({10 * g + 2} if min((prints[2] ^ p).bit_count() for p in prints[:2]) > 3 else set())
+    hot = [f"h{i}" for i in range(150)]
+    rows += [(1000 + c, [*hot[:75], f"copy{c}", *hot[76:]]) for c in range(40)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(2000, None), (2001, "")], "doc_id long, text string")
+    assert beyond >= 5
+    assert {r.doc_id for r in simhash.one_of_each_group(df, similarity=0.8).collect()} == want | {1000, 2000}
+
+
 # 9
 
 
