@@ -50,15 +50,16 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, key (of the text) and fp, the fingerprint as a signed long, of every row."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, bands: bool = False) -> DataFrame:
+    """doc_id, key (of the text) and fp, the fingerprint as a signed long, of every row; with `bands` what `similar` needs too."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
             found = np.fromiter((fingerprint(t, k) for t in batch.column("text").to_pylist()), W.U64, len(batch))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": found.view(np.int64)})
+            wider = dict(zip(("size", "bands"), similar.banded(batch.column("text")))) if bands else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": found.view(np.int64)} | wider)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text").mapInArrow(make, "doc_id long, key long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text").mapInArrow(make, "doc_id long, key long, fp long" + bands * ", size int, bands array<long>")
 
 
 def block_masks(blocks: int, differ: int = MOST_BITS) -> list[int]:
@@ -118,10 +119,11 @@ def links(prints: DataFrame, bucket_limit: int = 4096) -> DataFrame:
     return _links(bucketed.filter((F.col("n") > 1) & (F.col("n") <= bucket_limit))).unionByName(_links(_buckets(crowded, 12).filter("n > 1")))
 
 
-def _grouped(prints: DataFrame, bucket_limit: int) -> DataFrame:
-    """fp, root (one fingerprint of its component), first_id and copies of every distinct fingerprint."""
+def _grouped(prints: DataFrame, bucket_limit: int, more: DataFrame | None = None) -> DataFrame:
+    """fp, root (one fingerprint of its component), first_id and copies of every distinct fingerprint; `more` are links besides."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    roots = connected_components(links(classes.select("fp"), bucket_limit))
+    near = links(classes.select("fp"), bucket_limit)
+    roots = connected_components(near if more is None else near.unionByName(more))
     return checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "copies"))
 
 
@@ -140,13 +142,10 @@ def one_of_each_group(docs: DataFrame, bucket_limit: int = 4096, similarity: flo
     With `similarity`, texts of that Jaccard similarity of five-word shingles are linked too (see `similar`).
     Rows that share an id but not a group are told apart by their text; of rows with equal id and text any one stays.
     """
-    prints = checkpointed(fingerprints(docs))
+    prints = checkpointed(fingerprints(docs, bands=similarity is not None))
+    more = None if similarity is None else similar.similar_links(docs, prints, MOST_BITS, similarity)
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
-    grouped = _grouped(prints, bucket_limit)
-    if similarity is not None:
-        wider = similar.similar_roots(docs, prints, grouped, similarity).select(F.col("node").alias("root"), F.col("root").alias("_wider"))
-        grouped = grouped.join(wider, "root", "left").select("fp", F.coalesce("_wider", "root").alias("root"))
-    kept = first.join(grouped, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    kept = first.join(_grouped(prints, bucket_limit, more), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
     keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", row_key("text"))
     same = (F.col("d._key") == F.col("k.key")) & F.col("d._id").eqNullSafe(F.col("k.doc_id"))
     out = keyed.alias("d").join(checkpointed(kept).alias("k"), same, "left_semi")

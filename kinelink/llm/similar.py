@@ -1,9 +1,9 @@
 """Links between texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
 
 Twenty bands of five minhashes bring texts together (a pair at similarity s meets with probability
-1 - (1 - s^5)^20, 0.9996 at 0.8); every pair that meets and is not yet of one group is decided by its exact similarity.
-In each bucket all texts are first compared with one of them and groups are joined; pairs of what is still apart
-follow. Shingles are told apart by 64-bit hashes of folded words; a text of fewer words is one shingle.
+1 - (1 - s^5)^20, 0.9996 at 0.8); every pair that meets is decided by its exact similarity, unless its fingerprints are
+linked. In each bucket all texts are first compared with one of them; only pairs with or between those not linked to it
+follow, whose number grows with the square of what is alike but below the similarity. Shingles are told apart by 64-bit hashes of folded words; a text of fewer words is one shingle.
 
 Nulls: a null text, like an empty one, has no shingle and no link.
 """
@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelink.llm import words as W
-from kinelink.llm.components import connected_components
 from kinelink.llm.tables import checkpointed, heavy_join, row_key, row_slices
 
 SHINGLE = 5
@@ -53,65 +52,58 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in row_slices(batches, size=1 << 20):
-        sets = list(shingle_sets(batch.column("text")))
-        full = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-        keys = band_keys([sets[i] for i in full])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(full)), "key": batch.column("key").take(pa.array(full)), "size": pa.array([len(sets[i]) for i in full], pa.int32()), "bands": lists})
+def banded(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The number of shingles and the band keys, signed, of every text."""
+    sets = list(shingle_sets(column))
+    sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+    keys = band_keys([s for s in sets if len(s)])
+    ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)])
+    return pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in row_slices(batches, size=1 << 20):
         sets = list(shingle_sets(batch.column("text")))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-        yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "n": batch.column("n"), "shingles": lists})
+        yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "shingles": lists})
 
 
-def _confirmed(docs: DataFrame, ids: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a_root, b_root) of the pairs (a, b, a_root, b_root) of text keys that are similar."""
-    pairs = checkpointed(pairs)
-    used = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    wanted = checkpointed(ids.join(used, "key"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text").alias("d")
-    same = (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = keyed.join(wanted.alias("w"), same).select("d.key", "n", "text")
-    sets = checkpointed(texts.mapInArrow(_shingled, "key long, n long, shingles array<long>").dropDuplicates(["key"]))
-    left = heavy_join(pairs.withColumnRenamed("a", "key"), sets.withColumnRenamed("shingles", "x"), "key", "n").drop("key")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+def _near(x: str, y: str, similarity: float) -> Column:
+    return F.least(x, y) >= similarity * F.greatest(x, y)
+
+
+def _alike(similarity: float) -> Column:
     common = F.size(F.array_intersect("x", "y"))
-    alike = common >= similarity * (F.size("x") + F.size("y") - common)
-    return checkpointed(both.filter(alike).select("a_root", "b_root").distinct())
+    return common >= similarity * (F.size("x") + F.size("y") - common)
 
 
-def similar_roots(docs: DataFrame, prints: DataFrame, grouped: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the roots of `grouped` that similar texts join.
+def similar_links(docs: DataFrame, prints: DataFrame, bits: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): fingerprints more than `bits` bits apart of texts that are similar.
 
-    prints has key and fp of every row, grouped the root of every fp and its number of rows (copies).
+    prints, checkpointed, has doc_id, key (of the text), fp, size and bands of every row.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text")
-    banded = source.mapInArrow(_banded, "doc_id long, key long, size int, bands array<long>")
-    texts = checkpointed(banded.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.min("bands").alias("bands")))
-    of_text = checkpointed(prints.select("key", "fp").distinct())
-    rooted = heavy_join(of_text, grouped.select("fp", "root", "copies"), "fp", "copies").select("key", "root")
-    met = texts.join(rooted, "key").select("key", "root", "size", F.explode("bands").alias("bucket"))
-    lead = F.struct("root", "key", "size")
-    shared = checkpointed(met.groupBy("bucket").agg(F.min(lead).alias("lead"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).filter(F.col("lead.root") < F.col("most")).drop("most"))
-    met = checkpointed(met.join(shared.select("bucket").distinct(), "bucket", "left_semi"))
-    members = checkpointed(heavy_join(met, shared, "bucket", "n"))
-    ids = texts.select("key", "doc_id")
-
-    def near(x: str, y: str):
-        return F.least(x, y) >= similarity * F.greatest(x, y)
-
-    first = members.filter((F.col("root") != F.col("lead.root")) & near("size", "lead.size"))
-    found = _confirmed(docs, ids, first.select(F.col("lead.key").alias("a"), F.col("key").alias("b"), F.col("lead.root").alias("a_root"), F.col("root").alias("b_root")).distinct(), similarity)
-    joined = connected_components(found, "a_root", "b_root")
-    left = checkpointed(members.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_group")), "root", "left").select("bucket", "key", "size", "root", F.coalesce("_group", "root").alias("group")))
-    apart = left.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("bucket")
-    left = checkpointed(left.join(apart, "bucket", "left_semi"))
-    a, b = (left.select("bucket", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "size", "root", "group"))) for x in "ab")
-    rest = a.join(b, "bucket").filter((F.col("a_group") != F.col("b_group")) & (F.col("a_key") < F.col("b_key")) & near("a_size", "b_size"))
-    more = _confirmed(docs, ids, rest.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "a_root", "b_root").distinct(), similarity)
-    return connected_components(found.unionByName(more), "a_root", "b_root")
+    met = prints.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("bands").alias("bands"))
+    met = checkpointed(met.select("key", "doc_id", "fp", "size", F.explode("bands").alias("bucket")))
+    lead = F.struct("fp", "key", "size")
+    shared = checkpointed(met.groupBy("bucket").agg(F.min(lead).alias("lead"), F.max("fp").alias("most"), F.count(F.lit(1)).alias("n")).filter(F.col("lead.fp") < F.col("most")).drop("most"))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) > bits
+    members = checkpointed(heavy_join(met, shared.select("bucket", "lead", "n"), "bucket", "n").withColumn("far", far))
+    pairs = members.filter(F.col("far") & _near("size", "lead.size", similarity))
+    pairs = checkpointed(pairs.select(F.col("lead.key").alias("a"), F.col("key").alias("b"), F.col("lead.fp").alias("a_fp"), F.col("fp").alias("b_fp")).distinct())
+    # texts with a linked fingerprint only need no shingles
+    wanted = members.join(members.filter("far").select("bucket").distinct(), "bucket", "left_semi").select("key", "doc_id").distinct()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text").alias("d")
+    same = (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+    sets = checkpointed(keyed.join(wanted.alias("w"), same).select("d.key", "text").mapInArrow(_shingled, "key long, shingles array<long>").dropDuplicates(["key"]))
+    leads = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+    others = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    found = checkpointed(heavy_join(pairs, leads, "a", "n").join(others, "b").filter(_alike(similarity)).select("a", "b", "a_fp", "b_fp"))
+    own = members.select("bucket", "key", "fp", "size", "far", F.col("lead.key").alias("a"))
+    apart = own.filter("far").join(found.select("a", F.col("b").alias("key")), ["a", "key"], "left_anti").select("bucket", "key", "fp", "size")
+    apart = checkpointed(apart)
+    every = members.select("bucket", F.col("key").alias("b"), F.col("fp").alias("b_fp"), F.col("size").alias("b_size"))
+    rest = apart.select("bucket", F.col("key").alias("a"), F.col("fp").alias("a_fp"), F.col("size").alias("a_size")).join(every, "bucket")
+    rest = rest.filter((F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) > bits) & _near("a_size", "b_size", similarity))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_fp")).otherwise(F.col("b_fp")).alias("a_fp"), F.when(F.col("a") < F.col("b"), F.col("b_fp")).otherwise(F.col("a_fp")).alias("b_fp")).distinct()
+    more = rest.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(others, "b").filter(_alike(similarity))
+    return found.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).unionByName(more.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))).distinct()
