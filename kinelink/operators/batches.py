@@ -31,18 +31,17 @@ def domain_balanced_batches(rows: DataFrame, domain: str, key: str, size: int, s
 
 
 def hard_negatives(rows: DataFrame, key: str, action: str, activity: str, k: int, seed: int, width: float = 1.0) -> DataFrame:
-    """(anchor, negative, rank): the k rows of the same action with the nearest activity.
+    """(anchor, negative, rank): the k rows of the same action with the nearest activity, ties by key; fewer where the action has fewer others.
 
-    Rows meet in buckets of activity of the given width and the two beside; anchors with fewer than k there are filled with
-    rows of the action's whole range, in hash order.
+    They are among the k + 1 smallest keys of the anchor's own activity and the k smallest of each of the k different activities
+    before and after, which one window over the activities of an action gives. Keys are unique; a row whose action or
+    activity is null has none. The result no longer depends on seed and width.
     """
-    bucket = F.floor(F.col(activity) / width).cast("long")
-    a = rows.select(F.col(key).alias("anchor"), action, F.col(activity).alias("_x"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-    b = rows.select(F.col(key).alias("negative"), action, F.col(activity).alias("_y"), bucket.alias("_b"))
-    near = a.join(b, [action, "_b"]).filter("anchor <> negative").withColumn("_d", F.abs(F.col("_x") - F.col("_y")))
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy("_d", "negative"))).filter(F.col("rank") <= k).select("anchor", "negative", "rank")
-    short = rows.select(F.col(key).alias("anchor"), action).join(best.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")), "anchor", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(F.col("_n") < k)
-    pool = rows.select(F.col(key).alias("negative"), action).withColumn("_r", F.row_number().over(Window.partitionBy(action).orderBy(F.xxhash64(F.lit(seed), "negative"), "negative"))).filter(F.col("_r") <= 2 * k + 1)
-    extra = short.join(pool, action).filter("anchor <> negative").join(best.select("anchor", "negative"), ["anchor", "negative"], "left_anti")
-    extra = extra.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy("_r")) + F.col("_n")).filter(F.col("rank") <= k).select("anchor", "negative", "rank")
-    return best.unionByName(extra)
+    known = rows.select(F.col(key).alias("_key"), F.col(action).alias("_action"), F.col(activity).alias("_x")).filter("_action is not null and _x is not null")
+    smallest = F.row_number().over(Window.partitionBy("_action", "_x").orderBy("_key"))
+    levels = known.withColumn("_r", smallest).filter(F.col("_r") <= k + 1).groupBy("_action", "_x").agg(F.collect_list(F.struct("_x", "_key")).alias("_own"))
+    beside = Window.partitionBy("_action").orderBy("_x").rowsBetween(-k, k)
+    pools = levels.select("_action", "_x", F.flatten(F.collect_list("_own").over(beside)).alias("_pool"))
+    near = F.transform(F.filter("_pool", lambda p: p["_key"] != F.col("_key")), lambda p: F.struct(F.abs(p["_x"] - F.col("_x")).alias("d"), p["_key"].alias("negative")))
+    best = known.join(pools, ["_action", "_x"]).select(F.col("_key").alias("anchor"), F.posexplode(F.slice(F.array_sort(near), 1, k)).alias("_at", "_n"))
+    return best.select("anchor", F.col("_n.negative").alias("negative"), (F.col("_at") + 1).alias("rank"))

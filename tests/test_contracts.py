@@ -506,3 +506,16 @@ def test_feature_manifest_reads_channels_only(spark):
     for bad in (lambda: features.feature_manifest(df.drop("acc_x"), ["seq"], "a", "b"), lambda: features.feature_manifest(df, ["seq"], " ", "b")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_hard_negatives_are_the_nearest(spark):
+    from kinelink.operators import batches
+
+    rows = [(i, "a", float(x)) for i, x in enumerate([0.9, 2.1, -1.0, 50, 50, 50, 50, 50, 50, 90, 7.5, 7.5, 30.25])] + [(20, "b", 1.0), (21, "b", 99.0), (22, "c", 5.0), (23, None, 5.0), (24, "a", None)]
+    df = spark.createDataFrame(rows, "id long, act string, x double")
+    for k in (1, 3):
+        want = set()
+        for i, act, x in rows:
+            others = sorted((abs(y - x), j) for j, b, y in rows if j != i and act is not None and b == act and x is not None and y is not None) if x is not None else []
+            want |= {(i, j, n + 1) for n, (_, j) in enumerate(others[:k])}
+        assert {tuple(r) for r in batches.hard_negatives(df, "id", "act", "x", k, 5).collect()} == want
