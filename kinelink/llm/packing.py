@@ -95,7 +95,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 @lru_cache(1)
-def _store(vocabulary_file: str) -> P.Store:
+def _store(vocabulary_file: str) -> tuple[P.Store, dict[str, int]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary_file)
@@ -105,17 +105,17 @@ def _store(vocabulary_file: str) -> P.Store:
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return counts, np.fromiter((x for one in ids for x in one), np.uint32, int(counts.sum()))
 
-    return P.Store(made, 700_000)
+    return P.Store(made, 700_000), P.special_tokens(vocabulary_file)
 
 
-def pieces_of(column: pa.Array, store: P.Store, capacity: int, end_id: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pieces_of(column: pa.Array, store: P.Store, special: dict[str, int], capacity: int, end_id: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, piece, start, length, crc32 of the ids) of every piece of every text."""
-    for row, _, text, _, starts, bounds, special, points in P.split_texts(column):
-        places = store.find(text, starts, P.hashes_of(points, starts))
+    for row, _, data, starts, stops, bounds, kinds in P.split_texts(column, special):
+        places = store.find(data, starts, stops)
         counts = store.counts[places].astype(np.int64)
-        if special.any():
-            ids = [store.ids[store.first[p] : store.first[p] + c] if not s else np.array([P.SPECIAL_ID], np.uint32) for p, c, s in zip(places, counts, special)]
-            counts[special] = 1
+        if (kinds >= 0).any():
+            ids = [store.ids[store.first[p] : store.first[p] + c] if k < 0 else np.array([k], np.uint32) for p, c, k in zip(places, counts, kinds.tolist())]
+            counts[kinds >= 0] = 1
             ids = np.concatenate(ids)
         else:
             ids = store.ragged(places)
@@ -133,9 +133,9 @@ def pieces_of(column: pa.Array, store: P.Store, capacity: int, end_id: int) -> I
 
 def tokenised_pieces(docs: DataFrame, vocabulary_file: str, capacity: int, end_id: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _store(vocabulary_file)
+        store, special = _store(vocabulary_file)
         for batch in batches:
-            found = list(pieces_of(batch.column("text"), store, capacity, end_id))
+            found = list(pieces_of(batch.column("text"), store, special, capacity, end_id))
             row, piece, start, length, crc = (np.array(x, np.int64) for x in (zip(*found) if found else [[]] * 5))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc})
 

@@ -7,6 +7,7 @@ texts of a slice at once from the classes of their code points.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -17,10 +18,7 @@ import regex
 
 from kinelink.llm import words as W
 
-SPECIAL = "<|endoftext|>"
-SPECIAL_ID = 50256
 LETTER, NUMBER, SPACE, OTHER = range(4)
-_CHARS = W._Powers(0xA0761D6478BD642F)
 
 
 @cache
@@ -65,18 +63,11 @@ def starts_of(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def hashes_of(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit hash of each pre-token's code points and length."""
-    n = len(points)
-    up, down = _CHARS.upto(n + 1)
-    total = np.zeros(n + 1, W.U64)
-    np.cumsum((points.astype(W.U64) + W.U64(1)) * up[:n], out=total[1:])
-    ends = np.append(starts[1:], n)
-    return W.mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(W.U64))
-
-
 class Store:
-    """Values by pre-token hash: ragged ids (or just their counts), at most `most` pre-tokens."""
+    """Values by pre-token: ragged ids (or just their counts), at most `most` pre-tokens.
+
+    Pre-tokens are looked up by hash and every one found is compared with the stored bytes.
+    """
 
     def __init__(self, made: Callable[[list[str]], tuple[np.ndarray, np.ndarray | None]], most: int = 1_000_000):
         self.made, self.most = made, most
@@ -88,12 +79,26 @@ class Store:
         self.counts = np.empty(0, np.int32)
         self.first = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.uint32)
-
-    def find(self, text: str, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        self.data = np.empty(0, np.uint8)
+        self.begin = np.zeros(1, np.int64)
+
+    def _append(self, pieces: list[bytes]) -> np.ndarray:
+        """Places of new entries."""
+        counts, ids = self.made([p.decode() for p in pieces])
+        place = len(self.counts) + np.arange(len(pieces))
+        self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        if ids is not None:
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts, dtype=np.int64)])
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        return place
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Places of the pre-tokens in counts and first; makes those that are missing."""
         if len(self.keys) > self.most:
             self.clear()
-        distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, at, inverse = np.unique(W.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         spot = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inner = spot < len(self.keys)
@@ -102,16 +107,17 @@ class Store:
         place[known] = self.place[spot[known]]
         if not known.all():
             new = np.flatnonzero(~known)
-            begin, end = starts[at[new]], np.append(starts[1:], len(text))[at[new]]
-            counts, ids = self.made([text[a:b] for a, b in zip(begin.tolist(), end.tolist())])
-            place[new] = len(self.counts) + np.arange(len(new))
-            self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
-            if ids is not None:
-                self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts, dtype=np.int64)])
-                self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+            place[new] = self._append([data[a:b].tobytes() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
             self.keys = np.insert(self.keys, spot[new], distinct[new])
             self.place = np.insert(self.place, spot[new], place[new])
-        return place[inverse]
+        place, size = place[inverse], ends - starts
+        other = np.flatnonzero(size != np.diff(self.begin)[place])
+        other = np.union1d(other, np.flatnonzero(~W.equal_spans(data, starts, self.data, self.begin[place], np.minimum(size, np.diff(self.begin)[place]))))
+        if len(other):  # another pre-token with the same hash has the place
+            pieces = [data[a:b].tobytes() for a, b in zip(starts[other].tolist(), ends[other].tolist())]
+            own = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+            place[other] = self._append(list(own))[[own[p] for p in pieces]]
+        return place
 
     def ragged(self, places: np.ndarray) -> np.ndarray:
         """The ids of all places, one after the other."""
@@ -120,23 +126,38 @@ class Store:
         return self.ids[np.repeat(self.first[places] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def split_texts(column: pa.Array) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, text, text's byte sizes, pre-token starts, first pre-token of each row and the end, which are special)."""
+def split_texts(column: pa.Array, special: dict[str, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, pre-token starts and ends in bytes, first pre-token of each row and the end, special id or -1 of each)."""
     for first, end, data, offsets in W.text_slices(column):
         text = data.tobytes().decode()
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        if len(points) == len(data):
-            rows = offsets
-        else:
-            rows = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-        cuts, special = rows, np.empty(0, np.int64)
-        if SPECIAL in text:
-            found = np.array([m.start() for m in regex.finditer(regex.escape(SPECIAL), text)])
-            whole = np.searchsorted(rows, found, "right") == np.searchsorted(rows, found + len(SPECIAL) - 1, "right")
-            special = found[whole]
-            cuts = np.union1d(rows, np.concatenate([special, special + len(SPECIAL)]))
-        starts = starts_of(points, cuts)
-        if len(special):
-            k = np.searchsorted(special, starts, "right") - 1
-            starts = starts[(k < 0) | (starts == special[k]) | (starts >= special[k] + len(SPECIAL))]
-        yield first, end, text, np.diff(offsets), starts, np.searchsorted(starts, rows), np.isin(starts, special), points
+        begin = np.arange(len(data) + 1) if len(points) == len(data) else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        rows = np.searchsorted(begin, offsets)
+        cuts, found = rows, []
+        for m in regex.finditer("|".join(map(regex.escape, sorted(special, key=len, reverse=True))), text) if any(s in text for s in special) else ():
+            if np.searchsorted(rows, m.start(), "right") == np.searchsorted(rows, m.end() - 1, "right"):
+                found.append((m.start(), m.end(), special[m.group()]))
+        if found:
+            at, stop, ids = (np.array(x) for x in zip(*found))
+            cuts = np.union1d(rows, np.concatenate([at, stop]))
+        starts, kinds = starts_of(points, cuts), None
+        if found:
+            k = np.searchsorted(at, starts, "right") - 1
+            starts = starts[(k < 0) | (starts == at[k]) | (starts >= stop[k])]
+            k = np.maximum(np.searchsorted(at, starts, "right") - 1, 0)
+            kinds = np.where(starts == at[k], ids[k], -1)
+        bounds = np.searchsorted(starts, rows)
+        starts = begin[starts]
+        yield first, end, data, starts, np.append(starts[1:], len(data)), bounds, np.full(len(starts), -1) if kinds is None else kinds
+
+
+def special_tokens(vocabulary_file: str) -> dict[str, int]:
+    """Texts of the file's added tokens and their ids: the library finds them inside texts before it splits.
+
+    Only plain ones are known here: a token that strips or asks for whole words is refused.
+    """
+    with open(vocabulary_file, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{vocabulary_file} has added tokens with rules besides their text")
+    return {t["content"]: t["id"] for t in added}

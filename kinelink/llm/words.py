@@ -1,9 +1,10 @@
 """Vectorised words and window hashes over the UTF-8 bytes of many texts at once.
 
 A slice of texts is one byte array with offsets (the layout of an Arrow string column). Words are
-runs of bytes that a 256-entry table marks; no word crosses a text. A word's hash is a polynomial
-modulo 2**64 that does not depend on where the word stands, so every task and every run gives the
-same value. Sums of word hashes over prefixes then give the hash of any window in constant time.
+runs of bytes that a 256-entry table marks; no word crosses a text. A word's hash goes through its bytes
+eight at a time, with a full mix after each eight (words above `LONG` bytes by XXH64), and depends on the
+word alone: words of up to eight bytes and equal length never share a hash, all others do by chance only. A
+window's hash mixes the hashes of its two halves, so no sum of powers and no structure of a text meets in it.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_ODD = U64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 1 << 20
-_HASH_BYTES = 1 << 22
+#: Words above so many bytes are hashed and compared one by one.
+LONG = 64
 
 #: Words are separated by space and \\t \\n \\v \\f \\r only.
 SPACED = np.ones(256, bool)
@@ -31,24 +34,6 @@ FOLD_BYTES = FOLD.tobytes()
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, made as far as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(self.base, m, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(self.inverse, m, 1 << 64))])
-        return self.up, self.down
-
-
-_BYTES, _WORDS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every input bit over the 64 output bits."""
     h = (h ^ (h >> U64(31))) * U64(0x7FB5D329728EA185)
@@ -92,30 +77,54 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, zeros beyond the end."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word; works through spans of bounded size."""
-    out, i = np.empty(len(starts), U64), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _HASH_BYTES, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        up, down = _BYTES.upto(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, U64)
-        np.cumsum((data[lo:hi].astype(U64) + U64(1)) * up[: hi - lo], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((total[e] - total[s]) * down[s])
-        i = j
+    """64-bit hash of each word's bytes and length."""
+    size, eight = ends - starts, eights(data)
+    out = mix(mix(size.astype(U64) * _ODD) ^ (eight[starts] & _LOW[np.minimum(size, 8)]))
+    at = np.flatnonzero(size > 8)
+    for back in range(8, LONG, 8):
+        at = at[size[at] > back]
+        if not len(at):
+            return out
+        out[at] = mix(out[at] * _ODD ^ (eight[starts[at] + back] & _LOW[np.minimum(size[at] - back, 8)]))
+    for i in at[size[at] > LONG].tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether `size` bytes of a from each place are those of b from its place."""
+    out, ea, eb = np.ones(len(size), bool), eights(a), eights(b)
+    at = np.flatnonzero(size > 0)
+    for back in range(0, LONG, 8):
+        at = at[size[at] > back]
+        if not len(at):
+            return out
+        out[at] &= ((ea[a_starts[at] + back] ^ eb[b_starts[at] + back]) & _LOW[np.minimum(size[at] - back, 8)]) == 0
+    for i in at[size[at] > LONG].tolist():
+        out[i] &= a[a_starts[i] : a_starts[i] + size[i]].tobytes() == b[b_starts[i] : b_starts[i] + size[i]].tobytes()
     return out
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of words[i:i+k] for every i with k words from there, whatever text they are in."""
-    n = len(words)
-    if n < k:
+    if len(words) < k:
         return np.empty(0, U64)
-    up, down = _WORDS.upto(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(words * up[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: n - k + 1])
+    span, out = 1, words
+    while span < k:
+        move = min(span, k - span)
+        out = mix(out[:-move] * _ODD + out[move:])
+        span += move
+    return out
 
 
 def inside(bounds: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -129,9 +138,7 @@ def inside(bounds: np.ndarray, k: int, n: int) -> np.ndarray:
 
 def covered(starts: np.ndarray, length: np.ndarray | int, n: int) -> np.ndarray:
     """Which of n places lie in any span [start, start + length)."""
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.asarray(starts) + length, -1)
+    change = np.bincount(starts, minlength=n + 1) - np.bincount(np.asarray(starts) + length, minlength=n + 1)
     return np.cumsum(change[:-1]) > 0
 
 

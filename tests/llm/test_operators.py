@@ -133,7 +133,7 @@ def test_token_counts_equal_the_library(docs, texts, tokenizer):
 def test_token_counts_of_any_text(parts):
     tokenizer = test_token_counts_of_any_text.__dict__.setdefault("t", Tokenizer.from_file(queries.VOCABULARY))
     texts = ["".join(parts), "", "".join(reversed(parts))]
-    got = token_counts.count_tokens(pa.array(texts), token_counts._store(queries.VOCABULARY))
+    got = token_counts.count_tokens(pa.array(texts), *token_counts._store(queries.VOCABULARY))
     assert got.tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
@@ -507,12 +507,45 @@ def test_word_hashes_do_not_depend_on_place():
     assert two[0] == two[2] != two[1]
 
 
+def thue_morse(a, b, n):
+    """Two words whose sums over powers of any odd base agree modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.mark.parametrize("pair", [("a", "b", 1024), ("t", "h", 2048), ("e", "x", 4096)])
+def test_structured_words_are_told_apart(pair, spark, tokenizer):
+    one, two = thue_morse(*pair)
+    data = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    h = W.word_hashes(data, *W.word_spans(data, np.array([0, len(data)]))[:2])
+    assert h[0] != h[1]
+    texts = [one, two, one + " " + two]
+    got = token_counts.count_tokens(pa.array(texts), *token_counts._store(queries.VOCABULARY))
+    assert got.tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    pieces = list(packing.pieces_of(pa.array(texts), *packing._store(queries.VOCABULARY), 1 << 20, 2))
+    assert [p[4] for p in pieces] == [zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for t in texts]
+    common = " ".join(f"c{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{common} {one}"), (2, f"{common} {two}")], "doc_id long, text string")
+    assert [r.n_removed for r in phrase_dedup.remove_repeats(df).collect()] == [0, 0]
+
+
+def test_store_compares_bytes(monkeypatch):
+    """With a hash that always collides the store still answers each pre-token by itself."""
+    monkeypatch.setattr(W, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), W.U64))
+    store = pretokens.Store(lambda pieces: (np.array([len(p) for p in pieces]), np.array([ord(c) for p in pieces for c in p])))
+    data = np.frombuffer(b"abcdefghijXbcdefghijklab", np.uint8)
+    starts, ends = np.array([0, 10, 20, 22, 0]), np.array([10, 20, 22, 24, 9])
+    for _ in range(2):
+        places = store.find(data, starts, ends)
+        assert bytes(store.ragged(places).astype(np.uint8)) == b"".join(data[a:b].tobytes() for a, b in zip(starts, ends))
+
+
 def test_pretokens_of_every_code_point(tokenizer):
     points = [chr(c) for c in range(0, 0x30000) if not 0xD800 <= c < 0xE000]
     texts = [f"a{c}1{c}!{c}{c} b" for c in points]
-    got = token_counts.count_tokens(pa.array(texts), token_counts._store(queries.VOCABULARY))
+    got = token_counts.count_tokens(pa.array(texts), *token_counts._store(queries.VOCABULARY))
     assert got.tolist() == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert pretokens.SPECIAL_ID == tokenizer.token_to_id(pretokens.SPECIAL)
+    assert pretokens.special_tokens(queries.VOCABULARY) == {t: tokenizer.token_to_id(t) for t in ["<|endoftext|>"]}
 
 
 def test_row_slices_keep_every_row_whole():
