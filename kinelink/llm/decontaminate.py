@@ -1,20 +1,21 @@
 """Operator 2: benchmark decontamination.
 
 The test items' word windows form a broadcast hash set; every window of every document is looked up
-by a rolling hash through a bit filter, and each hit is verified word for word. Then hit spans or
-whole documents go. The set's size is checked: items are dealt into blocks of at most `max_chars`
-characters, each block is broadcast by itself, and every document passes all blocks.
+by hash, and each hit is verified word for word. Then hit spans or whole documents go. The set's size is checked: items
+are dealt into blocks of at most `max_chars` characters; a block becomes a set of arrays once, on the driver, and tasks only
+read it. Every block is a pass of its own over the documents: with more than one, the rows are checkpointed between
+passes, so that no task ever holds two sets. A single item above the limit is a block by itself.
 
 A null text has no words; an item without words has no window; a null item id is written as an
-empty string. Equal windows of several items count for each of them. Columns of the documents named
-like the results are not looked at.
+empty string. Equal windows of several items count for each of them. Rows that repeat get equal answers. Other columns of
+the documents, whatever their names, are not looked at and pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelink.llm import words as W
+from kinelink.llm.tables import checkpointed, free_names, row_slices
 
 WINDOW = 10
-_FILTER_BITS = 22
-_SEPARATED = bytes(b if W.ALNUM[W.FOLD[b]] else 32 for b in range(256))
+MAX_CHARS = 8_000_000
 _TABLE = bytes(int(W.FOLD[b]) if W.ALNUM[W.FOLD[b]] else 32 for b in range(256))
 
 
@@ -33,126 +34,149 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
+@dataclass(frozen=True)
+class Windows:
+    """Windows of one length in order of their hashes: where their words lie in the blob, and the item of each."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    items: np.ndarray
+    maybe: np.ndarray  # by the hash's first bits: whether any window has them
+    shift: int
+
+
 class WindowSet:
-    """Windows of test items by length: sorted hashes behind a bit filter, and their words."""
+    """The windows of a block of test items by length."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            tokens = normal_words(text)
-            size = min(window, len(tokens))
-            for i in range(len(tokens) - size + 1 if size else 0):
-                by_length[size][b" ".join(tokens[i : i + size])].add(item)
-        self.lengths = {}
-        for size, windows in by_length.items():
-            phrases = list(windows)
-            blob = b" ".join(phrases)
-            data = np.frombuffer(blob, np.uint8)
-            starts, ends, _ = W.word_spans(data, np.array([0, len(data)]))
-            hashes = W.window_hashes(W.word_hashes(data, starts, ends), size)[::size]
-            bits = np.zeros(1 << _FILTER_BITS, bool)
-            bits[(hashes >> W.U64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.lengths[size] = (bits, {p: sorted(windows[p]) for p in phrases})
-
-    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
+        tokens = [normal_words(text) for _, text in items]
+        self.names = [item for item, _ in items]
+        lines = [b" ".join(t) for t in tokens]
+        self.blob = b" ".join(lines) + b" "
+        data = np.frombuffer(self.blob, np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines], dtype=np.int64)])
+        starts, ends, bounds = W.word_spans(data, offsets, W.ALNUM)
+        hashes, count = W.word_hashes(data, starts, ends), np.diff(bounds)
+        owner = np.repeat(np.arange(len(items)), count)
+        self.lengths: dict[int, Windows] = {}
+        for size in sorted(set(np.minimum(count[count > 0], window).tolist())):
+            fits = W.inside(bounds, size, len(hashes))
+            own = fits & (np.minimum(count, window)[owner[: len(fits)]] == size)
+            at = np.flatnonzero(own)
+            own_hashes = W.window_hashes(hashes, size)[at]
+            order = np.argsort(own_hashes, kind="stable")
+            at, own_hashes = at[order], own_hashes[order]
+            bits = max(10, int(len(at) * 16).bit_length())
+            maybe = np.zeros(1 << bits, bool)
+            maybe[(own_hashes >> W.U64(64 - bits)).astype(np.int64)] = True
+            self.lengths[size] = Windows(own_hashes, starts[at], ends[at + size - 1], owner[at], maybe, 64 - bits)
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, words, items) of every verified occurrence."""
         hashes = W.word_hashes(data, starts, ends)
-        for size, (bits, phrases) in self.lengths.items():
+        for size, w in self.lengths.items():
             if len(hashes) < size:
                 continue
-            maybe = bits[(W.window_hashes(hashes, size) >> W.U64(64 - _FILTER_BITS)).astype(np.int64)]
-            for i in np.flatnonzero(maybe & W.inside(bounds, size, len(hashes))).tolist():
+            own = W.window_hashes(hashes, size)
+            at = np.flatnonzero(w.maybe[(own >> W.U64(w.shift)).astype(np.int64)] & W.inside(bounds, size, len(hashes)))
+            first, last = np.searchsorted(w.hashes, own[at], "left"), np.searchsorted(w.hashes, own[at], "right")
+            found = last > first
+            for i, a, b in zip(at[found].tolist(), first[found].tolist(), last[found].tolist()):
                 phrase = b" ".join(data[starts[i] : ends[i + size - 1]].tobytes().translate(_TABLE).split())
-                if phrase in phrases:
-                    yield i, size, phrases[phrase]
+                items = {self.names[w.items[k]] for k in range(a, b) if self.blob[w.starts[k] : w.ends[k]] == phrase}
+                if items:
+                    yield i, size, items
 
 
-def _blocks(benchmark: DataFrame, max_chars: int) -> list[list[tuple[str, str]]]:
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text"))
+def _blocks(benchmark: DataFrame, max_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The different items with text, in blocks of about max_chars characters."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text")).filter("text is not null").distinct()
     total = items.agg(F.sum(F.length("text") + F.length("item") + 64)).first()[0] or 0
     n = -(-int(total) // max_chars) or 1
     for k in range(n):
-        yield [(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
+        yield [(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
 
 
-def _scanner(sets: "list", broadcast, last: bool, clean: bool):
+def _scanner(broadcast, spans_name: str, items_name: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = broadcast.value
-        ready = WindowSet(windows)
+        known = broadcast.value
         for batch in batches:
-            texts = batch.column("text")
-            for first, end, raw, offsets in W.text_slices(texts):
+            for first, end, raw, offsets in W.text_slices(batch.column("text")):
                 data = W.FOLD[raw]
                 starts, ends, bounds = W.word_spans(data, offsets, W.ALNUM)
-                found: list[list] = [[] for _ in range(end - first)]
-                for i, size, items in ready.spans(data, starts, ends, bounds):
+                places: list[list] = [[] for _ in range(end - first)]
+                items: list[set] = [set() for _ in range(end - first)]
+                for i, size, own in known.spans(data, starts, ends, bounds):
                     k = int(np.searchsorted(bounds, i, "right")) - 1
-                    found[k].append((i - int(bounds[k]), size, items))
+                    places[k].append({"start": i - int(bounds[k]), "length": size})
+                    items[k] |= own
                 part = batch.slice(first, end - first)
-                earlier = part.column("_spans").to_pylist()
-                spans = [(e or []) + [{"start": s, "length": z, "items": it} for s, z, it in f] for e, f in zip(earlier, found)]
-                yield part.set_column(part.schema.get_field_index("_spans"), part.schema.field("_spans"), pa.array(spans, part.schema.field("_spans").type))
+                for name, found in ((spans_name, places), (items_name, [sorted(x) for x in items])):
+                    at = part.schema.get_field_index(name)
+                    both = [(e or []) + f for e, f in zip(part.column(at).to_pylist(), found)]
+                    part = part.set_column(at, part.schema.field(at), pa.array(both, part.schema.field(at).type))
+                yield part
 
     return scan
 
 
-_SPANS = "array<struct<start:int,length:int,items:array<string>>>"
+def scan(docs: DataFrame, benchmark: DataFrame, spans: str = "spans", items: str = "items", max_chars: int = MAX_CHARS) -> DataFrame:
+    """docs with two columns more: start and length in words of every verified window, and the items found (by block, so maybe repeated)."""
+    out = docs.withColumn(spans, F.expr("cast(array() as array<struct<start:int,length:int>>)")).withColumn(items, F.expr("cast(array() as array<string>)"))
+    for k, block in enumerate(_blocks(benchmark, max_chars)):
+        broadcast = docs.sparkSession.sparkContext.broadcast(WindowSet(block))
+        out = (checkpointed(out) if k else out).mapInArrow(_scanner(broadcast, spans, items), out.schema)
+    return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, max_chars: int = 32_000_000) -> DataFrame:
-    """docs with `_spans`: start and length in words and the items of each verified window."""
-    out = docs.withColumn("_spans", F.expr(f"cast(array() as {_SPANS})"))
-    for block in _blocks(benchmark, max_chars):
-        broadcast = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner([], broadcast, True, False), out.schema)
-    return out
+def _hit(spans: list[dict], n: int) -> np.ndarray:
+    return W.covered(np.array([s["start"] for s in spans], np.int64), np.array([s["length"] for s in spans], np.int64), n)
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_hit, n_items, digests, counts = [], [], [], []
-        texts = batch.column("text")
-        for _, _, raw, offsets in W.text_slices(texts):
-            counts.append(np.diff(W.word_spans(W.FOLD[raw], offsets, W.ALNUM)[2]))
-        for spans in batch.column("_spans").to_pylist():
-            items = sorted({x for s in spans for x in s["items"]})
-            hit = {w for s in spans for w in range(s["start"], s["start"] + s["length"])}
-            n_hit.append(len(hit))
-            n_items.append(len(items))
-            digests.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": np.concatenate(counts or [np.empty(0, np.int64)]), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array(n_items, pa.int64()), "items_sha256": pa.array(digests, pa.string()), "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_())})
+        counts = [np.diff(W.word_spans(W.FOLD[raw], offsets, W.ALNUM)[2]) for _, _, raw, offsets in W.text_slices(batch.column("text"))]
+        n_words = np.concatenate(counts or [np.empty(0, np.int64)])
+        spans, items = batch.column("spans").to_pylist(), [sorted(set(x)) for x in batch.column("items").to_pylist()]
+        n_hit = pa.array([int(_hit(s, n).sum()) if s else 0 for s, n in zip(spans, n_words.tolist())], pa.int64())
+        digests = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string())
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": n_words, "n_hit": n_hit, "n_items": pa.array(map(len, items), pa.int64()), "items_sha256": digests, "contaminated": pa.array(map(bool, spans), pa.bool_())})
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """One row per document: words, hit words, items found and their digest."""
-    spans = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, **limits)
-    return spans.mapInArrow(_report, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        texts = batch.column(at).to_pylist()
-        for k, spans in enumerate(batch.column("_spans").to_pylist()):
-            if spans:
-                raw = texts[k].encode()
-                starts, ends, _ = W.word_spans(W.FOLD[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), W.ALNUM)
-                hit = W.covered(np.array([s["start"] for s in spans]), np.array([s["length"] for s in spans]), len(starts))
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                out, done = [], 0
-                for a, b in zip(edge[::2], edge[1::2]):
-                    out.append(raw[done : starts[a]])
-                    done = ends[b - 1]
-                texts[k] = b"".join([*out, raw[done:]]).decode()
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, **limits)
+    return found.mapInArrow(_report, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def _cutter(spans_name: str):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).to_pylist()
+            for k, spans in enumerate(batch.column(spans_name).to_pylist()):
+                if spans:
+                    raw = texts[k].encode()
+                    starts, ends, _ = W.word_spans(W.FOLD[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), W.ALNUM)
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], _hit(spans, len(starts)), [False]]).astype(np.int8)))
+                    out, done = [], 0
+                    for a, b in zip(edge[::2], edge[1::2]):
+                        out.append(raw[done : starts[a]])
+                        done = ends[b - 1]
+                    texts[k] = b"".join([*out, raw[done:]]).decode()
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return cut
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **limits) -> DataFrame:
-    """docs without contaminated documents, or (remove='spans') without the hit words."""
+    """docs without contaminated documents, or (remove='spans') without the hit words; same columns."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    marked = scan(docs, benchmark, **limits)
+    spans, items = free_names(docs, "_spans", "_items")
+    marked = scan(docs, benchmark, spans, items, **limits)
     if remove == "documents":
-        return marked.filter(F.size("_spans") == 0).drop("_spans")
-    out = marked.mapInArrow(_cut, marked.schema).drop("_spans")
+        return marked.filter(F.size(spans) == 0).drop(spans, items)
+    out = marked.mapInArrow(_cutter(spans), marked.schema).drop(spans, items)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
