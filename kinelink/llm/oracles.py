@@ -8,8 +8,8 @@ lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS li
 worded AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
   translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY 1),
-counted AS (SELECT source, norm, count(DISTINCT text) AS n_docs, min(doc_id) AS keeper FROM worded GROUP BY 1, 2),
-hosts AS (SELECT source, count(DISTINCT text) AS host_docs FROM documents GROUP BY 1),
+counted AS (SELECT source, norm, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS keeper FROM worded GROUP BY 1, 2),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM documents GROUP BY 1),
 busy AS (SELECT c.source, norm, keeper FROM counted c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE n_docs > 20 AND n_docs > host_docs * 0.005),
 lost AS (SELECT doc_id, sum(n) AS removed FROM worded w JOIN busy b ON w.norm = b.norm AND w.source IS NOT DISTINCT FROM b.source WHERE w.doc_id <> b.keeper GROUP BY 1),
 win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),

@@ -1,8 +1,8 @@
 """Operator 1: quality rules with cross-document line frequency.
 
 Lines are normalised (ASCII lower case, white space collapsed) and hashed. For each host the
-documents that hold a line are counted; whole-document copies count once, because they are the
-near-duplicate stage's business. A line is above its host's limit if more than
+documents that hold a line are counted, without `count_copies` each text once, which leaves copies of whole documents
+to a near-duplicate stage. A line is above its host's limit if more than
 max(min_docs, share * documents of the host) documents hold it; the limit follows the host's size, so
 a host behaves alike at every scale. Such a line is removed everywhere but in the document with the
 smallest id that holds it, and a document that this leaves with too few words is rejected.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelink.llm import words as W
-from kinelink.llm.tables import checkpointed, row_key, row_slices
+from kinelink.llm.tables import checkpointed, free_names, row_key, row_slices
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -99,18 +99,22 @@ def text_statistics(docs: DataFrame, host: str = "source") -> DataFrame:
     return keyed.mapInArrow(_measure, _STATS)
 
 
-def frequent_lines(stats: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(host, line, keeper): lines above the host's limit and the smallest id that holds each."""
-    held = stats.select("host", "fingerprint", "doc_id", F.explode("lines").alias("line"))
-    counted = held.groupBy("host", "line", "fingerprint").agg(F.min("doc_id").alias("doc_id")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("keeper"))
-    hosts = stats.groupBy("host", "fingerprint").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+def frequent_lines(stats: DataFrame, min_docs: int, share: float, count_copies: bool = True) -> DataFrame:
+    """(host, line, keeper): lines above the host's limit and the smallest id that holds each.
+
+    Documents are told apart by their id and text, without count_copies by their text.
+    """
+    one = ["fingerprint", "key"] if count_copies else ["fingerprint"]
+    held = stats.select("host", *one, "doc_id", F.explode("lines").alias("line"))
+    counted = held.groupBy("host", "line", *one).agg(F.min("doc_id").alias("doc_id")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("keeper"))
+    hosts = stats.groupBy("host", *one).agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     busy = counted.filter(F.col("n_docs") > min_docs).alias("l").join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
     return busy.filter(F.col("n_docs") > F.col("host_docs") * share).select("l.host", "line", "keeper")
 
 
 def _removals(stats: DataFrame, frequent: DataFrame) -> DataFrame:
     """(key, doc_id, removed_words, removed_lines): what each document loses."""
-    held = stats.select("key", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("key", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"), F.monotonically_increasing_id().alias("_"))
+    held = stats.select("key", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("key", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
     lost = held.alias("a").join(frequent.alias("f"), (F.col("a.line") == F.col("f.line")) & F.col("a.host").eqNullSafe(F.col("f.host")))
     lost = lost.filter(~F.col("a.doc_id").eqNullSafe(F.col("f.keeper"))).select("a.key", "a.doc_id", "a.line", "a.n").distinct()
     return lost.groupBy("key", "doc_id").agg(F.sum("n").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
@@ -120,26 +124,28 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, min_left: int = MIN_WORDS, min_left_share: float = 0.3) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, min_left: int = MIN_WORDS, min_left_share: float = 0.3, count_copies: bool = True) -> DataFrame:
     """One row for each row of docs: counts, base_failed, removed words and lines, kept."""
     stats = checkpointed(text_statistics(docs, host))
-    removed = _removals(stats, frequent_lines(stats, min_docs, share))
+    removed = _removals(stats, frequent_lines(stats, min_docs, share, count_copies))
     judged = stats.drop("lines", "line_words").alias("s").join(removed.alias("r"), (F.col("s.key") == F.col("r.key")) & F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select("s.*", F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), "removed_lines")
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < min_left) | (left < min_left_share * F.col("n_words")))
     return judged.withColumn("base_failed", base_failed()).withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in row_slices(batches):
-        at = batch.schema.get_field_index("text")
-        gone = batch.column("removed_lines").to_pylist()
-        texts = batch.column(at).to_pylist()
-        for i, lines in enumerate(gone):
-            if lines and texts[i]:
-                drop = set(lines)
-                texts[i] = "\n".join(x for x in texts[i].split("\n") if _signed(normal_line(x.encode())) not in drop)
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+def _drop_lines(gone: str):
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).to_pylist()
+            for i, lines in enumerate(batch.column(gone).to_pylist()):
+                if lines and texts[i]:
+                    hashes = set(lines)
+                    texts[i] = "\n".join(x for x in texts[i].split("\n") if _signed(normal_line(x.encode())) not in hashes)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return drop
 
 
 def _signed(line: bytes) -> int | None:
@@ -150,9 +156,10 @@ def _signed(line: bytes) -> int | None:
 
 
 def filter_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """docs without rejected documents, frequent lines removed; same columns (n_chars follows the text)."""
+    """docs without rejected documents, frequent lines removed; same columns, whatever they are called (n_chars follows the text)."""
+    key, gone = free_names(docs, "_key", "_removed_lines")
     verdicts = judge(docs, host, **limits).filter("kept").groupBy("key", "doc_id").agg(F.first("removed_lines").alias("removed_lines"))
-    keyed = docs.withColumn("_key", row_key("doc_id", host, "text"))
-    kept = keyed.alias("d").join(verdicts.alias("v"), (F.col("d._key") == F.col("v.key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("v.doc_id"))).select("d.*", "removed_lines")
-    out = kept.mapInArrow(_drop_lines, kept.schema).drop("_key", "removed_lines")
+    keyed = docs.withColumn(key, row_key("doc_id", host, "text"))
+    kept = keyed.alias("d").join(verdicts.alias("v"), (F.col(f"d.{key}") == F.col("v.key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("v.doc_id"))).select("d.*", F.col("v.removed_lines").alias(gone))
+    out = kept.mapInArrow(_drop_lines(gone), kept.schema).drop(key, gone)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
