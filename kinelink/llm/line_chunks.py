@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kinelink.llm import words as W
-from kinelink.llm.tables import checkpointed, heavy_join, row_key, row_slices
+from kinelink.llm.tables import checkpointed, free_names, heavy_join, row_key, row_slices
 
 DIVISOR = 4
 MOST_LINES = 32
@@ -102,7 +102,7 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks at the given places."""
     for batch in row_slices(batches):
         digest, raws = [], []
-        for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist()):
+        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
             wanted = {p["place"] for p in places or ()}
             for first, _, raw in chunks(text) if wanted else ():
                 if first in wanted:
@@ -111,19 +111,20 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"digest": pa.array(digest, pa.binary()), "raw": pa.array(raws, pa.binary())})
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", row_key("text"))
+def _keyed(docs: DataFrame, doc_id: str, key: str) -> DataFrame:
+    return docs.withColumn(doc_id, F.col("doc_id").cast("long")).withColumn(key, row_key("text"))
 
 
-def _with_places(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    listed = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "end")).alias("_places"))
-    return keyed.alias("d").join(listed.alias("p"), (F.col("d._key") == F.col("p.key")) & F.col("d._id").eqNullSafe(F.col("p.doc_id")), how).select("d.*", "_places")
+def _with_places(keyed: DataFrame, doc_id: str, key: str, listed: str, places: DataFrame, how: str) -> DataFrame:
+    """keyed, with the columns doc_id and key of its rows, and the places of each in the column `listed`."""
+    lists = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "end")).alias("places"))
+    same = (F.col(f"d.{key}") == F.col("p.key")) & F.col(f"d.{doc_id}").eqNullSafe(F.col("p.doc_id"))
+    return keyed.alias("d").join(lists.alias("p"), same, how).select("d.*", F.col("p.places").alias(listed))
 
 
 def repeated_chunks(docs: DataFrame, words: int | None = None) -> DataFrame:
     """(doc_id, key, place, end): lines of the chunks to remove, bytes compared, and with `words` of the passages."""
-    keyed = _keyed(docs)
-    source = keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text")
     places = checkpointed(source.mapInArrow(_digests(words), "doc_id long, key long, place int, end int, digest binary").distinct())
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "place")
     several = checkpointed(places.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"))
@@ -131,7 +132,7 @@ def repeated_chunks(docs: DataFrame, words: int | None = None) -> DataFrame:
     keeps = own & (F.col("place") < F.col("first.place") + F.col("end") - F.col("place"))
     shared = checkpointed(heavy_join(places, several, "digest", "n").withColumn("keeps", keeps).drop("first"))
     is_chunk = F.octet_length("digest") == 32
-    raw = _with_places(keyed.select("_id", "_key", "text"), shared.filter(is_chunk), "inner").mapInArrow(_bytes, "digest binary, raw binary")
+    raw = _with_places(source, "doc_id", "key", "places", shared.filter(is_chunk), "inner").mapInArrow(_bytes, "digest binary, raw binary")
     sure = raw.groupBy("digest", "raw").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("forms"), F.max("n").alias("n")).filter("forms = 1").select("digest", "n")
     gone = heavy_join(shared.filter(is_chunk & ~F.col("keeps")), checkpointed(sure), "digest", "n").select("doc_id", "key", "place", "end")
     return gone.unionByName(shared.filter(~is_chunk & ~F.col("keeps")).select("doc_id", "key", "place", "end")) if words else gone
@@ -147,12 +148,13 @@ def remove_chunks(docs: DataFrame, counts: bool = False, words: int | None = Non
     """
     if counts and words:
         raise ValueError("counts are of chunks only")
+    doc_id, key, listed = free_names(docs, "_id", "_key", "_places")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
             at = batch.schema.get_field_index("text")
             texts, seen = batch.column(at).to_pylist(), []
-            for i, places in enumerate(batch.column("_places").to_pylist()):
+            for i, places in enumerate(batch.column(listed).to_pylist()):
                 if places:
                     lines = texts[i].encode().split(b"\n")
                     left = np.ones(len(lines), bool)
@@ -168,9 +170,9 @@ def remove_chunks(docs: DataFrame, counts: bool = False, words: int | None = Non
                 out = out.append_column(name, pa.array([x[k] for x in seen], pa.int64()))
             yield out
 
-    marked = _with_places(_keyed(docs), repeated_chunks(docs, words), "left")
+    marked = _with_places(_keyed(docs, doc_id, key), doc_id, key, listed, repeated_chunks(docs, words), "left")
     schema = StructType([*marked.schema.fields, *(StructField(name, LongType()) for name in (_COUNTS if counts else ()))])
-    out = marked.mapInArrow(clean, schema).drop("_places", "_id", "_key")
+    out = marked.mapInArrow(clean, schema).drop(listed, doc_id, key)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from kinelink.llm import similar
 from kinelink.llm import words as W
 from kinelink.llm.components import connected_components
-from kinelink.llm.tables import checkpointed, heavy_join, row_key, row_slices
+from kinelink.llm.tables import checkpointed, free_names, heavy_join, row_key, row_slices
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -146,8 +146,10 @@ def one_of_each_group(docs: DataFrame, bucket_limit: int = 4096, similarity: flo
     more = None if similarity is None else similar.similar_links(docs, prints, MOST_BITS, similarity)
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
     kept = first.join(_grouped(prints, bucket_limit, more), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", row_key("text"))
-    same = (F.col("d._key") == F.col("k.key")) & F.col("d._id").eqNullSafe(F.col("k.doc_id"))
+    doc_id, text_key = free_names(docs, "_id", "_key")
+    keyed = docs.withColumn(doc_id, F.col("doc_id").cast("long")).withColumn(text_key, row_key("text"))
+    same = (F.col(f"d.{text_key}") == F.col("k.key")) & F.col(f"d.{doc_id}").eqNullSafe(F.col("k.doc_id"))
     out = keyed.alias("d").join(checkpointed(kept).alias("k"), same, "left_semi")
-    distinct_rows = prints.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
-    return (out if distinct_rows else out.dropDuplicates(["_id", "_key"])).drop("_id", "_key")
+    # rows of equal id and text are the same document and all but one go; where there are none the rows need not move
+    repeated = not prints.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
+    return (out.dropDuplicates([doc_id, text_key]) if repeated else out).drop(doc_id, text_key)

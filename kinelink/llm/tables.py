@@ -19,16 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared checkpoint folder.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    The folder is the session's `spark.checkpoint.dir`. Where that is unset a temporary folder takes its place,
+    but only if driver and tasks share one machine (a local master); on a cluster it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if given is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df is called so in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(*columns: str) -> Column:
     """64-bit key of a row's content; equal rows have equal keys."""
     return F.xxhash64(*columns)

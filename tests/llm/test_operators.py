@@ -81,6 +81,10 @@ def test_quality_removes_frequent_lines_and_depleted_documents(spark):
     out = by_id(quality_lines.filter_documents(df, min_docs=5, share=0.1))
     assert out[3].text == own(3) and out[0].text.startswith("Shared") and 50 not in out and out[60].text.startswith("shared")
     assert out.keys() == set(range(10)) | {60, 61}
+    # copies of a whole document count each, or once on request
+    copies = spark.createDataFrame([(i, f"copied line of the host\n{own(1)}", "h") for i in range(8)] + [(20 + i, own(20 + i), "h") for i in range(8)], "doc_id long, text string, source string")
+    kept = lambda **k: {r.doc_id for r in quality_lines.judge(copies, min_docs=5, share=0.1, **k).filter("kept").collect()}
+    assert kept() == {0, *range(20, 28)} and kept(count_copies=False) == {*range(8), *range(20, 28)}
 
 
 def test_quality_awkward(awkward, empty):
@@ -113,6 +117,36 @@ def test_decontamination_awkward(spark, awkward, empty):
     assert decontaminate.decontaminate(awkward, items).columns == awkward.columns
 
 
+def brute_hits(texts, items, k=10):
+    """Per text: words that an item's window covers, and the items."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    known = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for j in range(len(w) - min(k, len(w)) + 1 if w else 0):
+            known[tuple(w[j : j + k])].add(i)
+    out = []
+    for t in texts:
+        w, hit, found = words(t), set(), set()
+        for z in {len(x) for x in known}:
+            for j in range(len(w) - z + 1):
+                if tuple(w[j : j + z]) in known:
+                    hit |= set(range(j, j + z))
+                    found |= known[tuple(w[j : j + z])]
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("chars", [8_000_000, 20_000])
+def test_decontamination_of_documents(spark, docs, texts, chars):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    want = dict(zip(texts, brute_hits(texts.values(), [(str(r.item_id), r.text) for r in items.collect()])))
+    got = by_id(decontaminate.report(docs, items.unionByName(items), max_chars=chars))
+    for d, (n, hit, found) in want.items():
+        assert (got[d].n_words, got[d].n_hit, got[d].n_items, got[d].items_sha256) == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest())
+    assert any(hit for _, hit, _ in want.values())
+
+
 # 3 and 5
 
 
@@ -253,6 +287,20 @@ def test_repeated_passages_inside_one_text(spark, awkward, empty):
     assert phrase_dedup.remove_repeats(awkward).count() == awkward.count() and phrase_dedup.remove_repeats(empty).count() == 0
 
 
+def test_only_what_the_automaton_finds_is_removed(monkeypatch):
+    texts = pa.array([" ".join(f"w{i}" for i in range(60)), "x y " + " ".join(f"w{i}" for i in range(60))])
+    parts = list(phrase_dedup._slices(pa.table({"text": texts}), 35, 8))
+    part = parts[0][3]
+    windows, n = np.unique(part.windows[part.valid], return_counts=True)
+    confirmed = windows[n > 1]
+    automaton, own = phrase_dedup._automaton(texts, parts, confirmed, 8)
+    assert phrase_dedup._locate(part, own[0], automaton, confirmed, 35, 8).sum() == 120
+    other = phrase_dedup.ahocorasick.Automaton(phrase_dedup.ahocorasick.STORE_ANY, phrase_dedup.ahocorasick.KEY_SEQUENCE)
+    other.add_word((10**6,) * 8, 8)
+    other.make_automaton()
+    assert phrase_dedup._locate(part, own[0], other, confirmed, 35, 8).sum() == 0
+
+
 # 7
 
 
@@ -497,6 +545,29 @@ def test_language_model_awkward(awkward, empty):
 
 # shared
 
+INTERNAL = ["_id", "_key", "_places", "_spans", "_items", "_removed_lines", "removed_lines", "places", "spans", "items", "key", "host", "fingerprint", "every", "near", "D", "_KEY", "doc", "fp", "root", "first", "size", "bands", "lines", "raw", "digest", "last"]
+STAGE = {
+    "quality": lambda d, b: quality_lines.filter_documents(d),
+    "lines": lambda d, b: line_chunks.remove_chunks(d, words=50),
+    "near": lambda d, b: simhash.one_of_each_group(d, similarity=0.8),
+    "benchmark": lambda d, b: decontaminate.decontaminate(d, b),
+    "benchmark spans": lambda d, b: decontaminate.decontaminate(d, b, remove="spans"),
+    "private": lambda d, b: pii.sanitise(d),
+}
+
+
+@pytest.mark.parametrize("stage", sorted(STAGE))
+def test_clashing_names_pass_through(stage, spark, docs):
+    """Columns named like anything used inside keep their values, and the result is that without them."""
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    names = [n for n in INTERNAL if n.lower() not in {m.lower() for m in INTERNAL[: INTERNAL.index(n)]}]
+    wide = docs.select("*", *(docs.doc_id.cast("string").alias(n) for n in names))
+    out = STAGE[stage](wide, items)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert all(r[n] == str(r.doc_id) for r in rows for n in names)
+    assert {(r.doc_id, r.text) for r in rows} == {(r.doc_id, r.text) for r in STAGE[stage](docs, items).collect()}
+
 
 def test_word_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"one two  one\ttwo", np.uint8)
