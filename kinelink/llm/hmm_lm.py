@@ -11,10 +11,12 @@ their training counts plus one, with one more share for a word that training nev
 2. Each block looks its words up and keeps, per document, the word classes and what does not depend on
    states. This table is checkpointed.
 3. Baum-Welch: every pass over all training documents sums expected counts over all partitions; the
-   driver only sees those sums, whose size follows from the model's alone. Documents train in
-   stretches of `stretch` words, each of which starts afresh.
-4. Scoring: stretches of a document become transfer matrices, scaled at each step, whose product gives the
-   whole text's exact likelihood, however long it is.
+   driver only sees those sums, whose size follows from the model's alone. Documents train whole.
+4. Scoring: the scaled forward recursion over a whole text gives its exact likelihood.
+
+Texts of more than two stretches are worked stretch by stretch, all stretches at once: their scaled transfer
+matrices tell what enters and leaves each stretch, so the results are those of one recursion over the whole text
+and memory does not follow its length.
 
 Words are told apart by a 64-bit hash. Nulls: a null text has only its end mark; a null id's text is
 empty, so it trains. Rows that repeat are documents of their own. With no training rows every count is
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelink.llm import words as W
-from kinelink.llm.tables import checkpointed, in_blocks
+from kinelink.llm.tables import checkpointed, in_blocks, row_slices
 
 BLOCK_BYTES = 8 << 20
 BLOCKS_A_SHARD = 8
@@ -46,7 +48,7 @@ class Shape:
     frequent: int = 1023
     endings: int = 1024
     passes: int = 8
-    stretch: int = 64
+    stretch: int = 256
 
     @property
     def classes(self) -> int:
@@ -220,92 +222,140 @@ def first_model(shape: Shape) -> Model:
     return Model(np.full(k, 1 / k), move, tilt / tilt.sum(axis=0))
 
 
-def _stretches(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class numbers one after the other, each stretch's start and length, row of each stretch)."""
+@dataclass(frozen=True)
+class Stretches:
+    """Class numbers of texts one after the other, and each stretch's start, length and text."""
+
+    symbols: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    row: np.ndarray
+
+    def __getitem__(self, at) -> Stretches:
+        return Stretches(self.symbols, self.start[at], self.length[at], self.row[at])
+
+
+def stretches(column: pa.Array, size: int) -> Stretches:
+    """Texts of up to twice the size are one stretch, longer ones several of the size, the last up to that."""
     texts = [np.frombuffer(x, "<i2") for x in column.to_pylist()]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else np.empty(0, np.int64)
-    pieces = -(-lengths // size)
-    row = np.repeat(np.arange(len(texts)), pieces)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = begin[row] + nth * size
-    return np.concatenate(texts or [np.empty(0, "<i2")]).astype(np.int64), start, np.minimum(size, lengths[row] - nth * size), row
-
-
-def expected_counts(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch: expected starts, moves and emissions over the stretches, and their log likelihood."""
-    order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
-    k, steps = len(model.start), int(length[0])
-    active = np.searchsorted(-length, -np.arange(steps), "left")  # stretches longer than t
-    alphas, scales, seen, log = [], [], [], 0.0
-    alpha = None
+    begin = np.cumsum(lengths) - lengths
+    own = np.where(lengths <= 2 * size, np.maximum(lengths, 1), size)
+    count = -(-lengths // own)
+    row = np.repeat(np.arange(len(texts)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.minimum(own[row], lengths[row] - nth * own[row])
+    return Stretches(np.concatenate(texts or [np.empty(0, "<i2")]).astype(np.int64), begin[row] + nth * own[row], length, row)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def transfers(part: Stretches, model: Model) -> np.ndarray:
+    """For every stretch the matrix, up to a factor, from the states entering it to the states at its end."""
+    order = np.argsort(-part.length, kind="stable")
+    start, length, k = part.start[order], part.length[order], len(model.start)
+    out = np.empty((len(order), k, k))
+    if len(order):
+        out[:] = np.eye(k) * model.emit[part.symbols[start]][:, None, :]
+        for t in range(1, int(length[0])):
+            n = int(np.searchsorted(-length, -t))
+            now = (out[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[part.symbols[start[:n] + t]][:, None, :]
+            out[:n] = now / now.sum(axis=(1, 2))[:, None, None]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def rims(part: Stretches, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(states entering each stretch, weights of the states at its end for what follows), up to factors."""
+    n, k = len(part.row), len(model.start)
+    enters, leaves = np.tile(model.start, (n, 1)), np.ones((n, k))
+    first = np.flatnonzero(np.concatenate([[True], part.row[1:] != part.row[:-1]])) if n else np.empty(0, np.int64)
+    count = np.diff(np.append(first, n))
+    first, count = first[count > 1], count[count > 1]
+    if len(first):
+        several = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        matrices = np.empty((n, k, k))
+        matrices[several] = transfers(part[several], model)
+        for nth in range(1, int(count.max())):
+            at = first[count > nth] + nth
+            enters[at] = _unit(np.einsum("ni,nij->nj", enters[at - 1], matrices[at - 1]) @ model.move)
+            at = (first + count - 1)[count > nth] - nth
+            leaves[at] = _unit(np.einsum("nij,nj->ni", matrices[at + 1], leaves[at + 1]) @ model.move.T)
+    return enters, leaves
+
+
+def _forward(part: Stretches, enters: np.ndarray, model: Model):
+    """(how many stretches are longer than t, first place of each t, symbols, emissions, scaled alphas, scales) of stretches from long to short."""
+    steps = int(part.length[0])
+    active = np.searchsorted(-part.length, -np.arange(steps + 1), "left")
+    place = np.concatenate([[0], np.cumsum(active[:steps])])
+    seen = np.concatenate([part.symbols[part.start[: active[t]] + t] for t in range(steps)])
+    emit = model.emit[seen]
+    alpha, scale, ones = np.empty_like(emit), np.empty(len(seen)), np.ones(len(model.start))
     for t in range(steps):
-        n = active[t]
-        obs = symbols[start[:n] + t]
-        alpha = (np.broadcast_to(model.start, (n, k)) if t == 0 else alpha[:n] @ model.move) * model.emit[obs]
-        scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
-        alphas.append(alpha)
-        scales.append(scale)
-        seen.append(obs)
+        a, n = place[t], active[t]
+        now = (alpha[place[t - 1] : place[t - 1] + n] @ model.move if t else enters[:n]) * emit[a : a + n]
+        scale[a : a + n] = now @ ones
+        np.divide(now, scale[a : a + n, None], out=alpha[a : a + n])
+    return active, place, seen, emit, alpha, scale
+
+
+def _long_to_short(part: Stretches) -> Iterator[np.ndarray]:
+    """Stretches from long to short, in runs of about `_PART` symbols."""
+    order = np.argsort(-part.length, kind="stable")
+    run = np.cumsum(part.length[order]) // _PART
+    for k in np.unique(run):
+        yield order[run == k]
+
+
+def expected_counts(part: Stretches, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch: expected starts, moves and emissions over the whole texts, and their log likelihood."""
+    k, m = len(model.start), len(model.emit)
+    enters, leaves = rims(part, model)
+    ends, firsts = np.empty_like(enters), np.empty_like(enters)
+    first, moves, emits, log = np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), 0.0
+    head = np.concatenate([[True], part.row[1:] != part.row[:-1]])
+    for at in _long_to_short(part):
+        own = part[at]
+        active, place, seen, emit, alpha, scale = _forward(own, enters[at], model)
         log += float(np.log(scale).sum())
-    moves, emits = np.zeros((k, k)), np.zeros(model.emit.shape)
-    beta = np.ones((active[steps - 1], k))
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        if t < steps - 1:
-            after = model.emit[seen[t + 1]] * beta / scales[t + 1][:, None]
-            m = len(after)
-            moves += alphas[t][:m].T @ after
-            beta = np.ones((n, k))
-            beta[:m] = after @ model.move.T
-        gamma = alphas[t] * beta
+        last = place[own.length - 1] + np.arange(len(at))
+        ends[at] = alpha[last]
+        out = leaves[at] / (alpha[last] * leaves[at]).sum(axis=1, keepdims=True)
+        beta, after = np.empty_like(alpha), emit / scale[:, None]
+        for t in range(len(active) - 2, -1, -1):
+            a, n, longer = place[t], active[t], active[t + 1]
+            beta[a + longer : a + n] = out[longer:n]
+            if longer:
+                b = place[t + 1]
+                np.matmul(after[b : b + longer], model.move.T, out=beta[a : a + longer])
+                moves += alpha[a : a + longer].T @ after[b : b + longer]
+            after[a : a + n] *= beta[a : a + n]
+        firsts[at] = after[: len(at)]
+        gamma = alpha * beta
+        first += gamma[: len(at)][head[at]].sum(axis=0)
         for s in range(k):
-            emits[:, s] += np.bincount(seen[t], weights=gamma[:, s], minlength=len(emits))
-        if t == 0:
-            first = gamma.sum(axis=0)
-    return first, moves * model.move, emits, log
-
-
-def log_likelihoods(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, row: np.ndarray, rows: int, model: Model) -> np.ndarray:
-    """Natural log of each text's probability, from its stretches' scaled transfer matrices."""
-    k = len(model.start)
-    out = np.zeros(rows)
-    if not len(start):
-        return out
-    order = np.argsort(-length, kind="stable")
-    s, size = start[order], length[order]
-    head = np.concatenate([[True], row[1:] != row[:-1]])[order]
-    matrices = np.empty((len(s), k, k))
-    scale = np.zeros(len(s))
-    matrices[:] = np.where(head[:, None, None], np.eye(k), model.move)
-    matrices *= model.emit[symbols[s]][:, None, :]
-    active = np.searchsorted(-size, -np.arange(int(size[0])), "left")
-    for t in range(int(size[0])):
-        n = active[t]
-        now = matrices[:n]
-        if t:
-            now = (now.reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[symbols[s[:n] + t]][:, None, :]
-        total = now.sum(axis=(1, 2))
-        scale[:n] += np.log(total)
-        matrices[:n] = now / total[:, None, None]
-    back = np.argsort(order)
-    matrices, scale = matrices[back], scale[back]
-    out += np.bincount(row, weights=scale, minlength=rows)
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    count = np.diff(np.append(first, len(row)))
-    state, owner = np.broadcast_to(model.start, (len(first), k)).copy(), row[first]
-    for nth in range(int(count.max())):
-        live = np.flatnonzero(count > nth)
-        v = np.einsum("ij,ijk->ik", state[live], matrices[first[live] + nth])
-        total = v.sum(axis=1)
-        out[owner[live]] += np.log(total)
-        state[live] = v / total[:, None]
+            emits[:, s] += np.bincount(seen, weights=gamma[:, s], minlength=m)
+    inner = np.flatnonzero(~head)
+    return first, (moves + ends[inner - 1].T @ firsts[inner]) * model.move, emits, log
+
+
+def log_likelihoods(part: Stretches, rows: int, model: Model) -> np.ndarray:
+    """Natural log of each text's probability."""
+    out, (enters, _) = np.zeros(rows), rims(part, model)
+    for at in _long_to_short(part):
+        active, _, _, _, _, scale = _forward(part[at], enters[at], model)
+        owner = np.concatenate([part.row[at[:n]] for n in active[:-1]])
+        out += np.bincount(owner, weights=np.log(scale), minlength=rows)
     return out
 
 
-_PART = 2048  # rows of coded texts handled at once
+#: Symbols worked at once, and bytes of coded texts read at once (a text of more by itself).
+_PART = 1 << 19
+_CODED_BYTES = 1 << 20
 
 
 def train(coded: DataFrame, shape: Shape) -> Model:
@@ -317,12 +367,9 @@ def train(coded: DataFrame, shape: Shape) -> Model:
 
         def count(batches: Iterator[pa.RecordBatch], broadcast=broadcast) -> Iterator[pa.RecordBatch]:
             now, sums = broadcast.value, np.zeros(k + k * k + m * k)
-            for batch in batches:
-                for at in range(0, len(batch), _PART):
-                    symbols, start, length, _ = _stretches(batch.column(0).slice(at, _PART), shape.stretch)
-                    if len(start):
-                        first, moves, emits, _ = expected_counts(symbols, start, length, now)
-                        sums += np.concatenate([first, moves.ravel(), emits.ravel()])
+            for batch in row_slices(batches, "classes", _CODED_BYTES):
+                first, moves, emits, _ = expected_counts(stretches(batch.column("classes"), shape.stretch), now)
+                sums += np.concatenate([first, moves.ravel(), emits.ravel()])
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_pydict({"place": at, "value": sums[at]})
 
@@ -356,14 +403,11 @@ def score(docs: DataFrame, shape: Shape = Shape(), block_bytes: int = BLOCK_BYTE
     broadcast = docs.sparkSession.sparkContext.broadcast(train(coded, shape))
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), _PART):
-                part = batch.slice(at, _PART)
-                symbols, start, length, row = _stretches(part.column("classes"), shape.stretch)
-                logs = log_likelihoods(symbols, start, length, row, len(part), broadcast.value)
-                score = logs / np.log(10) + np.asarray(part.column("within"))
-                kept = {c: part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}
-                yield pa.RecordBatch.from_pydict(kept | {"score": score})
+        for part in row_slices(batches, "classes", _CODED_BYTES):
+            logs = log_likelihoods(stretches(part.column("classes"), shape.stretch), len(part), broadcast.value)
+            score = logs / np.log(10) + np.asarray(part.column("within"))
+            kept = {c: part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}
+            yield pa.RecordBatch.from_pydict(kept | {"score": score})
 
     scored = coded.mapInArrow(likelihood, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(vocabulary.tokens).cast("long"))

@@ -53,9 +53,17 @@ def block_count(docs: DataFrame, block_bytes: int) -> int:
     return max(1, -(-int(total) // block_bytes))
 
 
+TASK_BYTES = 64 << 20
+
+
 def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Adds `block`: documents dealt by a hash into blocks of bounded size, hot sources or not."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(block_count(docs, block_bytes))).cast("int"))
+    """Adds `block`: documents dealt by a hash into blocks of about block_bytes, hot sources or not, and shuffled by it.
+
+    The number of partitions follows the input, about TASK_BYTES for each. Rows equal in id and text share a block.
+    """
+    blocks = block_count(docs, block_bytes)
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    return dealt.repartition(max(blocks * block_bytes // TASK_BYTES, min(blocks, dealt.sparkSession.sparkContext.defaultParallelism)), "block")
 
 
 #: A key is heavy if more than one in so many rows has it, so there are fewer heavy keys than this.

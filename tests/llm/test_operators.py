@@ -523,14 +523,55 @@ def test_language_model(docs, texts):
         assert r.score == pytest.approx(brute_forward(within[d][1], model) / math.log(10) + within[d][0], rel=1e-9)
 
 
-def test_training_raises_the_likelihood(docs):
-    shape = hmm_lm.Shape(states=3, frequent=50, endings=40, passes=1, stretch=16)
-    coded, _ = hmm_lm.encoded(docs, shape)
-    column = pa.array([r.classes for r in coded.filter("not held_out").collect()], pa.binary())
-    symbols, start, length, _ = hmm_lm._stretches(column, 16)
-    before = hmm_lm.expected_counts(symbols, start, length, hmm_lm.first_model(shape))[3]
-    after = hmm_lm.expected_counts(symbols, start, length, hmm_lm.train(coded, shape))[3]
-    assert after > before
+def brute_counts(texts, model):
+    """Expected starts, moves and emissions by forward and backward recursion over each whole text."""
+    k = len(model.start)
+    first, moves, emits, log = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
+    for classes in texts:
+        alphas, scales = [], []
+        for t, c in enumerate(classes):
+            now = (alphas[-1] @ model.move if t else model.start) * model.emit[c]
+            scales.append(now.sum())
+            alphas.append(now / now.sum())
+        betas = [np.ones(k)]
+        for t in range(len(classes) - 1, 0, -1):
+            betas.insert(0, model.move @ (model.emit[classes[t]] * betas[0]) / scales[t])
+        for t, c in enumerate(classes):
+            emits[c] += alphas[t] * betas[t]
+            if t:
+                moves += np.outer(alphas[t - 1], model.emit[c] * betas[t] / scales[t]) * model.move
+        first += alphas[0] * betas[0]
+        log += np.log(scales).sum()
+    return first, moves, emits, log
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 500])
+@pytest.mark.parametrize("part", [5, 1 << 19])
+def test_expected_counts_are_those_of_whole_texts(size, part, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "_PART", part)
+    rng, shape = np.random.default_rng(1), hmm_lm.Shape(states=3, frequent=6, endings=5)
+    texts = [rng.integers(0, shape.classes, n).astype("<i2") for n in (1, 2, 5, 16, 17, 40, 1, 3)]
+    start = hmm_lm.first_model(shape)
+    model = hmm_lm.Model(np.array([0.5, 0.3, 0.2]), start.move + rng.random((3, 3)) * 0.1, start.emit)
+    model = hmm_lm.Model(model.start, model.move / model.move.sum(axis=1, keepdims=True), model.emit)
+    cut = hmm_lm.stretches(pa.array([t.tobytes() for t in texts], pa.binary()), size)
+    for got, want in zip(hmm_lm.expected_counts(cut, model), brute_counts(texts, model)):
+        assert got == pytest.approx(want)
+    assert hmm_lm.log_likelihoods(cut, len(texts), model) == pytest.approx([brute_forward(t, model) for t in texts])
+
+
+def test_training_is_baum_welch(docs):
+    """One pass over the partitions is one step by brute force over all training texts, and raises the likelihood."""
+    shape = hmm_lm.Shape(states=2, frequent=20, endings=10, passes=1, stretch=16)
+    coded, _ = hmm_lm.encoded(docs, shape, block_bytes=50_000)
+    texts = [np.frombuffer(r.classes, "<i2") for r in coded.filter("not held_out").collect()]
+    first, moves, emits, before = brute_counts(texts, hmm_lm.first_model(shape))
+    model, k, m = hmm_lm.train(coded, shape), shape.states, shape.classes
+    share = (emits.sum(axis=1) + 1) / (emits.sum() + m)
+    assert model.start == pytest.approx((first + 1e-3) / (first + 1e-3).sum())
+    assert model.move == pytest.approx((moves + 1e-3) / (moves + 1e-3).sum(axis=1, keepdims=True))
+    assert model.emit == pytest.approx((emits + 10 * share[:, None]) / (emits + 10 * share[:, None]).sum(axis=0))
+    assert sum(brute_forward(t, model) for t in texts) > before
 
 
 def test_language_model_beats_counts_on_held_out_text(docs):
