@@ -249,41 +249,52 @@ def stretches(column: pa.Array, size: int) -> Stretches:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / x.sum(axis=-1, keepdims=True)
+    return x / x.sum(axis=0)
+
+
+#: Steps between scalings of the transfer matrices.
+_SCALED = 16
 
 
 def transfers(part: Stretches, model: Model) -> np.ndarray:
-    """For every stretch the matrix, up to a factor, from the states entering it to the states at its end."""
+    """For every stretch (last axis) the matrix, up to a factor, from states entering it (second axis) to those at its end (first)."""
     order = np.argsort(-part.length, kind="stable")
     start, length, k = part.start[order], part.length[order], len(model.start)
-    out = np.empty((len(order), k, k))
+    out, emit = np.empty((k, k, len(order))), np.ascontiguousarray(model.emit.T)
     if len(order):
-        out[:] = np.eye(k) * model.emit[part.symbols[start]][:, None, :]
-        for t in range(1, int(length[0])):
+        now = np.eye(k)[:, :, None] * emit[:, part.symbols[start]][:, None, :]
+        for t in range(1, int(length[0]) + 1):
             n = int(np.searchsorted(-length, -t))
-            now = (out[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[part.symbols[start[:n] + t]][:, None, :]
-            out[:n] = now / now.sum(axis=(1, 2))[:, None, None]
+            if n < now.shape[2]:
+                out[:, :, n : now.shape[2]] = now[:, :, n:]
+                now = np.ascontiguousarray(now[:, :, :n])
+            if n:
+                now = (model.move.T @ now.reshape(k, k * n)).reshape(k, k, n) * emit[:, part.symbols[start[:n] + t]][:, None, :]
+                if t % _SCALED == 0:
+                    now /= now.sum(axis=(0, 1))
+    out /= out.sum(axis=(0, 1))
     back = np.empty_like(out)
-    back[order] = out
+    back[:, :, order] = out
     return back
 
 
 def rims(part: Stretches, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(states entering each stretch, weights of the states at its end for what follows), up to factors."""
+    """(states entering each stretch, weights of the states at its end for what follows), up to factors, states first."""
     n, k = len(part.row), len(model.start)
-    enters, leaves = np.tile(model.start, (n, 1)), np.ones((n, k))
+    enters, leaves = np.tile(model.start[:, None], (1, n)), np.ones((k, n))
     first = np.flatnonzero(np.concatenate([[True], part.row[1:] != part.row[:-1]])) if n else np.empty(0, np.int64)
     count = np.diff(np.append(first, n))
     first, count = first[count > 1], count[count > 1]
     if len(first):
         several = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        matrices = np.empty((n, k, k))
-        matrices[several] = transfers(part[several], model)
+        where = np.empty(n, np.int64)
+        where[several] = np.arange(len(several))
+        matrices = transfers(part[several], model)
         for nth in range(1, int(count.max())):
             at = first[count > nth] + nth
-            enters[at] = _unit(np.einsum("ni,nij->nj", enters[at - 1], matrices[at - 1]) @ model.move)
+            enters[:, at] = _unit(model.move.T @ np.einsum("jin,in->jn", matrices[:, :, where[at - 1]], enters[:, at - 1]))
             at = (first + count - 1)[count > nth] - nth
-            leaves[at] = _unit(np.einsum("nij,nj->ni", matrices[at + 1], leaves[at + 1]) @ model.move.T)
+            leaves[:, at] = _unit(model.move @ np.einsum("jin,jn->in", matrices[:, :, where[at + 1]], leaves[:, at + 1]))
     return enters, leaves
 
 
@@ -293,13 +304,13 @@ def _forward(part: Stretches, enters: np.ndarray, model: Model):
     active = np.searchsorted(-part.length, -np.arange(steps + 1), "left")
     place = np.concatenate([[0], np.cumsum(active[:steps])])
     seen = np.concatenate([part.symbols[part.start[: active[t]] + t] for t in range(steps)])
-    emit = model.emit[seen]
-    alpha, scale, ones = np.empty_like(emit), np.empty(len(seen)), np.ones(len(model.start))
+    emit = np.ascontiguousarray(model.emit.T)[:, seen]
+    alpha, scale = np.empty_like(emit), np.empty(len(seen))
     for t in range(steps):
         a, n = place[t], active[t]
-        now = (alpha[place[t - 1] : place[t - 1] + n] @ model.move if t else enters[:n]) * emit[a : a + n]
-        scale[a : a + n] = now @ ones
-        np.divide(now, scale[a : a + n, None], out=alpha[a : a + n])
+        now = (model.move.T @ alpha[:, place[t - 1] : place[t - 1] + n] if t else enters[:, :n]) * emit[:, a : a + n]
+        now.sum(axis=0, out=scale[a : a + n])
+        np.divide(now, scale[a : a + n], out=alpha[:, a : a + n])
     return active, place, seen, emit, alpha, scale
 
 
@@ -320,34 +331,35 @@ def expected_counts(part: Stretches, model: Model) -> tuple[np.ndarray, np.ndarr
     head = np.concatenate([[True], part.row[1:] != part.row[:-1]])
     for at in _long_to_short(part):
         own = part[at]
-        active, place, seen, emit, alpha, scale = _forward(own, enters[at], model)
+        active, place, seen, emit, alpha, scale = _forward(own, enters[:, at], model)
         log += float(np.log(scale).sum())
         last = place[own.length - 1] + np.arange(len(at))
-        ends[at] = alpha[last]
-        out = leaves[at] / (alpha[last] * leaves[at]).sum(axis=1, keepdims=True)
-        beta, after = np.empty_like(alpha), emit / scale[:, None]
+        ends[:, at] = alpha[:, last]
+        out = leaves[:, at] / (alpha[:, last] * leaves[:, at]).sum(axis=0)
+        beta, after = np.empty_like(alpha), np.divide(emit, scale, out=emit)
         for t in range(len(active) - 2, -1, -1):
             a, n, longer = place[t], active[t], active[t + 1]
-            beta[a + longer : a + n] = out[longer:n]
+            beta[:, a + longer : a + n] = out[:, longer:n]
             if longer:
                 b = place[t + 1]
-                np.matmul(after[b : b + longer], model.move.T, out=beta[a : a + longer])
-                moves += alpha[a : a + longer].T @ after[b : b + longer]
-            after[a : a + n] *= beta[a : a + n]
-        firsts[at] = after[: len(at)]
-        gamma = alpha * beta
-        first += gamma[: len(at)][head[at]].sum(axis=0)
+                later = after[:, b : b + longer]
+                beta[:, a : a + longer] = model.move @ later
+                moves += alpha[:, a : a + longer] @ later.T
+            after[:, a : a + n] *= beta[:, a : a + n]
+        firsts[:, at] = after[:, : len(at)]
+        gamma = np.multiply(alpha, beta, out=beta)
+        first += gamma[:, : len(at)][:, head[at]].sum(axis=1)
         for s in range(k):
-            emits[:, s] += np.bincount(seen, weights=gamma[:, s], minlength=m)
+            emits[:, s] += np.bincount(seen, weights=gamma[s], minlength=m)
     inner = np.flatnonzero(~head)
-    return first, (moves + ends[inner - 1].T @ firsts[inner]) * model.move, emits, log
+    return first, (moves + ends[:, inner - 1] @ firsts[:, inner].T) * model.move, emits, log
 
 
 def log_likelihoods(part: Stretches, rows: int, model: Model) -> np.ndarray:
     """Natural log of each text's probability."""
     out, (enters, _) = np.zeros(rows), rims(part, model)
     for at in _long_to_short(part):
-        active, _, _, _, _, scale = _forward(part[at], enters[at], model)
+        active, _, _, _, _, scale = _forward(part[at], enters[:, at], model)
         owner = np.concatenate([part.row[at[:n]] for n in active[:-1]])
         out += np.bincount(owner, weights=np.log(scale), minlength=rows)
     return out
