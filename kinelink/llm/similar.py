@@ -1,9 +1,11 @@
 """Links between texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
 
 Twenty bands of five minhashes bring texts together (a pair at similarity s meets with probability
-1 - (1 - s^5)^20, 0.9996 at 0.8); every pair that meets is decided by its exact similarity, unless its fingerprints are
-linked. In each bucket all texts are first compared with one of them; only pairs with or between those not linked to it
-follow, whose number grows with the square of what is alike but below the similarity. Shingles are told apart by 64-bit hashes of folded words; a text of fewer words is one shingle.
+1 - (1 - s^5)^20, 0.9996 at 0.8). In a bucket of up to `ALL_PAIRS` different texts every pair is decided by its exact
+similarity; in a larger one every text is compared with two of it, the most central (its buckets are the fullest) and one by
+chance, so the work is linear in the texts. Links are the edges of components, so of many alike texts the two serve all; what
+can be missed is a text that is alike only with texts other than those two in every bucket that they share. Shingles are
+told apart by 64-bit hashes of folded words; a text of fewer words is one shingle.
 
 Nulls: a null text, like an empty one, has no shingle and no link.
 """
@@ -25,6 +27,9 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
 SEED = 42
+ALL_PAIRS = 8
+#: Keys of texts that are broadcast, at most; more meet by shuffle.
+BROADCAST_KEYS = 1_000_000
 _A, _B = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), W.U64)
 _A |= W.U64(1)
 
@@ -77,33 +82,44 @@ def _alike(similarity: float) -> Column:
     return common >= similarity * (F.size("x") + F.size("y") - common)
 
 
+def _compared(members: DataFrame) -> DataFrame:
+    """(a, b, with fingerprints): the pairs of texts to decide, a the one that others are compared with."""
+    one, small = F.struct("key", "fp", "size"), F.col("crowd") <= ALL_PAIRS
+    few = members.filter(small).groupBy("bucket").agg(F.collect_list(one).alias("all"))
+    every = few.select(F.explode("all").alias("lead"), "all").select("lead", F.explode("all").alias("own")).filter("lead.key < own.key")
+    many = checkpointed(members.filter(~small))
+    central = F.max_by(one, F.struct("score", "key"))
+    leads = many.groupBy("bucket").agg(central.alias("central"), F.min_by(one, F.xxhash64("bucket", "key")).alias("chance"), F.count(F.lit(1)).alias("n"))
+    two = heavy_join(many.select("bucket", one.alias("own")), checkpointed(leads.select("bucket", F.array_distinct(F.array("central", "chance")).alias("leads"), "n")), "bucket", "n")
+    two = two.select(F.explode("leads").alias("lead"), "own").filter("lead.key <> own.key")
+    return every.unionByName(two)
+
+
+def _chosen_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, shingles) of the texts wanted by doc_id and key; the texts move only if there are too many to broadcast their keys."""
+    chosen = checkpointed(wanted)
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text").alias("d")
+    same = (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+    return checkpointed(keyed.join(chosen.alias("w"), same).select("d.key", "text").mapInArrow(_shingled, "key long, shingles array<long>").dropDuplicates(["key"]))
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, bits: int, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): fingerprints more than `bits` bits apart of texts that are similar.
 
     prints, checkpointed, has doc_id, key (of the text), fp, size and bands of every row.
     """
-    met = prints.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("bands").alias("bands"))
-    met = checkpointed(met.select("key", "doc_id", "fp", "size", F.explode("bands").alias("bucket")))
-    lead = F.struct("fp", "key", "size")
-    shared = checkpointed(met.groupBy("bucket").agg(F.min(lead).alias("lead"), F.max("fp").alias("most"), F.count(F.lit(1)).alias("n")).filter(F.col("lead.fp") < F.col("most")).drop("most"))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) > bits
-    members = checkpointed(heavy_join(met, shared.select("bucket", "lead", "n"), "bucket", "n").withColumn("far", far))
-    pairs = members.filter(F.col("far") & _near("size", "lead.size", similarity))
-    pairs = checkpointed(pairs.select(F.col("lead.key").alias("a"), F.col("key").alias("b"), F.col("lead.fp").alias("a_fp"), F.col("fp").alias("b_fp")).distinct())
-    # texts with a linked fingerprint only need no shingles
-    wanted = members.join(members.filter("far").select("bucket").distinct(), "bucket", "left_semi").select("key", "doc_id").distinct()
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text").alias("d")
-    same = (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    sets = checkpointed(keyed.join(wanted.alias("w"), same).select("d.key", "text").mapInArrow(_shingled, "key long, shingles array<long>").dropDuplicates(["key"]))
+    texts = checkpointed(prints.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("bands").alias("bands")))
+    met = checkpointed(texts.select("key", "fp", "size", F.explode("bands").alias("bucket")))
+    crowds = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("_lo"), F.max("fp").alias("_hi")).filter("_lo < _hi")
+    members = checkpointed(heavy_join(met, checkpointed(crowds.select("bucket", "n", F.col("n").alias("crowd"))), "bucket", "n"))
+    scores = members.groupBy("key").agg(F.sum("crowd").alias("score"))
+    pairs = _compared(members.join(scores, "key"))
+    far = F.bit_count(F.col("lead.fp").bitwiseXOR(F.col("own.fp"))) > bits
+    pairs = checkpointed(pairs.filter(far & _near("own.size", "lead.size", similarity)).select(F.col("lead.key").alias("a"), F.col("own.key").alias("b"), F.col("lead.fp").alias("a_fp"), F.col("own.fp").alias("b_fp")).distinct())
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = _chosen_sets(docs, texts.select("key", "doc_id").join(wanted, "key"))
     leads = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
     others = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    found = checkpointed(heavy_join(pairs, leads, "a", "n").join(others, "b").filter(_alike(similarity)).select("a", "b", "a_fp", "b_fp"))
-    own = members.select("bucket", "key", "fp", "size", "far", F.col("lead.key").alias("a"))
-    apart = own.filter("far").join(found.select("a", F.col("b").alias("key")), ["a", "key"], "left_anti").select("bucket", "key", "fp", "size")
-    apart = checkpointed(apart)
-    every = members.select("bucket", F.col("key").alias("b"), F.col("fp").alias("b_fp"), F.col("size").alias("b_size"))
-    rest = apart.select("bucket", F.col("key").alias("a"), F.col("fp").alias("a_fp"), F.col("size").alias("a_size")).join(every, "bucket")
-    rest = rest.filter((F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) > bits) & _near("a_size", "b_size", similarity))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_fp")).otherwise(F.col("b_fp")).alias("a_fp"), F.when(F.col("a") < F.col("b"), F.col("b_fp")).otherwise(F.col("a_fp")).alias("b_fp")).distinct()
-    more = rest.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(others, "b").filter(_alike(similarity))
-    return found.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).unionByName(more.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))).distinct()
+    found = heavy_join(pairs, checkpointed(leads), "a", "n").join(others, "b").filter(_alike(similarity))
+    return found.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
