@@ -88,17 +88,17 @@ def _switch(tight: np.ndarray, match: np.ndarray, row: int, col: int) -> np.ndar
 
 
 def greedy(scores: np.ndarray) -> np.ndarray:
-    """Rows with the widest lead choose first; a single column's lead is its score."""
-    out, taken = np.full(len(scores), -1), set()
-    order = np.argsort(-scores, axis=1, kind="stable")
-    lead = [scores[r, o[0]] - (scores[r, o[1]] if len(o) > 1 else 0.0) if len(o) else -np.inf for r, o in enumerate(order)]
-    for r in sorted(range(len(scores)), key=lambda r: (-lead[r], r)):
-        for c in order[r]:
-            if int(c) not in taken:
-                out[r] = c
-                taken.add(int(c))
-                break
-    return out
+    """Rows with the widest lead choose first; a single column's lead is its score. -1 where no column is left."""
+    n, m = scores.shape
+    if not m:
+        return np.full(n, -1)
+    best = np.sort(scores, axis=1)[:, ::-1]
+    turn = np.lexsort((np.arange(n), -(best[:, 0] - best[:, 1] if m > 1 else best[:, 0])))
+    open_scores, chosen = scores.astype(float), np.full(n, -1)
+    for row in turn[:m]:
+        chosen[row] = np.argmax(open_scores[row])
+        open_scores[:, chosen[row]] = -np.inf
+    return chosen
 
 
 SOLVERS = {"hungarian": hungarian, "greedy": greedy}

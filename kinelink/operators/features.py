@@ -13,7 +13,7 @@ from kinelink.functions import layouts as L
 from kinelink.functions import randoms as R
 from kinelink.functions import vectors as V
 from kinelink.operators.grouped import per_series
-from kinelink.operators.series import derivatives
+from kinelink.operators.series import derivatives, diff_zero, moving_average, over, unwrap
 
 _EPS = 1e-8
 
@@ -50,32 +50,53 @@ def turn(x: np.ndarray) -> np.ndarray:
 
 
 # COCO joint numbers of the arm tokens and the image size.
-_LS, _RS, _LE, _LW, _LH, _RH = 5, 6, 7, 9, 11, 12
+_LS, _LH, _RH = 5, 11, 12
+_ARM = {"ls": _LS, "rs": 6, "le": 7, "lw": 9, "lh": _LH, "rh": _RH}
 SCREEN = (1920.0, 1080.0)
 
 
-def arm_tokens(pixels: np.ndarray, kernel: int = 9) -> np.ndarray:
-    """Four tokens of twelve numbers per frame: upper arm, forearm, their relation, body context."""
-    p = smooth(pixels[..., :2] / np.array(SCREEN), kernel)
-    across = p[:, _RS] - p[:, _LS]
-    scale = np.maximum(size(across), 0.05)[:, None]
-    e1 = across / np.maximum(size(across), _EPS)[:, None]
-    e2 = np.stack([-e1[:, 1], e1[:, 0]], axis=-1)
-    local = lambda v: np.stack([(v * e1).sum(-1), (v * e2).sum(-1)], axis=-1) / scale
-    trunk = ((p[:, _LH] + p[:, _RH]) / 2 + (p[:, _LS] + p[:, _RS]) / 2) / 2
-    upper, fore, wrist, centre = (local(v) for v in (p[:, _LE] - p[:, _LS], p[:, _LW] - p[:, _LE], p[:, _LW] - p[:, _LS], trunk - p[:, _LS]))
-    angle = lambda v: turn(np.arctan2(v[:, 1], v[:, 0]))
-    bend = turn(angle(fore) - angle(upper))
-    bending = step(bend)
-    out = np.zeros((len(p), 4, 12))
-    for k, bone in enumerate((upper, fore)):
-        out[:, k, :8] = np.column_stack([unit(bone), size(bone), step(bone), size(step(bone, 2)), bending if k else np.zeros(len(p)), np.ones(len(p))])
-    u, f = unit(upper), unit(fore)
-    gap = wrist - upper - fore
-    ratio = np.log(np.clip(np.maximum(size(upper), 1e-4) / np.maximum(size(fore), 1e-4), 1e-3, 1e3))
-    out[:, 2] = np.column_stack([(u * f).sum(-1), u[:, 0] * f[:, 1] - u[:, 1] * f[:, 0], np.cos(bend), np.sin(bend), ratio, gap, size(gap), wrist, np.abs(bending), np.ones(len(p))])
-    out[:, 3, :8] = np.column_stack([p[:, _LS], centre, step(centre), scale[:, 0], np.ones(len(p))])
-    return out
+def arm_tokens(df: DataFrame, keys: list[str], order: str, joints: str, kernel: int = 9) -> DataFrame:
+    """(keys, order, features): four tokens of twelve numbers per frame: upper arm, forearm, their relation, body context.
+
+    One plan: the joints used are smoothed, turned into the shoulders' frame, their angles unwrapped and differences taken by
+    windows over one partitioning; the tokens are arrays of these columns, filled with zeros.
+    """
+    out = df.select(*keys, order, *((F.get(joints, F.lit(j))[a] / size_).alias(f"{n}_{a}") for n, j in _ARM.items() for a, size_ in zip("xy", SCREEN)))
+    for n in _ARM if kernel > 1 else ():
+        for a in "xy":
+            out = moving_average(out, keys, [order], f"{n}_{a}", kernel, f"{n}_{a}")
+    xy = lambda n: (F.col(f"{n}_x"), F.col(f"{n}_y"))
+    less = lambda p, q: (p[0] - q[0], p[1] - q[1])
+    half = lambda p, q: ((p[0] + q[0]) / 2, (p[1] + q[1]) / 2)
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1]
+    cross = lambda p, q: p[0] * q[1] - p[1] * q[0]
+    long = lambda p: F.sqrt(dot(p, p))
+    across = less(xy("rs"), xy("ls"))
+    out = out.withColumn("_width", long(across)).withColumn("scale", F.greatest("_width", F.lit(0.05)))
+    axis = tuple(c / F.greatest(F.col("_width"), F.lit(_EPS)) for c in across)
+    trunk = half(half(xy("lh"), xy("rh")), half(xy("ls"), xy("rs")))
+    spans = {"upper": less(xy("le"), xy("ls")), "fore": less(xy("lw"), xy("le")), "wrist": less(xy("lw"), xy("ls")), "centre": less(trunk, xy("ls"))}
+    # along the shoulders and square to them, in shoulder widths
+    out = out.withColumns({f"{n}_{a}": f(axis, v) / F.col("scale") for n, v in spans.items() for a, f in (("x", dot), ("y", cross))})
+    for n in ("upper", "fore"):
+        out = unwrap(out.withColumn("_angle", F.atan2(f"{n}_y", f"{n}_x")), keys, [order], "_angle", F.lit(True), name=f"{n}_angle")
+    out = unwrap(out.withColumn("_angle", F.col("fore_angle") - F.col("upper_angle")), keys, [order], "_angle", F.lit(True), name="bend")
+    out = diff_zero(out, keys, [order], "bend", name="bending")
+    for n in ("upper", "fore", "centre"):
+        for a in "xy":
+            out = diff_zero(diff_zero(out, keys, [order], f"{n}_{a}", name=f"{n}_step_{a}"), keys, [order], f"{n}_{a}", 2, f"{n}_turn_{a}")
+    unit_of = lambda n: tuple(c / F.greatest(long(xy(n)), F.lit(_EPS)) for c in xy(n))
+    one, none, u, f = F.lit(1.0), F.lit(0.0), unit_of("upper"), unit_of("fore")
+    bone = lambda n, bending: [*unit_of(n), long(xy(n)), *xy(f"{n}_step"), long(xy(f"{n}_turn")), bending, one]
+    gap = less(less(xy("wrist"), xy("upper")), xy("fore"))
+    ratio = F.log(F.least(F.greatest(F.greatest(long(xy("upper")), F.lit(1e-4)) / F.greatest(long(xy("fore")), F.lit(1e-4)), F.lit(1e-3)), F.lit(1e3)))
+    tokens = [
+        bone("upper", none),
+        bone("fore", F.col("bending")),
+        [dot(u, f), cross(u, f), F.cos("bend"), F.sin("bend"), ratio, *gap, long(gap), *xy("wrist"), F.abs("bending"), one],
+        [*xy("ls"), *xy("centre"), *xy("centre_step"), F.col("scale"), one],
+    ]
+    return out.select(*keys, order, F.array(*(x for t in tokens for x in t + [none] * (12 - len(t)))).alias("features"))
 
 
 def raw_pose(pixels: np.ndarray, kernel: int = 9) -> np.ndarray:
@@ -159,9 +180,11 @@ def h36m_features(xyz: np.ndarray, mode: str = "h36m3d", kernel: int = 9) -> np.
 
 def skeleton_features(df: DataFrame, keys: list[str], order: str, joints: str, mode: str, kernel: int = 9) -> DataFrame:
     """(keys, order, features): 'tokens', 'raw72' or one of the H36M modes; whole series or windows, as the keys say."""
-    made = {"tokens": lambda p: arm_tokens(p, kernel).reshape(len(p), -1), "raw72": lambda p: raw_pose(p, kernel)}.get(mode) or (lambda p: h36m_features(p, mode, kernel))
-    if mode not in ("tokens", "raw72"):
+    if mode == "tokens":
+        return arm_tokens(df, keys, order, joints, kernel)
+    if mode != "raw72":
         h36m_width(mode)
+    made = (lambda p: raw_pose(p, kernel)) if mode == "raw72" else (lambda p: h36m_features(p, mode, kernel))
     flat = df.select(*keys, order, F.flatten(F.transform(joints, lambda p: F.array(p["x"], p["y"], p["z"]))).alias("_p"))
 
     def features(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -172,43 +195,56 @@ def skeleton_features(df: DataFrame, keys: list[str], order: str, joints: str, m
     return per_series(flat, keys, [order], features, ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "features array<double>"]))
 
 
-def motion_figures(points: np.ndarray, edges: list[tuple[int, int]], wrists: tuple[int, int], lags: int = 8) -> tuple[float, ...]:
-    """Energy, largest speed, acceleration, jerk, active and simultaneous shares, entropy, periodicity, scale."""
-    own = points - points[:, :1]
-    bones = np.stack([size(own[:, a] - own[:, b]) for a, b in edges], axis=-1)
-    good = bones[np.isfinite(bones) & (bones > 1e-8)]
-    scale = float(np.median(good)) if len(good) else 1.0
-    v = np.diff(own, axis=0)
-    speed, acc, jerk = (size(x) / scale for x in (v, np.diff(v, axis=0), np.diff(v, n=2, axis=0)))
-    limit = np.quantile(speed, 0.75)
-    on = speed > limit
-    wrist = speed[:, list(wrists)].mean(axis=1)
-    power = np.abs(np.fft.rfft(wrist - wrist.mean()))[1:] ** 2
-    share = power / power.sum() if power.sum() > 0 else np.empty(0)
-    peaks = [0.0]
-    for lag in range(1, lags + 1):
-        a, b = wrist[lag:], wrist[: len(wrist) - lag]
-        if len(a) >= 5 and a.std() > 0 and b.std() > 0:
-            peaks.append(abs(float(np.corrcoef(a, b)[0, 1])))
-    return float(speed.mean()), float(speed.max()), float(acc.mean()), float(jerk.mean()), float(on.mean()), float((on.mean(axis=1) >= 0.5).mean()), float(-(share * np.log(share + 1e-12)).sum()), max(peaks), scale
+MOTION = ("motion_energy", "max_speed", "acceleration_energy", "jerk_energy", "active_ratio", "simultaneous_ratio", "spectral_entropy", "periodicity", "scale")
 
 
-MOTION = ("motion_energy", "max_speed", "acceleration_energy", "jerk_energy", "active_ratio", "simultaneous_ratio", "spectral_entropy", "periodicity", "scale")
+@F.pandas_udf("struct<entropy:double,periodicity:double>")
+def wrist_rhythm(speeds: pd.Series) -> pd.DataFrame:
+    """Entropy of a speed's spectrum and its largest absolute correlation with itself at lags 1 to 8 (five samples or more)."""
+    out = np.zeros((len(speeds), 2))
+    sizes = np.fromiter(map(len, speeds), np.int64, len(speeds))
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        at = np.flatnonzero(sizes == n)
+        x = np.stack([np.asarray(speeds.iloc[i], float) for i in at])
+        power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1))[:, 1:] ** 2
+        total = power.sum(axis=1, keepdims=True)
+        share = power / np.where(total > 0, total, 1.0)
+        out[at, 0] = np.where(total[:, 0] > 0, -(share * np.log(share + 1e-12)).sum(axis=1), 0.0)
+        for lag in range(1, min(8, n - 5) + 1):
+            a, b = x[:, lag:] - x[:, lag:].mean(axis=1, keepdims=True), x[:, :-lag] - x[:, :-lag].mean(axis=1, keepdims=True)
+            spread = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+            out[at, 1] = np.maximum(out[at, 1], np.where(spread > 0, np.abs((a * b).sum(axis=1)) / np.where(spread > 0, spread, 1.0), 0.0))
+    return pd.DataFrame(out, columns=["entropy", "periodicity"])
 
 
 def motion_complexity(df: DataFrame, keys: list[str], order: str, joints: str, wrists: tuple[int, int] = (13, 16), two_d: bool = False) -> DataFrame:
-    """(keys, figures): one row per series of four frames or more."""
-    edges = [(i, p) for i, p in enumerate(L.H36M_PARENTS) if p >= 0]
-    flat = df.select(*keys, order, F.flatten(F.transform(joints, lambda p: F.array(p["x"], p["y"], F.lit(0.0) if two_d else p["z"]))).alias("_p"))
-
-    def figures(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 4:
-            return pd.DataFrame(columns=[*keys, *MOTION])
-        p = np.array(pdf["_p"].tolist(), float).reshape(len(pdf), 17, 3)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *motion_figures(p, edges, wrists)]], columns=[*keys, *MOTION])
+    """(keys, figures): one row per series of four frames or more.
 
-    types = dict(df.dtypes)
-    return per_series(flat, keys, [order], figures, ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{n} double" for n in MOTION)]))
+    Joints stand relative to the root; everything is in median bone lengths, and numbers that are not finite are left
+    out of every figure (a frame whose wrists have none is out of the rhythm). A joint is active above the upper quartile of its series' speeds.
+    """
+    axes = "xy" if two_d else "xyz"
+    real = lambda c: F.when(F.abs(c) < float("inf"), c)
+    norm = lambda parts: F.sqrt(reduce(Column.__add__, (c * c for c in parts)))
+    at = lambda i, a: F.get(joints, F.lit(i))[a].cast("double")
+    lengths = F.array(*(norm([at(i, a) - at(p, a) for a in axes]) for i, p in enumerate(L.H36M_PARENTS) if p >= 0))
+    bones = df.select(*keys, F.explode(lengths).alias("_b")).filter("_b > 1e-8 and _b < double('inf')")
+    scale = bones.groupBy(*keys).agg(F.median("_b").alias("scale"))
+    size_ = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 4").join(scale, keys, "left").fillna(1.0, ["scale"])
+    each = df.select(*keys, order, *(at(0, a).alias(f"_root_{a}") for a in axes), F.posexplode(joints).alias("_j", "_q"))
+    each = each.select(*keys, order, "_j", *((F.col("_q")[a].cast("double") - F.col(f"_root_{a}")).alias(a) for a in axes)).join(size_, keys)
+    w, before = over([*keys, "_j"], [order]), list(axes)
+    for name in ("speed", "acc", "jerk"):
+        each = each.withColumns({f"_{name}_{a}": F.col(c) - F.lag(c).over(w) for a, c in zip(axes, before)})
+        before = [f"_{name}_{a}" for a in axes]
+        each = each.withColumn(name, real(norm(map(F.col, before)) / F.col("scale")))
+    moves = each.select(*keys, order, "_j", "scale", "speed", "acc", "jerk")
+    energy = moves.groupBy(*keys).agg(F.avg("speed").alias("motion_energy"), F.max("speed").alias("max_speed"), F.avg("acc").alias("acceleration_energy"), F.avg("jerk").alias("jerk_energy"), F.percentile("speed", 0.75).alias("_limit"), F.first("scale").alias("scale"))
+    per_frame = moves.filter("speed is not null").join(energy.select(*keys, "_limit"), keys).groupBy(*keys, order).agg(F.count_if(F.col("speed") > F.col("_limit")).alias("_on"), F.count(F.lit(1)).alias("_all"), F.avg(F.when(F.col("_j").isin(*wrists), F.col("speed"))).alias("_wrist"))
+    rhythm = F.array_sort(F.collect_list(F.when(F.col("_wrist").isNotNull(), F.struct(order, "_wrist"))))
+    active = per_frame.groupBy(*keys).agg((F.sum("_on") / F.sum("_all")).alias("active_ratio"), F.avg((2 * F.col("_on") >= F.col("_all")).cast("double")).alias("simultaneous_ratio"), rhythm.alias("_r"))
+    figures = active.withColumn("_w", wrist_rhythm(F.col("_r._wrist"))).select(*keys, "active_ratio", "simultaneous_ratio", F.col("_w.entropy").alias("spectral_entropy"), F.col("_w.periodicity").alias("periodicity"))
+    return energy.join(figures, keys).select(*keys, *MOTION)
 
 
 def augment_window(df: DataFrame, keys: list[str], order: str, imu: str, joints: str, seed: int, imu_noise: float = 0.0, channel_dropout: float = 0.0, joint_noise: float = 0.0, joint_dropout: float = 0.0) -> DataFrame:
