@@ -198,8 +198,7 @@ def skeleton_features(df: DataFrame, keys: list[str], order: str, joints: str, m
 MOTION = ("motion_energy", "max_speed", "acceleration_energy", "jerk_energy", "active_ratio", "simultaneous_ratio", "spectral_entropy", "periodicity", "scale")
 
 
-@F.pandas_udf("struct<entropy:double,periodicity:double>")
-def wrist_rhythm(speeds: pd.Series) -> pd.DataFrame:
+def rhythms(speeds: pd.Series) -> pd.DataFrame:
     """Entropy of a speed's spectrum and its largest absolute correlation with itself at lags 1 to 8 (five samples or more)."""
     out = np.zeros((len(speeds), 2))
     sizes = np.fromiter(map(len, speeds), np.int64, len(speeds))
@@ -243,7 +242,7 @@ def motion_complexity(df: DataFrame, keys: list[str], order: str, joints: str, w
     per_frame = moves.filter("speed is not null").join(energy.select(*keys, "_limit"), keys).groupBy(*keys, order).agg(F.count_if(F.col("speed") > F.col("_limit")).alias("_on"), F.count(F.lit(1)).alias("_all"), F.avg(F.when(F.col("_j").isin(*wrists), F.col("speed"))).alias("_wrist"))
     rhythm = F.array_sort(F.collect_list(F.when(F.col("_wrist").isNotNull(), F.struct(order, "_wrist"))))
     active = per_frame.groupBy(*keys).agg((F.sum("_on") / F.sum("_all")).alias("active_ratio"), F.avg((2 * F.col("_on") >= F.col("_all")).cast("double")).alias("simultaneous_ratio"), rhythm.alias("_r"))
-    figures = active.withColumn("_w", wrist_rhythm(F.col("_r._wrist"))).select(*keys, "active_ratio", "simultaneous_ratio", F.col("_w.entropy").alias("spectral_entropy"), F.col("_w.periodicity").alias("periodicity"))
+    figures = active.withColumn("_w", F.pandas_udf(rhythms, "struct<entropy:double,periodicity:double>")(F.col("_r._wrist"))).select(*keys, "active_ratio", "simultaneous_ratio", F.col("_w.entropy").alias("spectral_entropy"), F.col("_w.periodicity").alias("periodicity"))
     return energy.join(figures, keys).select(*keys, *MOTION)
 
 
