@@ -1,15 +1,31 @@
-"""Checkpoints in the shared folder."""
+"""Checkpoints and working tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Unset, a temporary folder where driver and tasks share one machine, else an error."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        given = tempfile.mkdtemp(prefix="checkpoints-")
+    return given
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df's rows, computed once and written to the session's spark.checkpoint.dir; a temporary folder where that is unset."""
+    """df's rows, computed once and written to the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

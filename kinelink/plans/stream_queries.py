@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelink.functions import layouts as L
+from kinelink.operators.storage import fresh_folder
 from kinelink.plans import standins as S
 from kinelink.plans.registry import query
 from kinelink.streaming import matching
 
 
-def _shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-
-
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     path = f"{sf}/{name}.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/{name}.parquet*")
@@ -25,7 +19,7 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _finish(stream: DataFrame) -> DataFrame:
     """All that the stream emits until its input ends, as a table in the shared folder."""
-    at = f"{_shared(stream.sparkSession)}/{uuid.uuid4().hex}"
+    at = fresh_folder(stream.sparkSession)
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 

@@ -114,8 +114,9 @@ def read_imu_csv_series(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_frame_timestamps(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(session, frame_id, ts_ms) of <session>_frame_timestamps files, the retimed one where there are both; frames count from 0."""
     raw = _csv(spark, paths)
-    name = F.regexp_extract("path", r"([^/]+?)_frame_timestamps(_retimed)?\.csv$", 1)
-    ranked = raw.withColumn("session", name).withColumn("_k", F.dense_rank().over(Window.partitionBy("session").orderBy(F.when(F.endswith("path", F.lit("_retimed.csv")), 0).otherwise(1))))
+    # a CSV that Spark wrote is a folder of parts
+    file = lambda g: F.regexp_extract("path", r"([^/=]+?)_frame_timestamps(_retimed)?\.csv(?:/[^/]*)?$", g)
+    ranked = raw.withColumn("session", file(1)).withColumn("_k", F.dense_rank().over(Window.partitionBy("session").orderBy(F.when(file(2) != "", 0).otherwise(1))))
     return ranked.filter("_k = 1").select("session", (F.col("frame_index").cast("long") - 1).alias("frame_id"), F.col("timestamp_ms").cast("double").alias("ts_ms"))
 
 
@@ -191,7 +192,9 @@ def read_pose_tracks(spark: SparkSession, path, policy: str = "expand") -> DataF
     number = _stem("image_id").try_cast("long")
     if policy == "expand":
         ids = F.from_json(F.when(F.startswith("idx", F.lit("[")), F.col("idx")).otherwise(F.concat(F.lit("["), "idx", F.lit("]"))), "array<bigint>")
-        rows = e.filter(whole).select("path", "ord", F.coalesce(number, F.lit(0)).alias("frame_id"), F.explode(ids).alias("track_id"), _xywh("box").alias("bbox"), "score", _joints().alias("joints"))
+        # the joints are made first: beside an explode the names inside a lambda's struct are lost
+        made = e.filter(whole).select("path", "ord", F.coalesce(number, F.lit(0)).alias("frame_id"), ids.alias("_ids"), _xywh("box").alias("bbox"), "score", _joints().alias("joints"))
+        rows = made.select("path", "ord", "frame_id", F.explode("_ids").alias("track_id"), "bbox", "score", "joints")
         w = Window.partitionBy("path", "frame_id", "track_id").orderBy(F.desc("ord"))
         return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
     if policy == "atomic":
@@ -255,9 +258,12 @@ def attach_gyro_sidecar(frames: DataFrame, sidecar: DataFrame, skip_missing: boo
     return joined.withColumn("acc", F.when(F.assert_true(F.col("acc").isNotNull(), F.concat(F.lit("no sidecar for "), "file")).isNull(), F.col("acc")))
 
 
-def read_run_records(spark: SparkSession, path, schema: str, completed_only: bool = False) -> DataFrame:
-    """Run records from JSON files in any depth; none at all is an error. completed_only also asks for a total above 0."""
-    records = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True).option("pathGlobFilter", "*.json").json(path).withColumn("path", F.col("_metadata.file_path"))
+def read_run_records(spark: SparkSession, path, schema: str, completed_only: bool = False, multi_line: bool = True) -> DataFrame:
+    """Run records from JSON files in any depth, one a file, or one a line without multi_line; none at all is an error.
+
+    completed_only also asks for a total above 0.
+    """
+    records = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", multi_line).option("pathGlobFilter", "*.json").json(path).withColumn("path", F.col("_metadata.file_path"))
     if records.isEmpty():
         raise ValueError(f"no run records under {path}")
     return records.filter("status = 'completed' and frame_acc.total > 0") if completed_only else records
@@ -317,10 +323,15 @@ def open_archive(raw: bytes) -> dict[str, np.ndarray]:
 _ARRAYS = "path string, array string, person_idx int, frame_idx long, frame_id long, values array<float>"
 
 
+def _contents(spark: SparkSession, path) -> DataFrame:
+    """(path, content) of files; a DataFrame with these columns stands for files that were read already."""
+    return path.select("path", "content") if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 def import_array_archive(spark: SparkSession, path, arrays: tuple[str, ...] = ("imu", "gt_skeleton", "gt_skeleton_meters", "extract_skeleton", "gt_bboxes")) -> DataFrame:
     """(path, array, person_idx, frame_idx, frame_id, values) of recordings' arrays, axis 0 time and axis 1 persons.
 
-    A two-dimensional array belongs to person 0. Arrow batches hold one file's rows at a time.
+    path: a path, or a table of path and content. A two-dimensional array belongs to person 0. Arrow batches hold one file's rows at a time.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,8 +348,7 @@ def import_array_archive(spark: SparkSession, path, arrays: tuple[str, ...] = ("
                     flat = a.reshape(t * n, -1)
                     yield pd.DataFrame({"path": name, "array": key, "person_idx": np.tile(np.arange(n, dtype=np.int32), t), "frame_idx": np.repeat(np.arange(t), n), "frame_id": np.repeat(ids, n), "values": list(flat)})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(decode, _ARRAYS)
+    return _contents(spark, path).mapInPandas(decode, _ARRAYS)
 
 
 def import_archive_metadata(spark: SparkSession, path) -> DataFrame:
@@ -351,7 +361,7 @@ def import_archive_metadata(spark: SparkSession, path) -> DataFrame:
                 plain = {k: v for k, v in data.items() if v.dtype.kind in "OUS" or v.ndim == 0 or v.ndim == 1 and v.size <= 64}
                 yield pd.DataFrame({"path": name, "key": list(plain), "value": [json.dumps(v.tolist(), ensure_ascii=False, default=str) for v in plain.values()]}, columns=["path", "key", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, key string, value string")
+    return _contents(spark, path).mapInPandas(decode, "path string, key string, value string")
 
 
 def read_person_cache(spark: SparkSession, path, sensor: str, sessions: list[str] | None = None) -> DataFrame:
@@ -373,8 +383,7 @@ def read_person_cache(spark: SparkSession, path, sensor: str, sessions: list[str
                 pose, mask = data["pose2d"].reshape(t, -1), data["pose2d_mask"].reshape(t, -1) > 0
                 yield pd.DataFrame({"session": session, "person_id": int(person), "frame_idx": np.arange(t), "acc": list(data["acc"][:, k].astype(np.float32)), "quat": list(data["quat"][:, k].astype(np.float32)), "pose2d": list(pose.astype(np.float32)), "visible": list(mask)})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(decode, "session string, person_id int, frame_idx long, acc array<float>, quat array<float>, pose2d array<float>, visible array<boolean>")
+    rows = _contents(spark, path).mapInPandas(decode, "session string, person_id int, frame_idx long, acc array<float>, quat array<float>, pose2d array<float>, visible array<boolean>")
     rows = rows if sessions is None else rows.filter(F.col("session").isin(sessions))
     ends = rows.groupBy("session", "person_id").agg(F.max("frame_idx").alias("_e")).groupBy("session").agg(F.min("_e").alias("_e"))
     return rows.join(ends, "session").filter("frame_idx <= _e").drop("_e")
