@@ -16,14 +16,20 @@ from kinelink.functions.vectors import col
 # The order of the four sensors in 48 numbers, and the named views.
 SENSORS48 = ("L_LowArm", "R_LowArm", "L_LowLeg", "R_LowLeg")
 VIEWS = {
+    "auto": L.CANONICAL7,
+    "canonical_7d": L.CANONICAL7,
+    "legacy_7d": L.CANONICAL7,
+    "acc_quat": L.CANONICAL7,
     "acc": L.ACC,
+    "acc_magnitude": ("acc_magnitude", "acc_magnitude_centered"),
+    "acc_changes": ("acc_dx", "acc_dy", "acc_dz", "acc_change_energy"),
     "gyro": L.GYRO,
-    "quat": L.QUAT,
+    "mag": ("mag_x", "mag_y", "mag_z"),
     "acc_gyro": L.ACC + L.GYRO,
-    "acc_quat": L.ACC + L.QUAT,
-    "gyro_quat": L.GYRO + L.QUAT,
     "acc_gyro_quat": L.ACC + L.GYRO + L.QUAT,
-    "canonical7": L.CANONICAL7,
+    "gyro_quat": L.GYRO + L.QUAT,
+    "legacy_48d": tuple(f"legacy_{i}" for i in range(48)),
+    "quat": L.QUAT,
 }
 
 

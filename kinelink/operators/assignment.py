@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -101,6 +103,8 @@ def greedy(scores: np.ndarray) -> np.ndarray:
     return chosen
 
 
+#: Groups up to this size can be solved by trying all permutations.
+SMALL = 4
 SOLVERS = {"hungarian": hungarian, "greedy": greedy}
 
 
@@ -158,20 +162,41 @@ def second_best_of():
 def assign(scores: DataFrame, group: list[str], row: str = "row", col: str = "col", score: str = "score", method: str = "hungarian") -> DataFrame:
     """(group, row, col, score): the chosen column of every row; an unmatched row has null."""
     solved = matrices(scores, group, row, col, score).withColumn("_a", assignment_of(method)("flat", F.size("cols")))
+    return _chosen(solved, group, row, col, score)
+
+
+def best_permutation(flat: str, rows: Column, cols: Column, n: int) -> Column:
+    """Column function: assigned column of each row of a matrix of at most n rows and columns, -1 for none, by trying all permutations.
+
+    A smaller matrix counts as one of n by n with zeros beyond its ends. Of equal sums the first permutation counts.
+    """
+    perms = list(permutations(range(n)))
+    table = F.array(*(F.array(*map(F.lit, p)) for p in perms))
+    cell = lambda p, r: F.when((r < rows) & (F.get(p, r) < cols), F.get(flat, r * cols + F.get(p, r))).otherwise(0.0)
+    total = lambda p: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda s, r: s + cell(p, r))
+    best = F.array_max(F.transform(table, lambda p, i: F.struct(F.round(total(p), 9).alias("s"), (-i).alias("i"))))
+    return F.transform(F.slice(F.get(table, -best["i"]), 1, rows), lambda c: F.when(c < cols, c).otherwise(-1))
+
+
+def _chosen(solved: DataFrame, group: list[str], row: str, col: str, score: str) -> DataFrame:
+    """(group, row, col, score) of matrices with their assignment _a."""
     each = solved.select(*group, "cols", "flat", F.posexplode(F.arrays_zip("rows", "_a")).alias("_i", "_x"))
-    chosen = F.when(F.col("_x._a") >= 0, F.col("_x._a"))
-    return each.select(*group, F.col("_x.rows").alias(row), F.get("cols", chosen).alias(col), F.get("flat", F.col("_i") * F.size("cols") + chosen).alias(score))
+    taken = F.when(F.col("_x._a") >= 0, F.col("_x._a"))
+    return each.select(*group, F.col("_x.rows").alias(row), F.get("cols", taken).alias(col), F.get("flat", F.col("_i") * F.size("cols") + taken).alias(score))
 
 
 def assign_small(scores: DataFrame, group: list[str], n: int, row: str = "row", col: str = "col", score: str = "score") -> DataFrame:
-    """The same for square groups of n <= 4 by a broadcast table of permutations, without Python."""
-    from itertools import permutations
-
-    if n > 4:
+    """assign for the square groups of n <= 4 alone, without Python."""
+    if n > SMALL:
         raise ValueError("permutations are for groups of at most four")
-    table = scores.sparkSession.createDataFrame([(list(p),) for p in permutations(range(n))], "perm array<int>")
-    each = matrices(scores, group, row, col, score).filter((F.size("rows") == n) & (F.size("cols") == n)).crossJoin(F.broadcast(table))
-    sums = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda s, i: s + F.get("flat", i * n + F.get("perm", i)))
-    best = each.withColumn("_sum", F.round(sums, 9)).withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_sum"), "perm"))).filter("_k = 1")
-    flat = best.select(*group, "cols", "flat", F.posexplode(F.arrays_zip("rows", "perm")).alias("_i", "_x"))
-    return flat.select(*group, F.col("_x.rows").alias(row), F.get("cols", F.col("_x.perm")).alias(col), F.get("flat", F.col("_i") * n + F.col("_x.perm")).alias(score))
+    square = matrices(scores, group, row, col, score).filter((F.size("rows") == n) & (F.size("cols") == n))
+    return _chosen(square.withColumn("_a", best_permutation("flat", F.size("rows"), F.size("cols"), n)), group, row, col, score)
+
+
+def assign_by_size(scores: DataFrame, group: list[str], row: str = "row", col: str = "col", score: str = "score") -> DataFrame:
+    """assign, with groups of at most four rows and columns solved without Python; both parts read one shuffle."""
+    every = matrices(scores, group, row, col, score)
+    small = (F.size("rows") <= SMALL) & (F.size("cols") <= SMALL)
+    few = every.filter(small).withColumn("_a", best_permutation("flat", F.size("rows"), F.size("cols"), SMALL))
+    more = every.filter(~small).withColumn("_a", assignment_of()("flat", F.size("cols")))
+    return _chosen(few.unionByName(more), group, row, col, score)

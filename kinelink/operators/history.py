@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelink.operators.accuracy import frame_assignment_counts
 from kinelink.operators.assignment import assign, assignment_of, hungarian, matrices, second_best
+from kinelink.operators.joins import nearest_join
+from kinelink.operators.windows import window_frames
 
 
 def column_confidence(scores: DataFrame, keys: list[str], track: str, score: str, mode: str = "margin", scale: float = 3.0) -> DataFrame:
@@ -23,7 +26,7 @@ def history_scores(scores: DataFrame, session: list[str], window: str, track: st
     """Adds accumulated: the evidence of every sensor and track up to a window.
 
     A track's first sight counts always; later ones up to the threshold of confidence are passed over if keep_low.
-    Without decay this is a running sum; with decay a fold over the track's windows in order.
+    Without decay this is a running sum; with decay one fold over each track's windows in order.
     """
     if not 0 <= decay <= 1 or threshold < 0:
         raise ValueError("decay lies in [0, 1] and the threshold is not negative")
@@ -34,9 +37,17 @@ def history_scores(scores: DataFrame, session: list[str], window: str, track: st
     marked = marked.withColumn("status", F.when(F.col("_first"), "initialized").when(taken, "updated").otherwise("preserved")).withColumn("_x", F.when(taken, F.col(score)).otherwise(0.0)).withColumn("_t", taken)
     if decay == 0:
         return marked.withColumn("accumulated", F.sum("_x").over(w)).drop("_first", "_x", "_t")
-    sofar = F.collect_list(F.struct("_t", "_x")).over(w)
-    fold = F.aggregate(sofar, F.lit(0.0), lambda s, o: F.when(o["_t"], s * (1 - decay) + o["_x"]).otherwise(s))
-    return marked.withColumn("accumulated", fold).drop("_first", "_x", "_t")
+    by = [*session, track, imu]
+    cell = F.struct(F.col(window).alias("w"), F.col("_t").alias("t"), F.col("_x").cast("double").alias("x"))
+    start = F.expr("named_struct('h', 0.0D, 'out', cast(array() as array<struct<w:%s,h:double>>))" % marked.schema[window].dataType.simpleString())
+
+    def step(state: Column, o: Column) -> Column:
+        h = F.when(o["t"], state["h"] * (1 - decay) + o["x"]).otherwise(state["h"])
+        return F.struct(h.alias("h"), F.array_append(state["out"], F.struct(o["w"].alias("w"), h.alias("h"))).alias("out"))
+
+    folded = marked.groupBy(*by).agg(F.array_sort(F.collect_list(cell)).alias("_c")).select(*by, F.aggregate("_c", start, step, lambda s: s["out"]).alias("_o"))
+    sums = folded.select(*by, F.explode("_o").alias("_o")).select(*by, F.col("_o.w").alias(window), F.col("_o.h").alias("accumulated"))
+    return marked.drop("_first", "_x", "_t").join(sums, [*by, window])
 
 
 def history_series(scores: DataFrame, session: list[str], window: str, track: str = "track", imu: str = "imu_idx", score: str = "score", decay: float = 0.0, threshold: float = 0.0, mode: str = "margin", keep_low: bool = True) -> DataFrame:
@@ -65,6 +76,41 @@ def session_decisions(scores: DataFrame, session: list[str], window: str, **hist
     return now.join(past, [*keys, "imu_idx"])
 
 
+def on_frames(decided: DataFrame, centres: DataFrame, frames: DataFrame, session: list[str], window: str, track: str) -> DataFrame:
+    """(session, frame_idx, imu_id, track): every frame takes the decision of the window with the nearest centre.
+
+    decided(session, window, imu_idx, track), centres(session, window, centre), frames(session, frame_idx).
+    """
+    cells = decided.groupBy(*session, window).agg(F.collect_list(F.struct(F.col("imu_idx").alias("imu_id"), F.col(track).alias("track"))).alias("_cells"))
+    known = cells.join(centres.select(*session, window, "centre"), [*session, window])
+    near = nearest_join(frames.select(*session, "frame_idx"), known, session, "frame_idx", "centre", ["_cells"])
+    return near.select(*session, "frame_idx", F.explode("_cells").alias("_x")).select(*session, "frame_idx", "_x.imu_id", "_x.track")
+
+
+def tracked_session_decisions(scores: DataFrame, windows: DataFrame, visible: DataFrame, frames: DataFrame, gt_map: DataFrame, session: list[str], window: str, **history) -> DataFrame:
+    """(session, rule, correct, total): decisions by the window's scores and by accumulated ones, counted frame by frame.
+
+    windows(session, window, window_start, window_end), visible(session, frame_idx, track): a track is active in a window if it
+    is seen in any of its frames; other tracks' scores don't count there, and a window without an active track decides
+    nothing. gt_map as in frame_assignment_counts.
+    """
+    keys = [*session, window]
+    active = window_frames(windows.select(*keys, "window_start", "window_end"), visible.select(*session, "frame_idx", "track"), session).select(*keys, "track").distinct()
+    decided = session_decisions(scores.join(active, [*keys, "track"], "left_semi"), session, window, **history)
+    centres = windows.select(*keys, ((F.col("window_start") + F.col("window_end") - 1) / 2).alias("centre"))
+    counted = [frame_assignment_counts(gt_map, on_frames(decided, centres, frames, session, window, c), session).withColumn("rule", F.lit(c.removeprefix("track_"))) for c in ("track_now", "track_history")]
+    return counted[0].unionByName(counted[1])
+
+
+def segment_decisions(cosine: DataFrame, pair: DataFrame, windows: DataFrame, frames: DataFrame, gt_map: DataFrame, clip: list[str], window: str, cosine_weight: float = 1.0, pair_weight: float = 0.0) -> DataFrame:
+    """(clip, correct, total): one assignment per window of the weighted scores, carried to frames by the nearest centre; session_rollup sums it up."""
+    keys = [*clip, window]
+    mixed = mixed_scores(cosine, pair, [*keys, "imu_idx", "track"], cosine_weight, pair_weight)
+    decided = assign(mixed, keys, "imu_idx", "track", "score")
+    centres = windows.select(*keys, ((F.col("window_start") + F.col("window_end") - 1) / 2).alias("centre"))
+    return frame_assignment_counts(gt_map, on_frames(decided, centres, frames, clip, window, "track"), clip)
+
+
 def mixed_scores(a: DataFrame, b: DataFrame, keys: list[str], cosine_weight: float = 1.0, pair_weight: float = 0.0) -> DataFrame:
     """Weighted sum of two score tables; a pair that b lacks counts 0."""
     return a.join(b.select(*keys, F.col("score").alias("_b")), keys, "left").withColumn("score", cosine_weight * F.col("score") + pair_weight * F.coalesce("_b", F.lit(0.0))).drop("_b")
@@ -139,4 +185,4 @@ def offline_policy(scores: DataFrame, keys: list[str], centre: str, method: str,
     return assign(mixed, keys).select(*keys, "row", "col")
 
 
-__all__ = ["assignment_of", "column_confidence", "history_scores", "history_series", "mixed_scores", "offline_policy", "segment_evidence", "segment_gaps", "session_decisions"]
+__all__ = ["assignment_of", "column_confidence", "history_scores", "history_series", "mixed_scores", "offline_policy", "on_frames", "segment_decisions", "segment_evidence", "segment_gaps", "session_decisions", "tracked_session_decisions"]

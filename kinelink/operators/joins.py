@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelink.operators.assignment import assign
+from kinelink.operators.assignment import assign_by_size
 
 
 def iou(a: str, b: str, clamp: bool = True) -> Column:
@@ -33,7 +33,7 @@ def match_boxes_argmax(gt: DataFrame, det: DataFrame, frame: list[str]) -> DataF
 
 def match_boxes_hungarian(gt: DataFrame, det: DataFrame, frame: list[str], min_iou: float = 0.1) -> DataFrame:
     """One-to-one by the best total overlap of a frame; weak pairs go after solving."""
-    solved = assign(box_scores(gt, det, frame), frame, "track_idx", "gt_idx", "iou")
+    solved = assign_by_size(box_scores(gt, det, frame), frame, "track_idx", "gt_idx", "iou")
     return solved.filter(F.col("gt_idx").isNotNull() & (F.col("iou") >= min_iou)).select(*frame, "gt_idx", "track_idx", "iou")
 
 

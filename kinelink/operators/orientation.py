@@ -12,7 +12,7 @@ from kinelink.functions import layouts as L
 from kinelink.functions import pose as P
 from kinelink.functions import quaternions as Q
 from kinelink.functions.vectors import resample
-from kinelink.operators.series import angle_rate
+from kinelink.operators.series import angle_rate, lag_correlation, masked_moving_average
 
 
 def _track(df: DataFrame, keys: list[str], ts: str, period: float) -> DataFrame:
@@ -94,3 +94,34 @@ def turning_counts(streams: DataFrame, group: list[str]) -> DataFrame:
 
 
 __all__ = ["orientation_stream", "root_orientation", "torso_heading_3d", "torso_proxy_2d", "turning_counts"]
+
+
+def gyro_association(rows: DataFrame, keys: list[str], order: str, rate: str, gyro: list[str], valid: Column, width: int, max_lag: int) -> DataFrame:
+    """Per series how a rotation rate goes with each gyro axis: frames, valid frames, the best axis and its Pearson raw, smoothed and over lags.
+
+    The best is that of the largest absolute value, of equals the later axis (and lag). Smoothing is a masked mean of
+    `width` frames. Null where no axis has five valid samples and variance.
+    """
+    known = rows.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+    each = known.select(*keys, order, rate, "_ok", F.posexplode(F.array(*(F.col(c).cast("double") for c in gyro))).alias("axis", "_g"))
+    by = [*keys, "axis"]
+    raw = lag_correlation(each.withColumns({"_x": F.when(F.col("_ok"), F.col(rate)), "_y": F.when(F.col("_ok"), F.col("_g"))}), by, [order], "_x", "_y", 0)
+    smooth = masked_moving_average(masked_moving_average(each, by, [order], rate, F.col("_ok"), width, "_x"), by, [order], "_g", F.col("_ok"), width, "_y")
+    lags = lag_correlation(smooth, by, [order], "_x", "_y", max_lag)
+    best = lambda df, what: df.filter("corr is not null").groupBy(*keys).agg(F.max_by(F.struct(*what), F.struct(F.round(F.abs("corr"), 9), *what[1:])).alias("_b"))
+    one = best(raw, ["corr", "axis"]).select(*keys, F.col("_b.corr").alias("raw_r"), F.col("_b.axis").alias("raw_axis"))
+    two = best(lags.filter("lag = 0"), ["corr", "axis"]).select(*keys, F.col("_b.corr").alias("smooth_r"), F.col("_b.axis").alias("smooth_axis"))
+    three = best(lags, ["corr", "lag", "axis"]).select(*keys, F.col("_b.corr").alias("lag_r"), F.col("_b.lag").alias("lag_frames"), F.col("_b.axis").alias("lag_axis"))
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.count_if("_ok").alias("valid_frames"))
+    return sizes.join(one, keys, "left").join(two, keys, "left").join(three, keys, "left")
+
+
+def orientation_gyro_summary(associations: DataFrame, kind: str, axes: int = 3) -> DataFrame:
+    """Per kind of pairing: series, medians of the absolute best correlations and of the lag, and how often each axis is best.
+
+    A shuffled pairing goes through the same best-of-three rule, so its medians are what chance gives.
+    """
+    histogram = F.transform(F.sequence(F.lit(0), F.lit(axes - 1)), lambda a: F.size(F.filter("_axes", lambda x: x == a)).cast("long"))
+    medians = [F.median(F.abs(c)).alias(f"median_{c}") for c in ("raw_r", "smooth_r", "lag_r")]
+    found = associations.groupBy(kind).agg(F.count(F.lit(1)).alias("series"), *medians, F.median("lag_frames").alias("median_lag_frames"), F.collect_list("raw_axis").alias("_axes"))
+    return found.withColumn("axis_histogram", histogram).drop("_axes")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinelink.functions.vectors import gcd
 from kinelink.operators.joins import split_overlap
 from kinelink.operators.series import run_summary, runs
+from kinelink.operators.storage import checkpointed
 
 
 def imu_channel_stats(windows: DataFrame, frames: DataFrame, keys: list[str], channels: list[str], floor: float = 1e-12) -> DataFrame:
@@ -123,15 +124,12 @@ def bootstrap_interval(differences: DataFrame, order: list[str], value: str, tri
     Draws depend on seed, trial and place only, so the result does not depend on partitions. The table of paired
     differences is one row per seed and session.
     """
-    spark = differences.sparkSession
-    n = differences.count()
-    if not n:
-        return spark.createDataFrame([], "n long, mean double, cohen_dz double, low double, high double")
-    placed = differences.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).select("_i", F.col(value).alias("_v"))
-    draws = spark.range(trials).withColumnRenamed("id", "trial").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "trial", "_k"), F.lit(n)).cast("int"))
-    means = draws.join(F.broadcast(placed), "_i").groupBy("trial").agg(F.avg("_v").alias("_m"))
+    placed = checkpointed(numbered(differences.select(*order, F.col(value).alias("_v")), order, "_place").select("_place", "_v"))
+    whole = placed.agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.when(F.stddev_samp("_v") > 0, F.try_divide(F.avg("_v"), F.stddev_samp("_v"))).alias("cohen_dz")).filter("n > 0")
+    lots = differences.sparkSession.range(trials).withColumnRenamed("id", "trial").crossJoin(F.broadcast(whole.select("n")))
+    draws = lots.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).select("trial", F.pmod(F.xxhash64(F.lit(seed), "trial", "_k"), F.col("n")).alias("_place"))
+    means = draws.join(placed, "_place").groupBy("trial").agg(F.avg("_v").alias("_m"))
     bounds = means.agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
-    whole = placed.agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.when(F.stddev_samp("_v") > 0, F.try_divide(F.avg("_v"), F.stddev_samp("_v"))).alias("cohen_dz"))
     return whole.crossJoin(F.broadcast(bounds))
 
 
@@ -157,10 +155,10 @@ def source_inventory(files: DataFrame) -> DataFrame:
     return files.withColumn("suffix", suffix).groupBy("source", "suffix").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
-def duplicate_fingerprints(frames: DataFrame, source: str, sequence: str, order: str, values: list[str], first: int = 32) -> DataFrame:
-    """(fingerprint, sources, sequences) of recordings in several sources with equal first frames."""
+def duplicate_fingerprints(frames: DataFrame, source: str, sequence: str, order: str, values: list[str], first: int | None = 32) -> DataFrame:
+    """(fingerprint, sources, sequences) of recordings in several sources whose first `first` frames are equal, or with None all of them."""
     k = F.row_number().over(Window.partitionBy(source, sequence).orderBy(order))
-    head = frames.withColumn("_k", k).filter(F.col("_k") <= first)
+    head = frames.withColumn("_k", k).filter(F.lit(True) if first is None else F.col("_k") <= first)
     cells = F.array_sort(F.collect_list(F.struct("_k", *values)))
     prints = head.groupBy(source, sequence).agg(F.sha2(F.to_json(cells).cast("binary"), 256).alias("fingerprint"))
     return prints.groupBy("fingerprint").agg(F.array_sort(F.collect_set(source)).alias("sources"), F.count(F.lit(1)).alias("sequences")).filter(F.size("sources") > 1)
@@ -211,27 +209,37 @@ def coral_gap(a: DataFrame, b: DataFrame, vector: str, size: int) -> DataFrame:
     return both.agg((F.sum((F.col("_a") - F.col("_b")) ** 2) / (4 * size * size)).alias("coral"))
 
 
-def mmd_gap(a: DataFrame, b: DataFrame, vector: str, key: str, sample: int = 256, seed: int = 7) -> DataFrame:
-    """Kernel distance of two sets with the median bandwidth, not below 0, on `sample` vectors of each chosen by hash.
+def mmd_gap(a: DataFrame, b: DataFrame, vector: str, key: str, sample: int | None = 256, seed: int = 7) -> DataFrame:
+    """Kernel distance of two sets with the median bandwidth, not below 0, on `sample` vectors of each chosen by hash, or with None on all.
 
-    The sample size is the operator's parameter: the pairs it makes are at most (2 * sample)**2.
+    The pairs it makes are at most (2 * sample)**2; without a sample their number is the square of the rows.
     """
-    pick = lambda df, side: df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample).select(F.lit(side).alias("s"), F.col(key).alias("k"), F.col(vector).alias("v"))
+    chosen = lambda df: df if sample is None else df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample)
+    pick = lambda df, side: chosen(df).select(F.lit(side).alias("s"), F.col(key).alias("k"), F.col(vector).alias("v"))
     both = pick(a, 0).unionByName(pick(b, 1))
     l, r = both.alias("l"), both.alias("r")
     d = F.aggregate(F.zip_with("l.v", "r.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = l.join(F.broadcast(r), (F.col("l.s") != F.col("r.s")) | (F.col("l.k") != F.col("r.k")), "inner").select(F.col("l.s").alias("p"), F.col("r.s").alias("q"), d.alias("d"))
+    pairs = l.join(F.broadcast(r) if sample is not None else r, (F.col("l.s") != F.col("r.s")) | (F.col("l.k") != F.col("r.k")), "inner").select(F.col("l.s").alias("p"), F.col("r.s").alias("q"), d.alias("d"))
     band = pairs.agg(F.greatest(F.percentile("d", 0.5), F.lit(1e-12)).alias("_b"))
     kernel = pairs.crossJoin(F.broadcast(band)).withColumn("_k", F.exp(-F.col("d") / F.col("_b")))
     part = lambda p, q: F.avg(F.when((F.col("p") == p) & (F.col("q") == q), F.col("_k")))
     return kernel.agg(F.greatest(part(0, 0) + part(1, 1) - 2 * part(0, 1), F.lit(0.0)).alias("mmd"))
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the rows' number in order, from 0: rows are dealt by ranges, numbered inside them and moved by the sizes of the ranges before."""
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").count()
+    # one row per range
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_i", inside).join(F.broadcast(before), "_part").withColumn(name, (F.col("_i") + F.col("_before")).cast("long")).drop("_part", "_i", "_before")
+
+
 def label_map(df: DataFrame, column: str, name: str = "label") -> DataFrame:
     """(value, label): non-blank values numbered in order from 0."""
     value = F.nullif(F.trim(F.col(column).cast("string")), F.lit(""))
-    distinct = df.select(value.alias("value")).filter("value is not null").distinct()
-    return distinct.withColumn(name, F.row_number().over(Window.orderBy("value")) - 1)
+    return numbered(df.select(value.alias("value")).filter("value is not null").distinct(), ["value"], name)
 
 
 def turning_moe(scores: DataFrame, counts: DataFrame, group: list[str], threshold: float = 19 / 48, persistent: DataFrame | None = None) -> DataFrame:

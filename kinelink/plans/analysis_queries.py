@@ -100,13 +100,13 @@ def resample_window(spark, sf):
 
 def _scores(spark, sf):
     """Sensors and tracks of sessions: an event's user is a session, its window is the order of events, three tracks by three sensors."""
-    f = S.frames(spark, sf).filter("frame_idx < 24")
+    f = S.frames(spark, sf)
     cells = f.withColumn("imu_idx", F.explode(F.expr("sequence(0L, 2L)"))).withColumn("t", F.explode(F.expr("sequence(0L, 2L)")))
     score = (F.floor(F.col("x") * 100).cast("long") * (F.col("imu_idx") + 2) * (F.col("t") + 3) + F.col("frame_idx") * 7) % 97 / 97.0
     return cells.select(F.col("seq").alias("session"), F.col("frame_idx").alias("window_idx"), "imu_idx", F.concat(F.lit("t"), F.col("t").cast("string")).alias("track"), score.alias("score")).filter("(window_idx + cast(substring(track, 2) as int)) % 4 <> 0")
 
 
-_SC = f"""{S.FRAMES}, sc AS (SELECT seq AS session, frame_idx AS window_idx, i AS imu_idx, 't' || t AS track, ((floor(x * 100)::BIGINT * (i + 2) * (t + 3) + frame_idx * 7) % 97) / 97.0::DOUBLE AS score FROM f, range(3) a(i), range(3) b(t) WHERE frame_idx < 24 AND (frame_idx + t) % 4 <> 0),
+_SC = f"""{S.FRAMES}, sc AS (SELECT seq AS session, frame_idx AS window_idx, i AS imu_idx, 't' || t AS track, ((floor(x * 100)::BIGINT * (i + 2) * (t + 3) + frame_idx * 7) % 97) / 97.0::DOUBLE AS score FROM f, range(3) a(i), range(3) b(t) WHERE (frame_idx + t) % 4 <> 0),
 cf AS (SELECT *, list_sort(list(score) OVER (PARTITION BY session, window_idx, track), 'DESC') AS l FROM sc), mg AS (SELECT *, l[1] - l[2] AS confidence, row_number() OVER (PARTITION BY session, track, imu_idx ORDER BY window_idx) AS k FROM cf)"""
 
 
@@ -140,13 +140,13 @@ def session_decisions(spark, sf):
 
 def _windows3(spark, sf):
     """Square scores of three sensors and three tracks: every cell is there."""
-    f = S.frames(spark, sf).filter("frame_idx < 24")
+    f = S.frames(spark, sf)
     cells = f.withColumn("row", F.explode(F.expr("sequence(0L, 2L)"))).withColumn("col", F.explode(F.expr("sequence(0L, 2L)")))
     score = (F.floor(F.col("x") * 100).cast("long") * (F.col("row") + 2) * (F.col("col") + 3) + F.col("frame_idx") * 7) % 97 / 97.0
     return cells.select(F.col("seq").alias("session"), F.col("frame_idx").alias("centre"), "row", "col", score.alias("score"))
 
 
-_W3 = f"""{S.FRAMES}, w3 AS (SELECT seq AS session, frame_idx AS centre, i AS "row", t AS col, ((floor(x * 100)::BIGINT * (i + 2) * (t + 3) + frame_idx * 7) % 97) / 97.0::DOUBLE AS score FROM f, range(3) a(i), range(3) b(t) WHERE frame_idx < 24),
+_W3 = f"""{S.FRAMES}, w3 AS (SELECT seq AS session, frame_idx AS centre, i AS "row", t AS col, ((floor(x * 100)::BIGINT * (i + 2) * (t + 3) + frame_idx * 7) % 97) / 97.0::DOUBLE AS score FROM f, range(3) a(i), range(3) b(t)),
 perms AS (SELECT * FROM (VALUES (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)) p(a, b, c))"""
 
 
@@ -268,12 +268,12 @@ def window_stride(spark, sf):
 
 def _prepared(spark, sf):
     """A window index with flaws: orders as windows, customers as sequences."""
-    o = S.table(spark, sf, "orders").filter("o_custkey % 10 = 0")
+    o = S.table(spark, sf, "orders")
     start = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1) * 16
     return o.select(F.when(F.col("o_orderkey") % 3 == 0, "test").otherwise("train").alias("split"), F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("npz_path"), F.col("o_custkey").cast("string").alias("source_sequence"), (F.col("o_custkey") % 50).cast("string").alias("session"), F.lit(0).alias("person_idx"), F.lit(0).alias("imu_idx"), start.cast("long").alias("window_start"), (start + 24).cast("long").alias("window_end"), F.lit(24).alias("window_len"), F.concat(F.lit("g"), F.floor(F.col("o_orderkey") / 200).cast("string")).alias("candidate_group_id"))
 
 
-_PREP = """o AS (SELECT * FROM orders WHERE o_custkey % 10 = 0), w AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, 'f' || o_custkey AS npz_path, o_custkey::VARCHAR AS source_sequence, (o_custkey % 50)::VARCHAR AS session, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 16 AS window_start, 'g' || (o_orderkey // 200) AS g FROM o)"""
+_PREP = """o AS (SELECT * FROM orders), w AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, 'f' || o_custkey AS npz_path, o_custkey::VARCHAR AS source_sequence, (o_custkey % 50)::VARCHAR AS session, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 16 AS window_start, 'g' || (o_orderkey // 200) AS g FROM o)"""
 
 
 @query(f"""WITH {_PREP}, fl AS (SELECT 'f' || c_custkey AS npz_path FROM customer WHERE c_custkey % 40 <> 0),
@@ -288,10 +288,10 @@ def validate_prepared(spark, sf):
     return quality.validate_prepared(_prepared(spark, sf), files, "session", 24, 16)
 
 
-@query(f"""WITH {S.SENSORS}, u AS (SELECT * FROM im WHERE seq < 6), l AS (SELECT unnest(['acc_x', 'acc_y', 'acc_z']) AS channel, unnest([acc_x, acc_y, acc_z]) AS v FROM u) SELECT channel, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(sqrt(greatest(avg(v * v) - avg(v) ** 2, 1e-12)), 6) AS std FROM l GROUP BY channel""")
+@query(f"""WITH {S.SENSORS}, u AS (SELECT * FROM im), l AS (SELECT unnest(['acc_x', 'acc_y', 'acc_z']) AS channel, unnest([acc_x, acc_y, acc_z]) AS v FROM u) SELECT channel, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(sqrt(greatest(avg(v * v) - avg(v) ** 2, 1e-12)), 6) AS std FROM l GROUP BY channel""")
 def imu_channel_stats(spark, sf):
     im = S.sensors(spark, sf)
-    w = im.filter("seq < 6").select("seq", F.col("frame_idx").alias("window_start"))
+    w = im.select("seq", F.col("frame_idx").alias("window_start"))
     return S.rounded(stats.imu_channel_stats(w, im, ["seq"], list(L.ACC)))
 
 
@@ -316,11 +316,11 @@ def stratified_accuracy(spark, sf):
     return S.rounded(stats.stratified_accuracy(o, [["o_orderstatus"], ["o_orderpriority"], ["o_orderpriority", "o_orderstatus"], []], ["hit"]))
 
 
-_VIS = f"""{S.FRAMES}, vs AS (SELECT seq % 10 AS session, seq // 10 AS person, frame_idx, ok FROM f WHERE frame_idx < 60)"""
+_VIS = f"""{S.FRAMES}, vs AS (SELECT seq % 10 AS session, seq // 10 AS person, frame_idx, ok FROM f)"""
 
 
 def _visibility(spark, sf):
-    return S.frames(spark, sf).filter("frame_idx < 60").select((F.col("seq") % 10).alias("session"), F.floor(F.col("seq") / 10).alias("person"), "frame_idx", "ok")
+    return S.frames(spark, sf).select((F.col("seq") % 10).alias("session"), F.floor(F.col("seq") / 10).alias("person"), "frame_idx", "ok")
 
 
 @query(f"""WITH {_VIS}, pf AS (SELECT session, frame_idx, bool_and(ok) AS al FROM vs GROUP BY 1, 2), c AS (SELECT session, count(*) AS frames, avg(al::INT) AS all_visible_share FROM pf GROUP BY 1), cv AS (SELECT session, avg(ok::INT) AS coverage FROM vs GROUP BY 1),
@@ -336,11 +336,11 @@ def group_size_histogram(spark, sf):
     return stats.group_size_histogram(_visibility(spark, sf), ["session"], "frame_idx", "ok")
 
 
-@query(f"""WITH {S.FRAMES}, m AS (SELECT seq % 10 AS session, frame_idx, (seq + frame_idx // 3) % 4 AS track, seq AS person FROM f WHERE frame_idx < 40 AND ok),
+@query(f"""WITH {S.FRAMES}, m AS (SELECT seq % 10 AS session, frame_idx, (seq + frame_idx // 3) % 4 AS track, seq AS person FROM f WHERE ok),
 a AS (SELECT session, coalesce(person <> lag(person) OVER (PARTITION BY session, track ORDER BY frame_idx, person), false) AS c FROM m), b AS (SELECT session, coalesce(track <> lag(track) OVER (PARTITION BY session, person ORDER BY frame_idx, track), false) AS c FROM m)
 SELECT session, (SELECT count(*) FROM m WHERE m.session = s.session) AS matched, (SELECT sum(c::INT)::BIGINT FROM a WHERE a.session = s.session) AS id_to_person_changes, (SELECT sum(c::INT)::BIGINT FROM b WHERE b.session = s.session) AS person_to_id_changes FROM (SELECT DISTINCT session FROM m) s""")
 def detector_id_audit(spark, sf):
-    m = S.frames(spark, sf).filter("frame_idx < 40 and ok").select((F.col("seq") % 10).alias("session"), "frame_idx", ((F.col("seq") + F.floor(F.col("frame_idx") / 3)) % 4).alias("track"), F.col("seq").alias("person"))
+    m = S.frames(spark, sf).filter("ok").select((F.col("seq") % 10).alias("session"), "frame_idx", ((F.col("seq") + F.floor(F.col("frame_idx") / 3)) % 4).alias("track"), F.col("seq").alias("person"))
     return stats.detector_id_audit(m, ["session"], "frame_idx", "track", "person")
 
 
@@ -444,13 +444,17 @@ def domain_balanced_batches(spark, sf):
     return b.groupBy("batch", F.col("o_orderstatus").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT o_custkey, count(*) AS n, true AS together, true AS bounded FROM orders GROUP BY 1")
 def same_group_batches(spark, sf):
+    """What no draw changes: a customer's rows are all there, in one batch where they fit, and no batch holds more than its size and a group."""
     o = S.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return batches.same_group_batches(o, "o_custkey", 64, 3).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("groups"))
+    b = batches.same_group_batches(o, "o_custkey", 64, 3)
+    sizes = b.groupBy("batch").agg(F.count(F.lit(1)).alias("_size"))
+    groups = b.join(sizes, "batch").groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("n"), F.count_distinct("batch").alias("_b"), F.max("_size").alias("_most"))
+    return groups.select("o_custkey", "n", (F.col("_b") <= F.ceil(F.col("n") / 64)).alias("together"), (F.col("_most") < 64 + 64).alias("bounded"))
 
 
-@query()
+@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS m, c_acctbal / 100 AS x FROM customer), p AS (SELECT a.k AS anchor, b.k AS negative, row_number() OVER (PARTITION BY a.k ORDER BY abs(a.x - b.x), b.k) AS rank FROM c a JOIN c b ON a.m = b.m AND a.k <> b.k) SELECT * FROM p WHERE rank <= 3""")
 def hard_negatives(spark, sf):
     c = S.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") / 100).alias("activity"))
     return S.rounded(batches.hard_negatives(c, "c_custkey", "c_mktsegment", "activity", 3, 5))

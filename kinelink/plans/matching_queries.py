@@ -54,11 +54,11 @@ def assign_splits(spark, sf):
     return windows.assign_splits(S.sequences(spark, sf), lists).select("seq", "session", "split")
 
 
-@query(f"""WITH {S.SEQUENCES}, w AS (SELECT seq, session, unnest(range(0, n_frames - 23, 24)) AS s FROM q WHERE n_frames >= 24 AND seq % 10 < 3)
+@query(f"""WITH {S.SEQUENCES}, w AS (SELECT seq, session, unnest(range(0, n_frames - 23, 24)) AS s FROM q WHERE n_frames >= 24)
 SELECT seq, s AS source_window_start, 0::BIGINT AS window_start, 24::BIGINT AS window_end, fold, CASE WHEN session = fold THEN 'test' ELSE 'train' END AS split FROM w, (SELECT DISTINCT session AS fold FROM q)""")
 def leave_one_session_out(spark, sf):
     q = S.sequences(spark, sf)
-    w = windows.fixed_windows(q.filter("seq % 10 < 3"), 24, 24)
+    w = windows.fixed_windows(q, 24, 24)
     return windows.leave_one_session_out(w, q).select("seq", "source_window_start", "window_start", "window_end", "fold", "split")
 
 

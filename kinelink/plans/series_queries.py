@@ -160,7 +160,9 @@ def match_boxes_argmax(spark, sf):
     return S.rounded(joins.match_boxes_argmax(gt, det, ["frame"]))
 
 
-@query()
+@query(f"""WITH {S.BOXES}, fr AS (SELECT DISTINCT frame FROM ov), {", ".join(f"o{k} AS (SELECT frame, -1 AS g, 0.0::DOUBLE AS s FROM fr UNION ALL SELECT frame, gt_idx, iou FROM ov WHERE track_idx = {k} AND iou > 0)" for k in range(3))},
+cb AS (SELECT frame, o0.g AS a, o1.g AS b, o2.g AS c, round(o0.s + o1.s + o2.s, 9) AS v FROM o0 JOIN o1 USING (frame) JOIN o2 USING (frame) WHERE (o0.g < 0 OR (o0.g <> o1.g AND o0.g <> o2.g)) AND (o1.g < 0 OR o1.g <> o2.g) QUALIFY row_number() OVER (PARTITION BY frame ORDER BY v DESC, a, b, c) = 1),
+m AS (SELECT frame, unnest([0, 1, 2]) AS track_idx, unnest([a, b, c]) AS gt_idx FROM cb) SELECT frame, ov.gt_idx, ov.track_idx, round(iou, 6) AS iou FROM m JOIN ov USING (frame, track_idx, gt_idx) WHERE iou >= 0.1""")
 def match_boxes_hungarian(spark, sf):
     gt, det = S.boxes(spark, sf)
     return S.rounded(joins.match_boxes_hungarian(gt, det, ["frame"]))
@@ -238,10 +240,10 @@ def device_to_person(spark, sf):
     return joins.device_to_person(devices, mapping, people, ["session"]).select("session", "device", "person_idx")
 
 
-@query("""WITH v AS (SELECT l_partkey % 500 AS k, l_linenumber AS m, sum(l_quantity) AS x FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), j AS (SELECT a.m AS left_method, b.m AS right_method, a.x, b.x AS y FROM v a JOIN v b ON a.k = b.k AND a.m < b.m)
+@query("""WITH v AS (SELECT l_partkey % 500 AS k, l_linenumber AS m, sum(l_quantity) AS x FROM lineitem GROUP BY 1, 2), j AS (SELECT a.m AS left_method, b.m AS right_method, a.x, b.x AS y FROM v a JOIN v b ON a.k = b.k AND a.m < b.m)
 SELECT left_method, right_method, count(*) AS n, round(avg((x = y)::INT), 6) AS equal_share, round(avg(abs(x - y)), 6) AS mean_abs_delta, round(corr(x, y), 6) AS corr FROM j GROUP BY 1, 2""")
 def method_pairs(spark, sf):
-    v = S.table(spark, sf, "lineitem").filter("l_linenumber <= 3").groupBy((F.col("l_partkey") % 500).alias("k"), F.col("l_linenumber").alias("m")).agg(F.sum("l_quantity").alias("x"))
+    v = S.table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 500).alias("k"), F.col("l_linenumber").alias("m")).agg(F.sum("l_quantity").alias("x"))
     return S.rounded(joins.method_pairs(v, ["k"], "m", "x"))
 
 

@@ -1,7 +1,8 @@
 """The given tables read as frame tables: which table stands for which sensor data.
 
 `events`: a user is a sequence, its events are frames, `value` is a signal and an event type a mask.
-`embeddings`: a label is a recording with a frame per vector; a vector's numbers are joints, sensor channels or
+`embeddings`: a label's vectors of each thousand are a recording with a frame per vector, so recordings are bounded and
+their number grows with the table; a vector's numbers are joints, sensor channels or
 the two sides of a matched pair. `lineitem`: an order is a video frame, odd lines are annotated boxes and even lines
 are detections. The SQL strings define the same tables for the oracles.
 """
@@ -62,7 +63,7 @@ m AS (SELECT grp, unnest([0, 1, 2, 3]) AS "row", unnest([a, b, c, d]) AS col FRO
 
 def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Annotated boxes (frame, gt_idx, bbox, visible) and detections (frame, track_idx, bbox)."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 6")
+    li = table(spark, sf_dir, "lineitem")
     x, y, w = F.col("l_partkey") % 40, F.col("l_suppkey") % 30, 20 + F.col("l_quantity")
     box = F.struct(x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + w).cast("double").alias("x2"), (y + w).cast("double").alias("y2"))
     row = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"))
@@ -72,7 +73,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return gt, det
 
 
-BOXES = """li AS (SELECT l_orderkey AS frame, l_linenumber AS n, l_returnflag, (l_partkey % 40)::DOUBLE AS x1, (l_suppkey % 30)::DOUBLE AS y1, 20 + l_quantity AS w FROM lineitem WHERE l_linenumber <= 6
+BOXES = """li AS (SELECT l_orderkey AS frame, l_linenumber AS n, l_returnflag, (l_partkey % 40)::DOUBLE AS x1, (l_suppkey % 30)::DOUBLE AS y1, 20 + l_quantity AS w FROM lineitem
   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) = 1),
 gt AS (SELECT frame, n // 2 AS gt_idx, x1, y1, x1 + w AS x2, y1 + w AS y2, l_returnflag <> 'R' AS visible FROM li WHERE n % 2 = 1),
 det AS (SELECT frame, n // 2 - 1 AS track_idx, x1, y1, x1 + w AS x2, y1 + w AS y2 FROM li WHERE n % 2 = 0),
@@ -82,13 +83,14 @@ ov AS (SELECT frame, gt_idx, track_idx, visible, CASE WHEN a - i > 0 THEN i / (a
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq (a label), frame_idx, ts_s at 30 frames a second, e: 64 numbers."""
-    v = table(spark, sf_dir, "embeddings")
-    k = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
-    return v.select(F.col("label").cast("long").alias("seq"), k.alias("frame_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("ts_s", F.col("frame_idx") / 30.0)
+    """seq (ten for each thousand vectors), frame_idx, ts_s at 30 frames a second, e: 64 numbers."""
+    v = table(spark, sf_dir, "embeddings").withColumn("seq", (F.col("label") + 10 * F.floor(F.col("vec_id") / 1000)).cast("long"))
+    k = (F.row_number().over(Window.partitionBy("seq").orderBy("vec_id")) - 1).cast("long")
+    return v.select("seq", k.alias("frame_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("ts_s", F.col("frame_idx") / 30.0)
 
 
-RECORDINGS = """r AS (SELECT label::BIGINT AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, embedding::DOUBLE[] AS e, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) / 30.0::DOUBLE AS ts_s FROM embeddings)"""
+RECORDINGS = """r0 AS (SELECT (label + 10 * (vec_id // 1000))::BIGINT AS seq, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+r AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY vec_id) - 1 AS frame_idx, e, (row_number() OVER (PARTITION BY seq ORDER BY vec_id) - 1) / 30.0::DOUBLE AS ts_s FROM r0)"""
 
 
 def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:

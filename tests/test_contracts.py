@@ -131,16 +131,93 @@ def test_similarity_ignores_one_moving_joint():
     before = rng.normal(size=(17, 2))
     now = before + np.array([0.2, -0.1])
     now[9] += (100, -100)
-    dx, dy, scale, angle, valid = grouped.similarity(before, now)
-    assert valid and dx == pytest.approx(0.2) and dy == pytest.approx(-0.1) and abs(scale) < 0.1 and abs(angle) < 0.1
+    few = np.where(np.arange(17)[:, None] < 2, before, np.nan)
+    found = {k: v.tolist() for k, v in grouped.similarities(np.stack([before, few]), np.stack([now, now])).items()}
+    assert found["valid"] == [True, False] and found["dx"] == pytest.approx([0.2, 0]) and found["dy"] == pytest.approx([-0.1, 0])
+    assert abs(found["log_scale"][0]) < 0.1 and abs(found["angle"][0]) < 0.1
+    turn = np.array([[0.0, 2.0], [-2.0, 0.0]])
+    found = grouped.similarities(before[None], (before @ turn)[None])
+    assert found["log_scale"][0] == pytest.approx(math.log(2)) and found["angle"][0] == pytest.approx(math.pi / 2)
+
+
+def brute_spectrum(x, t, size=16):
+    """Dominant Hz, band energy, entropy, periodicity and profile of one channel, number by number."""
+    n, x = len(x), np.array(x) - np.mean(x)
+    dt = float(np.median(np.diff(t)))
+    power = [abs(sum(x[i] * np.exp(-2j * np.pi * k * i / n) for i in range(n))) ** 2 for k in range(n // 2 + 1)]
+    f = [k / (n * dt) for k in range(n // 2 + 1)]
+    band = [k for k in range(len(f)) if f[k] <= 4.5]
+    own = {k: power[k] if k else 0.0 for k in band}
+    total = sum(own.values())
+    auto = [sum(x[i] * x[i + lag] for i in range(n - lag)) for lag in range(n)]
+    profile = np.interp(np.linspace(0, 4.5, size), [f[k] for k in band], [math.log1p(power[k]) for k in band])
+    profile = profile - profile.mean()
+    return f[max(own, key=own.get)], total / n, -sum(p / total * math.log(max(p / total, 1e-12)) for p in own.values()) / math.log(max(len(band), 2)), max(auto[1:]) / auto[0], profile / max(profile.std(), 1e-5)
+
+
+def test_spectrum_of_two_hertz(spark):
+    """A sine at 2 Hz beside noise, a gap and a short series, against sums over all frequencies."""
+    rng, rows = np.random.default_rng(6), []
+    series_ = {1: np.sin(4 * np.pi * np.arange(60) / 30), 2: rng.normal(size=60), 3: rng.normal(size=41), 4: np.array([1.0, 2.0, 1.0])}
+    for k, x in series_.items():
+        rows += [(k, i / 30, float(v)) for i, v in enumerate(x)]
+    rows += [(2, 3.0, float("nan")), (2, 3.1, 5.0), (2, 3.2, None)]
+    df = spark.createDataFrame(rows, "k int, t double, x double")
+    got = {r.k: r for r in grouped.spectral_summary(df, ["k"], "t", ["x"]).collect()}
+    profile = {r.k: r.profile for r in grouped.frequency_profile(df, ["k"], "t", ["x"], 16).collect()}
+    assert got[1].valid and abs(got[1].dominant_hz - 2) < 0.25 and not got[4].valid and got[4].periodicity == 0 and profile[4] == [0.0] * 16
+    for k in (1, 2, 3):
+        hz, energy, entropy, periodicity, shape = brute_spectrum(series_[k], np.arange(len(series_[k])) / 30)
+        assert (got[k].dominant_hz, got[k].band_energy, got[k].spectral_entropy, got[k].periodicity) == pytest.approx((hz, energy, entropy, periodicity))
+        assert profile[k] == pytest.approx(shape, abs=1e-6)
+    with pytest.raises(ValueError):
+        grouped.spectral_summary(df, ["k"], "t", ["x"], band=(0, 20))
+
+
+def test_motion_figures_leave_out_what_is_not_finite(spark):
+    rng = np.random.default_rng(8)
+    pose_ = rng.normal(size=(30, 17, 3))
+    pose_[4, 13, 0] = np.nan
+    rows = [(1, i, [tuple(map(float, p)) for p in frame]) for i, frame in enumerate(pose_)] + [(2, i, [(0.0, 0.0, 0.0)] * 17) for i in range(3)]
+    df = spark.createDataFrame(rows, "k int, i int, joints array<struct<x:double,y:double,z:double>>")
+    found = features.motion_complexity(df, ["k"], "i", "joints").collect()
+    assert [r.k for r in found] == [1]
+    own = pose_ - pose_[:, :1]
+    bones = [np.linalg.norm(f[i] - f[p]) for f in pose_ for i, p in enumerate(layouts.H36M_PARENTS) if p >= 0]
+    scale = np.median([b for b in bones if np.isfinite(b) and b > 1e-8])
+    speed = np.linalg.norm(np.diff(own, axis=0), axis=2) / scale
+    real = speed[np.isfinite(speed)]
+    on = (speed > np.quantile(real, 0.75)) & np.isfinite(speed)
+    r = found[0]
+    assert (r.scale, r.motion_energy, r.max_speed) == pytest.approx((scale, real.mean(), real.max()))
+    assert r.active_ratio == pytest.approx(on.sum() / len(real)) and r.simultaneous_ratio == pytest.approx(np.mean(2 * on.sum(axis=1) >= np.isfinite(speed).sum(axis=1)))
+    assert r.jerk_energy == pytest.approx(np.nanmean(np.linalg.norm(np.diff(own, n=3, axis=0), axis=2)) / scale)
+
+
+def test_guards_fill_every_long_gap():
+    """Against a look at every stretch of 24 frames, from the left."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 120))
+        ok, data = rng.random(n) < rng.choice([0.02, 0.2]), rng.random(n) < rng.choice([0.05, 0.9])
+        got = variants.with_guards(ok, data)
+        assert (got >= ok).all() and not (got & ~ok & ~data).any()
+        assert all((got & data)[s : s + 24].any() or not data[s : s + 24].any() for s in range(n - 23))
 
 
-def test_spectrum_of_two_hertz():
-    t = np.arange(150) / 30
-    ok, hz, *_ = grouped.spectral_figures(np.sin(4 * np.pi * t)[:, None], t, np.ones(150, bool))
-    assert ok and abs(hz - 2) < 0.25
-    with pytest.raises(ValueError):
-        grouped.spectral_figures(np.zeros((8, 1)), t[:8], np.ones(8, bool), (0, 20))
+def test_small_groups_without_python_equal_the_solver(spark):
+    rng, rows = np.random.default_rng(5), []
+    for g in range(60):
+        n, m = (int(rng.integers(1, 6)) for _ in range(2))
+        rows += [(g, r, c, float(rng.random())) for r in range(n) for c in range(m)]
+    df = spark.createDataFrame(rows, "g int, row int, col int, score double")
+    both = [{(r.g, r.row): r.col for r in f(df, ["g"]).collect()} for f in (assignment.assign, assignment.assign_by_size)]
+    assert both[0] == both[1]
+
+
+def test_numbers_in_order_over_ranges(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 10007 as v").repartition(5)
+    assert [r.n for r in stats.numbered(df, ["v"], "n").orderBy("v").collect()] == list(range(1000))
 
 
 def test_comparators_prefer_the_match():
@@ -166,8 +243,26 @@ def test_h36m_modes(mode):
     assert out.shape == (20, features.h36m_width(mode))
     if mode == "h36m3d_zonly":
         assert np.allclose(out[:, :51].reshape(20, 17, 3)[..., :2], 0)
-    collapsed = features.arm_tokens(np.zeros((20, 17, 3)))
-    assert np.isfinite(collapsed).all() and abs(collapsed[:, 2, 4]).max() <= math.log(1e3)
+
+
+def test_arm_tokens(spark):
+    """One token by hand, unit lengths, and joints that all stand in one place."""
+    rng = np.random.default_rng(4)
+    pose_ = rng.normal(500, 200, size=(12, 17, 2))
+    rows = [(1, i, [(float(x), float(y), 0.0) for x, y in f]) for i, f in enumerate(pose_)] + [(2, i, [(0.0, 0.0, 0.0)] * 17) for i in range(12)]
+    df = spark.createDataFrame(rows, "k int, i int, joints array<struct<x:double,y:double,z:double>>")
+    out = {(r.k, r.i): np.array(r.features).reshape(4, 12) for r in features.skeleton_features(df, ["k"], "i", "joints", "tokens").collect()}
+    still = np.stack([out[2, i] for i in range(12)])
+    assert np.isfinite(still).all() and abs(still[:, 2, 4]).max() <= math.log(1e3)
+    p = np.stack([np.concatenate([pose_[:1].repeat(4, 0), pose_, pose_[-1:].repeat(4, 0)])[i : i + 9].mean(axis=0) for i in range(12)]) / np.array(features.SCREEN)
+    for i in range(12):
+        across = p[i, 6] - p[i, 5]
+        width = np.linalg.norm(across)
+        e1, arm = across / width, (p[i, 7] - p[i, 5]) / max(width, 0.05)
+        local = np.array([arm @ e1, e1[0] * arm[1] - e1[1] * arm[0]])
+        assert out[1, i][0, :3] == pytest.approx([*(local / np.linalg.norm(local)), np.linalg.norm(local)]) and out[1, i][3, :2] == pytest.approx(p[i, 5])
+        assert out[1, i][:, 7][[0, 1, 3]].tolist() == [1, 1, 1] and out[1, i][2, 11] == 1
+
 
 
 def test_quaternions(spark):
