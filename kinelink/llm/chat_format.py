@@ -2,8 +2,9 @@
 
 A declarative template names the marks, the roles and the transitions. Turns of a conversation pass
 in order; the machine says which turns break the order, and every turn is emitted as segments with
-a loss flag: opening mark, text, closing mark. Control strings inside texts and roles are escaped with a
-backslash, reversibly, so no text can open or close a turn. Rows are dealt by conversation and sorted,
+a loss flag: opening mark, text, closing mark. What must be escaped and how the output is read back follow from the
+template's marks: control strings inside texts and roles get backslashes, reversibly, so no text can open or close a
+turn, and reading fails on anything that is not a turn. Rows are dealt by conversation and sorted,
 and a conversation streams through its task turn by turn; nothing but running digests is held.
 
 Nulls: a null text or role is empty, a null conversation id is a conversation, a null turn comes first.
@@ -17,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,23 +37,51 @@ class Template:
     final: tuple = ("answered",)
 
 
-_CONTROL = re.compile(r"\\|#{3,}|</turn>")
-_ROLE_CONTROL = re.compile(r"\\|#{3,}|</turn>|:|\n")
+    def __post_init__(self):
+        if self.open.count("{role}") != 1 or not self.close or not all(self.open.split("{role}")):
+            raise ValueError("open holds {role} once, with marks before and after it, and close is not empty")
+
+
+def _chars(text: str) -> str:
+    return "".join(map(re.escape, text))
+
+
+def _until(mark: str) -> str:
+    """Pattern of escaped text up to an unescaped mark; it never goes back, so memory does not follow the length."""
+    return rf"((?:[^\\{_chars(mark[0])}]++|\\.|{re.escape(mark[0])}(?!{re.escape(mark[1:])}))*+)" if len(mark) > 1 else rf"((?:[^\\{_chars(mark)}]++|\\.)*+)"
+
+
+def _sign_by_sign(mark: str, closes: bool) -> bool:
+    """Whether a mark is escaped by its signs: a run of one sign, and a closing mark whose end can begin it again behind a text."""
+    return len(set(mark)) == 1 or closes and any(mark[:k] == mark[-k:] for k in range(1, len(mark)))
+
+
+@cache
+def _patterns(opening: str, close: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """(what to escape in texts, in roles, a turn) of a template's marks; a group `behind` is broken behind its sign, all else before each."""
+    before, after = opening.split("{role}")
+    mark, end = before.strip() or before, close.strip() or close
+    rules = [r"\\", re.escape(end[0]) if _sign_by_sign(end, True) else None, f"{re.escape(mark[0])}{{{len(mark)},}}" if _sign_by_sign(mark, False) else None]
+    broken = [f"{re.escape(m[0])}(?={re.escape(m[1:])})" for m, closes in ((mark, False), (end, True)) if not _sign_by_sign(m, closes)]
+    text = "|".join([*filter(None, rules), *([f"(?P<behind>{'|'.join(broken)})"] if broken else [])])
+    role = "|".join([text, *(re.escape(c) for c in dict.fromkeys(after.strip() or after)), "\n"])
+    turn = re.escape(before) + _until(after) + re.escape(after) + _until(end) + re.escape(close)
+    return re.compile(text), re.compile(role), re.compile(turn, re.S)
+
+
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<]|<(?!/turn>))*)</turn>\n", re.S)
 
 
 def _guard(m: re.Match) -> str:
-    hit = m.group()
-    return "<\\/turn>" if hit == "</turn>" else "".join("\\" + c for c in hit)
+    return m.group() + "\\" if m.groupdict().get("behind") else "".join("\\" + c for c in m.group())
 
 
-def escape(text: str) -> str:
-    return _CONTROL.sub(_guard, text)
+def escape(text: str, template: Template = Template()) -> str:
+    return _patterns(template.open, template.close)[0].sub(_guard, text)
 
 
-def escape_role(role: str) -> str:
-    return _ROLE_CONTROL.sub(_guard, role)
+def escape_role(role: str, template: Template = Template()) -> str:
+    return _patterns(template.open, template.close)[1].sub(_guard, role)
 
 
 def unescape(text: str) -> str:
@@ -62,14 +92,22 @@ def segments(role: str, text: str, template: Template) -> list[tuple[str, bool]]
     """(segment, loss flag) of one turn; a role that the template doesn't name stands for itself."""
     name = template.names.get(role)
     if name is None:
-        name = "\\" + role[:1] + escape_role(role[1:]) if role.capitalize() in template.names.values() and role not in template.names else escape_role(role)
-    return [(template.open.format(role="\0").replace("\0", name), False), (escape(text), role in template.loss), (template.close, False)]
+        name = escape_role(role, template)
+        name = "\\" + name if name in template.names.values() else name
+    return [("".join((name if part == "{role}" else part) for part in re.split(r"({role})", template.open)), False), (escape(text, template), role in template.loss), (template.close, False)]
 
 
 def read_back(formatted: str, template: Template) -> list[tuple[str, str]]:
-    """(role, text) of every turn of a formatted string."""
-    roles = {name: role for role, name in template.names.items()}
-    return [(roles.get(m[1], unescape(m[1])), unescape(m[2])) for m in _TURN.finditer(formatted)]
+    """(role, text) of every turn of a formatted string; an error if anything in it is not a turn."""
+    roles, turn = {name: role for role, name in template.names.items()}, _patterns(template.open, template.close)[2]
+    out, at = [], 0
+    while at < len(formatted):
+        m = turn.match(formatted, at)
+        if m is None:
+            raise ValueError(f"no turn at place {at} of the formatted text")
+        out.append((roles[m[1]] if m[1] in roles else unescape(m[1]), unescape(m[2])))
+        at = m.end()
+    return out
 
 
 @dataclass
@@ -96,6 +134,7 @@ class _Digest:
                 plain = unescape(segment)
                 self.loss_chars += len(plain)
                 self.loss.update(plain.encode())
+        # turns are read one by one from the left, so reading a conversation is reading its turns
         for role_read, text_read in read_back("".join(s for s, _ in parts), template):
             self.turns.update(f"{role_read}\n{text_read}\n".encode())
             self.n += 1
