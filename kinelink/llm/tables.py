@@ -53,7 +53,7 @@ def block_count(docs: DataFrame, block_bytes: int) -> int:
     return max(1, -(-int(total) // block_bytes))
 
 
-TASK_BYTES = 64 << 20
+TASK_BYTES = 16 << 20
 
 
 def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
