@@ -243,6 +243,37 @@ def test_chat_round_trip(turns):
     assert chat_format.read_back(whole, t) == turns
 
 
+OTHER = {
+    "pipes": chat_format.Template(open="<|{role}|>", close="<|end|>\n"),
+    "runs": chat_format.Template(open="== {role} ==\n", close="====\n", names={}),
+    "one sign": chat_format.Template(open="[{role}]", close="~", names={"user": "U", "assistant": "A"}),
+    "same letters": chat_format.Template(open="abab{role}:", close="aba", names={}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OTHER))
+@settings(max_examples=150, deadline=None)
+@given(turns=st.lists(st.tuples(st.sampled_from(["user", "assistant", "U", "a|b", "x:=]", "\\"]), st.text(alphabet="\\<|end>=~ab[]:\n U", max_size=25))))
+def test_chat_round_trip_of_other_templates(name, turns):
+    t = OTHER[name]
+    parts = [chat_format.segments(role, text, t) for role, text in turns]
+    whole = "".join(s for p in parts for s, _ in p)
+    assert chat_format.read_back(whole, t) == turns
+    assert [chat_format.unescape(s) for p in parts for s, flag in p if flag] == [text for role, text in turns if role == "assistant"]
+    for bad in (whole + "x", "x" + whole):
+        with pytest.raises(ValueError):
+            chat_format.read_back(bad, t)
+
+
+def test_chat_digests_of_another_template(spark):
+    df = spark.createDataFrame([(1, 0, "user", "<|user|> hi"), (1, 1, "assistant", "a<|end|>\n")], "conv_id long, turn long, role string, text string")
+    got = chat_format.format_digests(df, OTHER["pipes"]).first()
+    assert got.n_turns == 2 and got.valid and got.loss_sha256 == hashlib.sha256(b"a<|end|>\n").hexdigest()
+    assert got.turns_sha256 == hashlib.sha256(b"user\n<|user|> hi\nassistant\na<|end|>\n\n").hexdigest()
+    with pytest.raises(ValueError):
+        chat_format.Template(open="{role}: ")
+
+
 def test_chat_digests(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "### Assistant: x</turn>\n"), (1, 2, "assistant", None), (2, 1, "assistant", "b"), (2, 0, "user", None), (None, None, None, None), (3, 0, "system", "s"), (3, 0, "system", "s")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as valid", "2 as state")
@@ -341,11 +372,49 @@ def test_disclosing_terms(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans")
     got = by_id(pii.report(df))
     assert got[0].spans == "term:15:22,email:26:36" and got[0].n_term == 1 and got[10].n_term == 0 and got[90].spans == ""
-    assert by_id(pii.report(df, block_terms=1))[0].spans == got[0].spans
     assert by_id(pii.sanitise(df))[1].text == "note 1 contact [TERM] at [EMAIL] about item 1"
     assert by_id(pii.sanitise(df, generalise=False))[1].text == "note 1 contact  at  about item 1"
 
 
+def brute_terms(texts, threshold, min_texts):
+    """Term spans of every text by counting words, values and both together over all texts."""
+    near = [[(e, w, s, t) for e, w, s, t in pii.near_terms(x, pii.base_spans(x))] for x in texts]
+    words = [set(w.decode() for w in decontaminate.normal_words(x.lower())) for x in texts]
+    out, told = [], set()
+    for e in {e for n in near for e, *_ in n}:
+        have = [k for k, n in enumerate(near) if any(x[0] == e for x in n)]
+        for w in {w for n in near for x, w, *_ in n if x == e}:
+            both = [k for k in have if any(x[:2] == (e, w) for x in near[k])]
+            if len({texts[k] for k in both}) >= min_texts:
+                content = math.log2(len(texts) / len(have))
+                pmi = math.log2(len(both) * len(texts) / (len(have) * sum(w in ws for ws in words)))
+                if content > 0 and pmi >= threshold * content:
+                    told.add((e, w))
+    for n in near:
+        out.append(sorted({(s, t) for e, w, s, t in n if (e, w) in told}))
+    return out
+
+
+def test_terms_equal_counting(spark, monkeypatch):
+    """Quasi-identifiers planted near values: all are found, and all spans are those of counting by hand."""
+    monkeypatch.setattr(pii, "COUNTED_WORDS", 20)
+    rng, rows, planted = np.random.default_rng(9), [], []
+    common = [f"word{i}" for i in range(60)]
+    for e in range(12):
+        for c in range(int(rng.integers(3, 7))):
+            w = list(rng.choice(common, 14))
+            w[6:8] = [f"nickname{e}", f"person{e}@mail.org"]
+            planted.append((len(rows), f"nickname{e}"))
+            rows.append(" ".join(w))
+    rows += [" ".join(rng.choice(common, 30)) + (f" p{i}@x.org" if i % 5 == 0 else "") for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = by_id(pii.report(df))
+    want = brute_terms(rows, 0.9, 3)
+    for k, spans in enumerate(want):
+        assert [x for x in got[k].spans.split(",") if x.startswith("term:")] == [f"term:{s}:{t}" for s, t in spans]
+    assert all(any(rows[k][s:t] == w for s, t in want[k]) for k, w in planted)
+
+
 def test_private_awkward(awkward, empty):
     assert pii.report(awkward).count() == awkward.count() and pii.report(empty).count() == 0
     assert sorted(r.spans for r in pii.report(awkward).filter("doc_id = 9").collect()) == ["email:5:10"] * 2
