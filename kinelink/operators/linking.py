@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelink.operators.graphs import connected_components
 from kinelink.operators.joins import gap_pairs, interpolate_join
 
 EPS = 1e-6
@@ -57,8 +58,7 @@ def accepted_links(candidates: DataFrame, score: float, norm_dist: float, size_d
 def link_tracklets(stats: DataFrame, links: DataFrame, video: list[str], known_people: int | None = None) -> DataFrame:
     """(video, track_id, new_id): groups numbered by their smallest member.
 
-    Without a known number of people every accepted link counts, and smallest labels spread along links until none
-    changes. With one, links are taken in order of score until so few groups are left; this is sequential, one
+    Without a known number of people every accepted link counts, and groups are the components of the links. With one, links are taken in order of score until so few groups are left; this is sequential, one
     video's tracklets at a time.
     """
     tracks = stats.select(*video, "track_id")
@@ -67,20 +67,11 @@ def link_tracklets(stats: DataFrame, links: DataFrame, video: list[str], known_p
 
 
 def _components(tracks: DataFrame, links: DataFrame, video: list[str]) -> DataFrame:
-    from kinelink.operators.storage import checkpointed
-
-    both = links.select(*video, F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = checkpointed(both.unionByName(both.select(*video, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(tracks.withColumn("label", F.col("track_id")))
-    while True:
-        # a node takes the least label among its neighbours, then the label of that node
-        seen = both.join(labels.withColumnRenamed("track_id", "b"), [*video, "b"]).groupBy(*video, "a").agg(F.min("label").alias("_near"))
-        near = labels.join(seen.withColumnRenamed("a", "track_id"), [*video, "track_id"], "left").withColumn("_new", F.least("label", F.coalesce("_near", F.col("label"))))
-        hop = labels.select(*video, F.col("track_id").alias("_new"), F.col("label").alias("_hop"))
-        moved = checkpointed(near.join(hop, [*video, "_new"], "left").select(*video, "track_id", F.least("_new", F.coalesce("_hop", F.col("_new"))).alias("label"), F.col("label").alias("_old")))
-        labels = moved.drop("_old")
-        if moved.filter("label <> _old").isEmpty():
-            return labels
+    node = lambda end: F.struct(*video, F.col(end).alias("track_id"))
+    roots = connected_components(links.select(node("src").alias("a"), node("dst").alias("b")))
+    least = roots.groupBy("root").agg(F.min("node.track_id").alias("label"))
+    named = roots.join(least, "root").select("node.*", "label")
+    return tracks.join(named, [*video, "track_id"], "left").withColumn("label", F.coalesce("label", "track_id"))
 
 
 def _greedy_groups(tracks: DataFrame, links: DataFrame, video: list[str], people: int) -> DataFrame:

@@ -37,8 +37,10 @@ def test_query_equals_its_sql(spark, sql, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    """Rows, and none that is null throughout; the methods behind these have tests of their own."""
+    rows = catalog.QUERIES[name](spark, SF).collect()
+    assert rows and not any(all(v is None for v in r) for r in rows)
 
 
 def test_entry(spark):
