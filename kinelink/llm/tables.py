@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,24 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelink.operators.storage import checkpointed
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["block_count", "checkpointed", "free_names", "heavy_join", "in_blocks", "row_key", "row_slices", "table"]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared checkpoint folder.
-
-    The folder is the session's `spark.checkpoint.dir`. Where that is unset a temporary folder takes its place,
-    but only if driver and tasks share one machine (a local master); on a cluster it is an error.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if given is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -95,8 +83,3 @@ def row_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: in
             end = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(first, end - first)
             first = end
-
-
-def strings(column: pa.Array) -> pa.Array:
-    """A string column without nulls: null counts as empty."""
-    return column.fill_null("") if column.null_count else column

@@ -15,8 +15,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kinelink.llm import chat_format, components, decontaminate, hmm_lm, line_chunks, packing, phrase_dedup, pii, pretokens, quality_lines, queries, simhash, token_counts
+from kinelink.llm import chat_format, decontaminate, hmm_lm, line_chunks, packing, phrase_dedup, pii, pretokens, quality_lines, queries, simhash, token_counts
 from kinelink.llm import words as W
+from kinelink.operators.graphs import connected_components
 
 SMALL = "/root/testdata/sf0.001"
 LONG = "lorem " * 30000
@@ -461,7 +462,7 @@ def test_links_keep_all_components(spark):
     df = spark.createDataFrame([(x,) for x in set(prints.values())], "fp long")
     want = brute_components({x: x for x in set(prints.values())})
     for limit in (4096, 8):
-        roots = {r.node: r.root for r in components.connected_components(simhash.links(df, limit)).collect()}
+        roots = {r.node: r.root for r in connected_components(simhash.links(df, limit)).collect()}
         groups = lambda m: {frozenset(k for k in want if m.get(k, k) == v) for v in {m.get(k, k) for k in want}}
         assert groups(roots) == groups(want)
 
