@@ -183,9 +183,10 @@ def sweep_deltas(runs_: DataFrame, keys: list[str], method: str, value: str, bas
 
 def expected_cells(spark, sources: list[str], seeds: list[int], folds: dict[str, str]) -> DataFrame:
     """The runs a full study has: source training and evaluation, then zero-shot, fine-tune and direct per fold."""
-    s = spark.createDataFrame([(x,) for x in sources], "source string")
-    k = spark.createDataFrame([(x,) for x in seeds], "seed int")
-    f = spark.createDataFrame(list(folds.items()), "fold string, test_session string")
+    # a study's dimensions: few rows, so one partition each keeps the products small
+    s = spark.createDataFrame([(x,) for x in sources], "source string").coalesce(1)
+    k = spark.createDataFrame([(x,) for x in seeds], "seed int").coalesce(1)
+    f = spark.createDataFrame(list(folds.items()), "fold string, test_session string").coalesce(1)
     sk = s.crossJoin(k)
     skf = sk.crossJoin(f)
     kf = k.crossJoin(f).withColumn("source", F.lit(None).cast("string"))

@@ -161,7 +161,7 @@ def match_boxes_argmax(spark, sf):
 
 
 @query(f"""WITH {S.BOXES}, fr AS (SELECT DISTINCT frame FROM ov), {", ".join(f"o{k} AS (SELECT frame, -1 AS g, 0.0::DOUBLE AS s FROM fr UNION ALL SELECT frame, gt_idx, iou FROM ov WHERE track_idx = {k} AND iou > 0)" for k in range(3))},
-cb AS (SELECT frame, o0.g AS a, o1.g AS b, o2.g AS c, round(o0.s + o1.s + o2.s, 9) AS v FROM o0 JOIN o1 USING (frame) JOIN o2 USING (frame) WHERE (o0.g < 0 OR (o0.g <> o1.g AND o0.g <> o2.g)) AND (o1.g < 0 OR o1.g <> o2.g) QUALIFY row_number() OVER (PARTITION BY frame ORDER BY v DESC, a, b, c) = 1),
+cb AS (SELECT frame, o0.g AS a, o1.g AS b, o2.g AS c, round(o0.s + o1.s + o2.s, 9) AS v FROM o0 JOIN o1 USING (frame) JOIN o2 USING (frame) WHERE (o0.g < 0 OR (o0.g <> o1.g AND o0.g <> o2.g)) AND (o1.g < 0 OR o1.g <> o2.g) QUALIFY row_number() OVER (PARTITION BY frame ORDER BY v DESC, a < 0, a, b < 0, b, c < 0, c) = 1),
 m AS (SELECT frame, unnest([0, 1, 2]) AS track_idx, unnest([a, b, c]) AS gt_idx FROM cb) SELECT frame, ov.gt_idx, ov.track_idx, round(iou, 6) AS iou FROM m JOIN ov USING (frame, track_idx, gt_idx) WHERE iou >= 0.1""")
 def match_boxes_hungarian(spark, sf):
     gt, det = S.boxes(spark, sf)
