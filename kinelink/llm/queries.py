@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelink.llm import chat_format, decontaminate, hmm_lm, line_chunks, packing, phrase_dedup, pii, quality_lines, simhash, token_counts
+from kinelink.llm import ann, chat_format, decontaminate, hard_negatives, hmm_lm, line_chunks, packing, periodic_runs, phrase_dedup, pii, quality_lines, simhash, token_counts
 from kinelink.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,5 +60,21 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_token_counts, op4_chat_format, op5_pack, op6_phrase_dedup, op7_pii, op8_simhash, op9_line_chunks, op10_hmm_lm)}
+    all_of_them = (
+        op1_quality_lines, op2_decontaminate, op3_token_counts, op4_chat_format, op5_pack, op6_phrase_dedup, op7_pii, op8_simhash,
+        op9_line_chunks, op10_hmm_lm, op11_ann_tree, op12_periodic_runs, op13_hard_negatives,
+    )
+    return {f.__name__: f for f in all_of_them}
