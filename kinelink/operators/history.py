@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinelink.operators.accuracy import frame_assignment_counts
 from kinelink.operators.assignment import assign, assignment_of, hungarian, matrices, second_best
 from kinelink.operators.joins import nearest_join
+from kinelink.operators.scans import affine_scan
 from kinelink.operators.windows import window_frames
 
 
@@ -26,7 +27,8 @@ def history_scores(scores: DataFrame, session: list[str], window: str, track: st
     """Adds accumulated: the evidence of every sensor and track up to a window.
 
     A track's first sight counts always; later ones up to the threshold of confidence are passed over if keep_low.
-    Without decay this is a running sum; with decay one fold over each track's windows in order.
+    Without decay this is a running sum; with decay each window is a map of the evidence before it, and a segmented
+    scan (`affine_scan`) composes them, so a long track is dealt out. With decay windows are whole numbers.
     """
     if not 0 <= decay <= 1 or threshold < 0:
         raise ValueError("decay lies in [0, 1] and the threshold is not negative")
@@ -37,34 +39,8 @@ def history_scores(scores: DataFrame, session: list[str], window: str, track: st
     marked = marked.withColumn("status", F.when(F.col("_first"), "initialized").when(taken, "updated").otherwise("preserved")).withColumn("_x", F.when(taken, F.col(score)).otherwise(0.0)).withColumn("_t", taken)
     if decay == 0:
         return marked.withColumn("accumulated", F.sum("_x").over(w)).drop("_first", "_x", "_t")
-    by = [*session, track, imu]
-    cell = F.struct(F.col(window).alias("w"), F.col("_t").alias("t"), F.col("_x").cast("double").alias("x"))
-    start = F.expr("named_struct('h', 0.0D, 'out', cast(array() as array<struct<w:%s,h:double>>))" % marked.schema[window].dataType.simpleString())
-
-    def step(state: Column, o: Column) -> Column:
-        h = F.when(o["t"], state["h"] * (1 - decay) + o["x"]).otherwise(state["h"])
-        return F.struct(h.alias("h"), F.array_append(state["out"], F.struct(o["w"].alias("w"), h.alias("h"))).alias("out"))
-
-    folded = marked.groupBy(*by).agg(F.array_sort(F.collect_list(cell)).alias("_c")).select(*by, F.aggregate("_c", start, step, lambda s: s["out"]).alias("_o"))
-    sums = folded.select(*by, F.explode("_o").alias("_o")).select(*by, F.col("_o.w").alias(window), F.col("_o.h").alias("accumulated"))
-    return marked.drop("_first", "_x", "_t").join(sums, [*by, window])
-
-
-def history_series(scores: DataFrame, session: list[str], window: str, track: str = "track", imu: str = "imu_idx", score: str = "score", decay: float = 0.0, threshold: float = 0.0, mode: str = "margin", keep_low: bool = True) -> DataFrame:
-    """history_scores with decay in one fold per track: linear in its windows, for long sessions."""
-    sure = column_confidence(scores, [*session, window], track, score, mode)
-    cell = F.struct(F.col(window).alias("w"), F.col(score).cast("double").alias("s"), F.col("confidence").alias("c"))
-    grouped = sure.groupBy(*session, track, imu).agg(F.array_sort(F.collect_list(cell)).alias("_c"))
-    start = F.expr("named_struct('h', cast(null as double), 'out', cast(array() as array<double>))")
-
-    def step(state: Column, o: Column) -> Column:
-        low = F.lit(keep_low) & (o["c"] <= threshold)
-        h = F.when(state["h"].isNull(), o["s"]).when(low, state["h"]).otherwise((1 - decay) * state["h"] + o["s"])
-        return F.struct(h.alias("h"), F.array_append(state["out"], h).alias("out"))
-
-    out = F.aggregate("_c", start, step, lambda s: s["out"])
-    each = grouped.select(*session, track, imu, F.explode(F.arrays_zip(F.col("_c").alias("c"), out.alias("a"))).alias("_z"))
-    return each.select(*session, F.col("_z.c.w").alias(window), track, imu, F.col("_z.c.s").alias(score), F.col("_z.a").alias("accumulated"))
+    factor = F.when(F.col("_first"), 0.0).when(F.col("_t"), 1 - decay).otherwise(1.0)
+    return affine_scan(marked, [*session, track, imu], window, factor, F.col("_x"), "accumulated").drop("_first", "_x", "_t")
 
 
 def session_decisions(scores: DataFrame, session: list[str], window: str, **history) -> DataFrame:
@@ -185,4 +161,4 @@ def offline_policy(scores: DataFrame, keys: list[str], centre: str, method: str,
     return assign(mixed, keys).select(*keys, "row", "col")
 
 
-__all__ = ["assignment_of", "column_confidence", "history_scores", "history_series", "mixed_scores", "offline_policy", "on_frames", "segment_decisions", "segment_evidence", "segment_gaps", "session_decisions", "tracked_session_decisions"]
+__all__ = ["assignment_of", "column_confidence", "history_scores", "mixed_scores", "offline_policy", "on_frames", "segment_decisions", "segment_evidence", "segment_gaps", "session_decisions", "tracked_session_decisions"]

@@ -48,7 +48,13 @@ def stream_scores(events: DataFrame) -> DataFrame:
     return cells.select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("window_end"), "imu_idx", F.concat(F.lit("t"), F.col("t").cast("string")).alias("track"), score.alias("score"))
 
 
-@query()
+@query("""WITH sc AS (SELECT user_id::VARCHAR AS session, epoch_us(ts) // 1000 AS ms, i, t, ((floor(value * 100)::BIGINT * (i + 2) * (t + 3) + event_id * 7) % 97) / 97.0::DOUBLE AS score FROM events, range(3) a(i), range(3) b(t) WHERE (event_id + t) % 4 <> 0),
+cf AS (SELECT *, list_sort(list(score) OVER (PARTITION BY session, ms, t), 'DESC') AS l, row_number() OVER (PARTITION BY session, t, i ORDER BY ms) AS k FROM sc),
+h AS (SELECT session, ms, i, t, sum(CASE WHEN k = 1 OR l[1] - l[2] > 0.2 THEN score ELSE 0 END) OVER (PARTITION BY session, t, i ORDER BY ms) AS a FROM cf),
+m AS (SELECT *, dense_rank() OVER (PARTITION BY session, ms ORDER BY t) - 1 AS c FROM h WHERE ms <= (SELECT (epoch_us(max(ts)) - 10000000) // 1000 FROM events)),
+v AS (SELECT session, ms, p, round(coalesce(sum(a), 0), 9) AS v FROM (SELECT DISTINCT session, ms FROM m) w CROSS JOIN (VALUES ([0, 1, 2]), ([0, 2, 1]), ([1, 0, 2]), ([1, 2, 0]), ([2, 0, 1]), ([2, 1, 0])) q(p) LEFT JOIN m USING (session, ms) WHERE p[i + 1] = c GROUP BY 1, 2, 3),
+best AS (SELECT session, ms, p FROM v QUALIFY row_number() OVER (PARTITION BY session, ms ORDER BY v DESC, p) = 1)
+SELECT b.session, b.ms AS window_end_ms, s.i::BIGINT AS imu_idx, 't' || m.t AS track, round(m.a, 6) + 0.0 AS accumulated FROM best b CROSS JOIN range(3) s(i) LEFT JOIN m ON m.session = b.session AND m.ms = b.ms AND m.i = s.i AND m.c = b.p[s.i + 1]""")
 def stream_realtime_match(spark, sf):
     done = _finish(matching.realtime_match(stream_scores(_stream(spark, sf, "events")), threshold=0.2))
     return S.rounded(done)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kinelink.operators.assignment import hungarian
 from kinelink.operators.grouped import madgwick_step
@@ -32,41 +32,122 @@ def decide(history: dict[str, list[float]], tracks: list[str]) -> list[tuple[int
     return [(i, tracks[c], float(matrix[i, c])) if c >= 0 else (i, None, None) for i, c in enumerate(hungarian(matrix).tolist())]
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_processor(grouped: GroupedData, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """The processor's rows for each key, on event time; its kinds of state need the RocksDB store, which is set for the session."""
+    grouped.session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return grouped.transformWithState(processor, schema, "append", "eventTime")
+
+
+class _Waiting(StatefulProcessor):
+    """Rows of a key that wait in a list until the watermark reaches them, and one timer: at the first of them, or where the key is idle.
+
+    A subclass says what becomes of rows that are due (`pass_on`, in order of time) and which other state goes with an idle key
+    (`forget`). A key is idle when the watermark has moved on by `idle_ms` since its last rows passed and none waits.
+    """
+
+    def __init__(self, columns: str, idle_ms: int):
+        self.columns, self.idle_ms = columns, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"at_ms long, {self.columns}")
+        self.timer = handle.getValueState("timer", "at_ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [tuple(r[c] for c in self.names()) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            set_to, first = self.timer.get(), min(r[0] for r in new)
+            if set_to is None or first < set_to[0]:
+                self.set_timer(first)
+        return iter(())
+
+    def names(self) -> list[str]:
+        return ["at_ms", *(c.split()[0] for c in self.columns.split(", "))]
+
+    def set_timer(self, at: int | None) -> None:
+        """One timer at a time: the old one goes."""
+        old = self.timer.get()
+        if old is not None:
+            self.handle.deleteTimer(old[0])
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        every = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due, rest = [r for r in every if r[0] <= mark], [r for r in every if r[0] > mark]
+        out = self.pass_on(key, sorted(due, key=lambda r: r[0])) if due else []
+        if rest:
+            self.waiting.put(rest)
+        elif due:
+            self.waiting.clear()
+        else:
+            self.forget()
+        self.set_timer(min(r[0] for r in rest) if rest else mark + self.idle_ms if due else None)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
 _DECISIONS = "session string, window_end_ms long, imu_idx long, track string, accumulated double"
 
 
+class _Matcher(_Waiting):
+    """Evidence by track in a map: a batch reads a session's tracks once and writes those that its windows touched."""
+
+    def __init__(self, idle_ms: int, decay: float, threshold: float, keep_low: bool):
+        super().__init__("imu_idx long, track string, score double", idle_ms)
+        self.rule = decay, threshold, keep_low
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.history = handle.getMapState("history", "track string", "evidence array<double>")
+
+    def pass_on(self, key: tuple, rows: list[tuple]) -> list[Row]:
+        known = {k[0]: list(v[0]) for k, v in self.history.iterator()} if self.history.exists() else {}
+        touched, out = set(), []
+        for end, cells in groupby(rows, key=lambda r: r[0]):
+            now = window_scores([r[1:] for r in cells])
+            update_history(known, now, *self.rule)
+            touched |= now.keys()
+            out += [Row(session=key[0], window_end_ms=end, imu_idx=i, track=t, accumulated=a) for i, t, a in decide(known, sorted(now))]
+        for track in touched:
+            self.history.updateValue((track,), (known[track],))
+        return out
+
+    def forget(self) -> None:
+        self.history.clear()
+
+
+def window_scores(cells: list[tuple[int, str, float]]) -> dict[str, list[float]]:
+    """The scores of one window by track, one for each sensor up to the last; a sensor without one has 0."""
+    sensors = 1 + max(imu for imu, _, _ in cells)
+    out: dict[str, list[float]] = {}
+    for imu, track, score in cells:
+        out.setdefault(track, [0.0] * sensors)[imu] = score
+    return out
+
+
 def realtime_match(scores: DataFrame, delay: str = "10 seconds", decay: float = 0.0, threshold: float = 0.0, keep_low: bool = True, idle: str = "1 hour") -> DataFrame:
     """Decisions per session and window from a stream of scores (session, window_end timestamp, imu_idx, track, score).
 
     Rows wait until the watermark passes their window's end, so a window is decided once, whole and in order; later rows
-    are dropped. A session that is idle for so long loses its state; a new session starts without one.
+    are dropped. A session without rows while the watermark moves on by `idle` loses its state; a new session starts without one.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history, waiting = map(json.loads, state.get) if state.exists else ({}, {})
-        for pdf in batches:
-            for end, imu, track, score in zip(pdf["end_ms"], pdf["imu_idx"], pdf["track"], pdf["score"]):
-                waiting.setdefault(str(int(end)), []).append([int(imu), str(track), float(score)])
-        mark, out = state.getCurrentWatermarkMs(), []
-        for end in sorted((e for e in waiting if int(e) <= mark), key=int):
-            rows = waiting.pop(end)
-            sensors = 1 + max(r[0] for r in rows)
-            now: dict[str, list[float]] = {}
-            for imu, track, score in rows:
-                now.setdefault(track, [0.0] * sensors)[imu] = score
-            update_history(history, now, decay, threshold, keep_low)
-            out += [(key[0], int(end), i, t, a) for i, t, a in decide(history, sorted(now))]
-        if state.hasTimedOut and not waiting:
-            state.remove()
-        else:
-            state.update((json.dumps(history), json.dumps(waiting)))
-            state.setTimeoutTimestamp(max(min(map(int, waiting), default=mark + idle_ms), mark + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["session", "window_end_ms", "imu_idx", "track", "accumulated"])
+    timed = scores.withWatermark("window_end", delay).select("session", "window_end", F.unix_millis("window_end").alias("at_ms"), F.col("imu_idx").cast("long").alias("imu_idx"), F.col("track").cast("string").alias("track"), F.col("score").cast("double").alias("score"))
+    return with_processor(timed.groupBy("session"), _Matcher(_milliseconds(idle), decay, threshold, keep_low), _DECISIONS)
+
 
-    timed = scores.withWatermark("window_end", delay).withColumn("end_ms", F.unix_millis("window_end"))
-    return timed.groupBy("session").applyInPandasWithState(step, _DECISIONS, "history string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+def _milliseconds(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1000)
 
 
 def window_stream(frames: DataFrame, keys: list[str], ts: str, size: str, slide: str, delay: str, *aggregates) -> DataFrame:
@@ -88,36 +169,45 @@ def session_stream(frames: DataFrame, keys: list[str], ts: str, gap: str, delay:
     return frames.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, "n")
 
 
-def madgwick_stream(samples: DataFrame, device: str, ts: str, acc: list[str], gyro: list[str], quat: list[str], beta: float = 0.033, delay: str = "1 second") -> DataFrame:
-    """(device, ts_ms, quat_*): attitude per device, carried over batches.
+class _Attitude(_Waiting):
+    """One attitude, its time and the last good step for each device."""
 
-    Samples wait for the watermark and pass in order of time. A step outside (0, 1) s takes the last good one, 1/30 s before
-    there is any; the batch filter takes the median, which a stream cannot know.
-    """
-    schema = f"{device} string, ts_ms long, quat_w double, quat_x double, quat_y double, quat_z double"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        q, last, good, waiting = json.loads(state.get[0]) if state.exists else (None, None, 1 / 30, [])
-        for pdf in batches:
-            waiting += [[int(t), *map(float, row)] for t, row in zip(pdf["ts_ms"], pdf[[*acc, *gyro, *quat]].to_numpy(float))]
-        mark, out = state.getCurrentWatermarkMs(), []
-        ready = sorted(w for w in waiting if w[0] <= mark)
-        waiting = [w for w in waiting if w[0] > mark]
-        for t, *v in ready:
+    def __init__(self, idle_ms: int, beta: float):
+        super().__init__("acc array<double>, gyro array<double>, quat array<double>", idle_ms)
+        self.beta = beta
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.attitude = handle.getValueState("attitude", "q array<double>, last_ms long, good double")
+
+    def pass_on(self, key: tuple, rows: list[tuple]) -> list[Row]:
+        q, last, good = self.attitude.get() or (None, None, 1 / 30)
+        out = []
+        for t, acc, gyro, quat in sorted(rows):
             if q is None:
-                q = (np.array(v[6:]) / max(np.linalg.norm(v[6:]), 1e-12)).tolist()
+                q = (np.array(quat) / max(np.linalg.norm(quat), 1e-12)).tolist()
             else:
                 dt = (t - last) / 1000
                 good = dt if 0 < dt < 1 else good
-                turned = madgwick_step(np.array(q), np.array(v[3:6]), np.array(v[:3]), good, beta)
+                turned = madgwick_step(np.array(q), np.array(gyro), np.array(acc), good, self.beta)
                 q = (turned if turned @ np.array(q) >= 0 else -turned).tolist()
             last = t
-            out.append((key[0], t, *q))
-        state.update((json.dumps([q, last, good, waiting]),))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(w[0] for w in waiting), mark + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[device, "ts_ms", "quat_w", "quat_x", "quat_y", "quat_z"])
-
-    timed = samples.withColumn(device, F.col(device).cast("string")).withWatermark(ts, delay).withColumn("ts_ms", F.unix_millis(ts))
-    return timed.groupBy(device).applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+            out.append(Row(device=key[0], ts_ms=t, quat_w=q[0], quat_x=q[1], quat_y=q[2], quat_z=q[3]))
+        self.attitude.update((q, last, good))
+        return out
+
+    def forget(self) -> None:
+        self.attitude.clear()
+
+
+def madgwick_stream(samples: DataFrame, device: str, ts: str, acc: list[str], gyro: list[str], quat: list[str], beta: float = 0.033, delay: str = "1 second", idle: str = "1 hour") -> DataFrame:
+    """(device, ts_ms, quat_*): attitude per device, carried over batches.
+
+    Samples wait for the watermark and pass in order of time. A step outside (0, 1) s takes the last good one, 1/30 s before
+    there is any; the batch filter takes the median, which a stream cannot know. A device without samples while the
+    watermark moves on by `idle` loses its state and starts anew from its next sample's quaternion.
+    """
+    vector = lambda names: F.array(*(F.col(c).cast("double") for c in names))
+    timed = samples.withWatermark(ts, delay).select(F.col(device).cast("string").alias("device"), ts, F.unix_millis(ts).alias("at_ms"), vector(acc).alias("acc"), vector(gyro).alias("gyro"), vector(quat).alias("quat"))
+    found = with_processor(timed.groupBy("device"), _Attitude(_milliseconds(idle), beta), "device string, ts_ms long, quat_w double, quat_x double, quat_y double, quat_z double")
+    return found.withColumnRenamed("device", device)
