@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kinelink.functions.vectors import cosine
 from kinelink.operators.assignment import assign
+from kinelink.operators.sampling import permuted_place
+from kinelink.operators.stats import numbered
+from kinelink.operators.storage import checkpointed
 
 
 def candidate_scores(rows: DataFrame, group: str, index: str, left: str = "imu_emb", right: str = "video_emb") -> DataFrame:
@@ -83,19 +86,17 @@ def retrieval_diagnostics(queries: DataFrame, by: list[str], group: str, bins: i
 def group_test(units: DataFrame, sizes: list[int], trials: int, seed: int) -> DataFrame:
     """Sampled groups of chunks: units(unit_id, imu array of vectors, video array of vectors).
 
-    Every trial draws its group by a keyed hash, so results don't depend on partitions. The hash ranks
-    units; a trial costs one top-k over the units' ids, and vectors join the drawn ids only.
+    Units are numbered by id, and a trial's group is where a permutation keyed by seed, size and trial puts the first places, so a draw
+    costs the group's size, not the number of units, and results don't depend on partitions. Vectors join the drawn ids only. Sizes above the
+    number of units give no groups.
     """
     spark = units.sparkSession
-    ids = units.select("unit_id")
-    drawn = None
-    for size in sizes:
-        lots = ids.crossJoin(F.broadcast(spark.range(trials).withColumnRenamed("id", "trial"))).withColumn("_h", F.xxhash64(F.lit(seed + size), "trial", "unit_id"))
-        k = F.row_number().over(Window.partitionBy("trial").orderBy("_h", "unit_id"))
-        first = lots.withColumn("k", k).filter(F.col("k") <= size)  # a group limit: each task keeps its first ones only
-        full = F.count(F.lit(1)).over(Window.partitionBy("trial")) == size
-        one = first.withColumn("_full", full).filter("_full").select(F.lit(size).alias("size"), "trial", (F.col("k") - 1).alias("k"), "unit_id")
-        drawn = one if drawn is None else drawn.unionByName(one)
+    ids = checkpointed(numbered(units.select("unit_id"), ["unit_id"], "_place"))
+    n = ids.count()
+    wanted = [(size, trial, k) for size in sizes if size <= n for trial in range(trials) for k in range(size)]  # the parameters' size
+    lots = spark.createDataFrame(wanted, "size int, trial long, k int")
+    places = lots.withColumn("_place", permuted_place(F.col("k").cast("long"), F.xxhash64(F.lit(seed), "size", "trial"), F.lit(n)))
+    drawn = ids.join(F.broadcast(places), "_place").select("size", "trial", "k", "unit_id")
     both = drawn.join(units, "unit_id")
     a = both.select("size", "trial", F.col("k").alias("row"), "imu")
     b = both.select("size", "trial", F.col("k").alias("col"), "video")

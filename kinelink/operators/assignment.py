@@ -17,9 +17,16 @@ def hungarian(scores: np.ndarray) -> np.ndarray:
     in row order.
     """
     rows, cols = scores.shape
-    n = max(rows, cols)
     if not rows or not cols:
         return np.full(rows, -1)
+    out = _solved(scores)[0][:rows]
+    return np.where(out < cols, out, -1)
+
+
+def _solved(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column of each row, reduced costs) of the scores made square with zeros; the costs are 0 on the assignment and not below 0 elsewhere."""
+    rows, cols = scores.shape
+    n = max(rows, cols)
     cost = np.zeros((n, n))
     cost[:rows, :cols] = -scores
     u, v, owner = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, n)
@@ -45,7 +52,8 @@ def hungarian(scores: np.ndarray) -> np.ndarray:
             owner[col] = owner[back[col]]
             col = back[col]
     scale = max(1.0, float(np.abs(cost).max()))
-    tight = np.abs(cost - u[:n, None] - v[None, :n]) <= 1e-9 * scale
+    reduced = cost - u[:n, None] - v[None, :n]
+    tight = np.abs(reduced) <= 1e-9 * scale
     match = np.empty(n, int)
     match[owner[:n]] = np.arange(n)
     for row in range(rows):
@@ -54,8 +62,7 @@ def hungarian(scores: np.ndarray) -> np.ndarray:
             if other is not None:
                 match = other
                 break
-    out = match[:rows]
-    return np.where(out < cols, out, -1)
+    return match, np.maximum(reduced, 0.0)
 
 
 def _switch(tight: np.ndarray, match: np.ndarray, row: int, col: int) -> np.ndarray | None:
@@ -114,17 +121,23 @@ def solve(flat: np.ndarray, columns: int, method: str) -> np.ndarray:
     return SOLVERS[method](flat.reshape(-1, columns))
 
 
-def second_best(scores: np.ndarray, best: np.ndarray) -> float:
-    """Best sum without one of the chosen edges; NaN unless square with two rows or more."""
+def best_two(scores: np.ndarray) -> tuple[float, float]:
+    """Sums of the best assignment and of the best other one, by one solve; the second is NaN unless square with two rows or more.
+
+    Another assignment moves rows round a cycle, each to the next one's column, and costs the reduced costs on its way; shortest
+    paths between all rows give the cheapest cycle.
+    """
     n = len(scores)
     if n < 2 or scores.shape != (n, n):
-        return float("nan")
-    found, low = [], scores.min() - (n + 1) * (np.ptp(scores) + 1)  # so low that any other edge is better
-    for r, c in enumerate(best):
-        blocked = scores.copy()
-        blocked[r, c] = low
-        found.append(scores[np.arange(n), hungarian(blocked)].sum())
-    return max(found)
+        taken = hungarian(scores)
+        return float(scores[np.flatnonzero(taken >= 0), taken[taken >= 0]].sum()), float("nan")
+    match, reduced = _solved(scores)
+    way = reduced[:, match]  # from each row to the one that holds the column
+    np.fill_diagonal(way, np.inf)
+    for k in range(n):
+        np.minimum(way, way[:, k, None] + way[k], out=way)
+    best = float(scores[np.arange(n), match].sum())
+    return best, best - float(way.diagonal().min())
 
 
 def matrices(scores: DataFrame, group: list[str], row: str = "row", col: str = "col", score: str = "score") -> DataFrame:
@@ -148,17 +161,6 @@ def assignment_of(method: str = "hungarian"):
     return assigned
 
 
-def second_best_of():
-    """Column function (flat, number of columns) -> second-best sum."""
-
-    @F.pandas_udf("double")
-    def second(flat: pd.Series, columns: pd.Series) -> pd.Series:
-        squares = (np.asarray(x, float).reshape(-1, int(n)) for x, n in zip(flat, columns))
-        return pd.Series([second_best(m, hungarian(m)) for m in squares], dtype=float)
-
-    return second
-
-
 def assign(scores: DataFrame, group: list[str], row: str = "row", col: str = "col", score: str = "score", method: str = "hungarian") -> DataFrame:
     """(group, row, col, score): the chosen column of every row; an unmatched row has null."""
     solved = matrices(scores, group, row, col, score).withColumn("_a", assignment_of(method)("flat", F.size("cols")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelink.operators.accuracy import frame_assignment_counts
-from kinelink.operators.assignment import assign, assignment_of, hungarian, matrices, second_best
+from kinelink.operators.assignment import assign, assignment_of, best_two, matrices
 from kinelink.operators.joins import nearest_join
 from kinelink.operators.scans import affine_scan
 from kinelink.operators.windows import window_frames
@@ -127,9 +127,8 @@ def segment_gaps(means: DataFrame, by: list[str], row: str = "row", col: str = "
         out = []
         for x, n in zip(flat, columns):
             m = np.asarray(x, float).reshape(-1, int(n))
-            a = hungarian(m)
-            best = m[np.flatnonzero(a >= 0), a[a >= 0]].sum()
-            out.append((best, (best - second_best(m, a)) / len(m)))
+            best, second = best_two(m)
+            out.append((best, (best - second) / len(m)))
         return pd.DataFrame(out, columns=["best", "gap"])
 
     solved = matrices(means, by, row, col, score).withColumn("_g", lead("flat", F.size("cols")))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelink.operators.graphs import connected_components
+from kinelink.operators.graphs import connected_components, spanning_forest
 from kinelink.operators.joins import gap_pairs, interpolate_join
 
 EPS = 1e-6
@@ -58,49 +57,23 @@ def accepted_links(candidates: DataFrame, score: float, norm_dist: float, size_d
 def link_tracklets(stats: DataFrame, links: DataFrame, video: list[str], known_people: int | None = None) -> DataFrame:
     """(video, track_id, new_id): groups numbered by their smallest member.
 
-    Without a known number of people every accepted link counts, and groups are the components of the links. With one, links are taken in order of score until so few groups are left; this is sequential, one
-    video's tracklets at a time.
+    Without a known number of people every accepted link counts. With one, links count in order of (score, src, dst) until so few groups
+    are left, one link at least. Those that join two groups are the links of the minimum spanning forest in this order, so the
+    forest's first links of a video, as many as it has tracklets too many, give the same groups.
     """
     tracks = stats.select(*video, "track_id")
-    labels = _components(tracks, links, video) if known_people is None else _greedy_groups(tracks, links, video, known_people)
-    return labels.withColumn("new_id", F.dense_rank().over(Window.partitionBy(*video).orderBy("label")) - 1).select(*video, "track_id", "new_id")
-
-
-def _components(tracks: DataFrame, links: DataFrame, video: list[str]) -> DataFrame:
     node = lambda end: F.struct(*video, F.col(end).alias("track_id"))
-    roots = connected_components(links.select(node("src").alias("a"), node("dst").alias("b")))
+    edges = links.select(node("src").alias("a"), node("dst").alias("b"), "score", "src", "dst")
+    if known_people is not None:
+        surplus = tracks.groupBy(*video).agg(F.greatest(F.count(F.lit(1)) - known_people, F.lit(1)).alias("_surplus"))
+        forest = spanning_forest(edges, ["score", "src", "dst"]).select(*(F.col("a")[v].alias(v) for v in video), "*")
+        place = F.row_number().over(Window.partitionBy(*video).orderBy("score", "src", "dst"))
+        edges = forest.withColumn("_place", place).join(surplus, video).filter("_place <= _surplus")
+    roots = connected_components(edges)
     least = roots.groupBy("root").agg(F.min("node.track_id").alias("label"))
     named = roots.join(least, "root").select("node.*", "label")
-    return tracks.join(named, [*video, "track_id"], "left").withColumn("label", F.coalesce("label", "track_id"))
-
-
-def _greedy_groups(tracks: DataFrame, links: DataFrame, video: list[str], people: int) -> DataFrame:
-    t = tracks.groupBy(*video).agg(F.sort_array(F.collect_list("track_id")).alias("ids"))
-    e = links.groupBy(*video).agg(F.array_sort(F.collect_list(F.struct("score", "src", "dst"))).alias("links"))
-
-    @F.pandas_udf("array<long>")
-    def grouped(ids: pd.Series, edges: pd.Series) -> pd.Series:
-        out = []
-        for own, every in zip(ids, edges):
-            root = {i: i for i in own}
-
-            def find(x, root=root):
-                while root[x] != x:
-                    x = root[x]
-                return x
-
-            left = len(root)
-            for edge in every if every is not None else ():
-                a, b = sorted((find(edge["src"]), find(edge["dst"])))
-                left -= a != b
-                root[b] = a
-                if left <= people:
-                    break
-            out.append([find(i) for i in own])
-        return pd.Series(out)
-
-    zipped = t.join(e, video, "left").withColumn("_l", grouped("ids", "links")).select(*video, F.explode(F.arrays_zip("ids", "_l")).alias("_z"))
-    return zipped.select(*video, F.col("_z.ids").alias("track_id"), F.col("_z._l").alias("label"))
+    labels = tracks.join(named, [*video, "track_id"], "left").withColumn("label", F.coalesce("label", "track_id"))
+    return labels.withColumn("new_id", F.dense_rank().over(Window.partitionBy(*video).orderBy("label")) - 1).select(*video, "track_id", "new_id")
 
 
 def merge_track_series(series: DataFrame, groups: DataFrame, video: list[str], values: list[str], fill_gaps: bool = False) -> DataFrame:

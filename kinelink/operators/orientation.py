@@ -12,7 +12,7 @@ from kinelink.functions import layouts as L
 from kinelink.functions import pose as P
 from kinelink.functions import quaternions as Q
 from kinelink.functions.vectors import resample
-from kinelink.operators.series import angle_rate, lag_correlation, masked_moving_average
+from kinelink.operators.series import angle_rate, lag_correlation, masked_moving_average, ordered
 
 
 def _track(df: DataFrame, keys: list[str], ts: str, period: float) -> DataFrame:
@@ -121,7 +121,55 @@ def orientation_gyro_summary(associations: DataFrame, kind: str, axes: int = 3)
 
     A shuffled pairing goes through the same best-of-three rule, so its medians are what chance gives.
     """
-    histogram = F.transform(F.sequence(F.lit(0), F.lit(axes - 1)), lambda a: F.size(F.filter("_axes", lambda x: x == a)).cast("long"))
+    histogram = F.array(*(F.count_if(F.col("raw_axis") == a) for a in range(axes)))
     medians = [F.median(F.abs(c)).alias(f"median_{c}") for c in ("raw_r", "smooth_r", "lag_r")]
-    found = associations.groupBy(kind).agg(F.count(F.lit(1)).alias("series"), *medians, F.median("lag_frames").alias("median_lag_frames"), F.collect_list("raw_axis").alias("_axes"))
-    return found.withColumn("axis_histogram", histogram).drop("_axes")
+    return associations.groupBy(kind).agg(F.count(F.lit(1)).alias("series"), *medians, F.median("lag_frames").alias("median_lag_frames"), histogram.alias("axis_histogram"))
+
+
+def _turning(rows: DataFrame, rate: str, gyro: list[str], valid: Column) -> DataFrame:
+    """Adds the sizes _x of the rate and _y of the gyro (null if any axis is not finite) and whether both count."""
+    axes = [F.col(c).cast("double") for c in gyro]
+    finite = F.lit(True)
+    for axis in axes:
+        finite = finite & axis.isNotNull() & ~F.isnan(axis) & (F.abs(axis) < float("inf"))
+    size = F.sqrt(sum((a * a for a in axes), F.lit(0.0)))
+    marked = rows.withColumns({"_x": F.abs(F.col(rate).cast("double")), "_y": F.when(finite, size), "_ok": F.coalesce(valid & finite, F.lit(False))})
+    return marked.withColumn("_ok", F.col("_ok") & F.col("_x").isNotNull() & ~F.isnan("_x"))
+
+
+def motion_strata(rows: DataFrame, keys: list[str], rate: str, gyro: list[str], valid: Column, low: float = 0.5, high: float = 0.9, least: int = 5) -> DataFrame:
+    """(keys, stratum, frames, corr): how the size of a rate goes with that of the gyro where a series moves little and much.
+
+    'low' holds the valid frames up to the series' quantile `low` of the gyro's size, 'high' those from the quantile `high` on. corr is
+    null below `least` frames or without variance.
+    """
+    known = _turning(rows, rate, gyro, valid).filter("_ok")
+    cuts = known.groupBy(*keys).agg(F.percentile("_y", low).alias("_low"), F.percentile("_y", high).alias("_high"))
+    strata = F.array(F.when(F.col("_y") <= F.col("_low"), F.lit("low")), F.when(F.col("_y") >= F.col("_high"), F.lit("high")))
+    each = known.join(cuts, keys).withColumn("stratum", F.explode(F.array_compact(strata)))
+    varied = (F.stddev_pop("_x") > 1e-12) & (F.stddev_pop("_y") > 1e-12)
+    return each.groupBy(*keys, "stratum").agg(F.count(F.lit(1)).alias("frames"), F.when((F.count(F.lit(1)) >= least) & varied, F.corr("_x", "_y")).alias("corr"))
+
+
+def time_shuffle_null(rows: DataFrame, keys: list[str], order: str, rate: str, gyro: list[str], valid: Column, trials: int = 16, seed: int = 0, quantile: float = 0.95, least: int = 5) -> DataFrame:
+    """(keys, trials, abs_r, abs_r_null): the correlation of the sizes of rate and gyro, and what chance gives when the gyro's frames are shuffled.
+
+    Every trial puts the gyro's frames of a series in the order of a digest of seed, trial and frame, and pairs them with the rate's frames
+    in time; abs_r_null is that quantile of the trials' absolute correlations. A shuffle is a sort of one recording's array, so
+    all trials take one pass and no join. Nulls as in `motion_strata`; a frame whose gyro is not finite counts in no pair.
+    """
+    series = ordered(_turning(rows, rate, gyro, valid), keys, [order], ["_x", "_y", "_ok"])
+
+    def pearson(y: Column) -> Column:
+        pairs = F.filter(F.arrays_zip(F.col("_x").alias("x"), y.alias("y"), F.col("_ok").alias("ok")), lambda p: p["ok"] & p["y"].isNotNull())
+        mean = lambda f: F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p)), F.size(pairs))
+        mx, my = mean(lambda p: p["x"]), mean(lambda p: p["y"])
+        xx, yy = mean(lambda p: p["x"] * p["x"]) - mx * mx, mean(lambda p: p["y"] * p["y"]) - my * my
+        return F.when((F.size(pairs) >= least) & (xx > 1e-12) & (yy > 1e-12), F.try_divide(mean(lambda p: p["x"] * p["y"]) - mx * my, F.sqrt(xx * yy)))
+
+    def shuffled(trial: Column) -> Column:
+        digest = lambda i: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), trial.cast("string"), i.cast("string")))
+        return F.transform(F.array_sort(F.transform("_y", lambda y, i: F.struct(digest(i).alias("h"), y.alias("y")))), lambda s: s["y"])
+
+    drawn = series.select(*keys, F.abs(pearson(F.col("_y"))).alias("abs_r"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: F.abs(pearson(shuffled(t))))).alias("_r"))
+    return drawn.groupBy(*keys).agg(F.count("_r").alias("trials"), F.first("abs_r").alias("abs_r"), F.percentile("_r", quantile).alias("abs_r_null"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelink.functions.vectors import gcd
 from kinelink.operators.joins import split_overlap
+from kinelink.operators.kernels import kernel_gap
+from kinelink.operators.sampling import bootstrap_sums
 from kinelink.operators.series import run_summary, runs
 from kinelink.operators.storage import checkpointed
 
@@ -119,16 +124,14 @@ def aggregate_runs(records: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(differences: DataFrame, order: list[str], value: str, trials: int = 10_000, seed: int = 42) -> DataFrame:
-    """n, mean, Cohen's dz (null without deviation) and the central 95 % of bootstrap means, drawn by keyed hashes.
+    """n, mean, Cohen's dz (null without deviation) and the central 95 % of bootstrap means.
 
-    Draws depend on seed, trial and place only, so the result does not depend on partitions. The table of paired
-    differences is one row per seed and session.
+    Draws depend on seed, trial and the rows' order only, so the result does not depend on partitions; see `bootstrap_sums`.
     """
     placed = checkpointed(numbered(differences.select(*order, F.col(value).alias("_v")), order, "_place").select("_place", "_v"))
     whole = placed.agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.when(F.stddev_samp("_v") > 0, F.try_divide(F.avg("_v"), F.stddev_samp("_v"))).alias("cohen_dz")).filter("n > 0")
-    lots = differences.sparkSession.range(trials).withColumnRenamed("id", "trial").crossJoin(F.broadcast(whole.select("n")))
-    draws = lots.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).select("trial", F.pmod(F.xxhash64(F.lit(seed), "trial", "_k"), F.col("n")).alias("_place"))
-    means = draws.join(placed, "_place").groupBy("trial").agg(F.avg("_v").alias("_m"))
+    n = placed.count()
+    means = bootstrap_sums(placed, "_place", "_v", n, trials, seed).select((F.col("total") / n).alias("_m"))
     bounds = means.agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
     return whole.crossJoin(F.broadcast(bounds))
 
@@ -201,30 +204,37 @@ def expected_cells(spark, sources: list[str], seeds: list[int], folds: dict[str,
 
 
 def coral_gap(a: DataFrame, b: DataFrame, vector: str, size: int) -> DataFrame:
-    """Squared distance of the two covariance matrices over 4 * size**2; one pass of sums for each set."""
-    def covariance(df: DataFrame, name: str) -> DataFrame:
-        pairs = df.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get(vector, i).alias("x"), F.get(vector, j).alias("y")))))).alias("_p")).select("_p.*")
-        return pairs.groupBy("i", "j").agg(F.covar_samp("x", "y").alias(name))
-
+    """Squared distance of the two covariance matrices over 4 * size**2; sums of centred products, one matrix for each task."""
+    covariance = lambda df, name: covariances(df, vector, size).withColumnRenamed("covariance", name)
     both = covariance(a, "_a").join(covariance(b, "_b"), ["i", "j"])
     return both.agg((F.sum((F.col("_a") - F.col("_b")) ** 2) / (4 * size * size)).alias("coral"))
 
 
+def covariances(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """(i, j, covariance) of the first `size` components, sample covariance; a vector that is null, shorter or holds nulls takes no part."""
+    whole = F.slice(F.col(vector).cast("array<double>"), 1, size)
+    rows = df.select(whole.alias("v")).filter((F.size("v") == size) & F.forall("v", lambda x: x.isNotNull()))
+    first = rows.agg(F.count(F.lit(1)), *(F.avg(F.get("v", F.lit(i))) for i in range(size))).first()
+    n, middle = first[0], np.array(first[1:], float)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size) - middle
+            total += x.T @ x
+        i, j = np.divmod(np.arange(size * size), size)
+        yield pa.RecordBatch.from_pydict({"i": i, "j": j, "s": total.ravel()})
+
+    return rows.mapInArrow(products, "i long, j long, s double").groupBy("i", "j").agg(F.try_divide(F.sum("s"), F.lit(float(n - 1))).alias("covariance"))
+
+
 def mmd_gap(a: DataFrame, b: DataFrame, vector: str, key: str, sample: int | None = 256, seed: int = 7) -> DataFrame:
     """Kernel distance of two sets with the median bandwidth, not below 0, on `sample` vectors of each chosen by hash, or with None on all.
 
-    The pairs it makes are at most (2 * sample)**2; without a sample their number is the square of the rows.
+    See `kernel_gap`: the distances of (2 * sample)**2 pairs, or of all, are made block by block.
     """
     chosen = lambda df: df if sample is None else df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample)
-    pick = lambda df, side: chosen(df).select(F.lit(side).alias("s"), F.col(key).alias("k"), F.col(vector).alias("v"))
-    both = pick(a, 0).unionByName(pick(b, 1))
-    l, r = both.alias("l"), both.alias("r")
-    d = F.aggregate(F.zip_with("l.v", "r.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = l.join(F.broadcast(r) if sample is not None else r, (F.col("l.s") != F.col("r.s")) | (F.col("l.k") != F.col("r.k")), "inner").select(F.col("l.s").alias("p"), F.col("r.s").alias("q"), d.alias("d"))
-    band = pairs.agg(F.greatest(F.percentile("d", 0.5), F.lit(1e-12)).alias("_b"))
-    kernel = pairs.crossJoin(F.broadcast(band)).withColumn("_k", F.exp(-F.col("d") / F.col("_b")))
-    part = lambda p, q: F.avg(F.when((F.col("p") == p) & (F.col("q") == q), F.col("_k")))
-    return kernel.agg(F.greatest(part(0, 0) + part(1, 1) - 2 * part(0, 1), F.lit(0.0)).alias("mmd"))
+    return kernel_gap(chosen(a), chosen(b), vector, key)
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -367,7 +367,7 @@ def aggregate_runs(spark, sf):
 
 @query()
 def paired_bootstrap(spark, sf):
-    o = S.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 60).alias("k")).agg((F.avg(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))) - F.avg(F.when(F.col("o_orderkey") % 2 == 1, F.col("o_totalprice")))).alias("d")).filter("d is not null")
+    o = S.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg((F.avg(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))) - F.avg(F.when(F.col("o_orderkey") % 2 == 1, F.col("o_totalprice")))).alias("d")).filter("d is not null")
     return S.rounded(stats.bootstrap_interval(o, ["k"], "d", 2000), 3)
 
 
@@ -384,11 +384,12 @@ def dataset_manifest(spark, sf):
     return S.rounded(stats.dataset_manifest(_prepared(spark, sf)).select("split", "rows", "identities", "sequences", "len_min", "stride", "leaking_identities"))
 
 
-@query(f"""WITH {S.RECORDINGS}, h AS (SELECT seq % 2 AS src, seq, string_agg((round(e[1], 1) + 0.0)::VARCHAR, ',' ORDER BY frame_idx) AS p FROM r WHERE frame_idx < 1 GROUP BY 1, 2)
+@query(f"""WITH {S.RECORDINGS}, h AS (SELECT seq % 2 AS src, seq, string_agg((round(e[1], 0) + 0.0)::VARCHAR, ',' ORDER BY frame_idx) AS p FROM r GROUP BY 1, 2)
 SELECT list_sort(list(DISTINCT src::VARCHAR)) AS sources, count(*) AS sequences FROM h GROUP BY p HAVING count(DISTINCT src) > 1""")
 def duplicate_fingerprints(spark, sf):
-    r = S.recordings(spark, sf).select((F.col("seq") % 2).cast("string").alias("src"), "seq", "frame_idx", (F.round(F.get("e", F.lit(0)), 1) + F.lit(0.0)).alias("v"))
-    return stats.duplicate_fingerprints(r, "src", "seq", "frame_idx", ["v"], 1).select("sources", "sequences")
+    """Recordings that are equal from end to end in whole numbers."""
+    r = S.recordings(spark, sf).select((F.col("seq") % 2).cast("string").alias("src"), "seq", "frame_idx", (F.round(F.get("e", F.lit(0)), 0) + F.lit(0.0)).alias("v"))
+    return stats.duplicate_fingerprints(r, "src", "seq", "frame_idx", ["v"], None).select("sources", "sequences")
 
 
 @query("""WITH c AS (SELECT c_mktsegment AS source, c_nationkey AS target, avg(c_acctbal) AS m FROM customer GROUP BY 1, 2) SELECT source, count(*) AS n, round(corr(m, target), 6) AS corr FROM c GROUP BY 1""")
@@ -404,19 +405,22 @@ def sweep_deltas(spark, sf):
     return S.rounded(stats.sweep_deltas(v, ["l_suppkey"], "method", "value", "A"))
 
 
-@query("""WITH a AS (SELECT unnest(range(16)) AS i, embedding FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT unnest(range(16)) AS i, embedding FROM embeddings WHERE vec_id % 2 = 1),
-ca AS (SELECT i, j, covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) AS c FROM a, range(16) t(j) GROUP BY 1, 2), cb AS (SELECT i, j, covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) AS c FROM b, range(16) t(j) GROUP BY 1, 2)
-SELECT round(sum((ca.c - cb.c) ** 2) / (4 * 16 * 16) * 1e6, 6) AS coral_e6 FROM ca JOIN cb USING (i, j)""")
+@query("""WITH a AS (SELECT unnest(range(64)) AS i, embedding FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT unnest(range(64)) AS i, embedding FROM embeddings WHERE vec_id % 2 = 1),
+ca AS (SELECT i, j, covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) AS c FROM a, range(64) t(j) GROUP BY 1, 2), cb AS (SELECT i, j, covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) AS c FROM b, range(64) t(j) GROUP BY 1, 2)
+SELECT round(sum((ca.c - cb.c) ** 2) / (4 * 64 * 64) * 1e6, 6) AS coral_e6 FROM ca JOIN cb USING (i, j)""")
 def coral_gap(spark, sf):
-    e = S.table(spark, sf, "embeddings").withColumn("v", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")))
-    out = stats.coral_gap(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "v", 16)
+    e = S.table(spark, sf, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    out = stats.coral_gap(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "v", 64)
     return S.rounded(out.select((F.col("coral") * 1e6).alias("coral_e6")))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, (label >= 5)::INT AS s, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL),
+p AS (SELECT a.s + b.s AS kind, list_distance(a.v, b.v) ** 2 AS d FROM e a JOIN e b ON a.vec_id < b.vec_id), w AS (SELECT greatest(median(d), 1e-12) AS band FROM p),
+k AS (SELECT kind, avg(exp(-d / band)) AS m FROM p, w GROUP BY kind)
+SELECT round(greatest(sum(CASE kind WHEN 1 THEN -2 * m ELSE m END), 0), 6) + 0.0 AS mmd FROM k""")
 def mmd_gap(spark, sf):
     e = S.table(spark, sf, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
-    return S.rounded(stats.mmd_gap(e.filter("label < 5"), e.filter("label >= 5"), "v", "vec_id"))
+    return S.rounded(stats.mmd_gap(e.filter("label < 5"), e.filter("label >= 5"), "v", "vec_id", None))
 
 
 @query("SELECT value, row_number() OVER (ORDER BY value) - 1 AS label FROM (SELECT DISTINCT trim(n_name) AS value FROM nation WHERE trim(n_name) <> '')")

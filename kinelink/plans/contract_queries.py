@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelink.functions import channels as C
@@ -309,11 +309,40 @@ sb AS (SELECT seq, kind, arg_max(c, round(abs(c), 9) + axis * 1e-12) AS smooth_r
 asn AS (SELECT * FROM rb JOIN sb USING (seq, kind) JOIN lb USING (seq, kind))"""
 
 
-def _associations(spark, sf) -> DataFrame:
-    """A recording's rotation rate against its own gyro and against that of the next of ten."""
+def _rate_and_gyro(spark, sf) -> DataFrame:
+    """A recording's rotation rate beside its own gyro and beside that of the next of ten."""
     s = S.sensors(spark, sf).withColumn("team", F.floor(F.col("seq") / 10)).withColumn("person", F.col("seq") % 10).withColumn("people", F.lit(10))
-    rows = joins.orientation_gyro_join(s.select("team", "person", "people", "frame_idx", F.col("quat_x").alias("rate"), (F.col("frame_idx") % 6 != 1).alias("ok")), s.select("team", "person", "frame_idx", *L.GYRO), ["team"], "person", "people")
-    return orientation.gyro_association(rows, ["team", "person", "kind"], "frame_idx", "rate", list(L.GYRO), F.col("ok"), 5, 4).withColumn("seq", F.col("team") * 10 + F.col("person"))
+    return joins.orientation_gyro_join(s.select("team", "person", "people", "frame_idx", F.col("quat_x").alias("rate"), (F.col("frame_idx") % 6 != 1).alias("ok")), s.select("team", "person", "frame_idx", *L.GYRO), ["team"], "person", "people")
+
+
+_SERIES = ["team", "person", "kind"]
+
+
+def _seq() -> Column:
+    return (F.col("team") * 10 + F.col("person")).alias("seq")
+
+
+def _associations(spark, sf) -> DataFrame:
+    return orientation.gyro_association(_rate_and_gyro(spark, sf), _SERIES, "frame_idx", "rate", list(L.GYRO), F.col("ok"), 5, 4).withColumn("seq", _seq())
+
+
+_TURN = f"{_AS}, z AS (SELECT seq, kind, row_number() OVER (PARTITION BY seq, kind ORDER BY frame_idx) - 1 AS i, abs(rate) AS x, sqrt(gyro_x ** 2 + gyro_y ** 2 + gyro_z ** 2) AS y, ok FROM pr)"
+
+
+@query(f"""WITH {_TURN}, q AS (SELECT seq, kind, quantile_cont(y, 0.5) AS low, quantile_cont(y, 0.9) AS high FROM z WHERE ok GROUP BY 1, 2),
+st AS (SELECT seq, kind, 'low' AS stratum, x, y FROM z JOIN q USING (seq, kind) WHERE ok AND y <= low UNION ALL SELECT seq, kind, 'high', x, y FROM z JOIN q USING (seq, kind) WHERE ok AND y >= high)
+SELECT seq, kind, stratum, count(*) AS frames, CASE WHEN count(*) >= 5 THEN round(corr(x, y), 6) + 0.0 END AS corr FROM st GROUP BY 1, 2, 3""")
+def gyro_motion_strata(spark, sf):
+    out = orientation.motion_strata(_rate_and_gyro(spark, sf), _SERIES, "rate", list(L.GYRO), F.col("ok"))
+    return S.rounded(out.select(_seq(), "kind", "stratum", "frames", "corr"))
+
+
+@query(f"""WITH {_TURN}, sh AS (SELECT seq, kind, t, row_number() OVER (PARTITION BY seq, kind, t ORDER BY md5('0:' || t || ':' || i)) - 1 AS i, y FROM z, range(16) r(t)),
+c AS (SELECT seq, kind, t, abs(corr(z.x, sh.y)) AS r FROM z JOIN sh USING (seq, kind, i) WHERE ok GROUP BY 1, 2, 3), a AS (SELECT seq, kind, abs(corr(x, y)) AS abs_r FROM z WHERE ok GROUP BY 1, 2)
+SELECT seq, kind, count(r) AS trials, round(any_value(abs_r), 6) AS abs_r, round(quantile_cont(r, 0.95), 6) AS abs_r_null FROM c JOIN a USING (seq, kind) GROUP BY 1, 2""")
+def gyro_time_shuffle(spark, sf):
+    out = orientation.time_shuffle_null(_rate_and_gyro(spark, sf), _SERIES, "frame_idx", "rate", list(L.GYRO), F.col("ok"))
+    return S.rounded(out.select(_seq(), "kind", "trials", "abs_r", "abs_r_null"))
 
 
 @query(f"WITH {_AS}, z AS (SELECT seq, kind, count(*) AS frames, count(*) FILTER (ok) AS valid_frames FROM pr GROUP BY 1, 2) SELECT seq, kind, frames, valid_frames, round(raw_r, 6) + 0.0 AS raw_r, raw_axis, round(smooth_r, 6) + 0.0 AS smooth_r, round(lag_r, 6) + 0.0 AS lag_r, lag_frames FROM z JOIN asn USING (seq, kind)")
