@@ -148,7 +148,7 @@ def motion_strata(rows: DataFrame, keys: list[str], rate: str, gyro: list[str],
     strata = F.array(F.when(F.col("_y") <= F.col("_low"), F.lit("low")), F.when(F.col("_y") >= F.col("_high"), F.lit("high")))
     each = known.join(cuts, keys).withColumn("stratum", F.explode(F.array_compact(strata)))
     varied = (F.stddev_pop("_x") > 1e-12) & (F.stddev_pop("_y") > 1e-12)
-    return each.groupBy(*keys, "stratum").agg(F.count(F.lit(1)).alias("frames"), F.when((F.count(F.lit(1)) >= least) & varied, F.corr("_x", "_y")).alias("corr"))
+    return each.groupBy(*keys, "stratum").agg(F.count(F.lit(1)).alias("frames"), F.when((F.count(F.lit(1)) >= least) & varied, F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))).alias("corr"))
 
 
 def time_shuffle_null(rows: DataFrame, keys: list[str], order: str, rate: str, gyro: list[str], valid: Column, trials: int = 16, seed: int = 0, quantile: float = 0.95, least: int = 5) -> DataFrame:
