@@ -6,49 +6,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelink.functions import layouts as L
+from kinelink.functions import pose as P
 from kinelink.functions import randoms as R
 from kinelink.functions import vectors as V
-from kinelink.operators.grouped import per_series
 from kinelink.operators.series import derivatives, diff_zero, moving_average, over, unwrap
 
 _EPS = 1e-8
 
 
-def smooth(x: np.ndarray, kernel: int) -> np.ndarray:
-    """Mean over `kernel` frames, the ends repeated."""
-    if kernel <= 1:
-        return x
-    pad = kernel // 2
-    wide = np.concatenate([np.repeat(x[:1], pad, axis=0), x, np.repeat(x[-1:], pad, axis=0)])
-    total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(wide, axis=0)])
-    return (total[kernel:] - total[:-kernel])[: len(x)] / kernel
-
-
-def step(x: np.ndarray, times: int = 1) -> np.ndarray:
-    """Difference to the frame before, the first 0."""
-    for _ in range(times):
-        x = np.concatenate([np.zeros_like(x[:1]), np.diff(x, axis=0)])
-    return x
-
-
-def size(x: np.ndarray) -> np.ndarray:
-    return np.sqrt((x * x).sum(axis=-1))
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(size(x), _EPS)[..., None]
-
-
-def turn(x: np.ndarray) -> np.ndarray:
-    """Angle without jumps above pi."""
-    jump = np.diff(x, axis=0)
-    return x + np.concatenate([np.zeros_like(x[:1]), np.cumsum(2 * np.pi * ((jump < -np.pi).astype(float) - (jump > np.pi)), axis=0)])
-
-
 # COCO joint numbers of the arm tokens and the image size.
 _LS, _LH, _RH = 5, 11, 12
 _ARM = {"ls": _LS, "rs": 6, "le": 7, "lw": 9, "lh": _LH, "rh": _RH}
@@ -99,100 +68,135 @@ def arm_tokens(df: DataFrame, keys: list[str], order: str, joints: str, kernel:
     return out.select(*keys, order, F.array(*(x for t in tokens for x in t + [none] * (12 - len(t)))).alias("features"))
 
 
-def raw_pose(pixels: np.ndarray, kernel: int = 9) -> np.ndarray:
-    """72 numbers per frame: joints from the left shoulder, their steps, shoulder and hips."""
-    p = smooth(pixels[..., :2] / np.array(SCREEN), kernel)
-    own = p - p[:, _LS : _LS + 1]
-    hips = (p[:, _LH] + p[:, _RH]) / 2
-    return np.concatenate([own.reshape(len(p), -1), step(own).reshape(len(p), -1), p[:, _LS], hips - p[:, _LS]], axis=1)
-
-
-H36M_MODES = ("h36m2d", "h36m3d", "h36m3d_no_velocity", "h36m3d_bone", "h36m3d_heading", "h36m3d_heading_rate", "h36m3d_rotinv", "h36m3d_zonly", "h36m3d_geom", "h36m3d_left_wrist", "h36m3d_right_wrist", "h36m3d_both_wrist", "h36m3d_left_wrist_rot")
-_EXTRA = {"h36m3d_heading_rate": 2, "h36m3d_heading": 4, "h36m3d_geom": 17, "h36m3d_left_wrist": 6, "h36m3d_right_wrist": 6, "h36m3d_left_wrist_rot": 6, "h36m3d_both_wrist": 12}
+def _smoothed(df: DataFrame, keys: list[str], order: str, vector: str, kernel: int) -> DataFrame:
+    """An array column replaced by its mean over `kernel` frames, number by number; the first and last frame stand for what lies beyond the ends."""
+    if kernel <= 1:
+        return df
+    pad, w = kernel // 2, over(keys, [order])
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place, frames = F.row_number().over(w), F.count(F.lit(1)).over(whole)
+    out = df.withColumns({"_near": F.collect_list(vector).over(w.rowsBetween(-pad, kernel - 1 - pad)), "_first": F.first(vector).over(whole), "_last": F.last(vector).over(whole), "_lack": F.greatest(F.lit(0), pad + 1 - place), "_over": F.greatest(F.lit(0), place + kernel - 1 - pad - frames)})
+    ends = F.zip_with("_first", "_last", lambda a, b: a * F.col("_lack") + b * F.col("_over"))
+    total = F.aggregate("_near", ends, lambda t, v: F.zip_with(t, v, lambda a, b: a + b))
+    return out.withColumn(vector, F.transform(total, lambda v: v / kernel)).drop("_near", "_first", "_last", "_lack", "_over")
+
+
+def _steps(vector: Column, keys: list[str], order: str) -> Column:
+    """An array's difference to that of the frame before, zeros in the first frame."""
+    before = F.lag(vector).over(over(keys, [order]))
+    return F.coalesce(F.zip_with(vector, before, lambda a, b: a - b), F.transform(vector, lambda v: F.lit(0.0)))
+
+
+def _numbers(points: Column, axes: str = "xyz") -> Column:
+    return F.flatten(F.transform(points, lambda p: F.array(*(p[a] for a in axes))))
+
+
+def raw_pose(df: DataFrame, keys: list[str], order: str, joints: str, kernel: int = 9) -> DataFrame:
+    """(keys, order, features): 72 numbers per frame: the image's joints seen from the left shoulder, their steps, the shoulder, and the hips from it."""
+    screen = F.transform(_numbers(F.col(joints), "xy"), lambda v, i: v.cast("double") / F.when(i % 2 == 0, SCREEN[0]).otherwise(SCREEN[1]))
+    out = _smoothed(df.select(*keys, order, screen.alias("p")), keys, order, "p", kernel)
+    at = lambda j, a: F.get("p", F.lit(2 * j + a))
+    shoulder = [at(_LS, a) for a in (0, 1)]
+    out = out.withColumn("own", F.transform("p", lambda v, i: v - F.when(i % 2 == 0, shoulder[0]).otherwise(shoulder[1])))
+    hips = [(at(_LH, a) + at(_RH, a)) / 2 - shoulder[a] for a in (0, 1)]
+    return out.select(*keys, order, F.concat("own", _steps(F.col("own"), keys, order), F.array(*shoulder, *hips)).alias("features"))
+
+
+# The feature modes, each with how joints are written and what follows them and their steps.
+_MODES = {
+    "h36m2d": ("flat", ()),
+    "h36m3d": ("plain", ()),
+    "h36m3d_no_velocity": ("plain", ()),
+    "h36m3d_bone": ("bones", ()),
+    "h36m3d_heading": ("plain", ("direction", "rate", "seen")),
+    "h36m3d_heading_rate": ("plain", ("rate", "seen")),
+    "h36m3d_rotinv": ("turned", ()),
+    "h36m3d_zonly": ("depth", ()),
+    "h36m3d_geom": ("plain", ("lengths",)),
+    "h36m3d_left_wrist": ("plain", ("left",)),
+    "h36m3d_right_wrist": ("plain", ("right",)),
+    "h36m3d_both_wrist": ("plain", ("left", "right")),
+    "h36m3d_left_wrist_rot": ("plain", ("left_in_torso",)),
+}
+H36M_MODES = tuple(_MODES)
+_WIDTHS = {"direction": 2, "rate": 1, "seen": 1, "lengths": 17, "left": 6, "right": 6, "left_in_torso": 6}
+# H36M joint numbers.
+_PELVIS, _THORAX, _LEFT, _RIGHT = 0, 8, 11, 14
+_FOREARMS = {"left": (12, 13), "right": (15, 16)}
 
 
 def h36m_width(mode: str) -> int:
-    if mode not in H36M_MODES:
+    if mode not in _MODES:
         raise ValueError(f"unknown feature mode {mode!r}; there are {', '.join(H36M_MODES)}")
-    return 102 + _EXTRA.get(mode, 0)
-
-
-def _normal(xyz: np.ndarray, kernel: int, depth: bool = True) -> np.ndarray:
-    """Joints from the hip in shoulder widths, smoothed."""
-    p = xyz * np.array([1.0, 1.0, float(depth)])
-    p = p - p[:, :1]
-    return smooth(p / np.maximum(size(p[:, 14] - p[:, 11]), 1e-4)[:, None, None], kernel)
-
-
-def _heading(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sine and cosine, rate, valid) of the front's direction in the x-z plane."""
-    front = np.cross(p[:, 14] - p[:, 11], p[:, 8] - p[:, 0])[:, [0, 2]]
-    valid = size(front) > 1e-5
-    angle = np.where(valid, np.arctan2(front[:, 1], front[:, 0]), 0.0)
-    return np.column_stack([np.sin(angle), np.cos(angle)]) * valid[:, None], step(turn(angle)), valid
-
-
-def _bones(p: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(p)
-    for i, parent in enumerate(L.H36M_PARENTS):
-        if parent >= 0:
-            out[:, i] = p[:, i] - p[:, parent]
-    return out
-
-
-def _wrist(p: np.ndarray, elbow: int, wrist: int, by_torso: bool = False) -> np.ndarray:
-    """Forearm direction and how it turned since the frame before."""
-    d = unit(p[:, wrist] - p[:, elbow])
-    if by_torso:
-        x, y = unit(p[:, 14] - p[:, 11]), unit(p[:, 8] - p[:, 0])
-        d = np.stack([(d * a).sum(-1) for a in (x, y, unit(np.cross(x, y)))], axis=-1)
-    return np.concatenate([d, np.cross(np.concatenate([d[:1], d[:-1]]), d)], axis=1)
-
-
-def h36m_features(xyz: np.ndarray, mode: str = "h36m3d", kernel: int = 9) -> np.ndarray:
-    """Positions and steps of the 17 joints, with what the mode adds or leaves out."""
-    width, p = h36m_width(mode), _normal(xyz, kernel, mode != "h36m2d")
-    full = p
-    if mode == "h36m3d_zonly":
-        p = p * np.array([0.0, 0.0, 1.0])
-    elif mode == "h36m3d_bone":
-        p = _bones(p)
-    elif mode == "h36m3d_rotinv":
-        (sc, _, valid), x, z = _heading(p), p[..., 0], p[..., 2]
-        s, c = sc[:, :1], sc[:, 1:]
-        p = np.where(valid[:, None, None], np.stack([c * x + s * z, p[..., 1], c * z - s * x], axis=-1), p)
-    moves = step(p) * (mode != "h36m3d_no_velocity")
-    parts = [p.reshape(len(p), -1), moves.reshape(len(p), -1)]
-    if mode in ("h36m3d_heading", "h36m3d_heading_rate"):
-        sc, rate, valid = _heading(full)
-        parts += [*([sc] if mode == "h36m3d_heading" else []), rate[:, None], valid[:, None].astype(float)]
-    elif mode == "h36m3d_geom":
-        parts.append(size(_bones(full)))
-    elif mode in ("h36m3d_left_wrist", "h36m3d_both_wrist", "h36m3d_left_wrist_rot"):
-        parts.append(_wrist(full, 12, 13, mode.endswith("_rot")))
-    if mode in ("h36m3d_right_wrist", "h36m3d_both_wrist"):
-        parts.append(_wrist(full, 15, 16))
-    out = np.concatenate(parts, axis=1)
-    if out.shape[1] != width or not np.isfinite(out).all():
-        raise ValueError(f"{mode} gives {out.shape[1]} numbers, not {width} finite ones")
-    return out
+    return 102 + sum(_WIDTHS[part] for part in _MODES[mode][1])
+
+
+def _with_unit(df: DataFrame, name: str) -> DataFrame:
+    """A column of vectors in unit length."""
+    return df.withColumn("_long", F.greatest(P.length(F.col(name)), F.lit(_EPS))).withColumn(name, P.times(F.col(name), 1 / F.col("_long"))).drop("_long")
+
+
+def h36m_features(df: DataFrame, keys: list[str], order: str, joints: str, mode: str = "h36m3d", kernel: int = 9) -> DataFrame:
+    """(keys, order, features): the 17 joints and their steps, written as the mode says, and the mode's own numbers.
+
+    Joints stand from the pelvis in shoulder widths, smoothed. The heading is the angle in the x-z plane of what stands square to shoulders
+    and trunk; it is unwrapped before its rate is taken. A wrist has the forearm's direction (from outside or along shoulders,
+    trunk and front) and its cross product with the one a frame before. One plan of columns and windows over one partitioning.
+    """
+    h36m_width(mode)
+    written, extras = _MODES[mode]
+    at = lambda i: P.joint("p", i)
+    flat_if = lambda p: P.xyz(p["x"], p["y"], F.lit(0.0) if written == "flat" else p["z"])
+    from_pelvis = F.transform(joints, lambda q: P.minus(flat_if(q), flat_if(P.joint(joints, _PELVIS))))
+    out = df.select(*keys, order, from_pelvis.alias("p"))
+    width = F.greatest(P.distance(at(_RIGHT), at(_LEFT)), F.lit(1e-4))
+    out = _smoothed(out.select(*keys, order, F.transform(_numbers(F.col("p")), lambda v: v / width).alias("n")), keys, order, "n", kernel)
+    out = out.select(*keys, order, F.transform(F.sequence(F.lit(0), F.lit(16)), lambda j: P.xyz(*(F.get("n", 3 * j + a) for a in range(3)))).alias("p"))
+    out = out.withColumns({"across": P.minus(at(_RIGHT), at(_LEFT)), "trunk": P.minus(at(_THORAX), at(_PELVIS))})
+    if written == "turned" or "rate" in extras:
+        out = out.withColumn("front", P.cross(F.col("across"), F.col("trunk")))
+        out = out.withColumn("seen", F.hypot(F.col("front.x"), F.col("front.z")) > 1e-5)
+        out = out.withColumn("angle", F.when(F.col("seen"), F.atan2(F.col("front.z"), F.col("front.x"))).otherwise(0.0))
+    if "rate" in extras:
+        out = diff_zero(unwrap(out, keys, [order], "angle", F.lit(True), name="whole_angle"), keys, [order], "whole_angle", name="rate")
+    bones = F.array(*(P.minus(at(i), at(p)) if p >= 0 else P.xyz(0, 0, 0) for i, p in enumerate(L.H36M_PARENTS)))
+    sine, cosine = (F.when(F.col("seen"), f("angle")).otherwise(0.0) for f in (F.sin, F.cos)) if "angle" in out.columns else (None, None)
+    forms = {
+        "plain": lambda: F.col("p"),
+        "flat": lambda: F.col("p"),
+        "depth": lambda: F.transform("p", lambda q: P.xyz(0, 0, q["z"])),
+        "bones": lambda: bones,
+        # turned about the vertical until the front stands on the x axis
+        "turned": lambda: F.when(F.col("seen"), F.transform("p", lambda q: P.xyz(q["x"] * cosine + q["z"] * sine, q["y"], q["z"] * cosine - q["x"] * sine))).otherwise(F.col("p")),
+    }
+    out = out.withColumn("own", _numbers(forms[written]()))
+    still = F.transform("own", lambda v: F.lit(0.0))
+    parts = [F.col("own"), still if mode == "h36m3d_no_velocity" else _steps(F.col("own"), keys, order)]
+    for name in extras:
+        if name == "lengths":
+            parts.append(F.transform(bones, P.length))
+        elif name == "direction":
+            parts.append(F.array(sine, cosine))
+        elif name in ("rate", "seen"):
+            parts.append(F.array(F.col(name).cast("double")))
+        else:
+            elbow, wrist = map(at, _FOREARMS[name.split("_")[0]])
+            out = _with_unit(out.withColumn(name, P.minus(wrist, elbow)), name)
+            if name.endswith("in_torso"):
+                out = _with_unit(_with_unit(out, "across"), "trunk")
+                out = _with_unit(out.withColumn("front", P.cross(F.col("across"), F.col("trunk"))), "front")
+                out = out.withColumn(name, P.xyz(*(P.dot(F.col(name), F.col(c)) for c in ("across", "trunk", "front"))))
+            turned = P.cross(F.coalesce(F.lag(name).over(over(keys, [order])), F.col(name)), F.col(name))
+            parts.append(_numbers(F.array(F.col(name), turned)))
+    finite = F.assert_true(F.forall("features", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(f"{mode} gives numbers that are not finite"))
+    made = out.select(*keys, order, F.concat(*parts).alias("features"))
+    return made.select(*keys, order, F.when(finite.isNull(), F.col("features")).alias("features"))
 
 
 def skeleton_features(df: DataFrame, keys: list[str], order: str, joints: str, mode: str, kernel: int = 9) -> DataFrame:
     """(keys, order, features): 'tokens', 'raw72' or one of the H36M modes; whole series or windows, as the keys say."""
-    if mode == "tokens":
-        return arm_tokens(df, keys, order, joints, kernel)
-    if mode != "raw72":
-        h36m_width(mode)
-    made = (lambda p: raw_pose(p, kernel)) if mode == "raw72" else (lambda p: h36m_features(p, mode, kernel))
-    flat = df.select(*keys, order, F.flatten(F.transform(joints, lambda p: F.array(p["x"], p["y"], p["z"]))).alias("_p"))
-
-    def features(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["features"] = made(np.array(pdf["_p"].tolist(), float).reshape(len(pdf), 17, 3)).tolist()
-        return pdf[[*keys, order, "features"]]
-
-    types = dict(df.dtypes)
-    return per_series(flat, keys, [order], features, ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "features array<double>"]))
+    plans = {"tokens": arm_tokens, "raw72": raw_pose}
+    return plans[mode](df, keys, order, joints, kernel) if mode in plans else h36m_features(df, keys, order, joints, mode, kernel)
 
 
 MOTION = ("motion_energy", "max_speed", "acceleration_energy", "jerk_energy", "active_ratio", "simultaneous_ratio", "spectral_entropy", "periodicity", "scale")

@@ -236,13 +236,80 @@ def test_lowpass_keeps_slow_and_drops_fast():
         grouped.lowpass(slow[:, None], 50, 30)
 
 
+def frames_of(spark, x):
+    rows = [(1, i, [tuple(map(float, q)) for q in f]) for i, f in enumerate(x)]
+    return spark.createDataFrame(rows, "k int, i int, joints array<struct<x:double,y:double,z:double>>").repartition(3)
+
+
+def features_by_hand(x, mode):
+    """Frame by frame, from the definition of the modes."""
+    n, out, angles, p = len(x), [], [], []
+    x = x * [1, 1, mode != "h36m2d"]
+    scaled = [(f - f[0]) / max(math.dist(f[14], f[11]), 1e-4) for f in x]
+    for i in range(n):
+        p.append(sum(scaled[min(max(j, 0), n - 1)] for j in range(i - 4, i + 5)) / 9)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-8)
+    torso = [(f[14] - f[11], f[8] - f[0]) for f in p]
+    fronts = [np.cross(a, b) for a, b in torso]
+    seen = [math.hypot(f[0], f[2]) > 1e-5 for f in fronts]
+    for f, ok in zip(fronts, seen):
+        angle = math.atan2(f[2], f[0]) if ok else 0.0
+        while angles and angle - angles[-1] > math.pi:
+            angle -= 2 * math.pi
+        while angles and angle - angles[-1] < -math.pi:
+            angle += 2 * math.pi
+        angles.append(angle)
+
+    def written(i):
+        if mode == "h36m3d_zonly":
+            return p[i] * [0, 0, 1]
+        if mode == "h36m3d_bone":
+            return np.array([p[i][j] - p[i][parent] if parent >= 0 else p[i][j] * 0 for j, parent in enumerate(layouts.H36M_PARENTS)])
+        if mode == "h36m3d_rotinv" and seen[i]:
+            s, c = math.sin(angles[i]), math.cos(angles[i])
+            return p[i] @ np.array([[c, 0, -s], [0, 1, 0], [s, 0, c]])
+        return p[i]
+
+    def forearm(i, elbow, wrist):
+        d = unit(p[i][wrist] - p[i][elbow])
+        a, b = map(unit, torso[i])
+        return np.array([d @ a, d @ b, d @ unit(np.cross(a, b))]) if mode.endswith("_rot") else d
+
+    for i in range(n):
+        moved = (written(i) - written(max(i - 1, 0))) * (mode != "h36m3d_no_velocity")
+        row = [*written(i).ravel(), *moved.ravel()]
+        if mode == "h36m3d_heading":
+            row += [math.sin(angles[i]) * seen[i], math.cos(angles[i]) * seen[i]]
+        if "heading" in mode:
+            row += [angles[i] - angles[max(i - 1, 0)], float(seen[i])]
+        if mode == "h36m3d_geom":
+            row += [np.linalg.norm(p[i][j] - p[i][parent]) if parent >= 0 else 0.0 for j, parent in enumerate(layouts.H36M_PARENTS)]
+        for side, ends in (("left", (12, 13)), ("right", (15, 16))):
+            if side in mode or "both" in mode:
+                row += [*forearm(i, *ends), *np.cross(forearm(max(i - 1, 0), *ends), forearm(i, *ends))]
+        out.append(row)
+    return np.array(out)
+
+
 @pytest.mark.parametrize("mode", features.H36M_MODES)
-def test_h36m_modes(mode):
-    x = np.random.default_rng(2).normal(size=(20, 17, 3))
-    out = features.h36m_features(x, mode)
+def test_h36m_modes(spark, mode):
+    x = np.random.default_rng(2).normal(size=(20, 17, 3)).cumsum(axis=0)
+    out = np.array([r.features for r in features.h36m_features(frames_of(spark, x), ["k"], "i", "joints", mode).orderBy("i").collect()])
     assert out.shape == (20, features.h36m_width(mode))
     if mode == "h36m3d_zonly":
         assert np.allclose(out[:, :51].reshape(20, 17, 3)[..., :2], 0)
+    assert np.allclose(out, features_by_hand(x, mode), atol=1e-9)
+
+
+def test_raw_pose(spark):
+    x = np.random.default_rng(3).normal(500, 100, size=(15, 17, 3))
+    out = np.array([r.features for r in features.skeleton_features(frames_of(spark, x), ["k"], "i", "joints", "raw72").orderBy("i").collect()])
+    p = [sum(x[min(max(j, 0), 14), :, :2] / [1920, 1080] for j in range(i - 4, i + 5)) / 9 for i in range(15)]
+    for i, row in enumerate(out):
+        own, before = p[i] - p[i][5], p[max(i - 1, 0)] - p[max(i - 1, 0)][5]
+        assert np.allclose(row, [*own.ravel(), *(own - before).ravel(), *p[i][5], *((p[i][11] + p[i][12]) / 2 - p[i][5])])
+    with pytest.raises(ValueError):
+        features.h36m_width("other")
 
 
 def test_arm_tokens(spark):
