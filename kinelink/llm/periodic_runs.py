@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinelink.llm import words as W
 from kinelink.llm.recompression import Grammar
 from kinelink.llm.tables import row_slices
 
@@ -54,10 +55,9 @@ def runs_of(texts: list[list[bytes]], min_words: int = MIN_WORDS, repeats: int =
     if repeats < 2:
         raise ValueError("a run repeats its words twice at least")
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for words in texts for w in words), np.int64, int(sizes.sum()))
+    ids = W.numbered(texts)
     first = np.cumsum(sizes + 1) - sizes  # a symbol of its own stands before each text and after the last
-    string = np.arange(len(number), len(number) + len(ids) + len(texts) + 1)
+    string = np.arange(len(ids) + len(texts) + 1) + (ids.max(initial=-1) + 1)
     where = np.repeat(first, sizes) + np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     string[where] = ids
     found = [np.empty((4, 0), np.int64)]

@@ -6,17 +6,16 @@ anchor, the phrase of 8 words with the lowest hash inside it, so equal windows h
 1. Documents are dealt into blocks of bounded size. Each block reports its anchors; anchors that
    only one place has are dropped (a block reports an anchor once, however often it has it).
 2. Each block reports the hashes of its windows with anchors that are left; windows that two
-   places have are confirmed.
-3. Each block is a shard: the anchors of its confirmed windows are compiled into an Aho-Corasick
-   automaton, word for word, all documents of the block stream through it, and at each
-   phrase found the windows around it are looked up among the confirmed ones. Words that a
-   confirmed window covers are removed.
-
-A shard holds only phrases that its own documents have, and every document passes one automaton, so the
-work grows with the input; a key has at most one row for each block. The automaton compares the words of
-the anchors; whole windows are equal if their two 64-bit hashes are (the anchor's and the window's), which are
-mixed at every word and do not go wrong for structured texts. Of 10**13 windows of which 10**3 share each anchor, pairs
-that agree by chance number under one in a thousand.
+   places have recur. The first block that has one represents it.
+3. Representatives send the words of recurring windows, overlapping ones as one passage, to the blocks that
+   have them: each block gets a passage once, and no more than it has itself.
+4. Each block is a shard: the anchors of its passages are compiled into an Aho-Corasick automaton, word for word, and all
+   documents of the block stream through it. Every phrase found is compared to both sides with the passages it stands in, word for
+   word; stretches of 35 equal words or more are removed. Nothing else decides which words go.
+
+So a word goes if its window is equal, word for word, to a recurring window that another block (or its own) sent. That
+a window recurs is found by two 64-bit hashes (the anchor's and the window's) under a key drawn for each run, so no text can
+be made to meet in them. The work grows with the input; a key has at most one row for each block.
 
 Nulls: a null text has no words. Rows that repeat are documents of their own, so their passages
 recur. Texts of fewer than 35 words stay. Other columns are not looked at.
@@ -43,9 +42,10 @@ BLOCK_BYTES = 4 << 20
 class _Windows:
     """Windows and anchors of the texts of one slice."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, anchor: int, key: int):
         self.starts, self.ends, self.bounds = W.word_spans(data, offsets)
-        self.hashes = W.word_hashes(data, self.starts, self.ends)
+        self.hashes = W.word_hashes(data, self.starts, self.ends, key)
+        self.window = window
         self.n, span = len(self.hashes), window - anchor + 1
         self.phrases = W.window_hashes(self.hashes, anchor)
         self.valid = W.inside(self.bounds, window, self.n)
@@ -60,9 +60,9 @@ class _Windows:
             self.anchored = np.zeros(len(self.phrases), bool)
 
 
-def _slices(table: pa.Table, window: int, anchor: int):
+def _slices(table: pa.Table, window: int, anchor: int, key: int):
     for first, end, data, offsets in W.text_slices(table.column("text")):
-        yield first, end, data, _Windows(data, offsets, window, anchor)
+        yield first, end, data, _Windows(data, offsets, window, anchor, key)
 
 
 def _tally(block: int, found: list[np.ndarray], name: str) -> pa.Table:
@@ -81,76 +81,130 @@ def _sorted(table: pa.Table, name: str) -> np.ndarray:
     return np.sort(np.asarray(table.column(name)).view(W.U64))
 
 
-def _automaton(texts: pa.Array, parts: list, confirmed: np.ndarray, anchor: int):
-    """(automaton over word numbers, word numbers of each slice): the block's shard."""
-    numbers: dict[bytes, int] = {}
-    own = [[numbers.setdefault(w, len(numbers)) for text in texts.slice(first, end - first).to_pylist() for w in text.encode().split()] for first, end, _, _ in parts]
-    automaton, seen = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), np.empty(0, W.U64)
-    for (_, _, _, part), words in zip(parts, own):
-        sure = part.valid & _member(part.windows, confirmed)
-        wanted = np.setdiff1d(part.lowest[sure], seen)
-        values, at = np.unique(part.phrases, return_index=True)
-        for p in at[_member(values, wanted)].tolist():
-            automaton.add_word(tuple(words[p : p + anchor]), anchor)
-        seen = np.union1d(seen, wanted)
-    if len(automaton):
-        automaton.make_automaton()
-    return automaton, own
-
-
-def _locate(part, own: list[int], automaton, confirmed: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """Which words of the slice lie in a confirmed window around a phrase that the automaton finds."""
-    if not len(automaton) or not len(part.windows):
-        return np.zeros(part.n, bool)
-    ends = np.fromiter((e for e, _ in automaton.iter(tuple(own))), np.int64)
-    near = np.zeros(len(part.windows), bool)
-    if len(ends):
-        first = np.maximum(ends - window + 1, 0)
-        last = np.minimum(ends - anchor + 1, len(part.windows) - 1)
-        first, last = first[first <= last], last[first <= last]
-        near = W.covered(first, last - first + 1, len(part.windows))
-    at = np.flatnonzero(near & part.valid)
-    return W.covered(at[_member(part.windows[at], confirmed)], window, part.n)
+def _passages(part: _Windows, data: np.ndarray, windows: np.ndarray, targets: np.ndarray) -> tuple[list[int], list[str]]:
+    """(target, words) of the slice's passages: wanted windows of a target that follow each other are one. windows is sorted, targets beside it."""
+    values, places = np.unique(np.where(part.valid, part.windows, 0), return_index=True)
+    have = np.zeros(len(windows), bool)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, windows), len(values) - 1)
+        have = (values[at] == windows) & part.valid[places[at]]
+    target, place = targets[have], places[at[have]] if have.any() else np.empty(0, np.int64)
+    order = np.lexsort((place, target))
+    target, place = target[order], place[order]
+    new = np.append(True, (target[1:] != target[:-1]) | (place[1:] != place[:-1] + 1))[: len(place)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place)) - 1
+    span = part.window - 1
+    text = data.tobytes()
+    words = [b" ".join(text[part.starts[place[a]] : part.ends[place[b] + span]].split()).decode() for a, b in zip(first.tolist(), last.tolist())]
+    return target[first].tolist(), words
+
+
+#: Numbers that no word of a passage has: of all other words and the ends of texts, and between passages.
+_OTHER, _BETWEEN = (1 << 32) - 1, (1 << 32) - 2
+
+
+class _Shard:
+    """The automaton of a block's passages, and their words by number."""
+
+    def __init__(self, passages: list[str], window: int, anchor: int, key: int):
+        self.window, self.anchor, self.numbers = window, anchor, {}
+        passages = sorted(set(passages))
+        tokens = [p.encode().split() for p in passages]
+        own = W.numbered(tokens, self.numbers)
+        self.words = np.full(len(own) + len(tokens) + 1, _BETWEEN, np.int64)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        shift = np.repeat(np.arange(len(tokens)), sizes) + 1
+        self.words[np.arange(len(own)) + shift] = own
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.places: list[list[int]] = []
+        data = np.frombuffer("\n".join(passages).encode(), np.uint8)
+        ends = np.cumsum([len(p.encode()) + 1 for p in passages]) if passages else np.empty(0, np.int64)
+        part = _Windows(data, np.concatenate([[0], np.minimum(ends, len(data))]).astype(np.int64), window, anchor, key)
+        found: dict[tuple[int, ...], int] = {}
+        for p in np.flatnonzero(part.anchored).tolist():
+            phrase = tuple(own[p : p + anchor].tolist())
+            at = found.setdefault(phrase, len(found))
+            if at == len(self.places):
+                self.places.append([])
+                self.automaton.add_word(phrase, at)
+            self.places[at].append(p + int(shift[p]))
+        if found:
+            self.automaton.make_automaton()
+
+    def locate(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Which words of the texts lie in a stretch of `window` words or more that is equal to part of a passage."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        gone = np.zeros(int(sizes.sum()) + len(texts), bool)
+        known = [x for words in texts for x in (*(self.numbers.get(w, _OTHER) for w in words), _OTHER)]
+        hits = list(self.automaton.iter(tuple(known))) if len(self.automaton) else []
+        rim, side = self.window - self.anchor, np.full(self.window, _OTHER, np.int64)
+        rest = np.full(self.window, _BETWEEN, np.int64)
+        own, passage = np.concatenate([side, np.array(known, np.int64), side]), np.concatenate([rest, self.words, rest])
+        at = np.array([e - self.anchor + 1 for e, p in hits for _ in self.places[p]], np.int64)
+        place = np.array([x for _, p in hits for x in self.places[p]], np.int64)
+        reach = np.arange(-rim, self.window)
+        for a in range(0, len(at), 1 << 14):
+            d, g = at[a : a + (1 << 14)], place[a : a + (1 << 14)]
+            equal = own[d[:, None] + self.window + reach] == passage[g[:, None] + self.window + reach]
+            left = np.cumprod(equal[:, :rim][:, ::-1], axis=1).sum(axis=1)
+            right = np.cumprod(equal[:, rim:], axis=1).sum(axis=1)
+            long = left + right >= self.window
+            gone |= W.covered(d[long] - left[long], (left + right)[long], len(gone))
+        return np.delete(gone, np.cumsum(sizes + 1) - 1)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (start and end in words) removed, n_removed, kept_text of every row."""
+    key = W.secret()
 
     def anchors(table: pa.Table) -> pa.Table:
-        return _tally(table.column("block")[0].as_py(), [p.phrases[p.anchored] for _, _, _, p in _slices(table, window, anchor)], "anchor")
+        return _tally(table.column("block")[0].as_py(), [p.phrases[p.anchored] for _, _, _, p in _slices(table, window, anchor, key)], "anchor")
 
     def windows(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not len(table) or not len(shared):
             return _tally(0, [], "window")
         keep = _sorted(shared, "anchor")
-        return _tally(table.column("block")[0].as_py(), [p.windows[p.valid & _member(p.lowest, keep)] for _, _, _, p in _slices(table, window, anchor)], "window")
-
-    def locate(table: pa.Table, sure: pa.Table) -> pa.Table:
-        confirmed = _sorted(sure, "window") if len(sure) else np.empty(0, W.U64)
-        slices = list(_slices(table, window, anchor))
-        texts = table.column("text").combine_chunks()
-        automaton, numbers = _automaton(texts, slices, confirmed, anchor) if len(confirmed) and slices else (ahocorasick.Automaton(), [None] * len(slices))
+        return _tally(table.column("block")[0].as_py(), [p.windows[p.valid & _member(p.lowest, keep)] for _, _, _, p in _slices(table, window, anchor, key)], "window")
+
+    def send(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        target, words = [], []
+        if len(table) and len(wanted):
+            sought, targets = np.asarray(wanted.column("window")).view(W.U64), np.asarray(wanted.column("block"))
+            order = np.argsort(sought)
+            sought, targets = sought[order], targets[order]
+            for _, _, data, part in _slices(table, window, anchor, key):
+                found = _passages(part, data, sought, targets)
+                target += found[0]
+                words += found[1]
+        return pa.table({"target": pa.array(target, pa.int32()), "passage": pa.array(words, pa.string())})
+
+    def locate(table: pa.Table, passages: pa.Table) -> pa.Table:
+        shard = _Shard(passages.column("passage").to_pylist() if len(passages) else [], window, anchor, key)
         n_words, n_removed, spans, kept = [], [], [], []
-        for (first, end, _, part), own in zip(slices, numbers):
-            gone = _locate(part, own, automaton, confirmed, window, anchor)
-            for text, a, b in zip(texts.slice(first, end - first).to_pylist(), part.bounds[:-1].tolist(), part.bounds[1:].tolist()):
-                mine = gone[a:b]
-                tokens = (text or "").encode().split()
+        column = table.column("text").combine_chunks() if len(table) else pa.array([], pa.string())
+        for first, end, _, _ in W.text_slices(column):
+            texts = [(t or "").encode().split() for t in column.slice(first, end - first).to_pylist()]
+            gone, done = shard.locate(texts), 0
+            for tokens in texts:
+                mine = gone[done : done + len(tokens)]
+                done += len(tokens)
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8))) if mine.any() else []
-                n_words.append(b - a)
+                n_words.append(len(tokens))
                 n_removed.append(int(mine.sum()))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
                 kept.append(b" ".join(compress(tokens, (~mine).tolist()) if len(edge) else tokens).decode())
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, span), "kept_text": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": table.column("doc_id") if len(table) else pa.array([], pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, span), "kept_text": pa.array(kept, pa.string())})
 
     rows = in_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), block_bytes)
     blocks = rows.groupBy("block")
 
     def recurring(found: DataFrame, name: str) -> DataFrame:
-        total = F.sum("n").over(Window.partitionBy(name))
-        return found.withColumn("total", total).filter(F.col("total") > 1).select("block", name)
+        same = Window.partitionBy(name)
+        return found.withColumns({"total": F.sum("n").over(same), "source": F.min("block").over(same)}).filter(F.col("total") > 1).select("block", name, "source")
 
-    shared = recurring(blocks.applyInArrow(anchors, "block int, anchor long, n int"), "anchor")
+    shared = recurring(blocks.applyInArrow(anchors, "block int, anchor long, n int"), "anchor").select("block", "anchor")
     sure = recurring(blocks.cogroup(shared.groupBy("block")).applyInArrow(windows, "block int, window long, n int"), "window")
-    return blocks.cogroup(sure.groupBy("block")).applyInArrow(locate, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
+    passages = blocks.cogroup(sure.groupBy("source")).applyInArrow(send, "target int, passage string")
+    return blocks.cogroup(passages.groupBy("target")).applyInArrow(locate, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")

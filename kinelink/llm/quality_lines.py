@@ -36,20 +36,18 @@ MAX_REPEAT_PERCENT = 30
 _STATS = "doc_id long, host string, key long, fingerprint long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
-def repeat_words(hashes: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Per text, how many words lie in windows that its text has twice or more."""
-    n, out = len(hashes), np.zeros(len(bounds) - 1, np.int64)
+def repeat_words(numbers: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Per text, how many of its words, given by number, lie in windows that the text has twice or more."""
+    n, out = len(numbers), np.zeros(len(bounds) - 1, np.int64)
     starts = np.flatnonzero(W.inside(bounds, window, n))
     if not len(starts):
         return out
     text = np.repeat(np.arange(len(out)), np.diff(bounds))
-    keys = W.mix(W.window_hashes(hashes, window)[starts] + W.mix(text[starts].astype(W.U64) + W.U64(1)))
-    ordered = np.sort(keys)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if len(twice):
-        at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-        marked = W.covered(starts[twice[at] == keys], window, n)
-        np.add.at(out, text[marked], 1)
+    names = W.window_names(numbers, window)[starts] * len(out) + text[starts]
+    _, place, times = np.unique(names, return_inverse=True, return_counts=True)
+    twice = times[place] > 1
+    if twice.any():
+        np.add.at(out, text[W.covered(starts[twice], window, n)], 1)
     return out
 
 
@@ -76,10 +74,11 @@ def _lines(text: str) -> tuple[int, list[int], list[int]]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
-        for first, end, data, offsets in W.text_slices(texts):
-            starts, ends, bounds = W.word_spans(data, offsets)
-            repeats = repeat_words(W.word_hashes(data, starts, ends), bounds)
+        for first, end, _, _ in W.text_slices(texts):
             rows = [t or "" for t in texts.slice(first, end - first).to_pylist()]
+            tokens = [t.encode().split() for t in rows]
+            bounds = np.cumsum([0, *map(len, tokens)])
+            repeats = repeat_words(W.numbered(tokens), bounds)
             lines = [_lines(t) for t in rows]
             yield pa.RecordBatch.from_pydict({
                 **{c: batch.column(c).slice(first, end - first) for c in ("doc_id", "host", "key", "fingerprint")},

@@ -34,12 +34,12 @@ _A, _B = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), W.U
 _A |= W.U64(1)
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted set of shingle hashes of every text."""
+def shingle_sets(column: pa.Array, k: int = SHINGLE, key: int = 0) -> Iterator[np.ndarray]:
+    """The sorted set of shingle hashes of every text, under the key."""
     for _, _, data, offsets in W.text_slices(column):
         folded = W.FOLD[data]
         starts, ends, bounds = W.word_spans(folded, offsets)
-        hashes = W.word_hashes(folded, starts, ends)
+        hashes = W.word_hashes(folded, starts, ends, key)
         for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
             yield np.unique(W.window_hashes(hashes[a:b], min(k, b - a))) if b > a else np.empty(0, W.U64)
 

@@ -3,12 +3,15 @@
 A slice of texts is one byte array with offsets (the layout of an Arrow string column). Words are
 runs of bytes that a 256-entry table marks; no word crosses a text. A word's hash goes through its bytes
 eight at a time, with a full mix after each eight (words above `LONG` bytes by XXH64), and depends on the
-word alone: words of up to eight bytes and equal length never share a hash, all others do by chance only. A
+word and a key alone. Without a key anyone can look for words of equal hash; where equal hashes stand for equal words,
+the key is drawn for each run (`secret`), so that texts cannot be made to meet in it and words meet by chance only. Within
+one slice words can be told apart exactly, by number (`numbered`), and so can windows (`window_names`). A
 window's hash mixes the hashes of its two halves, so no sum of powers and no structure of a text meets in it.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,10 +89,15 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes and length."""
+def secret() -> int:
+    """A key for one run's hashes."""
+    return int.from_bytes(os.urandom(8), "little")
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hash of each word's bytes and length under the key."""
     size, eight = ends - starts, eights(data)
-    out = mix(mix(size.astype(U64) * _ODD) ^ (eight[starts] & _LOW[np.minimum(size, 8)]))
+    out = mix(mix(size.astype(U64) * _ODD + U64(key)) ^ (eight[starts] & _LOW[np.minimum(size, 8)]))
     at = np.flatnonzero(size > 8)
     for back in range(8, LONG, 8):
         at = at[size[at] > back]
@@ -97,7 +105,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             return out
         out[at] = mix(out[at] * _ODD ^ (eight[starts[at] + back] & _LOW[np.minimum(size[at] - back, 8)]))
     for i in at[size[at] > LONG].tolist():
-        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), key)
+    return out
+
+
+def numbered(texts: list[list[bytes]], numbers: dict[bytes, int] | None = None) -> np.ndarray:
+    """The words of the texts, one after the other, by number: equal words and no others have equal numbers."""
+    numbers = {} if numbers is None else numbers
+    return np.fromiter((numbers.setdefault(w, len(numbers)) for words in texts for w in words), np.int64, sum(map(len, texts)))
+
+
+def window_names(numbers: np.ndarray, k: int) -> np.ndarray:
+    """A number for numbers[i:i+k] for every i: equal windows and no others have equal numbers."""
+    if len(numbers) < k:
+        return np.empty(0, np.int64)
+    span, out = 1, numbers
+    while span < k:
+        move = min(span, k - span)
+        out = np.unique(out[:-move] * (int(out.max()) + 1) + out[move:], return_inverse=True)[1]
+        span += move
     return out
 
 

@@ -319,18 +319,35 @@ def test_repeated_passages_inside_one_text(spark, awkward, empty):
     assert phrase_dedup.remove_repeats(awkward).count() == awkward.count() and phrase_dedup.remove_repeats(empty).count() == 0
 
 
-def test_only_what_the_automaton_finds_is_removed(monkeypatch):
-    texts = pa.array([" ".join(f"w{i}" for i in range(60)), "x y " + " ".join(f"w{i}" for i in range(60))])
-    parts = list(phrase_dedup._slices(pa.table({"text": texts}), 35, 8))
-    part = parts[0][3]
-    windows, n = np.unique(part.windows[part.valid], return_counts=True)
-    confirmed = windows[n > 1]
-    automaton, own = phrase_dedup._automaton(texts, parts, confirmed, 8)
-    assert phrase_dedup._locate(part, own[0], automaton, confirmed, 35, 8).sum() == 120
-    other = phrase_dedup.ahocorasick.Automaton(phrase_dedup.ahocorasick.STORE_ANY, phrase_dedup.ahocorasick.KEY_SEQUENCE)
-    other.add_word((10**6,) * 8, 8)
-    other.make_automaton()
-    assert phrase_dedup._locate(part, own[0], other, confirmed, 35, 8).sum() == 0
+def test_only_what_the_automaton_finds_is_removed():
+    passage = [f"w{i}" for i in range(60)]
+    texts = [[x.encode() for x in t] for t in (passage, ["x", "y", *passage], ["x", *passage[:34], "z", *passage[34:]], [*passage[20:], *passage[:20]])]
+    shard = phrase_dedup._Shard([" ".join(passage), " ".join(passage[:40])], 35, 8, 5)
+    gone = shard.locate(texts)
+    assert [int(x.sum()) for x in np.split(gone, np.cumsum([len(t) for t in texts])[:-1])] == [60, 60, 0, 40]
+    shard.automaton = phrase_dedup.ahocorasick.Automaton(phrase_dedup.ahocorasick.STORE_ANY, phrase_dedup.ahocorasick.KEY_SEQUENCE)
+    shard.automaton.add_word((10**6,) * 8, 0)
+    shard.automaton.make_automaton()
+    assert shard.locate(texts).sum() == 0
+
+
+def test_a_wrong_passage_removes_nothing(spark, monkeypatch):
+    """Windows that meet in their hash only: words decide."""
+    monkeypatch.setattr(W, "secret", lambda: 0)
+    one, two = "DFU6ciZ6Po3EePm0", "Q9n7vWK6yXPOnog8"  # equal without a key
+    data = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    h = W.word_hashes(data, *W.word_spans(data, np.array([0, len(data)]))[:2])
+    assert h[0] == h[1]
+    common = " ".join(f"c{i}" for i in range(34))
+    df = spark.createDataFrame([(i, f"{common} {(one, two)[i]}") for i in range(2)], "doc_id long, text string")
+    shard = phrase_dedup._Shard([f"{common} {one}"], 35, 8, 0)
+    assert shard.locate([f"{common} {two}".encode().split()]).sum() == 0
+    monkeypatch.undo()
+    assert [r.n_removed for r in phrase_dedup.remove_repeats(df).collect()] == [0, 0]
+    seven = " ".join(f"c{i}" for i in range(7))
+    text = f"{seven} {one} {seven} {two}"
+    judged = quality_lines.judge(spark.createDataFrame([(1, text, "h")], "doc_id long, text string, source string")).first()
+    assert judged.n_repeat_words == brute_repeats(text) == 0
 
 
 # 7
