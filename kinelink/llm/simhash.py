@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelink.llm import similar
@@ -71,9 +71,11 @@ def block_masks(blocks: int, differ: int = MOST_BITS) -> list[int]:
 
 
 def _buckets(prints: DataFrame, blocks: int) -> DataFrame:
-    """(table, key, fp, n): each fingerprint in each bucket, with the bucket's size."""
+    """(table, key, fp, n): each fingerprint in each bucket of several, with the bucket's size; the answers of hot buckets are broadcast."""
     keys = F.array(*(F.struct(F.lit(t).cast("short").alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(block_masks(blocks))))
-    return prints.select("fp", F.explode(keys).alias("k")).select("k.table", "k.key", "fp").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("table", "key")))
+    each = prints.select("fp", F.explode(keys).alias("bucket"))
+    sizes = checkpointed(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").withColumn("n", F.col("rows")))
+    return checkpointed(heavy_join(each, sizes, "bucket", "rows").select("bucket.table", "bucket.key", "fp", "n"))
 
 
 def spanning_links(members: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -119,18 +121,17 @@ def links(prints: DataFrame, bucket_limit: int = 4096) -> DataFrame:
     return _links(bucketed.filter((F.col("n") > 1) & (F.col("n") <= bucket_limit))).unionByName(_links(_buckets(crowded, 12).filter("n > 1")))
 
 
-def _grouped(prints: DataFrame, bucket_limit: int, more: DataFrame | None = None) -> DataFrame:
-    """fp, root (one fingerprint of its component), first_id and copies of every distinct fingerprint; `more` are links besides."""
+def _grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, root (one fingerprint of its component by the edges), first_id and copies of every distinct fingerprint."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    near = links(classes.select("fp"), bucket_limit)
-    roots = connected_components(near if more is None else near.unionByName(more))
+    roots = connected_components(edges)
     return checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "copies"))
 
 
 def near_duplicates(docs: DataFrame, bucket_limit: int = 4096) -> DataFrame:
     """doc_id, fp and component_id (the smallest id reachable) of every row."""
     prints = checkpointed(fingerprints(docs))
-    grouped = _grouped(prints, bucket_limit)
+    grouped = _grouped(prints, links(checkpointed(prints.select("fp").distinct()), bucket_limit))
     named = checkpointed(grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
     answers = checkpointed(heavy_join(grouped.select("fp", "root", "copies"), named, "root", "members").select("fp", "component_id", "copies"))
     return heavy_join(prints, answers, "fp", "copies").select("doc_id", "fp", "component_id")
@@ -143,9 +144,10 @@ def one_of_each_group(docs: DataFrame, bucket_limit: int = 4096, similarity: flo
     Rows that share an id but not a group are told apart by their text; of rows with equal id and text any one stays.
     """
     prints = checkpointed(fingerprints(docs, bands=similarity is not None))
-    more = None if similarity is None else similar.similar_links(docs, prints, MOST_BITS, similarity)
+    edges = checkpointed(links(checkpointed(prints.select("fp").distinct()), bucket_limit).distinct())
+    edges = edges if similarity is None else edges.unionByName(similar.similar_links(docs, prints, edges, MOST_BITS, similarity))
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
-    kept = first.join(_grouped(prints, bucket_limit, more), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    kept = first.join(_grouped(prints, edges), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
     doc_id, text_key = free_names(docs, "_id", "_key")
     keyed = docs.withColumn(doc_id, F.col("doc_id").cast("long")).withColumn(text_key, row_key("text"))
     same = (F.col(f"d.{text_key}") == F.col("k.key")) & F.col(f"d.{doc_id}").eqNullSafe(F.col("k.doc_id"))

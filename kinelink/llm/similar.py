@@ -2,10 +2,11 @@
 
 Twenty bands of five minhashes bring texts together (a pair at similarity s meets with probability
 1 - (1 - s^5)^20, 0.9996 at 0.8). In a bucket of up to `ALL_PAIRS` different texts every pair is decided by its exact
-similarity; in a larger one every text is compared with two of it, the most central (its buckets are the fullest) and one by
-chance, so the work is linear in the texts. Links are the edges of components, so of many alike texts the two serve all; what
-can be missed is a text that is alike only with texts other than those two in every bucket that they share. Shingles are
-told apart by 64-bit hashes of folded words; a text of fewer words is one shingle.
+similarity. In a larger one all texts are compared with a few leads, and what that links is contracted; buckets whose texts are still
+in several components take four times as many leads, and only texts of other components are compared with them, until a bucket
+is one component or all its texts have led. So every pair that meets is decided or joined already, a group of many alike texts takes
+one round, and only texts that meet without being alike take more. Shingles are told apart by 64-bit hashes of folded words, under a
+key drawn for each run where they decide; a text of fewer words is one shingle.
 
 Nulls: a null text, like an empty one, has no shingle and no link.
 """
@@ -16,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelink.llm import words as W
 from kinelink.llm.tables import checkpointed, heavy_join, row_key, row_slices
+from kinelink.operators.graphs import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -28,6 +30,8 @@ BANDS = 20
 ROWS = 5
 SEED = 42
 ALL_PAIRS = 8
+#: Leads of a larger bucket in its first round.
+FIRST_LEADS = 2
 #: Keys of texts that are broadcast, at most; more meet by shuffle.
 BROADCAST_KEYS = 1_000_000
 _A, _B = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), W.U64)
@@ -66,11 +70,14 @@ def banded(column: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in row_slices(batches, size=1 << 20):
-        sets = list(shingle_sets(batch.column("text")))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-        yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "shingles": lists})
+def _shingled(key: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, size=1 << 20):
+            sets = list(shingle_sets(batch.column("text"), key=key))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "shingles": lists})
+
+    return make
 
 
 def _near(x: str, y: str, similarity: float) -> Column:
@@ -82,44 +89,76 @@ def _alike(similarity: float) -> Column:
     return common >= similarity * (F.size("x") + F.size("y") - common)
 
 
-def _compared(members: DataFrame) -> DataFrame:
-    """(a, b, with fingerprints): the pairs of texts to decide, a the one that others are compared with."""
-    one, small = F.struct("key", "fp", "size"), F.col("crowd") <= ALL_PAIRS
-    few = members.filter(small).groupBy("bucket").agg(F.collect_list(one).alias("all"))
-    every = few.select(F.explode("all").alias("lead"), "all").select("lead", F.explode("all").alias("own")).filter("lead.key < own.key")
-    many = checkpointed(members.filter(~small))
-    central = F.max_by(one, F.struct("score", "key"))
-    leads = many.groupBy("bucket").agg(central.alias("central"), F.min_by(one, F.xxhash64("bucket", "key")).alias("chance"), F.count(F.lit(1)).alias("n"))
-    two = heavy_join(many.select("bucket", one.alias("own")), checkpointed(leads.select("bucket", F.array_distinct(F.array("central", "chance")).alias("leads"), "n")), "bucket", "n")
-    two = two.select(F.explode("leads").alias("lead"), "own").filter("lead.key <> own.key")
-    return every.unionByName(two)
+def _met(live: DataFrame, first: int, last: int) -> DataFrame:
+    """(lead, own): texts of crowded buckets with their bucket's leads, those from the first to before the last by rank, of other components."""
+    one = F.struct("key", "fp", "size", "root")
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "key"), "key")
+    chosen = live.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= last).filter(F.col("_n") > first)
+    crowds = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    leads = checkpointed(chosen.groupBy("bucket").agg(F.collect_list(one).alias("leads")).join(crowds, "bucket"))
+    both = heavy_join(live.select("bucket", one.alias("own")), leads, "bucket", "n").select(F.explode("leads").alias("lead"), "own")
+    return both.filter((F.col("lead.key") != F.col("own.key")) & (F.col("lead.root") != F.col("own.root")))
+
+
+def _few(members: DataFrame) -> DataFrame:
+    """(lead, own): every pair of texts of a bucket of few."""
+    few = members.groupBy("bucket").agg(F.collect_list(F.struct("key", "fp", "size", F.col("fp").alias("root"))).alias("all"))
+    return few.select(F.explode("all").alias("lead"), "all").select("lead", F.explode("all").alias("own")).filter("lead.key < own.key")
+
+
+class _Decider:
+    """Decides pairs of texts by their shingles; the shingles of a text are made once."""
+
+    def __init__(self, docs: DataFrame, texts: DataFrame, bits: int, similarity: float):
+        self.docs, self.texts, self.bits, self.similarity = docs, texts, bits, similarity
+        self.key, self.sets = W.secret(), None
+
+    def links(self, met: DataFrame) -> DataFrame:
+        """(a, b): the fingerprints of the pairs that are similar and more than `bits` bits apart."""
+        far = F.bit_count(F.col("lead.fp").bitwiseXOR(F.col("own.fp"))) > self.bits
+        pairs = checkpointed(met.filter(far & _near("own.size", "lead.size", self.similarity)).select(F.col("lead.key").alias("a"), F.col("own.key").alias("b"), F.col("lead.fp").alias("a_fp"), F.col("own.fp").alias("b_fp")).distinct())
+        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("key"), "key", "left_anti")
+        more = _chosen_sets(self.docs, self.texts.select("key", "doc_id").join(wanted, "key"), self.key)
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        leads = self.sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+        others = self.sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+        found = heavy_join(pairs, checkpointed(leads), "a", "n").join(others, "b").filter(_alike(self.similarity))
+        return checkpointed(found.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct())
 
 
-def _chosen_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _chosen_sets(docs: DataFrame, wanted: DataFrame, key: int) -> DataFrame:
     """(key, shingles) of the texts wanted by doc_id and key; the texts move only if there are too many to broadcast their keys."""
     chosen = checkpointed(wanted)
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text").alias("d")
     same = (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    return checkpointed(keyed.join(chosen.alias("w"), same).select("d.key", "text").mapInArrow(_shingled, "key long, shingles array<long>").dropDuplicates(["key"]))
+    return checkpointed(keyed.join(chosen.alias("w"), same).select("d.key", "text").mapInArrow(_shingled(key), "key long, shingles array<long>").dropDuplicates(["key"]))
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, bits: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): fingerprints more than `bits` bits apart of texts that are similar.
+def similar_links(docs: DataFrame, prints: DataFrame, base: DataFrame, bits: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between fingerprints of similar texts that, with the links `base`, join every group of similar texts.
 
-    prints, checkpointed, has doc_id, key (of the text), fp, size and bands of every row.
+    prints, checkpointed, has doc_id, key (of the text), fp, size and bands of every row; base, checkpointed, has the links a, b of
+    fingerprints up to `bits` bits apart.
     """
     texts = checkpointed(prints.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("bands").alias("bands")))
     met = checkpointed(texts.select("key", "fp", "size", F.explode("bands").alias("bucket")))
     crowds = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("_lo"), F.max("fp").alias("_hi")).filter("_lo < _hi")
     members = checkpointed(heavy_join(met, checkpointed(crowds.select("bucket", "n", F.col("n").alias("crowd"))), "bucket", "n"))
-    scores = members.groupBy("key").agg(F.sum("crowd").alias("score"))
-    pairs = _compared(members.join(scores, "key"))
-    far = F.bit_count(F.col("lead.fp").bitwiseXOR(F.col("own.fp"))) > bits
-    pairs = checkpointed(pairs.filter(far & _near("own.size", "lead.size", similarity)).select(F.col("lead.key").alias("a"), F.col("own.key").alias("b"), F.col("lead.fp").alias("a_fp"), F.col("own.fp").alias("b_fp")).distinct())
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = _chosen_sets(docs, texts.select("key", "doc_id").join(wanted, "key"))
-    leads = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
-    others = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    found = heavy_join(pairs, checkpointed(leads), "a", "n").join(others, "b").filter(_alike(similarity))
-    return found.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
+    decider = _Decider(docs, texts, bits, similarity)
+    found = decider.links(_few(members.filter(F.col("crowd") <= ALL_PAIRS)))
+    live, first, last = _undecided(members.filter(F.col("crowd") > ALL_PAIRS).select("bucket", "key", "fp", "size"), base.unionByName(found), 0), 0, FIRST_LEADS
+    while live.count():
+        found = found.unionByName(decider.links(_met(live, first, last)))
+        live, first, last = _undecided(live.drop("root"), base.unionByName(found), last), last, 4 * last
+    return found
+
+
+def _undecided(live: DataFrame, links: DataFrame, led: int) -> DataFrame:
+    """The texts of buckets in several components by the links so far, each with its component's root, where more than `led` texts are."""
+    roots = connected_components(links)
+    rooted = checkpointed(live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "key", "fp", "size", F.coalesce("root", "fp").alias("root")))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter((F.col("_lo") < F.col("_hi")) & (F.col("_n") > led))
+    return checkpointed(rooted.join(open_.select("bucket"), "bucket", "left_semi"))

@@ -501,6 +501,38 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
         assert Counter(tuple(r) for r in simhash.one_of_each_group(df.repartition(n)).collect()) == want
 
 
+def test_texts_of_one_template_lose_no_link(spark):
+    """160 texts of one template, any two of them just below 0.8 but for 80 pairs above it: all meet in crowded buckets and every pair is found."""
+    base = [f"t{i}" for i in range(400)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    jaccard = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    rows = []
+    for g in range(80):
+        one = list(base)
+        for i in (3, 60, 120, 180, 240, 300):
+            one[i] = f"g{g}x{i}"
+        for side in (0, 1):
+            text = list(one)
+            for i in (30, 150, 210, 350):
+                text[i] = f"g{g}s{side}y{i}"
+            rows.append((2 * g + side, text))
+    assert jaccard(rows[0][1], rows[1][1]) >= 0.8 > jaccard(rows[0][1], rows[2][1]) > 0.7
+    prints = [brute_print(" ".join(w)) for _, w in rows]
+    root = list(range(160))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(range(160), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 3 or a // 2 == b // 2:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each_group(df, similarity=0.8).collect()}
+    assert kept == {find(i) for i in range(160)} and len(kept) > 10
+
+
 def test_similar_texts_leave_one(spark):
     """Pairs at five-word Jaccard 0.8 or more beyond three bits are linked; those below stay, chains and many copies give one."""
     rng, rows, want, beyond = np.random.default_rng(3), [], set(), 0
