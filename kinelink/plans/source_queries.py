@@ -14,7 +14,7 @@ from kinelink.operators import windows
 from kinelink.operators.storage import fresh_folder
 from kinelink.plans import standins as S
 from kinelink.plans.registry import query
-from kinelink.sources import readers, sinks
+from kinelink.sources import archives, readers, sinks
 
 
 def _text_files(df: DataFrame, value: Column) -> str:
@@ -107,20 +107,25 @@ def read_imu_csv_series(spark, sf):
     return S.rounded(readers.read_imu_csv_series(spark, [one, two]).select("ts_ms", "ts_s", "acc_x"))
 
 
-def _archives(df: DataFrame, make) -> DataFrame:
-    """(path, content): one archive of arrays for each row of df; make(row) names its arrays."""
+def _archives(df: DataFrame, make) -> str:
+    """A fresh shared folder with one archive of arrays for each row of df, written by tasks; make(row) names the file and its arrays."""
+    at = fresh_folder(df.sparkSession)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, folder = archives.located(at)
+        system.create_dir(folder)
         for batch in batches:
-            out = []
             for row in batch.itertuples(index=False):
                 raw = io.BytesIO()
                 name, arrays = make(row)
                 np.savez(raw, **arrays)
-                out.append((name, raw.getvalue()))
-            yield pd.DataFrame(out, columns=["path", "content"])
+                # a task that runs again writes the same file whole
+                with system.open_output_stream(f"{folder}/{name}") as f:
+                    f.write(raw.getvalue())
+            yield pd.DataFrame({"n": [len(batch)]})
 
-    return df.mapInPandas(write, "path string, content binary")
+    df.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return at
 
 
 def _whole(df: DataFrame) -> DataFrame:
@@ -137,7 +142,7 @@ def read_person_cache(spark, sf):
     def make(row):
         x = np.array([np.asarray(v, float) for v in row.values])[: len(row.values) - row.seq % 2]
         pose = x[:, 20:54].reshape(-1, 17, 2)
-        return f"/cache/s{row.seq // 2}_aria{row.seq % 2}.npz", {"sensor_names": np.array(["left_wrist", "head"]), "acc": x[:, None, :3].repeat(2, 1), "quat": x[:, None, 9:13].repeat(2, 1), "pose2d": pose, "pose2d_mask": pose[:, :, 0]}
+        return f"s{row.seq // 2}_aria{row.seq % 2}.npz", {"sensor_names": np.array(["left_wrist", "head"]), "acc": x[:, None, :3].repeat(2, 1), "quat": x[:, None, 9:13].repeat(2, 1), "pose2d": pose, "pose2d_mask": pose[:, :, 0]}
 
     out = readers.read_person_cache(spark, _archives(_whole(S.recordings(spark, sf)), make), "left_wrist")
     return S.rounded(out.select("session", "person_id", "frame_idx", F.get("acc", F.lit(1)).cast("double").alias("acc_y"), F.get("quat", F.lit(0)).cast("double").alias("quat_w"), F.get("pose2d", F.lit(0)).cast("double").alias("pose_0"), F.get("visible", F.lit(0)).alias("visible_0")))
@@ -147,10 +152,11 @@ def read_person_cache(spark, sf):
 def import_array_archive(spark, sf):
     def make(row):
         x = np.array([np.asarray(v, float) for v in row.values])
-        return f"/data/r{row.seq}.npz", {"imu": x[:, :14].reshape(-1, 2, 7), "gt_skeleton": x[:, 19:53], "frame_ids": 2 * np.arange(len(x))}
+        return f"r{row.seq}.npz", {"imu": x[:, :14].reshape(-1, 2, 7), "gt_skeleton": x[:, 19:53], "frame_ids": 2 * np.arange(len(x))}
 
     out = readers.import_array_archive(spark, _archives(_whole(S.recordings(spark, sf)), make))
-    return S.rounded(out.select("path", "array", "person_idx", "frame_idx", "frame_id", F.get("values", F.lit(0)).cast("double").alias("first"), F.size("values").alias("width")))
+    path = F.concat(F.lit("/data/"), F.regexp_extract("path", "[^/]*$", 0)).alias("path")
+    return S.rounded(out.select(path, "array", "person_idx", "frame_idx", "frame_id", F.get("values", F.lit(0)).cast("double").alias("first"), F.size("values").alias("width")))
 
 
 @query("""WITH t AS (SELECT user_id % 20 AS s, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) - 1 AS k FROM events) SELECT 's' || s AS session, k AS frame_id, (k * 40 + CASE WHEN s % 2 = 0 THEN 5 ELSE 0 END)::DOUBLE AS ts_ms FROM t""")

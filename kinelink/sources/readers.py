@@ -1,7 +1,6 @@
 """Readers of raw recordings, detections, annotations and records into typed tables.
 
-Text and CSV files are parsed by column expressions. Binary archives go through Arrow batches, one file at a
-time. Every table carries `path`, the file a row is from.
+Text and CSV files are parsed by column expressions. Archives of arrays are a data source of their own (`archives`). Every table carries `path`, the file a row is from.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinelink.sources.archives import ARRAYS, archive_reader
+
 # Headers of the device's CSV files, gravity, box joints.
 CSV_HEADERS = {"epoch_ms": "ts_ms", "四元数0()": "quat_w", "四元数1()": "quat_x", "四元数2()": "quat_y", "四元数3()": "quat_z", "加速度X(g)": "acc_x", "加速度Y(g)": "acc_y", "加速度Z(g)": "acc_z"}
 GYRO_PREFIXES = {"gyro_x": ("角速度x", "gyro_x", "gyrox"), "gyro_y": ("角速度y", "gyro_y", "gyroy"), "gyro_z": ("角速度z", "gyro_z", "gyroz")}
@@ -320,35 +321,17 @@ def open_archive(raw: bytes) -> dict[str, np.ndarray]:
         return {n.removesuffix(".npy"): open_array(z.read(n)) for n in z.namelist()}
 
 
-_ARRAYS = "path string, array string, person_idx int, frame_idx long, frame_id long, values array<float>"
-
-
 def _contents(spark: SparkSession, path) -> DataFrame:
     """(path, content) of files; a DataFrame with these columns stands for files that were read already."""
     return path.select("path", "content") if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def import_array_archive(spark: SparkSession, path, arrays: tuple[str, ...] = ("imu", "gt_skeleton", "gt_skeleton_meters", "extract_skeleton", "gt_bboxes")) -> DataFrame:
+def import_array_archive(spark: SparkSession, path: str, arrays: tuple[str, ...] = ARRAYS) -> DataFrame:
     """(path, array, person_idx, frame_idx, frame_id, values) of recordings' arrays, axis 0 time and axis 1 persons.
 
-    path: a path, or a table of path and content. A two-dimensional array belongs to person 0. Arrow batches hold one file's rows at a time.
+    A two-dimensional array belongs to person 0. Files are read through `archives`, by ranges of an array's rows.
     """
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"]):
-                data = open_archive(raw)
-                for key in arrays:
-                    if key not in data:
-                        continue
-                    a = np.asarray(data[key], np.float32)
-                    a = a[:, None] if a.ndim == 2 else a
-                    t, n = a.shape[:2]
-                    ids = np.asarray(data.get("frame_ids", np.arange(t)), np.int64)
-                    flat = a.reshape(t * n, -1)
-                    yield pd.DataFrame({"path": name, "array": key, "person_idx": np.tile(np.arange(n, dtype=np.int32), t), "frame_idx": np.repeat(np.arange(t), n), "frame_id": np.repeat(ids, n), "values": list(flat)})
-
-    return _contents(spark, path).mapInPandas(decode, _ARRAYS)
+    return archive_reader(spark).option("arrays", ",".join(arrays)).load(path)
 
 
 def import_archive_metadata(spark: SparkSession, path) -> DataFrame:
@@ -364,26 +347,19 @@ def import_archive_metadata(spark: SparkSession, path) -> DataFrame:
     return _contents(spark, path).mapInPandas(decode, "path string, key string, value string")
 
 
-def read_person_cache(spark: SparkSession, path, sensor: str, sessions: list[str] | None = None) -> DataFrame:
+def read_person_cache(spark: SparkSession, path: str, sensor: str, sessions: list[str] | None = None) -> DataFrame:
     """(session, person_id, frame_idx, acc, quat, pose2d, visible) of archives named <session>_aria<id>.npz with sensor_names.
 
     All persons of a session are cut to the shortest; the sensor must exist.
     """
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"]):
-                data = open_archive(raw)
-                names = [str(n) for n in data["sensor_names"]]
-                if sensor not in names:
-                    raise ValueError(f"{name} has no sensor {sensor}; it has {names}")
-                k, stem = names.index(sensor), name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                session, person = stem.rsplit("_aria", 1)
-                t = len(data["pose2d"])
-                pose, mask = data["pose2d"].reshape(t, -1), data["pose2d_mask"].reshape(t, -1) > 0
-                yield pd.DataFrame({"session": session, "person_id": int(person), "frame_idx": np.arange(t), "acc": list(data["acc"][:, k].astype(np.float32)), "quat": list(data["quat"][:, k].astype(np.float32)), "pose2d": list(pose.astype(np.float32)), "visible": list(mask)})
-
-    rows = _contents(spark, path).mapInPandas(decode, "session string, person_id int, frame_idx long, acc array<float>, quat array<float>, pose2d array<float>, visible array<boolean>")
+    members = "acc array<float>, quat array<float>, pose2d array<float>, pose2d_mask array<float>, sensor_names array<string>"
+    cached = archive_reader(spark).schema(f"path string, frame_idx long, {members}").load(path)
+    k = F.array_position("sensor_names", sensor)
+    known = F.when(k > 0, k).otherwise(F.raise_error(F.concat("path", F.lit(f" has no sensor {sensor}; it has "), F.array_join("sensor_names", ", "))).cast("long"))
+    part = lambda c, width: F.slice(c, ((F.col("_k") - 1) * width + 1).cast("int"), width)
+    name = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    session, person = F.regexp_extract(name, r"^(.*)_aria([^_]*)$", 1), F.regexp_extract(name, r"^(.*)_aria([^_]*)$", 2)
+    rows = cached.withColumn("_k", known).select(session.alias("session"), person.cast("int").alias("person_id"), "frame_idx", part("acc", 3).alias("acc"), part("quat", 4).alias("quat"), "pose2d", F.transform("pose2d_mask", lambda v: v > 0).alias("visible"))
     rows = rows if sessions is None else rows.filter(F.col("session").isin(sessions))
     ends = rows.groupBy("session", "person_id").agg(F.max("frame_idx").alias("_e")).groupBy("session").agg(F.min("_e").alias("_e"))
     return rows.join(ends, "session").filter("frame_idx <= _e").drop("_e")
