@@ -23,7 +23,8 @@ recur. Texts of fewer than 35 words stay. Other columns are not looked at.
 
 from __future__ import annotations
 
-from itertools import compress
+from collections.abc import Iterator
+from itertools import compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -100,6 +101,8 @@ def _passages(part: _Windows, data: np.ndarray, windows: np.ndarray, targets: np
     return target[first].tolist(), words
 
 
+#: Words compared at a time.
+_CELLS = 1 << 20
 #: Numbers that no word of a passage has: of all other words and the ends of texts, and between passages.
 _OTHER, _BETWEEN = (1 << 32) - 1, (1 << 32) - 2
 
@@ -117,7 +120,7 @@ class _Shard:
         shift = np.repeat(np.arange(len(tokens)), sizes) + 1
         self.words[np.arange(len(own)) + shift] = own
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        self.places: list[list[int]] = []
+        places: list[list[int]] = []
         data = np.frombuffer("\n".join(passages).encode(), np.uint8)
         ends = np.cumsum([len(p.encode()) + 1 for p in passages]) if passages else np.empty(0, np.int64)
         part = _Windows(data, np.concatenate([[0], np.minimum(ends, len(data))]).astype(np.int64), window, anchor, key)
@@ -125,34 +128,76 @@ class _Shard:
         for p in np.flatnonzero(part.anchored).tolist():
             phrase = tuple(own[p : p + anchor].tolist())
             at = found.setdefault(phrase, len(found))
-            if at == len(self.places):
-                self.places.append([])
+            if at == len(places):
+                places.append([])
                 self.automaton.add_word(phrase, at)
-            self.places[at].append(p + int(shift[p]))
+            places[at].append(p + int(shift[p]))
         if found:
             self.automaton.make_automaton()
+        self.bounds = np.cumsum([0, *map(len, places)])
+        self.flat = np.array([x for at in places for x in at], np.int64)
+        self.firsts = np.cumsum(sizes + 1) - sizes  # where each passage starts
 
     def locate(self, texts: list[list[bytes]]) -> np.ndarray:
         """Which words of the texts lie in a stretch of `window` words or more that is equal to part of a passage."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        gone = np.zeros(int(sizes.sum()) + len(texts), bool)
-        known = [x for words in texts for x in (*(self.numbers.get(w, _OTHER) for w in words), _OTHER)]
-        hits = list(self.automaton.iter(tuple(known))) if len(self.automaton) else []
-        rim, side = self.window - self.anchor, np.full(self.window, _OTHER, np.int64)
-        rest = np.full(self.window, _BETWEEN, np.int64)
-        own, passage = np.concatenate([side, np.array(known, np.int64), side]), np.concatenate([rest, self.words, rest])
-        at = np.array([e - self.anchor + 1 for e, p in hits for _ in self.places[p]], np.int64)
-        place = np.array([x for _, p in hits for x in self.places[p]], np.int64)
-        reach = np.arange(-rim, self.window)
-        for a in range(0, len(at), 1 << 14):
-            d, g = at[a : a + (1 << 14)], place[a : a + (1 << 14)]
-            equal = own[d[:, None] + self.window + reach] == passage[g[:, None] + self.window + reach]
-            left = np.cumprod(equal[:, :rim][:, ::-1], axis=1).sum(axis=1)
-            right = np.cumprod(equal[:, rim:], axis=1).sum(axis=1)
-            long = left + right >= self.window
-            gone |= W.covered(d[long] - left[long], (left + right)[long], len(gone))
+        known: list[int] = []
+        for words in texts:
+            known.extend(map(self.numbers.get, words, repeat(_OTHER)))
+            known.append(_OTHER)
+        own, gone = np.array(known, np.int64), np.zeros(len(known), bool)
+        # the automaton reads stretches of `window` words of passages or more, each with what ends it
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], own != _OTHER]).astype(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        long = end - begin >= self.window
+        where = np.flatnonzero(W.covered(begin[long], (end - begin + 1)[long], len(own))) if long.any() else gone[:0]
+        hits = list(self.automaton.iter(tuple(own[where].tolist()))) if len(where) and len(self.automaton) else []
+        if hits:
+            ends, phrases = np.array(hits, np.int64).T
+            times = np.diff(self.bounds)[phrases]
+            at = np.repeat(where[ends] - self.anchor + 1, times)
+            place = self.flat[np.repeat(self.bounds[phrases] - np.cumsum(times) + times, times) + np.arange(len(at))]
+            for start, stop in self._equal(own, at, place):
+                gone |= W.covered(start, stop - start, len(gone))
         return np.delete(gone, np.cumsum(sizes + 1) - 1)
 
+    def _equal(self, own: np.ndarray, at: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start, end) in the texts of all stretches of `window` words or more that are equal to a passage in which a phrase was found.
+
+        A phrase at `at` in the texts and at `place` in a passage sets them against each other; phrases of one passage that do so at the
+        same shift are looked at together, from a window's reach before the first to a window's reach after the last.
+        """
+        rim, n, m = self.window - self.anchor, len(own), len(self.words)
+        half, same = rim // 2, lambda back: own[np.clip(at + back, 0, n - 1)] == self.words[np.clip(place + back, 0, m - 1)]
+        # of the words beside the phrase half stand on one side at least
+        near = same(-(rim - half)) | same(self.anchor + rim - half - 1)
+        at, place = at[near], place[near]
+        owner = np.searchsorted(self.firsts, place, "right")
+        order = np.lexsort((place, owner, at - place))
+        at, place, owner = at[order], place[order], owner[order]
+        new = np.append(True, (np.diff(at - place) != 0) | (np.diff(owner) != 0))[: len(at)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        shift = (at - place)[first]
+        low = np.maximum(np.maximum(place[first] - rim, 0), -shift)
+        high = np.minimum(np.minimum(place[last] + self.window, m), n - shift)
+        size = np.maximum(high - low, 0) + 1  # with a place between groups
+        done = np.cumsum(size)
+        a = 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + _CELLS, "right")))
+            start = np.cumsum(size[a:b]) - size[a:b]
+            step = np.arange(int(size[a:b].sum())) - np.repeat(start, size[a:b])
+            inside = np.repeat(low[a:b], size[a:b]) + step
+            equal = step < np.repeat(size[a:b] - 1, size[a:b])
+            there = inside + np.repeat(shift[a:b], size[a:b])
+            equal &= own[np.minimum(there, n - 1)] == self.words[np.minimum(inside, m - 1)]
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8)))
+            begin, stop = edge[::2], edge[1::2]
+            long = stop - begin >= self.window
+            yield there[begin[long]], there[begin[long]] + (stop - begin)[long]
+            a = b
+
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (start and end in words) removed, n_removed, kept_text of every row."""
