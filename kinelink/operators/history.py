@@ -146,7 +146,7 @@ def offline_policy(scores: DataFrame, keys: list[str], centre: str, method: str,
         return assign(votes, keys).select(*keys, "row", "col")
     evidence = segment_evidence(scores, keys, centre, frames, min_windows)
     if method == "global_best_segment":
-        order = F.struct(F.when(F.isnan("gap"), F.lit(float("-inf"))).otherwise(F.col("gap")), -F.col("segment"))
+        order = F.struct(F.when(F.isnan("gap"), F.lit(float("-inf"))).otherwise(F.round("gap", 7)), -F.col("segment"))
         best = evidence.groupBy(*keys).agg(F.max_by("segment", order).alias("segment"))
         return assign(evidence.join(best, [*keys, "segment"]), keys, score="mean").select(*keys, "row", "col")
     if method not in ("local_top1_segment", "local_topk_segment"):

@@ -133,7 +133,16 @@ def history_scores_decay_window(spark, sf):
     return S.rounded(out.select("session", "window_idx", "imu_idx", "track", "accumulated"))
 
 
-@query()
+def _best3_sql(name: str, scores: str, by: str) -> str:
+    """SQL: the best of the six assignments of three rows by `by`, rounded sums, the first of equals; up to three columns count."""
+    return f"""{name}_v AS (SELECT {by}, p, round(coalesce(sum(s), 0), 9) AS v FROM (SELECT DISTINCT {by} FROM {scores}) k CROSS JOIN (VALUES ([0, 1, 2]), ([0, 2, 1]), ([1, 0, 2]), ([1, 2, 0]), ([2, 0, 1]), ([2, 1, 0])) q(p) LEFT JOIN {scores} USING ({by}) WHERE p[r + 1] = c GROUP BY {by}, p),
+{name} AS (SELECT {by}, p FROM {name}_v QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY v DESC, p) = 1)"""
+
+
+@query(f"""WITH {_SC}, h AS (SELECT *, sum(CASE WHEN k = 1 OR confidence > 0.2 THEN score ELSE 0 END) OVER (PARTITION BY session, track, imu_idx ORDER BY window_idx) AS a, dense_rank() OVER (PARTITION BY session, window_idx ORDER BY track) - 1 AS c FROM mg),
+now_s AS (SELECT session, window_idx, imu_idx AS r, c, score AS s FROM h), past_s AS (SELECT session, window_idx, imu_idx AS r, c, a AS s FROM h), {_best3_sql("nw", "now_s", "session, window_idx")}, {_best3_sql("pt", "past_s", "session, window_idx")}
+SELECT nw.session, nw.window_idx, i AS imu_idx, a.track AS track_now, b.track AS track_history FROM nw JOIN pt USING (session, window_idx) CROSS JOIN range(3) t(i)
+LEFT JOIN h a ON a.session = nw.session AND a.window_idx = nw.window_idx AND a.imu_idx = i AND a.c = nw.p[i + 1] LEFT JOIN h b ON b.session = nw.session AND b.window_idx = nw.window_idx AND b.imu_idx = i AND b.c = pt.p[i + 1]""")
 def session_decisions(spark, sf):
     return history.session_decisions(_scores(spark, sf), ["session"], "window_idx", threshold=0.2)
 
@@ -174,17 +183,28 @@ def segment_evidence(spark, sf):
     return S.rounded(e.select("session", "segment", "row", "margin", "consistency").distinct())
 
 
-@query()
+_ROWS3 = lambda name: f'SELECT session, unnest([0, 1, 2])::BIGINT AS "row", unnest({name}.p)::BIGINT AS col FROM {name}'
+_SEGMENTS = f"""{_W3}, sz AS (SELECT session, centre // 8 AS segment, count(DISTINCT centre) AS n FROM w3 GROUP BY 1, 2), k AS (SELECT w3.*, segment FROM w3 JOIN sz ON sz.session = w3.session AND sz.segment = centre // 8 AND n >= 3),
+m AS (SELECT session, segment, "row", col, avg(score) AS s FROM k GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""WITH {_W3}, each AS (SELECT session, centre, "row" AS r, col AS c, score AS s FROM w3), {_best3_sql("won", "each", "session, centre")},
+votes AS (SELECT session, r, c, count(*)::DOUBLE AS s FROM (SELECT session, unnest([0, 1, 2]) AS r, unnest(p) AS c FROM won) GROUP BY 1, 2, 3), {_best3_sql("fin", "votes", "session")} {_ROWS3("fin")}""")
 def offline_votes(spark, sf):
     return history.offline_policy(_windows3(spark, sf), ["session"], "centre", "window_hungarian_all")
 
 
-@query()
+@query(f"""WITH {_SEGMENTS}, e AS (SELECT session, segment, "row" AS r, col AS c, s FROM m), {_best3_sql("own", "e", "session, segment")},
+g AS (SELECT session, segment, max(v) FILTER (k = 1) - max(v) FILTER (k = 2) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY session, segment ORDER BY v DESC) AS k FROM own_v) GROUP BY 1, 2),
+b AS (SELECT session, segment FROM g QUALIFY row_number() OVER (PARTITION BY session ORDER BY round(gap / 3, 7) DESC, segment) = 1), fin AS (SELECT session, p FROM own JOIN b USING (session, segment)) {_ROWS3("fin")}""")
 def offline_best_segment(spark, sf):
     return history.offline_policy(_windows3(spark, sf), ["session"], "centre", "global_best_segment", 8, 3)
 
 
-@query()
+@query(f"""WITH {_SEGMENTS}, wn AS (SELECT session, segment, "row", col AS winner FROM m QUALIFY row_number() OVER (PARTITION BY session, segment, "row" ORDER BY round(s, 12) DESC, col) = 1),
+ld AS (SELECT k.session, k.segment, k."row", centre, max(score) FILTER (col = winner) - max(score) FILTER (col <> winner) AS lead FROM k JOIN wn ON wn.session = k.session AND wn.segment = k.segment AND wn."row" = k."row" GROUP BY 1, 2, 3, 4),
+mr AS (SELECT session, segment, "row", median(lead) - mad(lead) AS margin FROM ld GROUP BY 1, 2, 3), ch AS (SELECT *, row_number() OVER (PARTITION BY session, "row" ORDER BY margin DESC, segment) AS n, max(margin) OVER (PARTITION BY session, "row") AS top FROM mr),
+mx AS (SELECT m.session, m."row" AS r, m.col AS c, sum(exp(margin - top) * s) / sum(exp(margin - top)) AS s FROM m JOIN ch ON ch.session = m.session AND ch.segment = m.segment AND ch."row" = m."row" AND n <= 3 GROUP BY 1, 2, 3), {_best3_sql("fin", "mx", "session")} {_ROWS3("fin")}""")
 def offline_topk_segments(spark, sf):
     return history.offline_policy(_windows3(spark, sf), ["session"], "centre", "local_topk_segment", 8, 3)
 

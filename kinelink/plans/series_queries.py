@@ -59,25 +59,29 @@ def _angles(spark, sf):
     return S.frames(spark, sf).withColumn("a", F.round(F.atan2(F.col("y") - 5.0, F.col("x") - 20.0), 9))
 
 
-_UNWRAP = f"""{S.FRAMES}, g0 AS (SELECT *, round(atan2(y - 5.0, x - 20.0), 9) AS a, row_number() OVER (PARTITION BY seq ORDER BY frame_idx) - row_number() OVER (PARTITION BY seq, ok ORDER BY frame_idx) AS isl FROM f),
-st AS (SELECT *, a - lag(a) OVER (PARTITION BY seq, ok, isl ORDER BY frame_idx) AS d FROM g0), p2 AS (SELECT 2 * pi() AS t),
+def _unwrap_sql(period: str) -> str:
+    return f"""{S.FRAMES}, g0 AS (SELECT *, round(atan2(y - 5.0, x - 20.0), 9) AS a, row_number() OVER (PARTITION BY seq ORDER BY frame_idx) - row_number() OVER (PARTITION BY seq, ok ORDER BY frame_idx) AS isl FROM f),
+st AS (SELECT *, a - lag(a) OVER (PARTITION BY seq, ok, isl ORDER BY frame_idx) AS d FROM g0), p2 AS (SELECT {period} AS t),
 fx AS (SELECT st.*, CASE WHEN d IS NULL OR abs(d) < t / 2 THEN 0 ELSE d - t * floor((d + t / 2) / t) - d END AS fix FROM st, p2),
 un AS (SELECT *, a + sum(fix) OVER (PARTITION BY seq, ok, isl ORDER BY frame_idx) AS u FROM fx)"""
 
 
+_UNWRAP = _unwrap_sql("2 * pi()")
+_RATE = """h AS (SELECT *, u - lag(u) OVER k AS du, ts_s - lag(ts_s) OVER k AS hb, lead(u) OVER k - u AS eu, lead(ts_s) OVER k - ts_s AS ha FROM un WINDOW k AS (PARTITION BY seq, ok, isl ORDER BY frame_idx)),
+rr AS (SELECT *, CASE WHEN NOT ok THEN NULL WHEN du IS NOT NULL AND eu IS NOT NULL THEN (du / hb * ha + eu / ha * hb) / (ha + hb) ELSE coalesce(du / hb, eu / ha) END AS rate FROM h)"""
+
+
 @query(f"WITH {_UNWRAP} SELECT seq, frame_idx, round(CASE WHEN ok THEN u END, 6) + 0.0 AS unwrapped FROM un")
 def unwrap(spark, sf):
     return S.rounded(series.unwrap(_angles(spark, sf), ["seq"], ["frame_idx"], "a", F.col("ok")).select("seq", "frame_idx", "unwrapped"))
 
 
-@query(f"""WITH {_UNWRAP}, h AS (SELECT *, u - lag(u) OVER k AS du, ts_s - lag(ts_s) OVER k AS hb, lead(u) OVER k - u AS eu, lead(ts_s) OVER k - ts_s AS ha FROM un WINDOW k AS (PARTITION BY seq, ok, isl ORDER BY frame_idx)),
-rr AS (SELECT *, CASE WHEN NOT ok THEN NULL WHEN du IS NOT NULL AND eu IS NOT NULL THEN (du / hb * ha + eu / ha * hb) / (ha + hb) ELSE coalesce(du / hb, eu / ha) END AS rate FROM h)
-SELECT seq, frame_idx, round(coalesce(rate, 0), 6) + 0.0 AS rate, rate IS NOT NULL AS rate_valid FROM rr""")
+@query(f"WITH {_UNWRAP}, {_RATE} SELECT seq, frame_idx, round(coalesce(rate, 0), 6) + 0.0 AS rate, rate IS NOT NULL AS rate_valid FROM rr")
 def angle_rate(spark, sf):
     return S.rounded(series.angle_rate(_angles(spark, sf), ["seq"], "ts_s", "a", F.col("ok")).select("seq", "frame_idx", "rate", "rate_valid"))
 
 
-@query()
+@query(f"WITH {_unwrap_sql('pi()')}, {_RATE} SELECT seq, frame_idx, round(coalesce(rate, 0), 6) + 0.0 AS rate, rate IS NOT NULL AS rate_valid FROM rr")
 def angle_rate_line(spark, sf):
     """The rate of an axis without a front: period pi."""
     return S.rounded(series.angle_rate(_angles(spark, sf), ["seq"], "ts_s", "a", F.col("ok"), math.pi).select("seq", "frame_idx", "rate", "rate_valid"))

@@ -44,13 +44,28 @@ def root_orientation(spark, sf):
     return S.rounded(t.select("seq", "frame_idx", "angle", F.get("orientation_6d", F.lit(0)).alias("first_6d")), 5)
 
 
-@query()
+def resampled_sql(values: str, n: int) -> str:
+    """SQL: a list resampled to n values between neighbours."""
+    place = f"(i * (len({values}) - 1) / {n - 1}.0::DOUBLE)"
+    return f"list_transform(range({n}), lambda i: {values}[floor({place})::BIGINT + 1] + ({values}[least(floor({place})::BIGINT + 2, len({values}))] - {values}[floor({place})::BIGINT + 1]) * ({place} - floor({place})))"
+
+
+_STREAM = f"""{_H}, c AS (SELECT seq, frame_idx, ts_s, sh AND sp AS ok, atan2(lx * uy - ly * ux, ly * uz - lz * uy) AS a FROM sk),
+g AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY frame_idx) - row_number() OVER (PARTITION BY seq, ok ORDER BY frame_idx) AS isl FROM c), d AS (SELECT *, a - lag(a) OVER (PARTITION BY seq, ok, isl ORDER BY frame_idx) AS d FROM g),
+un AS (SELECT *, a + sum(CASE WHEN d IS NULL OR abs(d) < pi() THEN 0 ELSE -2 * pi() * floor((d + pi()) / (2 * pi())) END) OVER (PARTITION BY seq, ok, isl ORDER BY frame_idx) AS u FROM d),
+h AS (SELECT *, u - lag(u) OVER k AS du, ts_s - lag(ts_s) OVER k AS hb, lead(u) OVER k - u AS eu, lead(ts_s) OVER k - ts_s AS ha FROM un WINDOW k AS (PARTITION BY seq, ok, isl ORDER BY frame_idx)),
+rr AS (SELECT seq, frame_idx, ok, a, greatest(-1, least(1, CASE WHEN NOT ok THEN 0 WHEN du IS NOT NULL AND eu IS NOT NULL THEN (du / hb * ha + eu / ha * hb) / (ha + hb) ELSE coalesce(du / hb, eu / ha, 0) END / 5)) AS rate FROM h),
+l AS (SELECT seq, list(CASE WHEN ok THEN sin(a) ELSE 0 END ORDER BY frame_idx) AS c0, list(CASE WHEN ok THEN cos(a) ELSE 0 END ORDER BY frame_idx) AS c1, list(CASE WHEN ok THEN rate ELSE 0 END ORDER BY frame_idx) AS c2, list(ok::INT::DOUBLE ORDER BY frame_idx) AS c3, list(abs(rate) ORDER BY frame_idx) AS c4 FROM rr GROUP BY seq),
+s48 AS (SELECT seq, {resampled_sql("c0", 48)} AS s0, {resampled_sql("c1", 48)} AS s1, {resampled_sql("c2", 48)} AS s2, list_transform({resampled_sql("c3", 48)}, lambda v: (v >= 0.5)::INT::DOUBLE) AS s3, list_transform({resampled_sql("c4", 48)}, lambda v: (v >= 0.5)::INT::DOUBLE) AS s4 FROM l)"""
+
+
+@query(f"WITH {_STREAM} SELECT seq, list_transform(list_concat(s0, list_concat(s1, list_concat(s2, list_concat(s3, s4)))), lambda v: round(v, 4) + 0.0) AS stream FROM s48")
 def orientation_stream(spark, sf):
     t = orientation.torso_heading_3d(_seen(spark, sf), ["seq"], "ts_s", "joints", "v")
-    return S.rounded(orientation.orientation_stream(t, ["seq"], "frame_idx", 48).select("seq", F.transform(F.flatten("stream"), lambda v: F.round(v, 4)).alias("stream")), 4)
+    return S.rounded(orientation.orientation_stream(t, ["seq"], "frame_idx", 48).select("seq", F.transform(F.flatten("stream"), lambda v: F.round(v, 4) + F.lit(0.0)).alias("stream")), 4)
 
 
-@query()
+@query(f"WITH {_STREAM} SELECT seq, list_sum(s4)::BIGINT AS turning_count FROM s48")
 def turning_counts(spark, sf):
     t = orientation.torso_heading_3d(_seen(spark, sf), ["seq"], "ts_s", "joints", "v")
     return orientation.turning_counts(orientation.orientation_stream(t, ["seq"], "frame_idx", 48), ["seq"])
@@ -130,7 +145,13 @@ def motion_complexity(spark, sf):
     return S.rounded(features.motion_complexity(S.skeletons(spark, sf), ["seq"], "frame_idx", "joints"))
 
 
-@query()
+_SCORED = lambda v: f"list_transform({v}, lambda v: round((v - list_avg({v})) / greatest(list_stddev_pop({v}), 1e-5), 5) + 0.0)"
+
+
+@query(f"""WITH {S.SENSORS}, k AS (SELECT seq, frame_idx, frame_idx // 24 AS w, ts_s, ({_p(11, "x")} + {_p(14, "x")}) / 2 AS x, ({_p(11, "y")} + {_p(14, "y")}) / 2 AS y, {_p(11, "z")} > -0.2 AND {_p(14, "z")} > -0.2 AS ok FROM r),
+v AS (SELECT *, CASE WHEN ok AND lag(ok) OVER g AND ts_s > lag(ts_s) OVER g THEN sqrt(((x - lag(x) OVER g) / (ts_s - lag(ts_s) OVER g)) ** 2 + ((y - lag(y) OVER g) / (ts_s - lag(ts_s) OVER g)) ** 2) ELSE 0 END AS speed FROM k WINDOW g AS (PARTITION BY seq, w ORDER BY frame_idx)),
+l AS (SELECT v.seq, v.w, list(speed ORDER BY v.frame_idx) AS a, list(sqrt(acc_x ** 2 + acc_y ** 2 + acc_z ** 2) ORDER BY v.frame_idx) AS b FROM v JOIN im ON im.seq = v.seq AND im.frame_idx = v.frame_idx GROUP BY 1, 2),
+s24 AS (SELECT seq, w, {resampled_sql("a", 24)} AS a, {resampled_sql("b", 24)} AS b FROM l) SELECT seq, w, {_SCORED("a")} AS feature, {_SCORED("b")} AS acc_magnitude FROM s24""")
 def trajectory_feature_pair(spark, sf):
     """Shoulder speed and acceleration size of windows of 24 frames, both resampled and standardised."""
     anchor = P.global_anchors("joints", "v", L.H36M17)["A3_shoulder_midpoint"]
