@@ -179,3 +179,21 @@ def test_packing_stage_and_run(spark, stages):
         assert [o for o, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 1024
     plain = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     assert plain(corpus_pipeline.run(spark, SMALL).collect()) == plain(stages[5])
+
+
+def test_stages_of_empty_and_odd_documents(spark):
+    """No rows, and rows with null ids and hosts, empty and repeated texts: every stage keeps its columns and what is clean."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    clean = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    odd = [(None, clean("a"), None, None, None), (None, clean("b"), "x", None, 1), (3, clean("c"), None, "h", None), (3, clean("c"), None, "h", None), (4, None, None, None, None), (None, None, None, None, None), (5, "", "x", "h", 0), (None, clean("a"), None, "h", None)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, columns)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SMALL)
+            found = docs.collect()
+            if name != "packing":
+                assert docs.columns == [c.split()[0] for c in columns.split(", ")]
+                want = {"quality rules": 5, "line dedup": 5, "near-dedup": 3, "decontamination": 3}[name]
+                assert len(found) == (want if rows else 0)
+            else:
+                assert len(found) == (3 if rows else 0)
