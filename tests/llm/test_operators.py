@@ -438,6 +438,28 @@ def test_private_awkward(awkward, empty):
     assert sorted(r.spans for r in pii.report(awkward).filter("doc_id = 9").collect()) == ["email:5:10"] * 2
 
 
+def test_secrets_that_a_word_gives_away(spark):
+    """Opaque strings beside a word that stands nowhere else go; those that no word gives away, and plain long words, stay."""
+    rng = np.random.default_rng(1)
+    digest = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    filler = lambda i: " ".join(f"w{rng.integers(0, 300)}" for _ in range(30))
+    rows, want = [], {}
+    for i in range(60):
+        head, secret = filler(i), digest()
+        if i < 12:
+            text = f'{head} apikey = "{secret}" {filler(i)}'
+            want[i] = f"secret:{text.index(secret)}:{text.index(secret) + 40}"
+        elif i < 20:
+            text = f"{head} {secret} {filler(i)} averylongwordwithoutanydigitsinit"
+        else:
+            text = f"{head} {filler(i)}"
+        rows.append((i, text))
+    got = by_id(pii.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {d: r.spans for d, r in got.items() if r.spans} == want and all(r.n_secret == (d in want) for d, r in got.items())
+    clean = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert "[SECRET]" in clean[0].text and clean[15].text == rows[15][1]
+
+
 # 8
 
 
