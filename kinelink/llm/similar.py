@@ -2,10 +2,10 @@
 
 Twenty bands of five minhashes bring texts together (a pair at similarity s meets with probability
 1 - (1 - s^5)^20, 0.9996 at 0.8). In a bucket of up to `ALL_PAIRS` different texts every pair is decided by its exact
-similarity. In a larger one all texts are compared with a few leads, and what that links is contracted; buckets whose texts are still
-in several components take four times as many leads, and only texts of other components are compared with them, until a bucket
-is one component or all its texts have led. So every pair that meets is decided or joined already, a group of many alike texts takes
-one round, and only texts that meet without being alike take more. Shingles are told apart by 64-bit hashes of folded words, under a
+similarity. In a larger one all texts are compared with a few leads, and what that links is contracted. Leads of the next rounds, four times as
+many each, are texts outside the bucket's largest component, those of small components first, compared with the texts of
+other components, until all texts outside the largest have led. So every pair that meets is decided or joined already, a group of
+many alike texts takes one round, and strangers in its buckets take one comparison with each of its texts. Shingles are told apart by 64-bit hashes of folded words, under a
 key drawn for each run where they decide; a text of fewer words is one shingle.
 
 Nulls: a null text, like an empty one, has no shingle and no link.
@@ -89,15 +89,13 @@ def _alike(similarity: float) -> Column:
     return common >= similarity * (F.size("x") + F.size("y") - common)
 
 
-def _met(live: DataFrame, first: int, last: int) -> DataFrame:
-    """(lead, own): texts of crowded buckets with their bucket's leads, those from the first to before the last by rank, of other components."""
+def _met(live: DataFrame) -> DataFrame:
+    """(lead, own): texts of crowded buckets with those texts of their bucket that lead in this round, of other components."""
     one = F.struct("key", "fp", "size", "root")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "key"), "key")
-    chosen = live.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= last).filter(F.col("_n") > first)
     crowds = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    leads = checkpointed(chosen.groupBy("bucket").agg(F.collect_list(one).alias("leads")).join(crowds, "bucket"))
-    both = heavy_join(live.select("bucket", one.alias("own")), leads, "bucket", "n").select(F.explode("leads").alias("lead"), "own")
-    return both.filter((F.col("lead.key") != F.col("own.key")) & (F.col("lead.root") != F.col("own.root")))
+    leads = checkpointed(live.filter("leads").groupBy("bucket").agg(F.collect_list(one).alias("leads")).join(crowds, "bucket"))
+    both = heavy_join(live.select("bucket", one.alias("own")), leads, "bucket", "n").select(F.explode(F.filter("leads", lambda x: x["root"] != F.col("own.root"))).alias("lead"), "own")
+    return both
 
 
 def _few(members: DataFrame) -> DataFrame:
@@ -149,16 +147,23 @@ def similar_links(docs: DataFrame, prints: DataFrame, base: DataFrame, bits: int
     members = checkpointed(heavy_join(met, checkpointed(crowds.select("bucket", "n", F.col("n").alias("crowd"))), "bucket", "n"))
     decider = _Decider(docs, texts, bits, similarity)
     found = decider.links(_few(members.filter(F.col("crowd") <= ALL_PAIRS)))
-    live, first, last = _undecided(members.filter(F.col("crowd") > ALL_PAIRS).select("bucket", "key", "fp", "size"), base.unionByName(found), 0), 0, FIRST_LEADS
+    crowded, most = members.filter(F.col("crowd") > ALL_PAIRS).select("bucket", "key", "fp", "size", F.lit(False).alias("led")), FIRST_LEADS
+    live = _undecided(crowded, base.unionByName(found), most)
     while live.count():
-        found = found.unionByName(decider.links(_met(live, first, last)))
-        live, first, last = _undecided(live.drop("root"), base.unionByName(found), last), last, 4 * last
+        found = found.unionByName(decider.links(_met(live)))
+        most *= 4
+        live = _undecided(live.select("bucket", "key", "fp", "size", (F.col("led") | F.col("leads")).alias("led")), base.unionByName(found), most)
     return found
 
 
-def _undecided(live: DataFrame, links: DataFrame, led: int) -> DataFrame:
-    """The texts of buckets in several components by the links so far, each with its component's root, where more than `led` texts are."""
+def _undecided(live: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """The texts of buckets where a text outside the largest component has not led; `root` is a text's component by the links, `leads` whether it leads now."""
     roots = connected_components(links)
-    rooted = checkpointed(live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "key", "fp", "size", F.coalesce("root", "fp").alias("root")))
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter((F.col("_lo") < F.col("_hi")) & (F.col("_n") > led))
-    return checkpointed(rooted.join(open_.select("bucket"), "bucket", "left_semi"))
+    rooted = checkpointed(live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "key", "fp", "size", "led", F.coalesce("root", "fp").alias("root")))
+    parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
+    largest = parts.groupBy("bucket").agg(F.max_by("root", F.struct("part", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", "largest")
+    beside = rooted.filter("not led").join(parts, ["bucket", "root"]).join(largest, "bucket").filter("root <> largest")
+    order = Window.partitionBy("bucket").orderBy("part", F.xxhash64("bucket", "key"), "key")
+    chosen = checkpointed(beside.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).select("bucket", "key", F.lit(True).alias("leads")))
+    open_ = rooted.join(chosen.select("bucket").distinct(), "bucket", "left_semi")
+    return checkpointed(open_.join(chosen, ["bucket", "key"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))))
