@@ -2,7 +2,7 @@
 
 Twenty bands of five minhashes bring texts together (a pair at similarity s meets with probability
 1 - (1 - s^5)^20, 0.9996 at 0.8). In a bucket of up to `ALL_PAIRS` different texts every pair is decided by its exact
-similarity. In a larger one all texts are compared with a few leads, and what that links is contracted. Leads of the next rounds, four times as
+similarity. In a larger one all texts are compared with a few leads, and what that links is contracted. Leads of the next rounds, sixteen times as
 many each, are texts outside the bucket's largest component, those of small components first, compared with the texts of
 other components, until all texts outside the largest have led. So every pair that meets is decided or joined already, a group of
 many alike texts takes one round, and strangers in its buckets take one comparison with each of its texts. Shingles are told apart by 64-bit hashes of folded words, under a
@@ -32,6 +32,8 @@ SEED = 42
 ALL_PAIRS = 8
 #: Leads of a larger bucket in its first round.
 FIRST_LEADS = 2
+#: Each round has so many times the leads of the one before: few rounds, as each costs the driver its plans.
+LEADS_GROW = 16
 #: Keys of texts that are broadcast, at most; more meet by shuffle.
 BROADCAST_KEYS = 1_000_000
 _A, _B = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), W.U64)
@@ -151,7 +153,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, base: DataFrame, bits: int
     live = _undecided(crowded, base.unionByName(found), most)
     while live.count():
         found = found.unionByName(decider.links(_met(live)))
-        most *= 4
+        most *= LEADS_GROW
         live = _undecided(live.select("bucket", "key", "fp", "size", (F.col("led") | F.col("leads")).alias("led")), base.unionByName(found), most)
     return found
 
