@@ -115,7 +115,8 @@ def chunk_units(rows: DataFrame, sequence: list[str], order: list[str], windows:
     chunked = rows.withColumn("_n", n).withColumn("chunk", F.floor(F.col("_n") / windows))
     cell = F.array_sort(F.collect_list(F.struct("_n", "imu_emb", "video_emb")))
     grouped = chunked.groupBy(*sequence, "chunk").agg(cell.alias("_c")).filter(F.size("_c") >= least)
-    name = F.concat(F.concat_ws("_", *(F.col(c).cast("string") for c in sequence)), F.lit("_c"), F.lpad(F.col("chunk").cast("string"), 3, "0"))
+    number = F.col("chunk").cast("string")  # lpad alone would cut numbers of four digits, and ids would meet
+    name = F.concat(F.concat_ws("_", *(F.col(c).cast("string") for c in sequence)), F.lit("_c"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))
     return grouped.select(name.alias("unit_id"), F.split(F.col(sequence[0]).cast("string"), "_")[0].alias("subject"), F.transform("_c", lambda x: x["imu_emb"]).alias("imu"), F.transform("_c", lambda x: x["video_emb"]).alias("video"))
 
 
