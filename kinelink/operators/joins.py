@@ -32,8 +32,11 @@ def match_boxes_argmax(gt: DataFrame, det: DataFrame, frame: list[str]) -> DataF
 
 
 def match_boxes_hungarian(gt: DataFrame, det: DataFrame, frame: list[str], min_iou: float = 0.1) -> DataFrame:
-    """One-to-one by the best total overlap of a frame; weak pairs go after solving."""
-    solved = assign_by_size(box_scores(gt, det, frame), frame, "track_idx", "gt_idx", "iou")
+    """One-to-one by the best total overlap of a frame; weak pairs go after solving.
+
+    Boxes that don't overlap are no pair. Of equal totals the one counts that gives the first track the first box, then the second track, and so on.
+    """
+    solved = assign_by_size(box_scores(gt, det, frame), frame, "track_idx", "gt_idx", "iou", zero_is_none=True)
     return solved.filter(F.col("gt_idx").isNotNull() & (F.col("iou") >= min_iou)).select(*frame, "gt_idx", "track_idx", "iou")
 
 
