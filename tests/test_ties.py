@@ -15,7 +15,7 @@ def test_sums_are_compared_after_rounding(n):
     for _ in range(60):
         m = rng.integers(0, 3, (n, n)) / 2 + rng.integers(0, 9, (n, n)) * 1e-10
         sums = {p: sum(m[i, p[i]] for i in range(n)) for p in permutations(range(n))}
-        keys = {p: float(assignment._key(np.array(s), 9)) for p, s in sums.items()}
+        keys = {p: float(assignment.rounded_key(np.array(s), 9)) for p, s in sums.items()}
         assert tuple(assignment.hungarian(m)) == min(p for p in keys if keys[p] == max(keys.values()))
     near = np.array([[0.5, 0.5 + 4e-10], [0.5 + 4e-10, 0.5]])
     assert assignment.hungarian(near).tolist() == [1, 0]  # 1.0000000008 rounds up, 1 does not
