@@ -1,20 +1,22 @@
 """Operator 7: personal data, and terms that reveal it, by information-theoretic sanitisation.
 
 Base rules find emails, IP addresses, card and phone numbers. Every value found is a protected entity
-e. Words near it are candidate terms t. Over all documents, with N documents, n(e) that hold e, n(t) that
-hold t and n(e, t) that hold t near e, a term discloses e as far as
+e. The words of its texts are candidate terms t. Over all documents, with N documents, n(e) that hold e, n(t) that
+hold t and n(e, t) that hold both, a term discloses e as far as
 
     PMI(e; t) = log2(n(e, t) * N / (n(e) * n(t)))
 
 reaches the entity's information content IC(e) = log2(N / n(e)). A term whose share PMI / IC is at
-least `threshold`, and which `min_texts` different texts show near e, is a span of its own wherever it
-stands near e. Spans are generalised to their kind or removed.
+least `threshold`, and which `min_texts` different texts hold together with e, is a span of its own wherever it
+stands in a text that holds e. Spans are generalised to their kind or removed.
 
 Values that stand once in a corpus co-occur with nothing twice, so opaque strings (OPAQUE: long runs that mix letters and digits, of
 SECRET_BITS or more by their own characters' entropy) are pooled into one entity, `secret`. A word that discloses that entity, such as the name a
-credential is assigned to, makes each opaque string near it a span of kind `secret`; opaque strings that no word gives away stay.
+credential is assigned to, makes each opaque string near it a span of kind `secret` (near: among the NEAR_WORDS words on either side, within
+NEAR_CHARS characters); opaque strings that no word gives away stay.
 
-Near means among the NEAR_WORDS words on either side, within NEAR_CHARS characters. n(t) is counted for all words in one
+Co-occurrence is that of whole texts: every word of a text that no span touches is a candidate term. Entities that fewer than `min_texts` texts hold
+can have no term, so only texts with another entity are read again. n(t) is counted for all words in one
 pass over the documents, summed inside each task before it is shuffled, and joined to the candidate terms.
 
 Nulls: a null text is empty. Rows that repeat count as documents each (but as one text) and get equal
@@ -88,16 +90,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def near_terms(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words close to each span that no span touches."""
-    for s, e, kind in spans:
-        entity = f"{kind}:{text[s:e].lower()}"
-        lo, hi = max(0, s - NEAR_CHARS), min(len(text), e + NEAR_CHARS)
-        left = [(m.start(), m.end()) for m in _TERM.finditer(text, lo, s) if lo == 0 or m.start() > lo]
-        right = [(m.start(), m.end()) for m in _TERM.finditer(text, e, hi) if hi == len(text) or m.end() < hi]
-        for a, b in left[-NEAR_WORDS:] + right[:NEAR_WORDS]:
-            if b - a > 1 and not any(a < y and x < b for x, y, _ in spans):
-                yield entity, text[a:b].lower(), a, b
+def near_words(text: str, span: tuple[int, int, str]) -> set[str]:
+    """The words close to a span."""
+    s, e, _ = span
+    lo, hi = max(0, s - NEAR_CHARS), min(len(text), e + NEAR_CHARS)
+    left = [m.group() for m in _TERM.finditer(text, lo, s) if lo == 0 or m.start() > lo]
+    right = [m.group() for m in _TERM.finditer(text, e, hi) if hi == len(text) or m.end() < hi]
+    return {w.lower() for w in left[-NEAR_WORDS:] + right[:NEAR_WORDS]}
+
+
+def free_words(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of every word of two characters or more that no span touches."""
+    cuts, at = sorted(spans), 0
+    reach = 0  # where the spans begun so far end
+    for m in _TERM.finditer(text):
+        while at < len(cuts) and cuts[at][0] < m.end():
+            reach, at = max(reach, cuts[at][1]), at + 1
+        if m.end() - m.start() > 1 and reach <= m.start():
+            yield m.group().lower(), m.start(), m.end()
+
+
+def entity_of(text: str, span: tuple[int, int, str]) -> str:
+    """The entity that a span stands for: its value, or the pooled one of opaque strings."""
+    return SECRET if span[2] == "secret" else f"{span[2]}:{text[span[0] : span[1]].lower()}"
+
+
+def near_terms(text: str, spans: list[tuple[int, int, str]], only: set[str] | None = None) -> Iterator[tuple[str, str, int, int]]:
+    """(entity, term, start, end) of every word of the text that no span touches, for each entity of the spans (or those of `only`)."""
+    entities = {entity_of(text, x) for x in spans}
+    entities = sorted(entities if only is None else entities & only)
+    for word, start, end in free_words(text, spans) if entities else ():
+        for entity in entities:
+            yield entity, word, start, end
 
 
 def opaque_spans(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -112,29 +136,51 @@ def opaque_spans(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int
     return out
 
 
-def near_secrets(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, str, int, int]]:
-    """(SECRET, term, start, end of the opaque string) of the words close to each opaque string."""
-    hidden = opaque_spans(text, spans)
-    for one in hidden:
-        for term in {t for _, t, _, _ in near_terms(text, [one])} - {text[s:e].lower() for s, e, _ in hidden}:
-            yield SECRET, term, one[0], one[1]
+_SPAN = "start:int,end:int,kind:string"
+_FOUND = f"doc_id long, key long, spans array<struct<{_SPAN}>>, entities array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
 
-_SPAN = "start:int,end:int,kind:string"
-_FOUND = f"doc_id long, key long, spans array<struct<{_SPAN}>>, near array<struct<entity:string,term:string,start:int,end:int>>"
+def _named(spans: list[tuple[int, int, str]]) -> list[dict]:
+    return [dict(zip(("start", "end", "kind"), x)) for x in spans]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        spans, terms = [], []
+        spans, entities = [], []
         for text in batch.column("text").to_pylist():
             own = base_spans(text or "")
-            spans.append([dict(zip(("start", "end", "kind"), x)) for x in own])
-            told = [*(near_terms(text, own) if own else ()), *(near_secrets(text, own) if text else ())]
-            terms.append([dict(zip(("entity", "term", "start", "end"), x)) for x in told])
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "spans": pa.array(spans, span), "near": pa.array(terms, near)})
+            held = {entity_of(text, x) for x in [*own, *(opaque_spans(text, own) if text else ())]}
+            spans.append(_named(own))
+            entities.append(sorted(held))
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "spans": pa.array(spans, _SPANS), "entities": pa.array(entities, pa.list_(pa.string()))})
+
+
+def _terms_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, term, key) of each text's entities and words, a word once."""
+    for batch in row_slices(batches):
+        for text, key, held in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), batch.column("held").to_pylist()):
+            own = base_spans(text)
+            wanted = set(held) - {SECRET}
+            told = {x[:2] for x in near_terms(text, own, wanted)}
+            if SECRET in held:
+                told |= {x[:2] for x in near_terms(text, own + opaque_spans(text, own), {SECRET})}
+            entities, terms = zip(*sorted(told)) if told else ((), ())
+            yield pa.RecordBatch.from_pydict({"entity": pa.array(entities, pa.string()), "term": pa.array(terms, pa.string()), "key": pa.array([key] * len(terms), pa.int64())})
+
+
+def _told_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, terms): the places of disclosing words, and the opaque strings that such words give away."""
+    for batch in row_slices(batches):
+        out = []
+        for text, held in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist()):
+            own = base_spans(text)
+            hidden = opaque_spans(text, own)
+            telling = {x["term"] for x in held if x["entity"] == SECRET}
+            pairs = {(x["entity"], x["term"]) for x in held}
+            terms = sorted({(s, e, "term") for entity, w, s, e in near_terms(text, own, {x[0] for x in pairs}) if (entity, w) in pairs})
+            out.append(_named(terms + [x for x in hidden if telling & near_words(text, x)]))
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "terms": pa.array(out, _SPANS)})
 
 
 #: Different words that a task counts before it hands their sums on.
@@ -160,15 +206,20 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count_words, "term string, n long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def _with_held(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of docs with what is held by their id and key."""
+    same = (F.col("d.key") == F.col("h.key")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))
+    return docs.alias("d").join(held.alias("h"), same).select("d.doc_id", "d.key", "d.text", "h.held")
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float, min_texts: int) -> DataFrame:
     """(entity, term) above the disclosure threshold."""
     n_docs = found.count()
-    # numbered before they are exploded: a row is a document, not a term beside a value
-    rows = found.withColumn("row", F.monotonically_increasing_id())
-    near = rows.select("key", "row", F.explode("near").alias("x")).select("key", "row", "x.entity", "x.term")
-    both = near.groupBy("entity", "term", "row").agg(F.first("key").alias("key")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts)
-    both = checkpointed(both)
-    entities = near.groupBy("entity", "row").agg(F.lit(1)).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    each = found.select("doc_id", "key", F.explode("entities").alias("entity"))
+    entities = checkpointed(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts).drop("texts"))
+    held = each.join(entities, "entity", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("entity").alias("held"))
+    beside = _with_held(docs, held).mapInArrow(_terms_beside, "entity string, term string, key long")
+    both = checkpointed(beside.groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts))
     terms = term_documents(docs, both.select("term").distinct())
     content = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
@@ -180,8 +231,8 @@ def find_private(docs: DataFrame, threshold: float = 0.9, min_texts: int = 3) ->
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text")
     found = checkpointed(keyed.mapInArrow(_find, _FOUND))
     terms = disclosing_terms(keyed, found, threshold, min_texts)
-    near = found.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*")
-    told = near.join(terms, ["entity", "term"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end", F.when(F.col("entity") == SECRET, "secret").otherwise("term").alias("kind"))).alias("terms"))
+    held = found.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode("entities").alias("entity")).join(terms, "entity").groupBy("doc_id", "key").agg(F.collect_list(F.struct("entity", "term")).alias("held"))
+    told = _with_held(keyed, held).dropDuplicates(["doc_id", "key"]).mapInArrow(_told_spans, f"doc_id long, key long, terms array<struct<{_SPAN}>>")
     f, t = found.alias("f"), told.alias("t")
     joined = f.join(t, (F.col("f.key") == F.col("t.key")) & F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")), "left")
     kinds = f"array({', '.join(map(repr, KINDS))})"
