@@ -137,7 +137,7 @@ def opaque_spans(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int
 
 
 _SPAN = "start:int,end:int,kind:string"
-_FOUND = f"doc_id long, key long, spans array<struct<{_SPAN}>>, entities array<string>"
+_FOUND = f"doc_id long, key long, spans array<struct<{_SPAN}>>, entities array<string>, text string"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
 
@@ -146,6 +146,7 @@ def _named(spans: list[tuple[int, int, str]]) -> list[dict]:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans and entities of every text; texts with an entity go along, so that no later step needs the others."""
     for batch in batches:
         spans, entities = [], []
         for text in batch.column("text").to_pylist():
@@ -153,7 +154,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = {entity_of(text, x) for x in [*own, *(opaque_spans(text, own) if text else ())]}
             spans.append(_named(own))
             entities.append(sorted(held))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "spans": pa.array(spans, _SPANS), "entities": pa.array(entities, pa.list_(pa.string()))})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "spans": pa.array(spans, _SPANS), "entities": pa.array(entities, pa.list_(pa.string())), "text": pa.array([t if held else None for t, held in zip(batch.column("text").to_pylist(), entities)], pa.string())})
 
 
 def _terms_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +207,9 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count_words, "term string, n long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def _with_held(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """The rows of docs with what is held by their id and key."""
+def _with_held(found: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows with an entity and what is held by their id and key."""
+    docs = found.filter(F.size("entities") > 0).select("doc_id", "key", "text")
     same = (F.col("d.key") == F.col("h.key")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))
     return docs.alias("d").join(held.alias("h"), same).select("d.doc_id", "d.key", "d.text", "h.held")
 
@@ -218,7 +220,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float, min_te
     each = found.select("doc_id", "key", F.explode("entities").alias("entity"))
     entities = checkpointed(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts).drop("texts"))
     held = each.join(entities, "entity", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("entity").alias("held"))
-    beside = _with_held(docs, held).mapInArrow(_terms_beside, "entity string, term string, key long")
+    beside = _with_held(found, held).mapInArrow(_terms_beside, "entity string, term string, key long")
     both = checkpointed(beside.groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts))
     terms = term_documents(docs, both.select("term").distinct())
     content = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
@@ -231,9 +233,9 @@ def find_private(docs: DataFrame, threshold: float = 0.9, min_texts: int = 3) ->
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text")
     found = checkpointed(keyed.mapInArrow(_find, _FOUND))
     terms = disclosing_terms(keyed, found, threshold, min_texts)
-    held = found.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode("entities").alias("entity")).join(terms, "entity").groupBy("doc_id", "key").agg(F.collect_list(F.struct("entity", "term")).alias("held"))
-    told = _with_held(keyed, held).dropDuplicates(["doc_id", "key"]).mapInArrow(_told_spans, f"doc_id long, key long, terms array<struct<{_SPAN}>>")
-    f, t = found.alias("f"), told.alias("t")
+    held = found.select("doc_id", "key", F.explode("entities").alias("entity")).distinct().join(terms, "entity").groupBy("doc_id", "key").agg(F.collect_list(F.struct("entity", "term")).alias("held"))
+    told = _with_held(found, held).dropDuplicates(["doc_id", "key"]).mapInArrow(_told_spans, f"doc_id long, key long, terms array<struct<{_SPAN}>>")
+    f, t = found.select("doc_id", "key", "spans").alias("f"), told.alias("t")
     joined = f.join(t, (F.col("f.key") == F.col("t.key")) & F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")), "left")
     kinds = f"array({', '.join(map(repr, KINDS))})"
     order = f"(a, b) -> cast(case when a.start <> b.start then a.start - b.start when a.kind = b.kind then a.end - b.end else array_position({kinds}, a.kind) - array_position({kinds}, b.kind) end as int)"
