@@ -2,7 +2,7 @@
 
 The split follows the public pattern of byte-level BPE vocabularies (contractions, runs of letters,
 of digits and of other signs with one space before them, runs of white space), worked out for all
-texts of a slice at once from the classes of their code points.
+texts of a slice at once from the classes of their code points; the library is asked for the class of each code point met.
 """
 
 from __future__ import annotations
@@ -15,28 +15,36 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
+from tokenizers import pre_tokenizers
 
 from kinelink.llm import words as W
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
+_LIBRARY = pre_tokenizers.ByteLevel(add_prefix_space=False)
+
+
+#: A sign of each class but SPACE: a code point that makes one pre-token with it is of its class.
+_SIGNS = ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!"))
+_UNKNOWN = 255
 
 
 @cache
-def classes() -> np.ndarray:
-    """Class of each code point."""
-    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    at, out = np.array(points), np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[at[m.start() : m.end()]] = kind
-    return out
+def _known() -> np.ndarray:
+    return np.full(sys.maxunicode + 1, _UNKNOWN, np.uint8)
+
+
+def classes_of(points: np.ndarray) -> np.ndarray:
+    """Classes of code points as the library tells them, so that both know the same Unicode; each is asked for once in a process."""
+    known = _known()
+    for c in np.unique(points[known[points] == _UNKNOWN]).tolist():
+        known[c] = next((kind for kind, sign in _SIGNS if len(_LIBRARY.pre_tokenize_str(sign + chr(c))) == 1), SPACE)
+    return known[points]
 
 
 def starts_of(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where pre-tokens begin; bounds: code-point offsets of the texts, the end included."""
     n = len(points)
-    kind, first = classes()[points], np.zeros(n + 3, bool)
+    kind, first = classes_of(points), np.zeros(n + 3, bool)
     first[bounds[bounds < n]] = True
     first[n:] = True
     change = first[:n].copy()

@@ -163,6 +163,14 @@ def test_token_counts_equal_the_library(docs, texts, tokenizer):
         assert (got[d].n_bytes, got[d].n_tokens, got[d].over_limit) == (len(t.encode()), n, n > 1024)
 
 
+@pytest.mark.parametrize("point", [0x558, 0x88F, 0xC5C, 0x208F, 0x3D000, 0x3FC3F])
+def test_token_counts_of_code_points_of_later_unicode(point):
+    tokenizer = Tokenizer.from_file(queries.VOCABULARY)
+    texts = [f"{chr(point)}'s", f"a{chr(point)}", f"1{chr(point)}", f"!{chr(point)} {chr(point)}"]
+    got = token_counts.count_tokens(pa.array(texts), *token_counts._store(queries.VOCABULARY))
+    assert got.tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(["'s", "'ll", " ", "  ", "\n", "<|endoftext|>", "aaaa", "----", "\u00a0", "1", "é", "漢", "😀", "'"]), st.text(max_size=4))))
 def test_token_counts_of_any_text(parts):
