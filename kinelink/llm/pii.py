@@ -29,6 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -157,17 +158,19 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "spans": pa.array(spans, _SPANS), "entities": pa.array(entities, pa.list_(pa.string())), "text": pa.array([t if held else None for t, held in zip(batch.column("text").to_pylist(), entities)], pa.string())})
 
 
-def _terms_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, key) of each text's entities and words, a word once."""
+def _terms_beside(batches: Iterator[pa.RecordBatch], near: bool) -> Iterator[pa.RecordBatch]:
+    """(entity, term, doc_id, key) of each text's entities and words, a word once; with `near` also words close to opaque strings that a span touches."""
     for batch in row_slices(batches):
-        for text, key, held in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), batch.column("held").to_pylist()):
+        for text, doc, key, held in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "key", "held"))):
             own = base_spans(text)
             wanted = set(held) - {SECRET}
             told = {x[:2] for x in near_terms(text, own, wanted)}
             if SECRET in held:
-                told |= {x[:2] for x in near_terms(text, own + opaque_spans(text, own), {SECRET})}
+                hidden = opaque_spans(text, own)
+                told |= {x[:2] for x in near_terms(text, own + hidden, {SECRET})}
+                told |= {(SECRET, w) for x in hidden for w in near_words(text, x)} if near else set()
             entities, terms = zip(*sorted(told)) if told else ((), ())
-            yield pa.RecordBatch.from_pydict({"entity": pa.array(entities, pa.string()), "term": pa.array(terms, pa.string()), "key": pa.array([key] * len(terms), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"entity": pa.array(entities, pa.string()), "term": pa.array(terms, pa.string()), "doc_id": pa.array([doc] * len(terms), pa.int64()), "key": pa.array([key] * len(terms), pa.int64())})
 
 
 def _told_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +206,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): how many documents hold each of the terms."""
-    return docs.select("text").mapInArrow(_count_words, "term string, n long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
+    """(term, n_term): how many documents hold each of the terms. Tasks' sums are added up first, so the join sees a word once."""
+    counted = docs.select("text").mapInArrow(_count_words, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return terms.join(counted, "term")
 
 
 def _with_held(found: DataFrame, held: DataFrame) -> DataFrame:
@@ -214,26 +218,36 @@ def _with_held(found: DataFrame, held: DataFrame) -> DataFrame:
     return docs.alias("d").join(held.alias("h"), same).select("d.doc_id", "d.key", "d.text", "h.held")
 
 
+def words_beside(found: DataFrame, held: DataFrame, near: bool = False) -> DataFrame:
+    """(entity, term, doc_id, key): the words of every text, for each of its entities held."""
+    return _with_held(found, held).mapInArrow(partial(_terms_beside, near=near), "entity string, term string, doc_id long, key long")
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float, min_texts: int) -> DataFrame:
     """(entity, term) above the disclosure threshold."""
     n_docs = found.count()
     each = found.select("doc_id", "key", F.explode("entities").alias("entity"))
     entities = checkpointed(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts).drop("texts"))
     held = each.join(entities, "entity", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("entity").alias("held"))
-    beside = _with_held(found, held).mapInArrow(_terms_beside, "entity string, term string, key long")
-    both = checkpointed(beside.groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts))
+    both = checkpointed(words_beside(found, held).groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts))
     terms = term_documents(docs, both.select("term").distinct())
     content = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
     return both.join(entities, "entity").join(terms, "term").filter((content > 0) & (pmi >= threshold * content)).select("entity", "term")
 
 
+def held_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, key, held): the disclosing (entity, term) that both stand in a text. Words of the texts meet the terms; terms of an entity never meet all its texts."""
+    telling = found.select("doc_id", "key", F.explode("entities").alias("entity")).join(terms.select("entity").distinct(), "entity", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("entity").alias("held"))
+    told = words_beside(found, telling, near=True).join(terms, ["entity", "term"], "left_semi")
+    return told.groupBy("doc_id", "key").agg(F.collect_set(F.struct("entity", "term")).alias("held"))
+
+
 def find_private(docs: DataFrame, threshold: float = 0.9, min_texts: int = 3) -> DataFrame:
     """doc_id, key (of id and text), base spans and all spans of every row."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), "text")
     found = checkpointed(keyed.mapInArrow(_find, _FOUND))
-    terms = disclosing_terms(keyed, found, threshold, min_texts)
-    held = found.select("doc_id", "key", F.explode("entities").alias("entity")).distinct().join(terms, "entity").groupBy("doc_id", "key").agg(F.collect_list(F.struct("entity", "term")).alias("held"))
+    held = held_terms(found, checkpointed(disclosing_terms(keyed, found, threshold, min_texts)))
     told = _with_held(found, held).dropDuplicates(["doc_id", "key"]).mapInArrow(_told_spans, f"doc_id long, key long, terms array<struct<{_SPAN}>>")
     f, t = found.select("doc_id", "key", "spans").alias("f"), told.alias("t")
     joined = f.join(t, (F.col("f.key") == F.col("t.key")) & F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")), "left")
