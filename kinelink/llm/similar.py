@@ -2,10 +2,10 @@
 
 Twenty bands of five minhashes bring texts together (a pair at similarity s meets with probability
 1 - (1 - s^5)^20, 0.9996 at 0.8). In a bucket of up to `ALL_PAIRS` different texts every pair is decided by its exact
-similarity. In a larger one all texts are compared with a few leads, and what that links is contracted. Leads of the next rounds, sixteen times as
-many each, are texts outside the bucket's largest component, those of small components first, compared with the texts of
-other components, until all texts outside the largest have led. So every pair that meets is decided or joined already, a group of
-many alike texts takes one round, and strangers in its buckets take one comparison with each of its texts. Shingles are told apart by 64-bit hashes of folded words, under a
+similarity. In a larger one texts that are linked already need no comparison: the texts outside the bucket's largest component are dealt
+into groups, so are those inside it, and each cell of two groups, one of them outside, is compared in one task by counting common shingles in arrays, which
+gives back no more links than join its components. Only buckets of more than `CELL_TEXTS` texts compare all texts with a few leads before, so that a hot group of
+alike texts is contracted in time of its size. Pairs are never rows in the cells, a text is in a bucket's cells as often as there are groups, and every pair that meets is decided or joined already. Shingles are told apart by 64-bit hashes of folded words, under a
 key drawn for each run where they decide; a text of fewer words is one shingle.
 
 Nulls: a null text, like an empty one, has no shingle and no link.
@@ -30,10 +30,11 @@ BANDS = 20
 ROWS = 5
 SEED = 42
 ALL_PAIRS = 8
-#: Leads of a larger bucket in its first round.
+#: Leads of a bucket that is larger than a cell.
 FIRST_LEADS = 2
-#: Each round has so many times the leads of the one before: few rounds, as each costs the driver its plans.
-LEADS_GROW = 16
+#: A group of a cell has about so many texts, and about so many shingles, at most.
+CELL_TEXTS = 1024
+CELL_SHINGLES = 1 << 20
 #: Keys of texts that are broadcast, at most; more meet by shuffle.
 BROADCAST_KEYS = 1_000_000
 _A, _B = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), W.U64)
@@ -113,20 +114,35 @@ class _Decider:
         self.docs, self.texts, self.bits, self.similarity = docs, texts, bits, similarity
         self.key, self.sets = W.secret(), None
 
-    def links(self, met: DataFrame) -> DataFrame:
-        """(a, b): the fingerprints of the pairs that are similar and more than `bits` bits apart."""
-        far = F.bit_count(F.col("lead.fp").bitwiseXOR(F.col("own.fp"))) > self.bits
-        pairs = checkpointed(met.filter(far & _near("own.size", "lead.size", self.similarity)).select(F.col("lead.key").alias("a"), F.col("own.key").alias("b"), F.col("lead.fp").alias("a_fp"), F.col("own.fp").alias("b_fp")).distinct())
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(key, shingles) of all texts asked for so far."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("key"), "key", "left_anti")
         more = _chosen_sets(self.docs, self.texts.select("key", "doc_id").join(wanted, "key"), self.key)
         self.sets = more if self.sets is None else self.sets.unionByName(more)
-        leads = self.sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
-        others = self.sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+        return self.sets
+
+    def links(self, met: DataFrame) -> DataFrame:
+        """(a, b): the fingerprints of the pairs that are similar and more than `bits` bits apart."""
+        far = F.bit_count(F.col("lead.fp").bitwiseXOR(F.col("own.fp"))) > self.bits
+        pairs = checkpointed(met.filter(far & _near("own.size", "lead.size", self.similarity)).select(F.col("lead.key").alias("a"), F.col("own.key").alias("b"), F.col("lead.fp").alias("a_fp"), F.col("own.fp").alias("b_fp")).distinct())
+        sets = self.sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+        leads = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+        others = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
         found = heavy_join(pairs, checkpointed(leads), "a", "n").join(others, "b").filter(_alike(self.similarity))
         return checkpointed(found.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct())
 
+    def cell_links(self, rooted: DataFrame) -> DataFrame:
+        """(a, b): fingerprints of similar texts of different components that share a bucket; they join all components with such texts."""
+        cells = checkpointed(_cells(rooted))
+        sets = self.sets_of(cells.select("key").distinct())
+        similarity = self.similarity
+
+        def links(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield _links_of_cell(pa.Table.from_batches(list(batches)), key[1].as_py(), key[2].as_py(), similarity)
+
+        return checkpointed(cells.join(sets, "key").groupBy("bucket", "g", "h").applyInArrow(links, "a long, b long").distinct())
+
 
 def _chosen_sets(docs: DataFrame, wanted: DataFrame, key: int) -> DataFrame:
     """(key, shingles) of the texts wanted by doc_id and key; the texts move only if there are too many to broadcast their keys."""
@@ -149,23 +165,107 @@ def similar_links(docs: DataFrame, prints: DataFrame, base: DataFrame, bits: int
     members = checkpointed(heavy_join(met, checkpointed(crowds.select("bucket", "n", F.col("n").alias("crowd"))), "bucket", "n"))
     decider = _Decider(docs, texts, bits, similarity)
     found = decider.links(_few(members.filter(F.col("crowd") <= ALL_PAIRS)))
-    crowded, most = members.filter(F.col("crowd") > ALL_PAIRS).select("bucket", "key", "fp", "size", F.lit(False).alias("led")), FIRST_LEADS
-    live = _undecided(crowded, base.unionByName(found), most)
-    while live.count():
-        found = found.unionByName(decider.links(_met(live)))
-        most *= LEADS_GROW
-        live = _undecided(live.select("bucket", "key", "fp", "size", (F.col("led") | F.col("leads")).alias("led")), base.unionByName(found), most)
-    return found
+    crowded = members.filter(F.col("crowd") > ALL_PAIRS).select("bucket", "key", "fp", "size", "crowd")
+    hot = _with_leads(_rooted(crowded.filter(F.col("crowd") > CELL_TEXTS), base.unionByName(found)))
+    if hot.count():
+        found = found.unionByName(decider.links(_met(hot)))
+    return found.unionByName(decider.cell_links(_rooted(crowded, base.unionByName(found))))
 
 
-def _undecided(live: DataFrame, links: DataFrame, most: int) -> DataFrame:
-    """The texts of buckets where a text outside the largest component has not led; `root` is a text's component by the links, `leads` whether it leads now."""
+def _rooted(crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """The texts of crowded buckets with `root`, a text's component by the links."""
     roots = connected_components(links)
-    rooted = checkpointed(live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "key", "fp", "size", "led", F.coalesce("root", "fp").alias("root")))
-    parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
-    largest = parts.groupBy("bucket").agg(F.max_by("root", F.struct("part", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", "largest")
-    beside = rooted.filter("not led").join(parts, ["bucket", "root"]).join(largest, "bucket").filter("root <> largest")
-    order = Window.partitionBy("bucket").orderBy("part", F.xxhash64("bucket", "key"), "key")
-    chosen = checkpointed(beside.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).select("bucket", "key", F.lit(True).alias("leads")))
-    open_ = rooted.join(chosen.select("bucket").distinct(), "bucket", "left_semi")
+    return checkpointed(crowded.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "key", "fp", "size", F.coalesce("root", "fp").alias("root")))
+
+
+def _components_of(rooted: DataFrame) -> DataFrame:
+    """(bucket, largest, n, texts, shingles, inner_texts, inner_shingles) of buckets of two components or more: its largest component, and how much is outside and inside it."""
+    parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"), F.sum("size").alias("much"))
+    top = F.max_by(F.struct("root", "part", "much"), F.struct("part", "root")).alias("top")
+    every = parts.groupBy("bucket").agg(top, F.sum("part").alias("n"), F.sum("much").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return every.select("bucket", F.col("top.root").alias("largest"), "n", (F.col("n") - F.col("top.part")).alias("texts"), (F.col("all") - F.col("top.much")).alias("shingles"), F.col("top.part").alias("inner_texts"), F.col("top.much").alias("inner_shingles"))
+
+
+def _with_leads(rooted: DataFrame) -> DataFrame:
+    """The texts of buckets of two components or more; `leads` says of a few outside the largest that they lead."""
+    largest = checkpointed(_components_of(rooted).select("bucket", "largest", "n"))
+    beside = heavy_join(rooted, largest, "bucket", "n").filter("root <> largest")
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "key"), "key")
+    chosen = checkpointed(beside.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= FIRST_LEADS).select("bucket", "key", F.lit(True).alias("leads")))
+    open_ = rooted.join(largest.select("bucket"), "bucket", "left_semi")
     return checkpointed(open_.join(chosen, ["bucket", "key"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))))
+
+
+def _cells(rooted: DataFrame) -> DataFrame:
+    """(bucket, g, h, own, key, fp, root): the texts of each cell; groups outside the largest component come first, and no cell has two groups inside it."""
+    groups = lambda texts, shingles: F.greatest(F.ceil(F.col(texts) / CELL_TEXTS), F.ceil(F.col(shingles) / CELL_SHINGLES)).cast("int")
+    sizes = checkpointed(_components_of(rooted).select("bucket", "largest", "n", groups("texts", "shingles").alias("outer"), groups("inner_texts", "inner_shingles").alias("inner")))
+    dealt = heavy_join(rooted, sizes, "bucket", "n").withColumn("_in", F.col("root") == F.col("largest"))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    own = F.when(F.col("_in"), F.col("outer") + place("inner")).otherwise(place("outer"))
+    last = F.col("outer") - 1 + F.when(F.col("_in"), 0).otherwise(F.col("inner"))
+    met = dealt.select("bucket", "key", "fp", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return met.select("bucket", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own", "key", "fp", "root")
+
+
+#: A shingle of few pairs of texts is counted pair by pair, others in matrix products of so many shingles.
+FEW_PAIRS, PRODUCT = 64, 2048
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets, one of each side, have in common."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for sets in (left, right):
+        every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        at = np.searchsorted(shared, every)
+        hit = at < len(shared)
+        hit[hit] = shared[at[hit]] == every[hit]
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((row[hit][order], at[hit][order], np.bincount(at[hit], minlength=len(shared))))
+    (lrow, lcol, ln), (rrow, rcol, rn) = sides
+    few, begin = ln * rn <= FEW_PAIRS, np.cumsum(rn) - rn
+    rows, cols = lrow[few[lcol]], lcol[few[lcol]]
+    times = rn[cols]
+    places = np.repeat(begin[cols] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    counts = np.bincount(np.repeat(rows, times) * len(right) + rrow[places], minlength=len(left) * len(right)).reshape(len(left), len(right))
+    number = np.cumsum(~few) - 1
+    lrow, lcol, rrow, rcol = lrow[~few[lcol]], number[lcol[~few[lcol]]], rrow[~few[rcol]], number[rcol[~few[rcol]]]
+    for first in range(0, int((~few).sum()), PRODUCT):
+        here = []
+        for row, col, n in ((lrow, lcol, len(left)), (rrow, rcol, len(right))):
+            a, b = np.searchsorted(col, [first, first + PRODUCT])
+            here.append(np.zeros((n, PRODUCT), np.float32))
+            here[-1][row[a:b], col[a:b] - first] = 1
+        counts += np.rint(here[0] @ here[1].T).astype(np.int64)
+    return counts
+
+
+def _links_of_cell(table: pa.Table, g: int, h: int, similarity: float) -> pa.RecordBatch:
+    """(a, b): a forest of links between the components of a cell's similar texts."""
+    own, fp, root = (table.column(c).to_numpy() for c in ("own", "fp", "root"))
+    sets = [np.asarray(x).view(W.U64) for x in table.column("shingles").to_numpy()]
+    left, right = np.flatnonzero(own == g), np.flatnonzero(own == h)
+    links: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        common = common_counts([sets[i] for i in left], [sets[i] for i in right])
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        x, y = size[left][:, None], size[right]
+        alike = (np.minimum(x, y) >= similarity * np.maximum(x, y)) & (common >= similarity * (x + y - common)) & (root[left][:, None] != root[right])
+        i, j = np.nonzero(alike)
+        _, at = np.unique(np.stack([root[left[i]], root[right[j]]]), axis=1, return_index=True)
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for p, q in zip(left[i[at]].tolist(), right[j[at]].tolist()):
+            a, b = top(int(root[p])), top(int(root[q]))
+            if a != b:
+                parent[a] = b
+                links.append((int(fp[p]), int(fp[q])))
+    a, b = zip(*links) if links else ((), ())
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
