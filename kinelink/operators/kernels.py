@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 #: Rows of a group, and of a block inside it: a task holds two groups and one matrix of block by group.
 GROUP = 8192
 BLOCK = 512
-#: The median is narrowed down to a bin of the histogram, so many times; after that a bin is one part in BINS ** NARROWINGS of the range.
-BINS = 1 << 14
+#: The median is found by the digits of the distances' places in the range: NARROWINGS digits of BIN_BITS bits each, the first ones first.
+BIN_BITS = 14
 NARROWINGS = 3
+BINS = 1 << BIN_BITS
 
 
 def _cells(vectors: DataFrame, n: int, group: int) -> DataFrame:
@@ -26,7 +27,7 @@ def _cells(vectors: DataFrame, n: int, group: int) -> DataFrame:
 
 
 def _over_pairs(cells: DataFrame, result: Callable[[Iterator], pa.RecordBatch], schema: str) -> DataFrame:
-    """result of the blocks of each cell: (squared distances, which of them count, kind of pair), every unordered pair of the rows once."""
+    """result of the blocks of each cell: (squared distances, which of them count, the sides of its rows and columns), every unordered pair of the rows once."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -43,7 +44,7 @@ def _over_pairs(cells: DataFrame, result: Callable[[Iterator], pa.RecordBatch],
                 counts = (side[rows, None] != side[right]) | (name[rows, None] != name[right])
                 if g == h:
                     counts &= rows[:, None] < right
-                yield squared, counts, side[rows, None] + side[right]
+                yield squared, counts, (side[rows], side[right])
 
         yield result(blocks())
 
@@ -61,34 +62,37 @@ def _median(cells: DataFrame) -> float:
     found = _over_pairs(cells, reach, "most double, n long").agg(F.max("most"), F.sum("n")).first()
     if not found[1]:
         return float("nan")
-    places = sorted({(found[1] - 1) // 2, found[1] // 2})
-    return float(np.mean([_at_place(cells, p, float(found[0])) for p in places]))
+    return _at_places(cells, sorted({(found[1] - 1) // 2, found[1] // 2}), float(found[0]))
 
 
-def _at_place(cells: DataFrame, place: int, most: float) -> float:
-    low, high = 0.0, most
-    for _ in range(NARROWINGS):
-        edges = np.linspace(low, high, BINS + 1)
-
-        def histogram(blocks: Iterator, edges: np.ndarray = edges) -> pa.RecordBatch:
-            below, count = 0, np.zeros(BINS, np.int64)
+def _at_places(cells: DataFrame, places: list[int], most: float) -> float:
+    """Mean of the distances at the places, numbered from 0 in order: each pass counts the next digit of those that share the digits known so far, for all places at once."""
+    if not np.isfinite(most):
+        return float("nan")
+    scale = BINS**NARROWINGS / most if most > BINS**NARROWINGS / np.finfo(float).max else 0.0
+    left, known = dict(zip(places, places)), dict.fromkeys(places, 0)  # places among those that share the digits, and the digits
+    for narrowing in range(NARROWINGS):
+        below = BIN_BITS * (NARROWINGS - 1 - narrowing)
+        wanted = sorted(set(known.values()))
+
+        def histogram(blocks: Iterator, below: int = below, wanted: list[int] = wanted, every: bool = not narrowing) -> pa.RecordBatch:
+            count = np.zeros((len(wanted), BINS), np.int64)
             for squared, counts, _ in blocks:
-                d = squared[counts]
-                below += int((d < edges[0]).sum())
-                count += np.histogram(d, edges)[0]
-            at = np.flatnonzero(count)
-            return pa.RecordBatch.from_pydict({"bin": np.append(at, -1), "n": np.append(count[at], below)})
-
-        counts = {r["bin"]: r["n"] for r in _over_pairs(cells, histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # one row for each bin
-        seen = counts.pop(-1, 0)
-        for b in sorted(counts):
-            if seen + counts[b] > place:
-                break
-            seen += counts[b]
-        low, high = float(edges[b]), float(edges[b + 1])
-        if not low < high or (high - low) <= 1e-15 * high:
-            break
-    return (low + high) / 2
+                digits = np.minimum(squared[counts] * scale, BINS**NARROWINGS - 1).astype(np.int64) >> below
+                for k, head in enumerate(wanted):
+                    own = digits if every else digits[digits >> BIN_BITS == head]
+                    count[k] += np.bincount(own & (BINS - 1), minlength=BINS)
+            head, at = np.nonzero(count)
+            return pa.RecordBatch.from_pydict({"head": np.array(wanted, np.int64)[head], "bin": at, "n": count[head, at]})
+
+        seen = {(r["head"], r["bin"]): r["n"] for r in _over_pairs(cells, histogram, "head long, bin long, n long").groupBy("head", "bin").agg(F.sum("n").alias("n")).collect()}  # one row for each bin
+        for place in places:
+            counts = np.array([seen.get((known[place], b), 0) for b in range(BINS)])
+            ends = np.cumsum(counts)
+            digit = int(np.searchsorted(ends, left[place], "right"))
+            left[place] -= int(ends[digit] - counts[digit])
+            known[place] = known[place] << BIN_BITS | digit
+    return float(np.mean([(d + 0.5) / scale if scale else 0.0 for d in known.values()]))
 
 
 def kernel_gap(a: DataFrame, b: DataFrame, vector: str, key: str, group: int = GROUP) -> DataFrame:
@@ -105,12 +109,14 @@ def kernel_gap(a: DataFrame, b: DataFrame, vector: str, key: str, group: int = G
 
     def sums(blocks: Iterator) -> pa.RecordBatch:
         total, count = np.zeros(3), np.zeros(3, np.int64)
-        for squared, counts, kind in blocks:
-            value = np.exp(-squared / band)
-            for k in range(3):
-                here = counts & (kind == k)
-                total[k] += value[here].sum()
-                count[k] += here.sum()
+        for squared, counts, (rows, columns) in blocks:
+            value = np.exp(squared * (-1 / band)) * counts
+            for a in (0, 1):
+                here = rows == a
+                by_column = value[here].sum(axis=0), counts[here].sum(axis=0)
+                for b in (0, 1):
+                    total[a + b] += by_column[0][columns == b].sum()
+                    count[a + b] += by_column[1][columns == b].sum()
         return pa.RecordBatch.from_pydict({"kind": np.arange(3), "total": total, "n": count})
 
     means = _over_pairs(cells, sums, "kind long, total double, n long")

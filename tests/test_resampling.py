@@ -131,3 +131,15 @@ def test_time_shuffles_and_strata(spark):
             at = ok & inside
             assert strata[s, name].frames == at.sum() and strata[s, name].corr == pytest.approx(np.corrcoef(x[at], y[at])[0, 1])
     assert shuffles[3].abs_r is None and shuffles[3].trials == 0 and strata[3, "low"].corr is None
+
+
+@pytest.mark.parametrize("n", [41, 42])
+def test_median_of_all_pairs_reads_them_in_five_passes(spark, monkeypatch, n):
+    """Two middle places share their passes; the median is exact to the last digit, also with many equal distances and a far outlier."""
+    rng, seen, over = np.random.default_rng(n), [], kernels._over_pairs
+    monkeypatch.setattr(kernels, "_over_pairs", lambda *a: seen.append(1) or over(*a))
+    x = np.concatenate([np.zeros((n // 2, 3)), rng.normal(size=(n - n // 2 - 1, 3)), [[1e4, 0, 0]]])
+    rows = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x)], "s int, k long, v array<double>")
+    got = kernels._median(kernels._cells(rows, n, 16))
+    want = np.median([((a - b) ** 2).sum() for i, a in enumerate(x) for b in x[:i]])
+    assert abs(got - want) <= 1e8 / 2**42 and len(seen) == 4
