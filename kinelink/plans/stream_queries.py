@@ -41,11 +41,17 @@ def stream_sessions(spark, sf):
     return done.select("user_id", F.unix_micros("session_start").alias("session_start"), "n")
 
 
+def stream_cells(events: DataFrame) -> DataFrame:
+    """Scores of three sensors and tracks per event, as arrays: an event closes a window of its user's session."""
+    cells = events.withColumn("_c", F.expr("filter(sequence(0, 8), c -> (event_id + c % 3) % 4 <> 0)"))
+    score = lambda c: (F.floor(F.col("value") * 100).cast("long") * (F.floor(c / 3) + 2) * (c % 3 + 3) + F.col("event_id") * 7) % 97 / 97.0
+    each = {"imu_idx": lambda c: F.floor(c / 3).cast("int"), "track": lambda c: F.concat(F.lit("t"), (c % 3).cast("string")), "score": score}
+    return cells.select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("window_end"), *(F.transform("_c", f).alias(name) for name, f in each.items()))
+
+
 def stream_scores(events: DataFrame) -> DataFrame:
-    """Scores of three sensors and tracks per event: an event closes a window of its user's session."""
-    cells = events.withColumn("imu_idx", F.explode(F.expr("sequence(0, 2)"))).withColumn("t", F.explode(F.expr("sequence(0, 2)"))).filter("(event_id + t) % 4 <> 0")
-    score = (F.floor(F.col("value") * 100).cast("long") * (F.col("imu_idx") + 2) * (F.col("t") + 3) + F.col("event_id") * 7) % 97 / 97.0
-    return cells.select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("window_end"), "imu_idx", F.concat(F.lit("t"), F.col("t").cast("string")).alias("track"), score.alias("score"))
+    """The same scores, a row for each sensor and track."""
+    return stream_cells(events).select("session", "window_end", F.explode(F.arrays_zip("imu_idx", "track", "score")).alias("_x")).select("session", "window_end", "_x.*")
 
 
 @query("""WITH sc AS (SELECT user_id::VARCHAR AS session, epoch_us(ts) // 1000 AS ms, i, t, ((floor(value * 100)::BIGINT * (i + 2) * (t + 3) + event_id * 7) % 97) / 97.0::DOUBLE AS score FROM events, range(3) a(i), range(3) b(t) WHERE (event_id + t) % 4 <> 0),
@@ -56,7 +62,7 @@ v AS (SELECT session, ms, p, round(coalesce(sum(a), 0), 9) AS v FROM (SELECT DIS
 best AS (SELECT session, ms, p FROM v QUALIFY row_number() OVER (PARTITION BY session, ms ORDER BY v DESC, p) = 1)
 SELECT b.session, b.ms AS window_end_ms, s.i::BIGINT AS imu_idx, 't' || m.t AS track, round(m.a, 6) + 0.0 AS accumulated FROM best b CROSS JOIN range(3) s(i) LEFT JOIN m ON m.session = b.session AND m.ms = b.ms AND m.i = s.i AND m.c = b.p[s.i + 1]""")
 def stream_realtime_match(spark, sf):
-    done = _finish(matching.realtime_match(stream_scores(_stream(spark, sf, "events")), threshold=0.2))
+    done = _finish(matching.realtime_match(stream_cells(_stream(spark, sf, "events")), threshold=0.2))
     return S.rounded(done)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, GroupedData, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from kinelink.operators.assignment import hungarian
+from kinelink.operators.assignment import hungarian, solve_each
 from kinelink.operators.grouped import madgwick_step
 
 
@@ -26,10 +27,13 @@ def update_history(history: dict[str, list[float]], scores: dict[str, list[float
             history[track] = [(1 - decay) * h + s for h, s in zip(history[track], now)]
 
 
-def decide(history: dict[str, list[float]], tracks: list[str]) -> list[tuple[int, str | None, float | None]]:
-    """(sensor, track, evidence) of the active tracks' best assignment."""
-    matrix = np.array([history[t] for t in tracks], float).T
-    return [(i, tracks[c], float(matrix[i, c])) if c >= 0 else (i, None, None) for i, c in enumerate(hungarian(matrix).tolist())]
+def decide(evidence: list[np.ndarray]) -> list[np.ndarray]:
+    """The best assignment of each window, from its evidence by sensor and active track: a track's place for every sensor, -1 for none. All windows are solved together."""
+    if not all(np.isfinite(m).all() for m in evidence):
+        return [hungarian(m) for m in evidence]
+    sizes = np.array([m.size for m in evidence])
+    taken = solve_each(np.concatenate([m.ravel() for m in evidence]), sizes, np.array([m.shape[1] for m in evidence]), "hungarian")
+    return np.split(taken, np.cumsum([len(m) for m in evidence])[:-1])
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,33 +45,38 @@ def with_processor(grouped: GroupedData, processor: StatefulProcessor, schema: s
     return grouped.transformWithState(processor, schema, "append", "eventTime")
 
 
+#: Rows of a key that share one entry of its state, and windows that share one emitted row.
+BLOCK = 4096
+
+
 class _Waiting(StatefulProcessor):
     """Rows of a key that wait in a list until the watermark reaches them, and one timer: at the first of them, or where the key is idle.
 
-    A subclass says what becomes of rows that are due (`pass_on`, in order of time) and which other state goes with an idle key
-    (`forget`). A key is idle when the watermark has moved on by `idle_ms` since its last rows passed and none waits.
+    An entry of the list holds up to `BLOCK` rows of one batch, column by column. A subclass says what becomes of rows that are due
+    (`pass_on`, in order of time) and which other state goes with an idle key (`forget`). A key is idle when the watermark has moved
+    on by `idle_ms` since its last rows passed and none waits.
     """
 
     def __init__(self, columns: str, idle_ms: int):
-        self.columns, self.idle_ms = columns, idle_ms
+        self.columns, self.idle_ms = [tuple(c.split(" ", 1)) for c in ("at_ms long", *columns.split(", "))], idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at_ms long, {self.columns}")
+        self.waiting = handle.getListState("waiting", ", ".join(f"{name} array<{kind}>" for name, kind in self.columns))
         self.timer = handle.getValueState("timer", "at_ms long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r[c] for c in self.names()) for r in rows]
-        if new:
-            self.waiting.appendList(new)
-            set_to, first = self.timer.get(), min(r[0] for r in new)
+        first = None
+        new = (tuple(r[name] for name, _ in self.columns) for r in rows)
+        while block := list(islice(new, BLOCK)):
+            self.waiting.appendList(_entries(block))
+            first = min(r[0] for r in block) if first is None else min(first, *(r[0] for r in block))
+        if first is not None:
+            set_to = self.timer.get()
             if set_to is None or first < set_to[0]:
                 self.set_timer(first)
         return iter(())
 
-    def names(self) -> list[str]:
-        return ["at_ms", *(c.split()[0] for c in self.columns.split(", "))]
-
     def set_timer(self, at: int | None) -> None:
         """One timer at a time: the old one goes."""
         old = self.timer.get()
@@ -81,11 +90,11 @@ class _Waiting(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        every = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        every = [r for entry in self.waiting.get() for r in zip(*entry)] if self.waiting.exists() else []
         due, rest = [r for r in every if r[0] <= mark], [r for r in every if r[0] > mark]
         out = self.pass_on(key, sorted(due, key=lambda r: r[0])) if due else []
         if rest:
-            self.waiting.put(rest)
+            self.waiting.put(_entries(rest))
         elif due:
             self.waiting.clear()
         else:
@@ -97,28 +106,42 @@ class _Waiting(StatefulProcessor):
         pass
 
 
-_DECISIONS = "session string, window_end_ms long, imu_idx long, track string, accumulated double"
+def _entries(rows: list[tuple]) -> list[tuple]:
+    """Entries of the list of waiting rows."""
+    return [tuple(map(list, zip(*rows[i : i + BLOCK]))) for i in range(0, len(rows), BLOCK)]
+
+
+_DECISIONS = "session string, names array<string>, window_end_ms array<long>, imu_idx array<long>, place array<int>, accumulated array<double>"
 
 
 class _Matcher(_Waiting):
-    """Evidence by track in a map: a batch reads a session's tracks once and writes those that its windows touched."""
+    """Evidence by track in a map: a batch reads a session's tracks once and writes those that its windows touched.
+
+    A row's cells come and wait as JSON, which is one value instead of three for each cell; an emitted row has the decisions of up to `BLOCK` windows.
+    """
 
     def __init__(self, idle_ms: int, decay: float, threshold: float, keep_low: bool):
-        super().__init__("imu_idx long, track string, score double", idle_ms)
+        super().__init__("cells string", idle_ms)
         self.rule = decay, threshold, keep_low
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.history = handle.getMapState("history", "track string", "evidence array<double>")
 
-    def pass_on(self, key: tuple, rows: list[tuple]) -> list[Row]:
+    def pass_on(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
         known = {k[0]: list(v[0]) for k, v in self.history.iterator()} if self.history.exists() else {}
-        touched, out = set(), []
-        for end, cells in groupby(rows, key=lambda r: r[0]):
-            now = window_scores([r[1:] for r in cells])
+        touched, windows, out = set(), [], []
+        for end, pieces in groupby(rows, key=lambda r: r[0]):
+            now = window_scores([c for _, text in pieces for c in zip(*json.loads(text).values())])
             update_history(known, now, *self.rule)
             touched |= now.keys()
-            out += [Row(session=key[0], window_end_ms=end, imu_idx=i, track=t, accumulated=a) for i, t, a in decide(known, sorted(now))]
+            tracks = sorted(now)
+            windows.append((end, tracks, np.array([known[t] for t in tracks], float).T))
+            if len(windows) == BLOCK:
+                out.append(_decided(key[0], windows))
+                windows = []
+        if windows:
+            out.append(_decided(key[0], windows))
         for track in touched:
             self.history.updateValue((track,), (known[track],))
         return out
@@ -127,12 +150,26 @@ class _Matcher(_Waiting):
         self.history.clear()
 
 
+def _decided(session: str, windows: list[tuple[int, list[str], np.ndarray]]) -> Row:
+    """One row of decisions: a sensor's track is a place in the names, -1 for none."""
+    names = sorted({t for _, tracks, _ in windows for t in tracks})
+    number = {t: i for i, t in enumerate(names)}
+    ends, imus, places, evidence = [], [], [], []
+    for (end, tracks, matrix), taken in zip(windows, decide([m for _, _, m in windows])):
+        for imu, c in enumerate(taken.tolist()):
+            ends.append(end)
+            imus.append(imu)
+            places.append(number[tracks[c]] if c >= 0 else -1)
+            evidence.append(matrix[imu, c] if c >= 0 else 0.0)
+    return Row(session=session, names=names, window_end_ms=np.array(ends, np.int64), imu_idx=np.array(imus, np.int64), place=np.array(places, np.int32), accumulated=np.array(evidence, float))
+
+
 def window_scores(cells: list[tuple[int, str, float]]) -> dict[str, list[float]]:
     """The scores of one window by track, one for each sensor up to the last; a sensor without one has 0."""
     sensors = 1 + max(imu for imu, _, _ in cells)
     out: dict[str, list[float]] = {}
     for imu, track, score in cells:
-        out.setdefault(track, [0.0] * sensors)[imu] = score
+        out.setdefault(track, [0.0] * sensors)[imu] = float(score)  # JSON has NaN as text
     return out
 
 
@@ -141,9 +178,16 @@ def realtime_match(scores: DataFrame, delay: str = "10 seconds", decay: float =
 
     Rows wait until the watermark passes their window's end, so a window is decided once, whole and in order; later rows
     are dropped. A session without rows while the watermark moves on by `idle` loses its state; a new session starts without one.
+    imu_idx, track and score may be arrays of the same length, the cells of a row; few rows with many cells are cheaper than a row for each cell.
     """
-    timed = scores.withWatermark("window_end", delay).select("session", "window_end", F.unix_millis("window_end").alias("at_ms"), F.col("imu_idx").cast("long").alias("imu_idx"), F.col("track").cast("string").alias("track"), F.col("score").cast("double").alias("score"))
-    return with_processor(timed.groupBy("session"), _Matcher(_milliseconds(idle), decay, threshold, keep_low), _DECISIONS)
+    kinds = {"imu_idx": "long", "track": "string", "score": "double"}
+    packed = dict(scores.dtypes)["score"].startswith("array")
+    cells = [F.col(c).cast(f"array<{k}>") if packed else F.array(F.col(c).cast(k)) for c, k in kinds.items()]
+    timed = scores.withWatermark("window_end", delay).select("session", "window_end", F.unix_millis("window_end").alias("at_ms"), F.to_json(F.struct(*(c.alias(name) for c, name in zip(cells, kinds)))).alias("cells"), F.size(cells[0]).alias("_n")).filter("_n > 0").drop("_n")
+    blocks = with_processor(timed.groupBy("session"), _Matcher(_milliseconds(idle), decay, threshold, keep_low), _DECISIONS)
+    each = blocks.select("session", "names", F.explode(F.arrays_zip("window_end_ms", "imu_idx", "place", "accumulated")).alias("_x"))
+    known = lambda c: F.when(F.col("_x.place") >= 0, c)
+    return each.select("session", "_x.window_end_ms", "_x.imu_idx", known(F.get("names", F.col("_x.place"))).alias("track"), known(F.col("_x.accumulated")).alias("accumulated"))
 
 
 def _milliseconds(text: str) -> int:
