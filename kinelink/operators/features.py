@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -136,61 +137,69 @@ def _with_unit(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("_long", F.greatest(P.length(F.col(name)), F.lit(_EPS))).withColumn(name, P.times(F.col(name), 1 / F.col("_long"))).drop("_long")
 
 
-def h36m_features(df: DataFrame, keys: list[str], order: str, joints: str, mode: str = "h36m3d", kernel: int = 9) -> DataFrame:
-    """(keys, order, features): the 17 joints and their steps, written as the mode says, and the mode's own numbers.
+def h36m_modes(df: DataFrame, keys: list[str], order: str, joints: str, modes: Sequence[str], kernel: int = 9) -> DataFrame:
+    """(keys, order, and a column of features for each mode): the 17 joints and their steps, written as the mode says, and the mode's own numbers.
 
     Joints stand from the pelvis in shoulder widths, smoothed. The heading is the angle in the x-z plane of what stands square to shoulders
     and trunk; it is unwrapped before its rate is taken. A wrist has the forearm's direction (from outside or along shoulders,
-    trunk and front) and its cross product with the one a frame before. One plan of columns and windows over one partitioning.
+    trunk and front) and its cross product with the one a frame before. One plan of columns and windows over one partitioning, whose
+    parts are made once for all modes.
     """
-    h36m_width(mode)
-    written, extras = _MODES[mode]
+    for mode in modes:
+        h36m_width(mode)
+    forms, extras = {_MODES[m][0] for m in modes}, {part for m in modes for part in _MODES[m][1]}
+    points = lambda z: F.transform(joints, lambda q: P.minus(P.xyz(q["x"], q["y"], z(q)), P.xyz(*(P.joint(joints, _PELVIS)[a] for a in "xy"), z(P.joint(joints, _PELVIS)))))
+    kinds = {name: points(z) for name, z, used in (("n", lambda q: q["z"], forms - {"flat"}), ("flat", lambda q: F.lit(0.0), forms & {"flat"})) if used}
+    width = lambda name: F.greatest(P.distance(P.joint(name, _RIGHT), P.joint(name, _LEFT)), F.lit(1e-4))
+    out = df.select(*keys, order, *(c.alias(name) for name, c in kinds.items())).withColumns({f"_w{name}": width(name) for name in kinds})
+    out = out.withColumns({name: F.zip_with(_numbers(F.col(name)), F.array_repeat(f"_w{name}", 51), lambda v, w: v / w) for name in kinds}).drop(*(f"_w{name}" for name in kinds))
+    for name in kinds:
+        out = _smoothed(out, keys, order, name, kernel)
     at = lambda i: P.joint("p", i)
-    flat_if = lambda p: P.xyz(p["x"], p["y"], F.lit(0.0) if written == "flat" else p["z"])
-    from_pelvis = F.transform(joints, lambda q: P.minus(flat_if(q), flat_if(P.joint(joints, _PELVIS))))
-    out = df.select(*keys, order, from_pelvis.alias("p"))
-    width = F.greatest(P.distance(at(_RIGHT), at(_LEFT)), F.lit(1e-4))
-    out = _smoothed(out.select(*keys, order, F.transform(_numbers(F.col("p")), lambda v: v / width).alias("n")), keys, order, "n", kernel)
-    out = out.select(*keys, order, F.transform(F.sequence(F.lit(0), F.lit(16)), lambda j: P.xyz(*(F.get("n", 3 * j + a) for a in range(3)))).alias("p"))
-    out = out.withColumns({"across": P.minus(at(_RIGHT), at(_LEFT)), "trunk": P.minus(at(_THORAX), at(_PELVIS))})
-    if written == "turned" or "rate" in extras:
+    if "n" in kinds:
+        out = out.withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(16)), lambda j: P.xyz(*(F.get("n", 3 * j + a) for a in range(3)))))
+        out = out.withColumns({"across": P.minus(at(_RIGHT), at(_LEFT)), "trunk": P.minus(at(_THORAX), at(_PELVIS))})
+    if "turned" in forms or "rate" in extras:
         out = out.withColumn("front", P.cross(F.col("across"), F.col("trunk")))
         out = out.withColumn("seen", F.hypot(F.col("front.x"), F.col("front.z")) > 1e-5)
         out = out.withColumn("angle", F.when(F.col("seen"), F.atan2(F.col("front.z"), F.col("front.x"))).otherwise(0.0))
+        out = out.withColumns({n: F.when(F.col("seen"), f("angle")).otherwise(0.0) for n, f in (("sine", F.sin), ("cosine", F.cos))})
     if "rate" in extras:
         out = diff_zero(unwrap(out, keys, [order], "angle", F.lit(True), name="whole_angle"), keys, [order], "whole_angle", name="rate")
-    bones = F.array(*(P.minus(at(i), at(p)) if p >= 0 else P.xyz(0, 0, 0) for i, p in enumerate(L.H36M_PARENTS)))
-    sine, cosine = (F.when(F.col("seen"), f("angle")).otherwise(0.0) for f in (F.sin, F.cos)) if "angle" in out.columns else (None, None)
-    forms = {
-        "plain": lambda: F.col("p"),
-        "flat": lambda: F.col("p"),
-        "depth": lambda: F.transform("p", lambda q: P.xyz(0, 0, q["z"])),
-        "bones": lambda: bones,
+    if "bones" in forms or "lengths" in extras:
+        out = out.withColumn("bones", F.array(*(P.minus(at(i), at(p)) if p >= 0 else P.xyz(0, 0, 0) for i, p in enumerate(L.H36M_PARENTS))))
+    sine, cosine = F.col("sine"), F.col("cosine")
+    written = {
+        "plain": lambda: F.col("n"),
+        "flat": lambda: F.col("flat"),
+        "depth": lambda: F.transform("n", lambda v, i: F.when(i % 3 == 2, v).otherwise(0.0)),
+        "bones": lambda: _numbers(F.col("bones")),
         # turned about the vertical until the front stands on the x axis
-        "turned": lambda: F.when(F.col("seen"), F.transform("p", lambda q: P.xyz(q["x"] * cosine + q["z"] * sine, q["y"], q["z"] * cosine - q["x"] * sine))).otherwise(F.col("p")),
+        "turned": lambda: _numbers(F.when(F.col("seen"), F.transform("p", lambda q: P.xyz(q["x"] * cosine + q["z"] * sine, q["y"], q["z"] * cosine - q["x"] * sine))).otherwise(F.col("p"))),
     }
-    out = out.withColumn("own", _numbers(forms[written]()))
-    still = F.transform("own", lambda v: F.lit(0.0))
-    parts = [F.col("own"), still if mode == "h36m3d_no_velocity" else _steps(F.col("own"), keys, order)]
-    for name in extras:
-        if name == "lengths":
-            parts.append(F.transform(bones, P.length))
-        elif name == "direction":
-            parts.append(F.array(sine, cosine))
-        elif name in ("rate", "seen"):
-            parts.append(F.array(F.col(name).cast("double")))
-        else:
-            elbow, wrist = map(at, _FOREARMS[name.split("_")[0]])
-            out = _with_unit(out.withColumn(name, P.minus(wrist, elbow)), name)
-            if name.endswith("in_torso"):
-                out = _with_unit(_with_unit(out, "across"), "trunk")
-                out = _with_unit(out.withColumn("front", P.cross(F.col("across"), F.col("trunk"))), "front")
-                out = out.withColumn(name, P.xyz(*(P.dot(F.col(name), F.col(c)) for c in ("across", "trunk", "front"))))
-            turned = P.cross(F.coalesce(F.lag(name).over(over(keys, [order])), F.col(name)), F.col(name))
-            parts.append(_numbers(F.array(F.col(name), turned)))
-    finite = F.assert_true(F.forall("features", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(f"{mode} gives numbers that are not finite"))
-    made = out.select(*keys, order, F.concat(*parts).alias("features"))
-    return made.select(*keys, order, F.when(finite.isNull(), F.col("features")).alias("features"))
+    for form in sorted(forms):
+        out = out.withColumn(f"own_{form}", written[form]())
+        out = out.withColumn(f"steps_{form}", _steps(F.col(f"own_{form}"), keys, order))
+    added = {"lengths": F.transform("bones", P.length), "direction": F.array(sine, cosine), **{n: F.array(F.col(n).cast("double")) for n in ("rate", "seen")}}
+    for name in sorted(extras - added.keys()):
+        elbow, wrist = map(at, _FOREARMS[name.split("_")[0]])
+        out = _with_unit(out.withColumn(name, P.minus(wrist, elbow)), name)
+        if name.endswith("in_torso"):
+            out = _with_unit(_with_unit(out.withColumns({"unit_across": F.col("across"), "unit_trunk": F.col("trunk")}), "unit_across"), "unit_trunk")
+            out = _with_unit(out.withColumn("unit_front", P.cross(F.col("unit_across"), F.col("unit_trunk"))), "unit_front")
+            out = out.withColumn(name, P.xyz(*(P.dot(F.col(name), F.col(f"unit_{c}")) for c in ("across", "trunk", "front"))))
+        turned = P.cross(F.coalesce(F.lag(name).over(over(keys, [order])), F.col(name)), F.col(name))
+        added[name] = _numbers(F.array(F.col(name), turned))
+    still = F.array_repeat(F.lit(0.0), 51)
+    features = {m: F.concat(F.col(f"own_{_MODES[m][0]}"), still if m == "h36m3d_no_velocity" else F.col(f"steps_{_MODES[m][0]}"), *(added[part] for part in _MODES[m][1])) for m in modes}
+    made = out.select(*keys, order, *(c.alias(m) for m, c in features.items()))
+    finite = lambda m: F.assert_true(F.forall(m, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(f"{m} gives numbers that are not finite"))
+    return made.select(*keys, order, *(F.when(finite(m).isNull(), F.col(m)).alias(m) for m in modes))
+
+
+def h36m_features(df: DataFrame, keys: list[str], order: str, joints: str, mode: str = "h36m3d", kernel: int = 9) -> DataFrame:
+    """(keys, order, features) of one mode, as in h36m_modes."""
+    return h36m_modes(df, keys, order, joints, [mode], kernel).withColumnRenamed(mode, "features")
 
 
 def skeleton_features(df: DataFrame, keys: list[str], order: str, joints: str, mode: str, kernel: int = 9) -> DataFrame:

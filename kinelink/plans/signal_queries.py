@@ -131,13 +131,11 @@ def skeleton_tokens(spark, sf):
 @query()
 def h36m_features(spark, sf):
     """Width and mean size of every feature mode."""
-    s = S.skeletons(spark, sf)
-    out = None
-    for mode in features.H36M_MODES:
-        f = features.skeleton_features(s, ["seq"], "frame_idx", "joints", mode)
-        one = f.groupBy("seq").agg(F.max(F.size("features")).alias("width"), F.avg(F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v)).alias("mean_square")).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return S.rounded(out, 4)
+    f = features.h36m_modes(S.skeletons(spark, sf), ["seq"], "frame_idx", "joints", features.H36M_MODES)
+    told = lambda m: [F.max(F.size(m)).alias(f"{m}_width"), F.avg(F.aggregate(m, F.lit(0.0), lambda a, v: a + v * v)).alias(f"{m}_square")]
+    one = f.groupBy("seq").agg(*(c for m in features.H36M_MODES for c in told(m)))
+    rows = F.array(*(F.struct(F.col(f"{m}_width").alias("width"), F.col(f"{m}_square").alias("mean_square"), F.lit(m).alias("mode")) for m in features.H36M_MODES))
+    return S.rounded(one.select("seq", F.explode(rows).alias("_x")).select("seq", "_x.*"), 4)
 
 
 @query()
