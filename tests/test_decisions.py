@@ -6,6 +6,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinelink.operators import history, linking
 
@@ -93,3 +94,42 @@ def test_merged_series_are_filled(spark):
     got = {(r.new_id, r.frame_id): r.x for r in out}
     want = {(0, 0): 0, (0, 1): 1, (0, 2): 1 + 103 / 3, (0, 3): 1 + 206 / 3, (0, 4): 104, (0, 5): 105, (0, 6): 106, (1, 3): 5}
     assert got.keys() == want.keys() and all(math.isclose(got[k], v) for k, v in want.items())
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("decay, keep_low, mode", [(0.0, True, "margin"), (0.25, True, "sigmoid_margin"), (0.25, False, "margin")])
+def test_session_decisions_carry_evidence_over_blocks(spark, packed, decay, keep_low, mode):
+    """Three tracks that come and go, blocks of a few rows that cut windows, and one exchange for the whole job."""
+    rng = np.random.default_rng(13)
+    rows = [(s, w, i, f"t{t}", float(rng.random())) for s, n in ((0, 40), (1, 1), (2, 1), (3, 25)) for w in range(n) for t in range(3) if (w + t) % 4 for i in range(3)]
+    df = spark.createDataFrame(rows, "session int, window_idx int, imu_idx int, track string, score double")
+    told = history.history_scores(df, ["session"], "window_idx", decay=decay, threshold=0.2, mode=mode, keep_low=keep_low).collect()
+    want = defaultdict(dict)
+    for r in told:
+        want[r.session, r.window_idx][r.imu_idx, r.track] = r.accumulated
+    cells = df.groupBy("session", "window_idx").agg(*(F.collect_list(c).alias(c) for c in ("imu_idx", "track", "score"))) if packed else df
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = history.session_decisions(cells.repartition(3), ["session"], "window_idx", decay=decay, threshold=0.2, mode=mode, keep_low=keep_low)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        got = defaultdict(dict)
+        for r in made.collect():
+            got[r.session, r.window_idx][r.imu_idx] = r.track_history
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and plan.count("Exchange hashpartitioning(session") == (2 if packed else 1)
+    for key, table in want.items():
+        tracks = sorted({t for _, t in table})
+        sums = {p: sum(table[i, tracks[c]] for i, c in enumerate(p) if c < len(tracks)) for p in permutations(range(3))}
+        taken = got[key]
+        assert sum(table[i, t] for i, t in taken.items() if t is not None) == pytest.approx(max(sums.values()))
+        assert sorted(t for t in taken.values() if t is not None) == tracks
+
+
+def test_windows_without_cells_decide_nothing(spark):
+    rows = [(1, 0, [0, 1], ["a", "b"], [0.3, 0.9]), (1, 1, [], [], []), (2, 0, None, None, None), (3, 4, [1, 0], ["b", "b"], [0.5, 0.1])]
+    df = spark.createDataFrame(rows, "session int, w int, imu_idx array<int>, track array<string>, score array<double>")
+    with pytest.raises(Exception, match="lacks cells"):
+        history.session_decisions(df, ["session"], "w").collect()
+    found = history.session_decisions(df.filter("session > 1"), ["session"], "w").collect()
+    assert sorted(map(tuple, found)) == [(3, 4, 0, None, None), (3, 4, 1, "b", "b")]
