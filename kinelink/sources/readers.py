@@ -26,11 +26,21 @@ GRAVITY = 9.80665
 KEYPOINTS = 51
 
 
+def whole_texts(spark: SparkSession, path) -> DataFrame:
+    """(path, value): the whole text of every file. `path` may be such a table itself (`sinks.write_texts`): files too many to be listed and opened one by one are gathered once."""
+    if isinstance(path, DataFrame):
+        return path.select("path", "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+
+
+def _kept(value: str) -> Column:
+    """A text's non-blank lines, trimmed."""
+    return F.filter(F.transform(F.split(value, "\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def _lines(spark: SparkSession, path) -> DataFrame:
     """(path, n, line): non-blank lines, trimmed, numbered from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    kept = F.filter(F.transform(F.split("value", "\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
-    return whole.select("path", F.posexplode(kept).alias("n", "line"))
+    return whole_texts(spark, path).select("path", F.posexplode(_kept("value")).alias("n", "line"))
 
 
 def _number(c: Column) -> Column:
@@ -146,7 +156,7 @@ _ENTRY = "image_id STRING, imgname STRING, idx STRING, box ARRAY<DOUBLE>, keypoi
 
 def _entries(spark: SparkSession, path, nested: bool = False) -> DataFrame:
     """(path, ord, fields) of JSON lists of detections; idx is its JSON text. With nested, lists under result are opened."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.from_json("value", "array<string>")).alias("ord", "text"))
+    whole = whole_texts(spark, path).select("path", F.posexplode(F.from_json("value", "array<string>")).alias("ord", "text"))
     if nested:
         parts = F.from_json("text", "struct<imgname:string,image_id:string,result:array<string>>")
         opened = whole.withColumn("_n", parts)
@@ -216,11 +226,13 @@ def read_pose_tracks(spark: SparkSession, path, policy: str = "expand") -> DataF
 
 
 def read_mot_tracks(spark: SparkSession, path) -> DataFrame:
-    """(path, frame_idx, track_id, bbox, score): comma-separated rows of seven fields or more, frames counted from the first one."""
-    parts = _lines(spark, path).withColumn("_p", F.split("line", ",")).filter(F.size("_p") >= 7)
-    v = lambda i: F.trim(F.col("_p")[i]).cast("double")
-    rows = parts.select("path", v(0).cast("long").alias("_f"), v(1).cast("long").alias("track_id"), F.struct(v(2).alias("x1"), v(3).alias("y1"), (v(2) + v(4)).alias("x2"), (v(3) + v(5)).alias("y2")).alias("bbox"), v(6).alias("score"))
-    return rows.withColumn("frame_idx", F.col("_f") - F.min("_f").over(Window.partitionBy("path"))).drop("_f")
+    """(path, frame_idx, track_id, bbox, score): comma-separated rows of seven fields or more, frames counted from the first one of the text."""
+    v = lambda p, i: F.trim(p[i]).cast("double")
+    rows = F.filter(F.transform(_kept("value"), lambda x: F.split(x, ",")), lambda p: F.size(p) >= 7)
+    held = whole_texts(spark, path).select("path", rows.alias("_rows")).withColumn("_first", F.array_min(F.transform("_rows", lambda p: v(p, 0).cast("long"))))
+    each, p = held.select("path", "_first", F.explode("_rows").alias("_p")), F.col("_p")
+    box = F.struct(v(p, 2).alias("x1"), v(p, 3).alias("y1"), (v(p, 2) + v(p, 4)).alias("x2"), (v(p, 3) + v(p, 5)).alias("y2"))
+    return each.select("path", v(p, 1).cast("long").alias("track_id"), box.alias("bbox"), v(p, 6).alias("score"), (v(p, 0).cast("long") - F.col("_first")).alias("frame_idx"))
 
 
 WINDOW_SCHEMA = "subject STRING, session STRING, split STRING, npz_path STRING, window_start LONG, window_end LONG, window_len LONG, skeleton_source STRING, person_idx INT, imu_idx INT, source_sequence STRING, source_person INT, source_window_start LONG, candidate_group_id STRING, candidate_index INT"

@@ -20,6 +20,11 @@ def write_windows(windows: DataFrame, path: str, csv: bool = False, mode: str =
         windows.write.mode(mode).option("header", True).csv(f"{path}/windows_csv")
 
 
+def write_texts(texts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """(path, value): whole texts under their names, many in a file; the readers of text files take the table in place of a folder."""
+    texts.select("path", "value").write.mode(mode).parquet(path)
+
+
 def window_summary(windows: DataFrame) -> DataFrame:
     """One row: windows, sequences, groups, rows in groups and without, and rows per split."""
     grouped = F.nullif(F.trim(F.col("candidate_group_id").cast("string")), F.lit(""))
