@@ -77,3 +77,15 @@ def test_affine_scan_equals_a_loop_whatever_the_segments(spark):
         got = scans.affine_scan(df, ["k"], "o", F.col("a"), F.col("b"), "h", segment).collect()
         assert len(got) == len(rows) and all(r.h == pytest.approx(want[r.k, r.o], abs=1e-12) for r in got)
     assert scans.affine_scan(df.limit(0), ["k"], "o", F.col("a"), F.col("b"), "h").collect() == []
+
+
+def test_a_row_of_many_cells_is_decided_like_a_row_for_each(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame(score_rows("a", range(0, 12), rng) + score_rows("b", range(3, 9), rng), columns=[c.split()[0] for c in SCORES.split(", ")])
+    packed = rows.groupby(["session", "window_end"]).agg(list).reset_index()
+    found = []
+    for name, frame, schema in (("rows", rows, SCORES), ("packed", packed, "session string, window_end timestamp, imu_idx array<long>, track array<string>, score array<double>")):
+        (tmp_path / name).mkdir()
+        out, _ = run(spark, [frame], tmp_path / name, lambda s: matching.realtime_match(s, "2 seconds", threshold=0.2), schema)
+        found.append(sorted(map(repr, out.collect())))
+    assert len(found[0]) == 3 * (10 + 6) and found[0] == found[1]
