@@ -1,9 +1,10 @@
 """Draws, kernels, second-best assignments, neighbours by ranges and shuffle nulls against brute force."""
 
 import hashlib
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,26 @@ def test_median_of_all_pairs_reads_them_in_five_passes(spark, monkeypatch, n):
     got = kernels._median(kernels._cells(rows, n, 16))
     want = np.median([((a - b) ** 2).sum() for i, a in enumerate(x) for b in x[:i]])
     assert abs(got - want) <= 1e8 / 2**42 and len(seen) == 4
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_cells_send_no_copies_of_rows(spark, kind):
+    """Rows are shuffled once, not once for each cell that they are part of, and each pair is met once: keys of a side that are equal are no pair."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(101, 3)).astype(np.float32)
+    keys = [(int(rng.integers(0, 2)), int(rng.integers(0, 30))) for _ in v]
+    rows = spark.createDataFrame([(s, k, x.tolist()) for (s, k), x in zip(keys, v)], f"s int, k long, v array<{kind}>")
+
+    def listed(tiles):
+        kinds, values = [np.empty(0, int)], [np.empty(0)]
+        for side, x in tiles:
+            kinds.append(np.full(len(x), side))
+            values.append(x.copy())
+        return pa.RecordBatch.from_pydict({"kind": np.concatenate(kinds), "d": np.concatenate(values)})
+
+    found = kernels._over_pairs(kernels._cells(rows, len(v), 4), listed, "kind long, d double")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    want = sorted((a[0] + b[0], float(((x - y) ** 2).sum())) for (a, x), (b, y) in combinations(zip(keys, v.astype(float)), 2) if a != b)
+    got = sorted((r.kind, r.d) for r in found.collect())
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([d for _, d in got], [d for _, d in want], atol=1e-12)
